@@ -92,6 +92,11 @@ def duck_cte(*names: str) -> str:
     return "with " + ",\n".join(parts) + "\n"
 
 
+def more_views(*names: str) -> str:
+    """Further view definitions to append to an existing ``WITH`` clause."""
+    return "".join(", " + duck_cte(n)[len("with "):] for n in names)
+
+
 class Fixture:
     """Lazily bound views over ``/root/testdata/<sf>`` for one session."""
 
