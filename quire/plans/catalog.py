@@ -27,8 +27,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from quire.plans import q_search, q_text, q_tables  # noqa: F401
-    try:
-        from quire.plans import q_more  # noqa: F401
-    except ImportError:
-        pass
+    from quire.plans import q_ann, q_more, q_search, q_tables, q_text  # noqa: F401
