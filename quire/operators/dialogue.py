@@ -92,10 +92,10 @@ def add_documents(conversations: DataFrame, additions: DataFrame) -> DataFrame:
 def latest_status(log: DataFrame, key: str = "doc_id") -> DataFrame:
     """U2 fold: newest ``(status, error)`` per key by ``(ts, seq)``; the
     aggregate is partial per map task, so a hot key never gathers its rows."""
-    b = F.max_by(F.struct("status", "error", "ts"), F.struct("ts", "seq"))
+    b = F.max_by(F.struct("status", "error", "ts", "seq"), F.struct("ts", "seq"))
     return log.groupBy(key).agg(b.alias("_b")).select(
         key, F.col("_b.status").alias("new_status"), F.col("_b.error").alias("error"),
-        F.col("_b.ts").alias("status_ts"))
+        F.col("_b.ts").alias("status_ts"), F.col("_b.seq").alias("status_seq"))
 
 
 def apply_status(documents: DataFrame, latest: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def apply_status(documents: DataFrame, latest: DataFrame) -> DataFrame:
     j = documents.join(latest.withColumnRenamed("doc_id", "id"), "id", "left")
     return (j.withColumn("status", F.coalesce("new_status", "status"))
             .withColumn("metadata", F.to_json(F.struct(F.col("filename"), F.col("status"), F.col("error"))))
-            .drop("new_status"))
+            .drop("new_status", "status_seq"))
 
 
 def update_titles(conversations: DataFrame, titles: DataFrame) -> DataFrame:

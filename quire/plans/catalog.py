@@ -27,4 +27,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from quire.plans import q_ann, q_more, q_search, q_tables, q_text  # noqa: F401
+    from quire.plans import q_ann, q_more, q_search, q_stream, q_tables, q_text  # noqa: F401

@@ -43,11 +43,16 @@ def _greedy_sql(parts_expr: str, joiner: str, suffix: str, size: int, tag: str)
 )"""
 
 
-def chunk_oracle(size: int = 1000) -> str:
+def chunk_oracle(size: int = 1000, base: str | None = None) -> str:
+    """DuckDB chunker over ``base(doc_id, t)``; defines ``chunks(doc_id,
+    chunk_index, content)``. ``base`` is a ``with recursive ...`` prefix
+    ending in the ``base`` view (default: every document's text)."""
+    if base is None:
+        base = duck_cte("v_documents").replace("with ", "with recursive ", 1) + \
+            "\n, base as (select id as doc_id, coalesce(text, '') as t from v_documents)"
     para = _greedy_sql("string_split(t, chr(10) || chr(10))", "chr(10) || chr(10)", "", size, "pa")
     sent = _greedy_sql("string_split(replace(t, chr(10), ' '), '. ')", "' '", ".", size, "se")
-    return duck_cte("v_documents").replace("with ", "with recursive ", 1) + f"""
-, base as (select id as doc_id, coalesce(text, '') as t from v_documents),
+    return base + f""",
 {para},
 {sent},
 pstat as (

@@ -111,6 +111,12 @@ class Fixture:
         paths = {t: f"parquet.`{self.sf_dir}/{t}.parquet`" for t in BASE_TABLES}
         return self.spark.sql(VIEW_SQL[key].format(**paths))
 
+    def view_over(self, key: str, **tables: str) -> DataFrame:
+        """The view ``key`` over other tables (e.g. a stream's temp view)."""
+        paths = {t: f"parquet.`{self.sf_dir}/{t}.parquet`" for t in BASE_TABLES}
+        paths.update(tables)
+        return self.spark.sql(VIEW_SQL[key].format(**paths))
+
     def users(self): return self._sql("v_users")
     def documents(self): return self._sql("v_documents")
     def chunks(self): return self._sql("v_chunks")
