@@ -11,16 +11,23 @@ from pyspark.sql import functions as F
 WS_CLASS = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 NON_WS = WS_CLASS.replace("[", "[^", 1)
+# The same characters as a plain string (for ``btrim``).
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def py_strip(c: Column) -> Column:
-    """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    """Python ``str.strip()``: remove Unicode whitespace at both ends
+    (``btrim`` with the character set: no regex, linear)."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def word_count(c: Column) -> Column:
-    """``len(text.split())``: whitespace-separated words (0 for empty text)."""
-    return F.size(F.regexp_extract_all(c, F.lit(NON_WS + "+"), 0))
+    """``len(text.split())``: whitespace-separated words (0 for empty text).
+
+    A regex split on whitespace runs, dropping the empty edge pieces (about
+    twice as fast as extracting every word with ``regexp_extract_all``)."""
+    return F.size(F.filter(F.split(c, WS_CLASS + "+", -1), lambda x: x != ""))
 
 
 def is_blank(c: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.partitioning import spread
 from quire.functions.text import py_strip, word_count
 
 DEFAULT_CHUNK_SIZE = 1000
@@ -77,7 +78,11 @@ def explode_chunks(df: DataFrame, chunks: Column, key_cols: list[str],
                    method: str = "immediate") -> DataFrame:
     """One row per chunk with ``chunk_index`` (0-based), ``content``,
     ``chunk_length``, ``token_count`` (whitespace words) and JSON metadata."""
-    out = df.select(*key_cols, F.posexplode(chunks).alias("chunk_index", "content"))
+    # posexplode_outer + filter: a plain explode makes the optimizer infer a
+    # ``size(chunks) > 0`` filter and push it below the projection, which
+    # would inline (re-run) the whole chunking fold for that test
+    out = (df.select(*key_cols, F.posexplode_outer(chunks).alias("chunk_index", "content"))
+           .filter(F.col("content").isNotNull()))
     return (out
             .withColumn("chunk_length", F.length("content"))
             .withColumn("token_count", word_count(F.col("content")))
@@ -86,11 +91,23 @@ def explode_chunks(df: DataFrame, chunks: Column, key_cols: list[str],
                 F.lit("text").alias("chunk_type")))))
 
 
+def with_simple_chunks(df: DataFrame, text_col: str, out_col: str = "chunks",
+                       size: int = DEFAULT_CHUNK_SIZE) -> DataFrame:
+    """``simple_chunks`` as a column, with the paragraph result computed once
+    (a separate projection the optimizer keeps, since it is used three
+    times) and the sentence fold only evaluated for the rows that need it."""
+    para = df.withColumn("_para", paragraph_chunks(F.col(text_col), size))
+    redo = (F.size("_para") == 0) | F.exists("_para", lambda c: F.length(c) > 2 * size)
+    return para.withColumn(out_col, F.when(redo, sentence_chunks(F.col(text_col), size))
+                           .otherwise(F.col("_para"))).drop("_para")
+
+
 def chunk_documents(documents: DataFrame, size: int = DEFAULT_CHUNK_SIZE,
                     id_col: str = "id", text_col: str = "text") -> DataFrame:
     """C2/C3 + C5 over a documents table: ``(doc_id, chunk_index, content, ...)``."""
-    d = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
-    return explode_chunks(d, simple_chunks(F.col("_t"), size), ["doc_id"])
+    d = spread(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")), "doc_id")
+    d = with_simple_chunks(d, "_t", "_chunks", size)
+    return explode_chunks(d, F.col("_chunks"), ["doc_id"])
 
 
 def chunks_of(chunks: DataFrame, requested: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -22,26 +22,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions.partitioning import spread
 from quire.functions.text import NON_WS
 
 DEFAULT_WIDTH = 64
 
 
-def _bucket(tok: Column, width: int) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(width))
+def _bucket(h: Column, width: int) -> Column:
+    """Bucket from a token's MD5 hex digest."""
+    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(width))
 
 
-def _sign(tok: Column) -> Column:
-    return F.when(F.conv(F.substring(F.md5(tok), 9, 2), 16, 10).cast("int") < 128, F.lit(1)).otherwise(F.lit(-1))
+def _sign(h: Column) -> Column:
+    """Sign from a token's MD5 hex digest."""
+    return F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") < 128, F.lit(1)).otherwise(F.lit(-1))
 
 
 def hash_embed_sparse(df: DataFrame, id_col: str, text_col: str,
                       width: int = DEFAULT_WIDTH, normalize: bool = True) -> DataFrame:
     """E1 (sparse form): ``(id, bucket, value)`` for non-zero buckets."""
-    tok = df.select(F.col(id_col).alias("_id"),
-                    F.explode(F.regexp_extract_all(F.col(text_col), F.lit(NON_WS + "+"), 0)).alias("_t"))
-    s = (tok.groupBy("_id", _bucket(F.col("_t"), width).alias("bucket"))
-         .agg(F.sum(_sign(F.col("_t"))).alias("_v"))
+    tok = spread(df.select(id_col, text_col), id_col).select(
+        F.col(id_col).alias("_id"),
+        F.explode(F.regexp_extract_all(F.col(text_col), F.lit(NON_WS + "+"), 0)).alias("_t"))
+    hashed = tok.select("_id", F.md5("_t").alias("_h"))
+    s = (hashed.groupBy("_id", _bucket(F.col("_h"), width).alias("bucket"))
+         .agg(F.sum(_sign(F.col("_h"))).alias("_v"))
          .filter(F.col("_v") != 0))
     if normalize:
         from pyspark.sql import Window
@@ -110,7 +115,7 @@ def embed_batches(df: DataFrame, key_cols: list[str], text_col: str,
             out[out_col] = vecs
             yield out
 
-    return df.select(*key_cols, text_col).mapInPandas(run, schema)
+    return spread(df.select(*key_cols, text_col), key_cols[0]).mapInPandas(run, schema)
 
 
 def embed_queries(df: DataFrame, id_col: str, text_col: str, width: int = DEFAULT_WIDTH,

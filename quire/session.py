@@ -58,3 +58,46 @@ def checkpoint_path(spark: SparkSession, *parts: str) -> str:
     """A path below the shared checkpoint folder (for state and lineage cuts)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, *parts)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quire`` importable in Python workers (pandas functions pickle
+    their helpers by module reference).
+
+    When the checkpoint folder is a plain filesystem path the package is
+    zipped there once per session and added with ``addPyFile``; on clusters
+    whose shared folder is remote, deploy with ``--py-files`` instead.
+    """
+    import hashlib
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_quire_shipped", False):
+        return
+    import quire
+    pkg = os.path.dirname(os.path.abspath(quire.__file__))
+    base = ensure_checkpoint_dir(spark)
+    if "://" in base and not base.startswith("file:"):
+        sc._quire_shipped = True
+        return
+    base = base.replace("file://", "").replace("file:", "")
+    files = []
+    for dirpath, _, names in os.walk(pkg):
+        for n in sorted(names):
+            if n.endswith(".py"):
+                files.append(os.path.join(dirpath, n))
+    h = hashlib.sha1()
+    for f in sorted(files):
+        with open(f, "rb") as fh:
+            h.update(f.encode() + fh.read())
+    out_dir = os.path.join(base, "pyfiles")
+    os.makedirs(out_dir, exist_ok=True)
+    target = os.path.join(out_dir, f"quire-{h.hexdigest()[:12]}.zip")
+    if not os.path.exists(target):
+        tmp = f"{target}.{os.getpid()}.part"
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in files:
+                z.write(f, os.path.relpath(f, os.path.dirname(pkg)))
+        os.replace(tmp, target)
+    sc.addPyFile(target)
+    sc._quire_shipped = True
