@@ -30,3 +30,40 @@ def spread(df: DataFrame, key: str | None = None, factor: float = 0.5) -> DataFr
     if pieces >= need:
         return df
     return df.repartition(target, key) if key else df.repartition(target)
+
+
+def ordered_index(df: DataFrame, part: list[str], order: list, out: str = "pos",
+                  max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """1-based position of each row within its ``part`` group by ``order``,
+    without putting a whole group into one task.
+
+    A window ``row_number`` over ``part`` sends every row of a key to one
+    task; a key holding a third of the table would then be sorted by a single
+    core. Here the rows are range-partitioned on ``(part, order)`` (the
+    sampler cuts a hot key into many partitions), numbered inside each
+    partition by ``monotonically_increasing_id`` (consecutive within a
+    partition in sorted order), and shifted by the count of the same key in
+    earlier partitions. The offset table has at most one row per (partition,
+    key), so per key it is bounded by the partition count; it is broadcast
+    when its row count is below ``max_broadcast_rows`` (checked), otherwise
+    joined by hash.
+
+    ``order`` items are column names or Columns (use ``.desc()`` for
+    descending); include a unique column last to make positions total.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    s = (df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, *[F.col(p) for p in part], *cols)
+         .sortWithinPartitions(*[F.col(p) for p in part], *cols)
+         .withColumn("_op", F.spark_partition_id())
+         .withColumn("_oi", F.monotonically_increasing_id()))
+    b = s.groupBy("_op", *part).agg(F.min("_oi").alias("_lo"), F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*part).orderBy("_op").rowsBetween(Window.unboundedPreceding, -1)
+    b = b.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    if b.count() <= max_broadcast_rows:
+        b = F.broadcast(b)
+    j = s.join(b, ["_op", *part])
+    return j.withColumn(out, (F.col("_oi") - F.col("_lo") + F.col("_off") + 1).cast("long")) \
+        .drop("_op", "_oi", "_lo", "_off")

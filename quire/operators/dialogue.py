@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.partitioning import ordered_index
+
 
 def _order(conv: str = "conv_id"):
     return Window.partitionBy(conv).orderBy(F.col("created_at"), F.col("turn"), F.col("id"))
@@ -31,23 +33,29 @@ def last_user_message(messages: DataFrame, conv: str = "conv_id") -> DataFrame:
 
 def exchanges(messages: DataFrame, conv: str = "conv_id") -> DataFrame:
     """Each user message with the next message when that is the
-    assistant's reply (null when unanswered)."""
-    w = _order(conv)
-    m = (messages.withColumn("_next_role", F.lead("role").over(w))
-         .withColumn("_next_text", F.lead("text").over(w))
-         .withColumn("_next_id", F.lead("id").over(w)))
+    assistant's reply (null when unanswered).
+
+    ``lead`` as an equi-join on ``(conv_id, pos + 1)`` over skew-safe
+    positions: the join key is unique per row, so a conversation holding a
+    third of all messages still spreads over all tasks."""
+    p = ordered_index(messages.select(conv, "created_at", "turn", "id", "role", "text"), [conv],
+                      ["created_at", "turn", "id"])
+    nxt = p.select(F.col(conv).alias("_c"), (F.col("pos") - 1).alias("_p"), F.col("role").alias("_next_role"),
+                   F.col("text").alias("_next_text"), F.col("id").alias("_next_id"))
+    users = p.filter(F.col("role") == "user")
+    m = users.join(nxt, (users[conv] == nxt["_c"]) & (users["pos"] == nxt["_p"]), "left")
     answered = F.col("_next_role") == "assistant"
-    return (m.filter(F.col("role") == "user")
-            .select(conv, F.col("id").alias("user_message_id"), F.col("text").alias("question"),
+    return (m
+            .select(users[conv], F.col("id").alias("user_message_id"), F.col("text").alias("question"),
                     F.when(answered, F.col("_next_id")).alias("answer_id"),
                     F.when(answered, F.col("_next_text")).alias("answer")))
 
 
 def first_exchange_flag(messages: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """``messages_so_far`` and ``is_first_exchange`` (at most 2 so far)."""
-    w = _order(conv).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (messages.withColumn("messages_so_far", F.count(F.lit(1)).over(w))
-            .withColumn("is_first_exchange", F.col("messages_so_far") <= 2))
+    """``messages_so_far`` and ``is_first_exchange`` (at most 2 so far);
+    the running count is the skew-safe position."""
+    p = ordered_index(messages, [conv], ["created_at", "turn", "id"], out="messages_so_far")
+    return p.withColumn("is_first_exchange", F.col("messages_so_far") <= 2)
 
 
 def context_rank(hits: DataFrame, k: int = 3, key: str = "qid") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.partitioning import ordered_index
+
 EMPTY_SCOPES = ("all", "none", "owned_processed")
 
 
@@ -33,9 +35,9 @@ def search_scope(conversations: DataFrame, documents: DataFrame,
 
 
 def user_documents(documents: DataFrame) -> DataFrame:
-    """Documents per user newest first, ``pos`` 1-based."""
-    w = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("id"))
-    return documents.withColumn("pos", F.row_number().over(w))
+    """Documents per user newest first, ``pos`` 1-based (skew-safe: a
+    user owning a third of all documents is numbered by many tasks)."""
+    return ordered_index(documents, ["user_id"], [F.col("created_at").desc(), F.col("id")])
 
 
 def owned_lookup(requests: DataFrame, table: DataFrame, id_col: str = "id") -> DataFrame:
@@ -75,9 +77,8 @@ def conversation_documents(conversations: DataFrame, documents: DataFrame) -> Da
 
 
 def conversation_messages(messages: DataFrame) -> DataFrame:
-    """Messages of each conversation with their order ``pos``."""
-    w = Window.partitionBy("conv_id").orderBy("created_at", "turn", "id")
-    return messages.withColumn("pos", F.row_number().over(w))
+    """Messages of each conversation with their order ``pos`` (skew-safe)."""
+    return ordered_index(messages, ["conv_id"], ["created_at", "turn", "id"])
 
 
 def processing_completion(documents: DataFrame, parsed_rows: DataFrame) -> DataFrame:

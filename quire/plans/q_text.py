@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import NON_WS, WS_CLASS
@@ -125,9 +124,9 @@ def c6_chunks_of_documents(spark, sf_dir):
     """Chunks of the documents referenced by conversations, in order."""
     fx = Fixture(spark, sf_dir)
     ch = chunking.chunks_of(_chunks(spark, sf_dir), fx.conv_docs())
-    return ch.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"),
-                     F.col("chunk_length").cast("bigint").alias("chunk_length"),
-                     F.count(F.lit(1)).over(Window.partitionBy("doc_id")).cast("bigint").alias("n_chunks"))
+    n = ch.groupBy("doc_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_chunks"))
+    return ch.join(n, "doc_id").select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"),
+                                       F.col("chunk_length").cast("bigint").alias("chunk_length"), "n_chunks")
 
 
 # ---------------------------------------------------------------- files
@@ -224,10 +223,11 @@ from v_documents
 def g8_file_keys(spark, sf_dir):
     """Content hash, formatted file key, size of the duplicate-content group."""
     d = Fixture(spark, sf_dir).documents()
-    h = files.content_hash(F.col("text"))
-    return d.select("id", h.alias("content_hash"),
-                    files.file_key(F.col("user_id"), F.col("created_at"), F.col("text")).alias("file_key"),
-                    F.count(F.lit(1)).over(Window.partitionBy(h)).cast("bigint").alias("same_content"))
+    k = d.select("id", files.content_hash(F.col("text")).alias("content_hash"),
+                 files.file_key(F.col("user_id"), F.col("created_at"), F.col("text")).alias("file_key"))
+    # group sizes by aggregate + join (a hot duplicate group is counted map-side)
+    n = k.groupBy("content_hash").agg(F.count(F.lit(1)).cast("bigint").alias("same_content"))
+    return k.join(n, "content_hash").select("id", "content_hash", "file_key", "same_content")
 
 
 _G9_SQL = duck_cte("v_documents") + """
