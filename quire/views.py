@@ -58,12 +58,19 @@ select cast(conv_id as string) as id, cast(1 + conv_id % 50 as string) as user_i
        conv_id % 4 as n_docs,
        cast('2024-01-01 00:00:00' as timestamp) + interval '1' minute * (conv_id * 60 + max(turn)) as updated_at
 from {conversations} group by conv_id""",
-    "v_conv_docs": """
-select cast(c.conv_id as string) as conv_id, p.pos,
-       case when p.pos = 2 and c.conv_id % 5 = 0 then 'missing'
-            else cast((c.conv_id * 7 + p.pos * 13) % 200 as string) end as doc_id
-from (select distinct conv_id from {conversations}) c
-join (select 0 as pos union all select 1 union all select 2) p on p.pos < c.conv_id % 4""",
+    # documents of a conversation: positions 0 .. conv_id % 4 - 1
+    "v_conv_docs_spark": """
+select cast(conv_id as string) as conv_id, pos,
+       case when pos = 2 and conv_id % 5 = 0 then 'missing'
+            else cast((conv_id * 7 + pos * 13) % 200 as string) end as doc_id
+from (select conv_id, explode(if(conv_id % 4 > 0, sequence(0, cast(conv_id % 4 as int) - 1), array())) as pos
+      from (select distinct conv_id from {conversations}))""",
+    "v_conv_docs_duck": """
+select cast(conv_id as string) as conv_id, pos,
+       case when pos = 2 and conv_id % 5 = 0 then 'missing'
+            else cast((conv_id * 7 + pos * 13) % 200 as string) end as doc_id
+from (select conv_id, unnest(range(0, cast(conv_id % 4 as int))) as pos
+      from (select distinct conv_id from {conversations}))""",
     # pages: each document cut into 2,000-character pages covering all of it
     "v_pages_spark": """
 select doc_id, k as page_id, substring(text, 1 + 2000 * k, 2000) as content, lang, source
@@ -86,7 +93,7 @@ def duck_cte(*names: str) -> str:
     """``WITH`` clause defining the named views for the DuckDB oracle."""
     parts = []
     for n in names:
-        key = "v_pages_duck" if n == "v_pages" else n
+        key = {"v_pages": "v_pages_duck", "v_conv_docs": "v_conv_docs_duck"}.get(n, n)
         body = VIEW_SQL[key].format(**{t: t for t in BASE_TABLES})
         parts.append(f"{n} as ({body})")
     return "with " + ",\n".join(parts) + "\n"
@@ -122,7 +129,7 @@ class Fixture:
     def chunks(self): return self._sql("v_chunks")
     def queries(self): return self._sql("v_queries")
     def messages(self): return self._sql("v_messages")
-    def conv_docs(self): return self._sql("v_conv_docs")
+    def conv_docs(self): return self._sql("v_conv_docs_spark")
     def pages(self): return self._sql("v_pages_spark")
     def scope(self): return self._sql("v_scope")
 
