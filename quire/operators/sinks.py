@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,21 +38,47 @@ def rows_to_append(incoming: DataFrame, existing: DataFrame, key: Sequence[str],
     return first.join(existing.select(*key), list(key), "left_anti")
 
 
+def key_bucket(key: Sequence[str], n: int) -> Column:
+    """Partition bucket of a key: ``pmod(xxhash64(key), n)``."""
+    return F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(n)).cast("int")
+
+
 def append_idempotent(incoming: DataFrame, target_path: str, key: Sequence[str],
-                      order: Sequence[str], partition_by: Sequence[str] = ()) -> DataFrame:
+                      order: Sequence[str], partition_by: Sequence[str] = (),
+                      key_buckets: int | None = None) -> DataFrame:
     """K1 write: append the new rows to the Parquet table at ``target_path``
-    (created when missing). Returns the appended rows (lazy)."""
+    (created when missing). Returns the appended rows (lazy).
+
+    With ``key_buckets`` the table is laid out by ``_kb`` (a hash bucket of
+    the key). The batch is persisted for the duration of the write, its
+    distinct buckets (at most ``key_buckets`` integers) are collected, and
+    the stored keys are read only from those bucket folders (static
+    partition pruning): a small micro-batch never scans the whole table.
+    """
     spark = incoming.sparkSession
+    key = list(key)
+    buckets = None
+    if key_buckets:
+        incoming = incoming.withColumn("_kb", key_bucket(key, key_buckets)).persist(StorageLevel.MEMORY_AND_DISK)
+        buckets = [r[0] for r in incoming.select("_kb").distinct().collect()]  # <= key_buckets values
+        key = key + ["_kb"]
+        partition_by = ["_kb", *partition_by]
     try:
-        existing = spark.read.parquet(target_path)
-    except Exception:  # noqa: BLE001 - no table yet
-        existing = spark.createDataFrame([], incoming.select(*key).schema)
-    new = rows_to_append(incoming, existing, key, order)
-    cols = [c for c in incoming.columns]
-    w = new.select(*cols).write.mode("append")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(target_path)
+        try:
+            existing = spark.read.parquet(target_path)
+            if buckets is not None:
+                existing = existing.filter(F.col("_kb").isin(buckets))
+            existing = existing.select(*key)
+        except Exception:  # noqa: BLE001 - no table yet
+            existing = spark.createDataFrame([], incoming.select(*key).schema)
+        new = rows_to_append(incoming, existing, key, order)
+        w = new.select(*incoming.columns).write.mode("append")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(target_path)
+    finally:
+        if key_buckets:
+            incoming.unpersist()
     return new
 
 
@@ -98,3 +125,21 @@ def new_conversations(incoming: DataFrame, conversations: DataFrame) -> DataFram
     id by ``seq``), to append."""
     first = first_per_key(incoming, ["id"], ["seq"])
     return first.join(conversations.select("id"), "id", "left_anti")
+
+
+def write_chunks(rows: DataFrame, path: str) -> None:
+    """K2 write: append the stored-chunk rows partitioned by ``bucket`` of
+    ``doc_id`` (a document's chunks sit in one folder; lookups by document
+    prune to one bucket)."""
+    rows.write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def write_version(df: DataFrame, base: str, version: int, partition_by: Sequence[str] = ()) -> str:
+    """Write ``df`` as ``base/v<version>`` (never over the folder being read;
+    V10 expiry, U5 archive). Returns the new folder."""
+    out = f"{base}/v{version}"
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(out)
+    return out

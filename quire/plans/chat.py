@@ -28,7 +28,7 @@ def retrieve_context(messages: DataFrame, conversations: DataFrame, documents: D
     ce = chunks.select("id", "doc_id").join(ce, "id")
     scope = lookup.search_scope(conversations, documents, empty_scope)
     scoped = scope.filter(F.col("doc_id").isNotNull())
-    hits = knn(qe, ce, k=k, metric="cosine", query_id="conv_id", scope=scoped)
+    hits = knn(qe, ce, k=k, metric="cosine", query_id="conv_id", scope=scoped, dim=width)
     if empty_scope == "all":
         free = scope.filter(F.col("doc_id").isNull()).select("conv_id")
         hits = hits.unionByName(knn(qe.join(free, "conv_id", "left_semi"), ce, k=k, metric="cosine",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import NON_WS
 from quire.functions.udtf import register_chunk_text
 from quire.functions.vector import register_sql_functions
-from quire.operators import dialogue
+from quire.operators import dialogue, sinks
 from quire.plans.catalog import register
 from quire.plans.q_tables import _U2_SQL, _status_log
 from quire.plans.q_text import _EXT, _C23_SQL, chunk_oracle
@@ -99,7 +99,7 @@ def st2_exactly_once_append(spark, sf_dir):
                                               F.col("content").alias("text"), F.lit(0).alias("ord"))
 
     seed = keyed(fx.pages(), fx.documents()).filter(F.col("page_id").cast("int") % 2 == 0)
-    seed.write.parquet(target)
+    sinks.append_idempotent(seed, target, key, ["ord"], key_buckets=64)
     for attempt in range(2):
         _, name = _stream_view(spark, sf_dir, "documents")
         pages = fx.view_over("v_pages_spark", documents=name)

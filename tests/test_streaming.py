@@ -70,3 +70,28 @@ def test_conversation_state_across_batches_equals_window(spark, scratch):
     got = res.join(latest, ["conv_id", "batch_id"]).select("conv_id", "id", "pos")
     exp = last_messages(msgs, 10).select("conv_id", "id", F.col("pos").cast("long"))
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+
+
+def test_raw_file_landing_ingest(spark, scratch):
+    import os
+    from quire.functions.udtf import simple_chunk_text
+    land = f"{scratch}/landing"
+    os.makedirs(f"{land}/a")
+    texts = {"a/one.txt": "First paragraph.\n\nSecond paragraph.", "a/two.MD": "x" * 2500 + ". end",
+             "b.pdf": "%PDF binary", "c.exe": "MZ"}
+    for name, body in list(texts.items())[:2]:
+        with open(f"{land}/{name}", "w") as fh:
+            fh.write(body)
+    target, ck = f"{scratch}/chunks", f"{scratch}/ck"
+    jobs.stream_ingest_files(spark, land, target, ck, user_id="u1", max_files=1)
+    for name, body in list(texts.items())[2:]:
+        with open(f"{land}/{name}", "w") as fh:
+            fh.write(body)
+    jobs.stream_ingest_files(spark, land, target, ck, user_id="u1")
+    got = {}
+    for r in spark.read.parquet(target).collect():
+        got.setdefault(os.path.basename(r.raw_path), []).append((r.chunk_index, r.content))
+    assert set(got) == {"one.txt", "two.MD", "b.pdf"}          # .exe not admitted
+    assert [c for _, c in sorted(got["one.txt"])] == simple_chunk_text(texts["a/one.txt"])
+    assert [c for _, c in sorted(got["two.MD"])] == simple_chunk_text(texts["a/two.MD"])
+    assert sorted(got["b.pdf"])[0][1].startswith("[PDF Content] Filename: b.pdf")

@@ -133,3 +133,16 @@ def test_scope_rules(spark):
     assert own == [("c1", "d9"), ("c2", "d1")]
     assert sorted(tuple(r) for r in lookup.search_scope(convs, docs, "none").collect()) == [("c1", "d9")]
     assert ("c2", None) in [tuple(r) for r in lookup.search_scope(convs, docs, "all").collect()]
+
+
+def test_bucketed_append_prunes_stored_buckets(spark, scratch):
+    schema = "k string, v int"
+    target = f"{scratch}/t"
+    big = spark.range(0, 2000).select(F.col("id").cast("string").alias("k"), F.lit(0).alias("v"))
+    sinks.append_idempotent(big, target, ["k"], ["v"], key_buckets=32)
+    b = [r[0] for r in spark.createDataFrame([("5",)], "k string").select(sinks.key_bucket(["k"], 32)).collect()]
+    p = spark.read.parquet(target).filter(F.col("_kb").isin(b))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_kb" in p
+    sinks.append_idempotent(spark.createDataFrame([("5", 1), ("new", 1)], schema), target, ["k"], ["v"], key_buckets=32)
+    rows = spark.read.parquet(target)
+    assert rows.count() == 2001 and rows.filter("k = '5'").first().v == 0
