@@ -34,6 +34,35 @@ def search_scope(conversations: DataFrame, documents: DataFrame,
     return own.unionByName(rest).distinct()
 
 
+def search_scope_keys(conversations: DataFrame, documents: DataFrame,
+                      empty_scope: str = "owned_processed") -> tuple[DataFrame, DataFrame]:
+    """T1 in compact form for the search: ``(scope, item_keys)``.
+
+    ``scope`` is ``(conv_id, scope_key)`` with ``d:<doc_id>`` for a listed
+    document and ``u:<user_id>`` for "all processed documents of the user";
+    ``item_keys`` is ``(doc_id, scope_key)`` listing every document under its
+    own key and, when processed, under its owner's key. The search joins
+    items to scopes on the key, so an empty conversation is never expanded
+    into one row per document of its user (a user owning a third of all
+    documents becomes one key, split into blocks by the search)."""
+    if empty_scope not in EMPTY_SCOPES:
+        raise ValueError(f"empty_scope must be one of {EMPTY_SCOPES}")
+    own = conversations.select(F.col("id").alias("conv_id"),
+                               F.explode(F.transform("doc_ids", lambda d: F.concat(F.lit("d:"), d))).alias("scope_key"))
+    empty = conversations.filter(F.size(F.coalesce("doc_ids", F.array().cast("array<string>"))) == 0)
+    items = documents.select(F.col("id").alias("doc_id"), F.concat(F.lit("d:"), F.col("id")).alias("scope_key"))
+    if empty_scope == "owned_processed":
+        rest = empty.select(F.col("id").alias("conv_id"), F.concat(F.lit("u:"), F.col("user_id")).alias("scope_key"))
+        owned = documents.filter(F.col("status") == "processed").select(
+            F.col("id").alias("doc_id"), F.concat(F.lit("u:"), F.col("user_id")).alias("scope_key"))
+        return own.unionByName(rest).distinct(), items.unionByName(owned)
+    if empty_scope == "all":
+        rest = empty.select(F.col("id").alias("conv_id"), F.lit("*").alias("scope_key"))
+        return own.unionByName(rest).distinct(), items.unionByName(
+            documents.select(F.col("id").alias("doc_id"), F.lit("*").alias("scope_key")))
+    return own.distinct(), items
+
+
 def user_documents(documents: DataFrame) -> DataFrame:
     """Documents per user newest first, ``pos`` 1-based (skew-safe: a
     user owning a third of all documents is numbered by many tasks)."""

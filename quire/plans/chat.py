@@ -25,14 +25,12 @@ def retrieve_context(messages: DataFrame, conversations: DataFrame, documents: D
     qe = embedding.hash_embed(q.select("conv_id", "text"), "conv_id", "text", width, normalize=False)
     sp = embedding.embed_distinct(chunks.select("id", "content"), "id", "content", width, normalize=False)
     ce = embedding.densify(sp.select("id", "bucket", "value"), "id", width)
-    ce = chunks.select("id", "doc_id").join(ce, "id")
-    scope = lookup.search_scope(conversations, documents, empty_scope)
-    scoped = scope.filter(F.col("doc_id").isNotNull())
-    hits = knn(qe, ce, k=k, metric="cosine", query_id="conv_id", scope=scoped, dim=width)
-    if empty_scope == "all":
-        free = scope.filter(F.col("doc_id").isNull()).select("conv_id")
-        hits = hits.unionByName(knn(qe.join(free, "conv_id", "left_semi"), ce, k=k, metric="cosine",
-                                    query_id="conv_id"))
+    scope, item_keys = lookup.search_scope_keys(conversations, documents, empty_scope)
+    # each chunk under its document's key and (if processed) its owner's key;
+    # a chunk reached under two keys of one conversation counts once
+    ce = chunks.select("id", "doc_id").join(item_keys, "doc_id").join(ce, "id")
+    hits = knn(qe, ce, k=k, metric="cosine", query_id="conv_id", scope=scope, scope_key="scope_key",
+               dim=width, dedupe=True)
     return (hits.join(chunks.select("id", "doc_id", "content"), "id")
             .select("conv_id", F.col("rank").alias("position"), F.col("id").alias("chunk_id"),
                     "doc_id", "distance", "content"))

@@ -80,12 +80,13 @@ from (select doc_id, text, lang, source,
 select doc_id, k as page_id, substring(text, 1 + 2000 * k, 2000) as content, lang, source
 from (select doc_id, text, lang, source,
              unnest(range(0, cast(ceil(n_chars / 2000.0) as int))) as k from {documents})""",
-    # scope of a search query: documents with doc_id % 4 = (qid div 50) % 4
-    "v_scope": """
-select q.qid, d.doc_id
-from (select vec_id as qid, cast(floor(vec_id / 50) as bigint) % 4 as g from {embeddings}) q
-join (select distinct cast(vec_id % 200 as string) as doc_id, (vec_id % 200) % 4 as g
-      from {embeddings}) d on q.g = d.g""",
+    # scope of a search query: ten documents chosen by rule (no join)
+    "v_scope_spark": """
+select vec_id as qid, cast((vec_id * 7 + j * 13) % 200 as string) as doc_id
+from (select vec_id, explode(sequence(0, 9)) as j from {embeddings})""",
+    "v_scope_duck": """
+select vec_id as qid, cast((vec_id * 7 + j * 13) % 200 as string) as doc_id
+from (select vec_id, unnest(range(0, 10)) as j from {embeddings})""",
 }
 
 
@@ -93,7 +94,7 @@ def duck_cte(*names: str) -> str:
     """``WITH`` clause defining the named views for the DuckDB oracle."""
     parts = []
     for n in names:
-        key = {"v_pages": "v_pages_duck", "v_conv_docs": "v_conv_docs_duck"}.get(n, n)
+        key = {"v_pages": "v_pages_duck", "v_conv_docs": "v_conv_docs_duck", "v_scope": "v_scope_duck"}.get(n, n)
         body = VIEW_SQL[key].format(**{t: t for t in BASE_TABLES})
         parts.append(f"{n} as ({body})")
     return "with " + ",\n".join(parts) + "\n"
@@ -131,7 +132,7 @@ class Fixture:
     def messages(self): return self._sql("v_messages")
     def conv_docs(self): return self._sql("v_conv_docs_spark")
     def pages(self): return self._sql("v_pages_spark")
-    def scope(self): return self._sql("v_scope")
+    def scope(self): return self._sql("v_scope_spark")
 
     def conversations(self) -> DataFrame:
         """Core conversations with ``doc_ids`` in position order (null when none)."""

@@ -75,3 +75,18 @@ def test_entry_smoke(spark):
     df = e.entry(spark)
     assert df.count() > 0
     assert df.columns == ["qid", "rank", "chunk_id", "doc_id", "chunk_index", "filename", "distance", "score"]
+
+
+def test_stored_ivf_index_is_pruned(spark, scratch):
+    from quire.operators import ann
+    from quire.views import Fixture
+    fx = Fixture(spark, SF)
+    ch = fx.chunks().select("id", "embedding")
+    cents, assigned = ann.ivf_train(ch, lists=20)
+    ann.write_ivf_index(assigned, f"{scratch}/ivf")
+    stored = spark.read.parquet(f"{scratch}/ivf")
+    q = fx.queries().limit(3)          # a small query batch probes few lists
+    hits = ann.ivf_search(q, cents, stored, k=5, nprobe=2)
+    p = formatted(hits)
+    assert "dynamicpruning" in p.lower()
+    assert hits.count() == 15

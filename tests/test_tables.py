@@ -133,6 +133,10 @@ def test_scope_rules(spark):
     assert own == [("c1", "d9"), ("c2", "d1")]
     assert sorted(tuple(r) for r in lookup.search_scope(convs, docs, "none").collect()) == [("c1", "d9")]
     assert ("c2", None) in [tuple(r) for r in lookup.search_scope(convs, docs, "all").collect()]
+    scope, items = lookup.search_scope_keys(convs, docs)
+    assert sorted(tuple(r) for r in scope.collect()) == [("c1", "d:d9"), ("c2", "u:u1")]
+    assert sorted(tuple(r) for r in items.collect()) == [("d1", "d:d1"), ("d1", "u:u1"), ("d2", "d:d2"),
+                                                         ("d3", "d:d3"), ("d3", "u:u2")]
 
 
 def test_bucketed_append_prunes_stored_buckets(spark, scratch):
