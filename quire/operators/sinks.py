@@ -72,7 +72,11 @@ def append_idempotent(incoming: DataFrame, target_path: str, key: Sequence[str],
         except Exception:  # noqa: BLE001 - no table yet
             existing = spark.createDataFrame([], incoming.select(*key).schema)
         new = rows_to_append(incoming, existing, key, order)
-        w = new.select(*incoming.columns).write.mode("append")
+        out = new.select(*incoming.columns)
+        if partition_by:
+            # one writer per partition folder: no task opens every folder
+            out = out.repartition(*partition_by)
+        w = out.write.mode("append")
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(target_path)
