@@ -23,7 +23,8 @@ def spread(df: DataFrame, key: str | None = None, factor: float = 0.5) -> DataFr
     # Parquet is split by row group: a file holding one row group gives one
     # non-empty task however many byte ranges the scan plans, so count files
     try:
-        n_files = len(df.inputFiles())
+        # only the count crosses to Python (the JVM already holds the listing)
+        n_files = len(df._jdf.inputFiles())
     except Exception:  # noqa: BLE001 - not a file-based plan
         n_files = 0
     pieces = n_files if n_files else df.rdd.getNumPartitions()
@@ -32,8 +33,7 @@ def spread(df: DataFrame, key: str | None = None, factor: float = 0.5) -> DataFr
     return df.repartition(target, key) if key else df.repartition(target)
 
 
-def ordered_index(df: DataFrame, part: list[str], order: list, out: str = "pos",
-                  max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def ordered_index(df: DataFrame, part: list[str], order: list, out: str = "pos") -> DataFrame:
     """1-based position of each row within its ``part`` group by ``order``,
     without putting a whole group into one task.
 
@@ -62,8 +62,8 @@ def ordered_index(df: DataFrame, part: list[str], order: list, out: str = "pos",
     b = s.groupBy("_op", *part).agg(F.min("_oi").alias("_lo"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*part).orderBy("_op").rowsBetween(Window.unboundedPreceding, -1)
     b = b.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    if b.count() <= max_broadcast_rows:
-        b = F.broadcast(b)
+    # the offset table is usually tiny: AQE turns this join into a broadcast
+    # at runtime from the measured size (no separate counting job)
     j = s.join(b, ["_op", *part])
     return j.withColumn(out, (F.col("_oi") - F.col("_lo") + F.col("_off") + 1).cast("long")) \
         .drop("_op", "_oi", "_lo", "_off")

@@ -57,9 +57,9 @@ def ingest_batch(docs: DataFrame, size: int = chunking.DEFAULT_CHUNK_SIZE) -> Da
     fname = F.regexp_extract("raw_path", "([^/]*)$", 1)
     ext = adm.select("id", "user_id", "raw_path",
                      files.extract_text(F.encode("text", "UTF-8"), fname).alias("extracted"))
-    ch = chunking.explode_chunks(ext.select(F.col("id").alias("doc_id"), "user_id", "raw_path", "extracted"),
-                                 chunking.simple_chunks(F.col("extracted"), size),
-                                 ["doc_id", "user_id", "raw_path"])
+    ext = chunking.with_simple_chunks(ext.select(F.col("id").alias("doc_id"), "user_id", "raw_path", "extracted"),
+                                      "extracted", "_chunks", size)
+    ch = chunking.explode_chunks(ext, F.col("_chunks"), ["doc_id", "user_id", "raw_path"])
     return ch.withColumn("chunk_id", sinks.stable_id(F.col("doc_id"), F.col("chunk_index")))
 
 
@@ -102,8 +102,8 @@ def ingest_files(files_df: DataFrame, user_id: str | None = None,
     ext = adm.select(F.concat_ws("_", uid, files.content_hash(F.col("content"))).alias("doc_id"),
                      uid.alias("user_id"), F.col("path").alias("raw_path"),
                      files.extract_text(F.col("content"), fname).alias("extracted"))
-    ch = chunking.explode_chunks(ext, chunking.simple_chunks(F.col("extracted"), size),
-                                 ["doc_id", "user_id", "raw_path"])
+    ext = chunking.with_simple_chunks(ext, "extracted", "_chunks", size)
+    ch = chunking.explode_chunks(ext, F.col("_chunks"), ["doc_id", "user_id", "raw_path"])
     return ch.withColumn("chunk_id", sinks.stable_id(F.col("doc_id"), F.col("chunk_index")))
 
 
