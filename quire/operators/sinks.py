@@ -131,11 +131,12 @@ def new_conversations(incoming: DataFrame, conversations: DataFrame) -> DataFram
     return first.join(conversations.select("id"), "id", "left_anti")
 
 
-def write_chunks(rows: DataFrame, path: str) -> None:
-    """K2 write: append the stored-chunk rows partitioned by ``bucket`` of
-    ``doc_id`` (a document's chunks sit in one folder; lookups by document
-    prune to one bucket)."""
-    rows.write.mode("append").partitionBy("bucket").parquet(path)
+def write_chunks(rows: DataFrame, path: str) -> DataFrame:
+    """K2 write: insert-or-ignore the stored-chunk rows on their
+    deterministic ``id``, partitioned by ``bucket`` of ``doc_id`` (a
+    document's chunks sit in one folder; lookups by document prune to one
+    bucket). A rerun appends nothing. Returns the appended rows."""
+    return append_idempotent(rows, path, ["id"], ["chunk_index"], partition_by=["bucket"])
 
 
 def write_version(df: DataFrame, base: str, version: int, partition_by: Sequence[str] = ()) -> str:

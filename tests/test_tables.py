@@ -150,3 +150,13 @@ def test_bucketed_append_prunes_stored_buckets(spark, scratch):
     sinks.append_idempotent(spark.createDataFrame([("5", 1), ("new", 1)], schema), target, ["k"], ["v"], key_buckets=32)
     rows = spark.read.parquet(target)
     assert rows.count() == 2001 and rows.filter("k = '5'").first().v == 0
+
+
+def test_store_chunks_rerun_is_idempotent(spark, scratch):
+    from quire.operators.chunking import chunk_documents
+    docs = spark.createDataFrame([("d1", "one. two. three"), ("d2", "alpha\n\nbeta")], "id string, text string")
+    rows = sinks.chunk_rows(chunk_documents(docs), "2024-06-01 00:00:00", n_buckets=4)
+    sinks.write_chunks(rows, f"{scratch}/chunks")
+    sinks.write_chunks(rows, f"{scratch}/chunks")
+    stored = spark.read.parquet(f"{scratch}/chunks")
+    assert stored.count() == rows.count() == stored.select("id").distinct().count()
