@@ -105,18 +105,24 @@ def title_from_documents(conversations: DataFrame, documents: DataFrame) -> Data
     """Given title; else ``Chat with a, b`` (+ `` and N more``) from the
     names of the known documents in ``doc_ids`` order; ``Document Chat`` when
     none is known; ``New Conversation`` without ids."""
+    from pyspark.sql import Window
     e = conversations.select("id", F.posexplode("doc_ids").alias("pos", "doc_id"))
-    names = (e.join(documents.select(F.col("id").alias("doc_id"), "filename"), "doc_id")
-             .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "filename"))).alias("_n"))
-             .select("id", F.transform("_n", lambda s: s["filename"]).alias("_names")))
-    j = conversations.join(names, "id", "left")
-    n = F.size(F.coalesce("_names", _empty()))
-    chat = F.concat(F.lit("Chat with "), F.array_join(F.slice(F.col("_names"), 1, 2), ", "),
+    known = e.join(documents.select(F.col("id").alias("doc_id"), "filename"), "doc_id")
+    # only the first two names and the count are needed: a top-2 window
+    # (WindowGroupLimit) and a count, never the whole list of names
+    first2 = (known.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("pos")))
+              .filter(F.col("_r") <= 2)
+              .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "filename"))).alias("_n"))
+              .select("id", F.transform("_n", lambda s: s["filename"]).alias("_names")))
+    counts = known.groupBy("id").agg(F.count(F.lit(1)).alias("_known"))
+    j = conversations.join(first2, "id", "left").join(counts, "id", "left")
+    n = F.coalesce("_known", F.lit(0))
+    chat = F.concat(F.lit("Chat with "), F.array_join(F.col("_names"), ", "),
                     F.when(n > 2, F.concat(F.lit(" and "), (n - 2).cast("string"), F.lit(" more"))).otherwise(F.lit("")))
     derived = (F.when(F.size(F.coalesce("doc_ids", _empty())) == 0, F.lit(DEFAULT_TITLE))
                .when(n == 0, F.lit("Document Chat")).otherwise(chat))
     given = F.col("title").isNotNull() & (F.col("title") != "")
-    return j.withColumn("new_title", F.when(given, F.col("title")).otherwise(derived)).drop("_names")
+    return j.withColumn("new_title", F.when(given, F.col("title")).otherwise(derived)).drop("_names", "_known")
 
 
 def display_title(title: Column, width: int = 22) -> Column:
