@@ -28,11 +28,20 @@ def test_scoped_knn_is_blocked_cogroup(spark):
     from quire.operators.search import knn
     from quire.views import Fixture
     fx = Fixture(spark, SF)
-    p = formatted(knn(fx.queries(), fx.chunks(), k=5, scope=fx.scope()))
+    p = formatted(knn(fx.queries(), fx.chunks(), k=5, scope=fx.scope(), force_blocked=True))
     assert "FlatMapCoGroupsInPandas" in p
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
+def test_small_scoped_knn_stays_broadcast(spark):
+    from quire.operators.search import knn
+    from quire.views import Fixture
+    fx = Fixture(spark, SF)
+    p = formatted(knn(fx.queries(), fx.chunks(), k=5, scope=fx.scope()))
+    assert "MapInPandas" in p and "FlatMapCoGroupsInPandas" not in p
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
 def test_last_messages_limits_before_shuffle(spark):
     from quire.operators.dialogue import last_messages
     from quire.views import Fixture
