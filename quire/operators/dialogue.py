@@ -41,14 +41,17 @@ def exchanges(messages: DataFrame, conv: str = "conv_id") -> DataFrame:
     p = ordered_index(messages.select(conv, "created_at", "turn", "id", "role", "text"), [conv],
                       ["created_at", "turn", "id"])
     nxt = p.select(F.col(conv).alias("_c"), (F.col("pos") - 1).alias("_p"), F.col("role").alias("_next_role"),
-                   F.col("text").alias("_next_text"), F.col("id").alias("_next_id"))
+                   F.col("text").alias("_next_text"), F.col("id").alias("_next_id"),
+                   F.col("created_at").alias("_next_at"))
     users = p.filter(F.col("role") == "user")
     m = users.join(nxt, (users[conv] == nxt["_c"]) & (users["pos"] == nxt["_p"]), "left")
     answered = F.col("_next_role") == "assistant"
     return (m
             .select(users[conv], F.col("id").alias("user_message_id"), F.col("text").alias("question"),
+                    F.col("created_at").alias("question_at"),
                     F.when(answered, F.col("_next_id")).alias("answer_id"),
-                    F.when(answered, F.col("_next_text")).alias("answer")))
+                    F.when(answered, F.col("_next_text")).alias("answer"),
+                    F.when(answered, F.col("_next_at")).alias("answer_at")))
 
 
 def first_exchange_flag(messages: DataFrame, conv: str = "conv_id") -> DataFrame:
@@ -74,12 +77,16 @@ def exchange_rows(ex: DataFrame, context_count: DataFrame | None = None, conv: s
     else:
         base = base.withColumn("context_docs_count", F.lit(0))
     cnt = F.coalesce(F.col("context_docs_count"), F.lit(0)).cast("bigint")
+
+    def meta(ts):
+        return F.to_json(F.struct(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+                                  cnt.alias("context_docs_count")))
     u = base.select(conv, F.col("user_message_id").alias("id"), F.lit("user").alias("role"),
                     F.to_json(F.struct(F.col("question").alias("text"))).alias("content"),
-                    F.to_json(F.struct(cnt.alias("context_docs_count"))).alias("metadata"))
+                    meta(F.col("question_at")).alias("metadata"))
     a = base.select(conv, F.col("answer_id").alias("id"), F.lit("assistant").alias("role"),
                     F.to_json(F.struct(F.col("answer").alias("text"))).alias("content"),
-                    F.to_json(F.struct(cnt.alias("context_docs_count"))).alias("metadata"))
+                    meta(F.col("answer_at")).alias("metadata"))
     return u.unionByName(a)
 
 

@@ -258,7 +258,8 @@ where role = 'user'
 @register("w3_exchanges", _W3_SQL)
 def w3_exchanges(spark, sf_dir):
     """Each user message paired with the assistant reply that follows it."""
-    return dialogue.exchanges(Fixture(spark, sf_dir).messages())
+    return dialogue.exchanges(Fixture(spark, sf_dir).messages()).select(
+        "conv_id", "user_message_id", "question", "answer_id", "answer")
 
 
 _W4_SQL = duck_cte("v_messages") + """
