@@ -196,16 +196,15 @@ def st5_conversation_state(spark, sf_dir):
 
 @register("st6_status_stream", _U2_SQL)
 def st6_status_stream(spark, sf_dir):
-    """ST6: the status log folded live, one new version folder per batch;
-    the final version applied to the documents equals the batch fold (U2)."""
+    """ST6: the status log folded live into a bucketed status table (each
+    batch rewrites only its buckets); applied to the documents it equals the
+    batch fold (U2)."""
     fx, name = _stream_view(spark, sf_dir, "events")
     log = _status_log(spark.table(name))
     run = _run_dir(spark, "st6")
-    q = log.writeStream.foreachBatch(jobs.status_merge_sink(f"{run}/status")) \
-        .option("checkpointLocation", f"{run}/ck").trigger(availableNow=True).start()
-    q.awaitTermination(600)
-    last = max(p["batchId"] for p in q.recentProgress if p["numInputRows"] > 0)
-    latest = spark.read.parquet(f"{run}/status/v{last}")
+    jobs.run_available(log.writeStream.foreachBatch(jobs.status_merge_sink(f"{run}/status"))
+                       .option("checkpointLocation", f"{run}/ck"))
+    latest = spark.read.parquet(f"{run}/status/table").drop("_kb")
     return dialogue.apply_status(fx.documents(), latest).select("id", "status", "error")
 
 

@@ -218,22 +218,43 @@ def conversation_state(messages: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- ST6
 
-def status_merge_sink(base: str):
+def status_merge_sink(base: str, key_buckets: int = 64):
     """ST6: ``foreachBatch`` folding a status-log batch into the current
-    status table, written as a new version folder per batch
-    (``base/v<batch>``); a retried batch rewrites the same version."""
+    status table ``base/table``, laid out by a hash bucket of the key.
+
+    Only the buckets the batch touches are read, merged (newest by
+    ``(ts, seq)``), staged under ``base/stage/b<batch>`` and swapped in with
+    dynamic partition overwrite, so a batch costs its buckets, not the whole
+    table. The merge is a max-by fold, so a replayed batch (after a failure
+    anywhere in between) yields the same table."""
+    from quire.operators.sinks import key_bucket
+    from pyspark import StorageLevel
+
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        latest = dialogue.latest_status(batch)
-        if batch_id > 0:
+        cur = (dialogue.latest_status(batch)
+               .select("doc_id", F.col("new_status").alias("status"), "error",
+                       F.col("status_ts").alias("ts"), F.col("status_seq").alias("seq"))
+               .withColumn("_kb", key_bucket(["doc_id"], key_buckets))
+               .persist(StorageLevel.MEMORY_AND_DISK))
+        try:
+            buckets = [r[0] for r in cur.select("_kb").distinct().collect()]  # <= key_buckets
+            if not buckets:
+                return
+            table = f"{base}/table"
             try:
-                prev = spark.read.parquet(f"{base}/v{batch_id - 1}")
-                both = prev.select("doc_id", F.col("new_status").alias("status"), "error",
-                                   F.col("status_ts").alias("ts"), F.col("status_seq").alias("seq"))
-                cur = latest.select("doc_id", F.col("new_status").alias("status"), "error",
-                                    F.col("status_ts").alias("ts"), F.col("status_seq").alias("seq"))
-                latest = dialogue.latest_status(both.unionByName(cur))
-            except Exception:  # noqa: BLE001 - no previous version
-                pass
-        latest.write.mode("overwrite").parquet(f"{base}/v{batch_id}")
+                prev = (spark.read.parquet(table).filter(F.col("_kb").isin(buckets))
+                        .select("doc_id", F.col("new_status").alias("status"), "error",
+                                F.col("status_ts").alias("ts"), F.col("status_seq").alias("seq"), "_kb"))
+                both = prev.unionByName(cur)
+            except Exception:  # noqa: BLE001 - first batch: no table yet
+                both = cur
+            merged = dialogue.latest_status(both.drop("_kb")) \
+                .withColumn("_kb", key_bucket(["doc_id"], key_buckets))
+            stage = f"{base}/stage/b{batch_id}"
+            merged.write.mode("overwrite").parquet(stage)
+            (spark.read.parquet(stage).repartition("_kb").write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("_kb").parquet(table))
+        finally:
+            cur.unpersist()
     return sink

@@ -95,3 +95,21 @@ def test_raw_file_landing_ingest(spark, scratch):
     assert [c for _, c in sorted(got["one.txt"])] == simple_chunk_text(texts["a/one.txt"])
     assert [c for _, c in sorted(got["two.MD"])] == simple_chunk_text(texts["a/two.MD"])
     assert sorted(got["b.pdf"])[0][1].startswith("[PDF Content] Filename: b.pdf")
+
+
+def test_status_fold_multi_batch_and_replay(spark, scratch):
+    from quire.operators import dialogue
+    from quire.plans.q_tables import _status_log
+    ev = Fixture(spark, SF).table("events")
+    land = f"{scratch}/ev"
+    for i in range(3):
+        ev.filter(F.col("event_id") % 3 == i).coalesce(1).write.parquet(f"{land}/p{i}")
+    base = f"{scratch}/status"
+    for ck in ("ck1", "ck2"):   # second run replays every batch from a fresh checkpoint
+        src = jobs.file_stream(spark, f"{land}/*", ev.schema, max_files=1)
+        jobs.run_available(_status_log(src).writeStream.foreachBatch(jobs.status_merge_sink(base, key_buckets=8))
+                           .option("checkpointLocation", f"{scratch}/{ck}"))
+    got = spark.read.parquet(f"{base}/table").select("doc_id", "new_status", "error")
+    exp = dialogue.latest_status(_status_log(ev)).select("doc_id", "new_status", "error")
+    assert got.count() == exp.count()
+    assert got.exceptAll(exp).count() == 0
