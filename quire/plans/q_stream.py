@@ -155,7 +155,8 @@ def st4_completion_timeout(spark, sf_dir):
     ev = spark.table(name)
     run = _run_dir(spark, "st4")
     pairs = jobs.completion_join(ev.filter(F.col("event_type") == "click"), ev.filter(F.col("event_type") == "view"),
-                                 timeout=f"{ST4_TIMEOUT_MIN} minutes", delay=f"{ST4_DELAY_MIN} minutes")
+                                 timeout=f"{ST4_TIMEOUT_MIN} minutes", delay=f"{ST4_DELAY_MIN} minutes",
+                                 salts=4)
     jobs.run_available(pairs.writeStream.format("parquet").option("path", f"{run}/out")
                        .option("checkpointLocation", f"{run}/ck").outputMode("append"))
     return jobs.completion_status(spark.read.parquet(f"{run}/out"))

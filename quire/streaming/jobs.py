@@ -140,10 +140,15 @@ TIMEOUT_MESSAGE = "failed: AI parsing timeout"
 
 
 def completion_join(requests: DataFrame, completions: DataFrame, timeout: str = "300 seconds",
-                    delay: str = "10 minutes", key: str = "user_id") -> DataFrame:
+                    delay: str = "10 minutes", key: str = "user_id", salts: int = 1) -> DataFrame:
     """ST4: each request with the completions of the same key inside
     ``[ts, ts + timeout]`` (left outer interval join). Unmatched requests are
-    emitted once the watermark passes their window."""
+    emitted once the watermark passes their window.
+
+    ``salts > 1`` spreads a hot key's join state over that many tasks: each
+    completion gets one salt (hash of its id) and each request is replicated
+    over all salts. A request then yields one row per salt without a match;
+    ``completion_status`` collapses them (earliest match wins)."""
     r = (requests.select(F.col("event_id").alias("req_id"), F.col(key).alias("r_key"),
                          F.col("ts").cast("timestamp").alias("req_ts"))
          .withWatermark("req_ts", delay))
@@ -152,13 +157,19 @@ def completion_join(requests: DataFrame, completions: DataFrame, timeout: str =
          .withWatermark("done_ts", delay))
     cond = ((F.col("r_key") == F.col("c_key")) & (F.col("done_ts") >= F.col("req_ts"))
             & (F.col("done_ts") <= F.col("req_ts") + F.expr(f"interval {timeout}")))
+    if salts > 1:
+        r = r.withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        c = c.withColumn("c_salt", F.pmod(F.xxhash64("done_id"), F.lit(salts)).cast("int"))
+        cond = cond & (F.col("r_salt") == F.col("c_salt"))
     return r.join(c, cond, "leftOuter").select("req_id", "r_key", "req_ts", "done_id", "done_ts")
 
 
 def completion_status(pairs: DataFrame) -> DataFrame:
     """Earliest completion per request, or the timeout status (batch over
     the join's output)."""
-    first = F.min_by(F.struct("done_id", "done_ts"), F.col("done_ts"))
+    # order by (time, id) for matched rows; unmatched rows (null) never win
+    first = F.min_by(F.struct("done_id", "done_ts"),
+                     F.when(F.col("done_ts").isNotNull(), F.struct("done_ts", "done_id")))
     g = pairs.groupBy("req_id").agg(first.alias("_f"))
     return g.select("req_id", F.col("_f.done_id").alias("done_id"),
                     F.when(F.col("_f.done_id").isNotNull(), F.lit("completed"))
