@@ -224,7 +224,8 @@ def g8_file_keys(spark, sf_dir):
     """Content hash, formatted file key, size of the duplicate-content group."""
     d = Fixture(spark, sf_dir).documents()
     k = d.select("id", files.content_hash(F.col("text")).alias("content_hash"),
-                 files.file_key(F.col("user_id"), F.col("created_at"), F.col("text")).alias("file_key"))
+                 files.file_key(F.col("user_id"), F.col("created_at"), F.col("text"),
+                                epoch=files.wall_epoch(F.col("created_at"))).alias("file_key"))
     # group sizes by aggregate + join (a hot duplicate group is counted map-side)
     n = k.groupBy("content_hash").agg(F.count(F.lit(1)).cast("bigint").alias("same_content"))
     return k.join(n, "content_hash").select("id", "content_hash", "file_key", "same_content")

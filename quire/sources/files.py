@@ -97,10 +97,19 @@ def content_hash(content: Column) -> Column:
     return F.substring(F.sha2(content, 256), 1, 16)
 
 
-def file_key(user_id: Column, ts: Column, content: Column) -> Column:
+def wall_epoch(ts: Column) -> Column:
+    """Epoch seconds of a timestamp's wall-clock reading taken as UTC (for
+    naive times; independent of the session time zone)."""
+    return (F.unix_date(F.to_date(ts)).cast("bigint") * 86400 + F.hour(ts) * 3600
+            + F.minute(ts) * 60 + F.second(ts))
+
+
+def file_key(user_id: Column, ts: Column, content: Column, epoch: Column | None = None) -> Column:
     """``{user}_{epoch seconds}_{hash16}``; the time is a column so reruns
-    give the same key."""
-    return F.concat_ws("_", user_id, F.unix_timestamp(ts).cast("string"), content_hash(content))
+    give the same key. ``epoch`` overrides ``unix_timestamp(ts)`` (e.g.
+    ``wall_epoch`` for naive times)."""
+    e = epoch if epoch is not None else F.unix_timestamp(ts)
+    return F.concat_ws("_", user_id, e.cast("string"), content_hash(content))
 
 
 def upload_path(base: str, catalog: str, schema: str, volume: str, file_name: Column) -> Column:
