@@ -99,3 +99,21 @@ def test_stored_ivf_index_is_pruned(spark, scratch):
     p = formatted(hits)
     assert "dynamicpruning" in p.lower()
     assert hits.count() == 15
+
+
+def test_spread_only_when_few_files(spark, scratch):
+    from quire.functions.partitioning import spread
+    one = spark.read.parquet(f"{SF}/documents.parquet")
+    assert "REPARTITION_BY_NUM" in formatted(spread(one, "doc_id"))
+    many = spark.range(0, 1000, numPartitions=16).withColumn("k", F.col("id") % 7)
+    many.write.parquet(f"{scratch}/many")
+    again = spark.read.parquet(f"{scratch}/many")
+    assert "REPARTITION_BY_NUM" not in formatted(spread(again, "k"))
+
+
+def test_chunk_fold_evaluated_once_per_path(spark):
+    from quire.operators.chunking import chunk_documents
+    from quire.views import Fixture
+    p = plan(chunk_documents(Fixture(spark, SF).documents()))
+    # one paragraph fold and one sentence fold; no inferred filter re-running them
+    assert p.count("aggregate(") == 2
