@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from quire.functions.partitioning import ordered_index
 
 
-def _order(conv: str = "conv_id"):
-    return Window.partitionBy(conv).orderBy(F.col("created_at"), F.col("turn"), F.col("id"))
-
-
 def last_messages(messages: DataFrame, n: int, conv: str = "conv_id") -> DataFrame:
     """The last ``n`` messages per conversation with ``pos`` 1..n in
     chronological order (``from_end`` 1 = newest). The limit is planned as a
