@@ -48,8 +48,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="quire-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        d = getattr(spark.sparkContext, "_quire_ckpt", None) or tempfile.mkdtemp(prefix="quire-ckpt-")
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - core conf read-only at runtime
+            pass
+        spark.sparkContext._quire_ckpt = d
     spark.sparkContext.setCheckpointDir(d)
     return d
 
