@@ -25,6 +25,34 @@ BASE_CONF = {
 }
 
 
+# Starting points for large clusters (about 1,000 executors, about 100 TB);
+# see the README's "Cluster settings" for the reasoning.
+SCALE_CONF = {
+    **BASE_CONF,
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
+def cluster_session(app: str = "quire", checkpoint_dir: str | None = None) -> SparkSession:
+    """A session with ``SCALE_CONF`` for a cluster (master from the launcher).
+    ``checkpoint_dir`` must name a shared folder when the launcher sets none."""
+    b = SparkSession.builder.appName(app)
+    for k, v in SCALE_CONF.items():
+        b = b.config(k, v)
+    if checkpoint_dir:
+        b = b.config("spark.checkpoint.dir", checkpoint_dir)
+    spark = b.getOrCreate()
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        raise ValueError("set spark.checkpoint.dir to a shared folder on a cluster")
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "quire") -> SparkSession:
     """A local session for tests and the bench (never used on a cluster)."""
