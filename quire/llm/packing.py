@@ -110,9 +110,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
          capacity: int = CAPACITY, end_id: int = 0, keep_ids: bool = True) -> DataFrame:
     """Pieces of packed sequences: ``(<id_col>, start, length, ids_crc32,
     doc_tokens, sequence_id, offset)`` and, with ``keep_ids``, the ids."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     n = block_count(src, F.octet_length("text"))
-    kind = src.schema["id"].dataType.simpleString()
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
@@ -140,7 +140,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         return pd.DataFrame(rows, columns=cols)
 
     cols = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
-    out = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    ids = src.withColumn("block", block_of("id", n)).mapInArrow(ids_of, f"id {kind}, block int, ids binary")
+    out = "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    ids = src.withColumn("block", block_of("id", n)).mapInArrow(ids_of, "id string, block int, ids binary")
     return (pack_blocks(ids).repartition(n, "block").groupBy("block")
-            .applyInPandas(one_pool, out + ", ids array<int>" * keep_ids).withColumnRenamed("id", id_col))
+            .applyInPandas(one_pool, out + ", ids array<int>" * keep_ids).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col))

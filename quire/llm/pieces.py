@@ -101,7 +101,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """Encode and decode every text: ``(<id_col>, n_tokens, ids, decoded,
     ids_sha256, decoded_sha256)``. Without ``keep_ids`` the two large columns
     are left out and only the digests are returned."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     n = block_count(src, F.octet_length("text"))
     blocks = pack_blocks(src.withColumn("block", block_of("id", n))).repartition(n, "block")
 
@@ -142,10 +142,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         return pd.DataFrame(rows, columns=cols)
 
     cols = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + (["ids", "decoded"] if keep_ids else [])
-    kind = src.schema["id"].dataType.simpleString()
-    out = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = "id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
     out += ", ids array<int>, decoded string" if keep_ids else ""
     requests = blocks.mapInPandas(ask, "block int, bucket int, words binary")
     answers = requests.groupBy("bucket").applyInPandas(answer, "block int, bucket int, words binary, ids binary")
     return (blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(assemble, out)
-            .withColumnRenamed("id", id_col))
+            .withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col))

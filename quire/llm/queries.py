@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.llm.common import table
 
@@ -37,3 +38,60 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.packing import pack
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keep_ids=False)
+
+
+@_add
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.quality import filter_quality
+    got = filter_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      "base_failed", "kept")
+
+
+@_add
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.secrets import digest, find_secrets
+    return digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
+@_add
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.toxicity import THRESHOLD, fit, held_out, score
+    docs = table(spark, sf_dir, "documents")
+    got = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return got.select("doc_id", held_out().alias("held_out"), "score",
+                      F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+@_add
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.licenses import report, scan
+    return report(scan(table(spark, sf_dir, "documents")))
+
+
+@_add
+def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.neighbours import search
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_add
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.warc import round_trip
+    got = round_trip(table(spark, sf_dir, "pages"))
+    return got.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_add
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.jaccard import near_classes
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
+@_add
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.suffixes import removals
+    got = removals(table(spark, sf_dir, "documents"), keep_text=False)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return got.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      "kept_sha256")
