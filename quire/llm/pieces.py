@@ -89,11 +89,20 @@ def _requests(texts: list[str | None], n: int) -> dict[int, list[str]]:
     return out
 
 
-def _ids_payload(ids: list[list[int]]) -> bytes:
-    lengths = np.fromiter(map(len, ids), np.int32, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))
-    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    return to_payload(pa.table({"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))}))
+def _ids_payload(ids: list[list[int]], size: int) -> bytes:
+    """Ids of each word: how many, and all in a row, in narrow numbers."""
+    lengths = np.fromiter(map(len, ids), "<u4", len(ids))
+    flat = np.fromiter((i for x in ids for i in x), "<u2" if size <= 1 << 16 else "<u4", int(lengths.sum()))
+    return to_payload(pa.table({"n": [lengths.tobytes()], "ids": [flat.tobytes()], "width": [flat.itemsize]}))
+
+
+def _ids_of(payload: bytes) -> Iterator[list[int]]:
+    t = from_payload(payload)
+    flat = np.frombuffer(t["ids"][0].as_py(), f"<u{t['width'][0].as_py()}").tolist()
+    at = 0
+    for n in np.frombuffer(t["n"][0].as_py(), "<u4").tolist():
+        yield flat[at:at + n]
+        at += n
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -119,18 +128,18 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         distinct = sorted(set().union(*asked))
         known = dict(zip(distinct, segment(sp, distinct)))
         return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"],
-                             "words": pdf["words"],
-                             "ids": [_ids_payload([known[w] for w in ws]) for ws in asked]})
+                             "ids": [_ids_payload([known[w] for w in ws], sp.get_piece_size()) for ws in asked]})
 
     def assemble(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         sp = processor(model_path)
         known: dict[str, tuple[str, int, list[int]]] = {}
-        for w, i in zip(right["words"], right["ids"]):
-            ids = from_payload(i)["ids"].to_pylist()
-            known.update(zip(from_payload(w)["w"].to_pylist(), ((",".join(map(str, x)), x) for x in ids)))
+        t = unpack(left["payload"])
+        # the same requests in the same order as in ask()
+        asked = _requests(t["text"].to_pylist(), n) if t is not None else {}
+        for bucket, i in zip(right["bucket"], right["ids"]):
+            known.update(zip(asked.pop(bucket), ((",".join(map(str, x)), x) for x in _ids_of(i))))
         rows = []
-        for part in left["payload"]:
-            t = from_payload(part)
+        if t is not None:
             for key, text in zip(t["id"].to_pylist(), t["text"].to_pylist()):
                 found = [known[w] for w in marked_words(text or "")]
                 joined = ",".join([f[0] for f in found])
@@ -146,6 +155,6 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     out = "id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
     out += ", ids array<int>, decoded string" if keep_ids else ""
     requests = blocks.mapInPandas(ask, "block int, bucket int, words binary")
-    answers = requests.groupBy("bucket").applyInPandas(answer, "block int, bucket int, words binary, ids binary")
+    answers = requests.groupBy("bucket").applyInPandas(answer, "block int, bucket int, ids binary")
     return (blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(assemble, out)
             .withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col))

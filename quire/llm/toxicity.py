@@ -137,7 +137,8 @@ def train(rows: DataFrame, prior: float = PRIOR, min_z: float = MIN_Z, max_words
                 yield frame(toxic, clean)
                 toxic.clear()
                 clean.clear()
-        yield frame(toxic, clean)
+        if toxic or clean:
+            yield frame(toxic, clean)
 
     def frame(toxic: Counter, clean: Counter) -> pd.DataFrame:
         ws = list(toxic.keys() | clean.keys())
