@@ -318,15 +318,17 @@ def removed_runs(block: Block, asked: Asked, bits: np.ndarray) -> tuple[np.ndarr
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q,
-             hot: int = HOT, keep_text: bool = True) -> DataFrame:
+             hot: int = HOT, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(<id_col>, n_bytes, spans, kept_sha256, kept)``: the removed byte
-    runs ``(start, end)`` of every row and what is left of it."""
-    src = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("text"))
+    runs ``(start, end)`` of every row and what is left of it; columns named
+    in ``carry`` come along unchanged."""
+    src = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("text"),
+                      *[F.col(c).alias(f"carry{i}") for i, c in enumerate(carry)])
     n = block_count(src, F.octet_length("text"))
     blocks = pack_blocks(src.withColumn("block", block_of("id", n))).repartition(n, "block")
     # the smallest id of each distinct text; payloads of ids alone
     num = F.col("id").cast("long")
-    firsts = (src.filter(F.col("id").isNotNull() & (F.octet_length("text") >= length))
+    firsts = (src.select("id", "text").filter(F.col("id").isNotNull() & (F.octet_length("text") >= length))
               .select(num.alias("i"), F.sha2("text", 256).alias("h")).groupBy("h").agg(F.min("i").alias("i"))
               .select(F.col("i").cast("string").alias("id")))
     firsts = pack_blocks(firsts.withColumn("block", block_of("id", n)))
@@ -378,6 +380,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             bits[asked.bucket == r.bucket] = from_payload(r.payload)["bits"].to_numpy()
         starts, ends = removed_runs(block, asked, bits)
         place = {k: j for j, k in enumerate(block.used)}
+        extra = [unpack(left["payload"])[f"carry{i}"].to_pylist() for i in range(len(carry))] if len(left) else []
         ids = unpack(right.loc[right["kind"] == 0, "payload"])
         firsts_here = set(ids["id"].to_pylist()) if ids is not None else set()
         rows = []
@@ -395,8 +398,13 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             edges = [0, *(x for r in runs for x in r), len(text)]
             kept = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2]))
             row = (i, len(text), [{"start": s, "end": e} for s, e in runs], hashlib.sha256(kept).hexdigest())
-            rows.append(row + (kept,) if keep_text else row)
-        return pd.DataFrame(rows, columns=["id", "n_bytes", "spans", "kept_sha256"] + ["kept"] * keep_text)
+            rows.append(row + (kept,) * keep_text + tuple(x[k] for x in extra))
+        out = pd.DataFrame(rows, columns=["id", "n_bytes", "spans", "kept_sha256"] + ["kept"] * keep_text + names)
+        # whole numbers with nulls must not become floats
+        return out.astype({c: object for c in names}) if not extra else out.assign(
+            **{c: pd.Series(x, dtype=object) for c, x in zip(names, extra)})
+
+    names = [f"carry{i}" for i in range(len(carry))]
 
     ask = "block int, bucket int, payload binary"
     by_block = lambda df: df.groupBy("block")
@@ -408,6 +416,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     verdicts = contexts.groupBy("bucket").applyInPandas(answer_contexts, ask)
     known2 = known1.unionByName(facts(verdicts, 2))
     out = "id string, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string" + ", kept binary" * keep_text
+    out += "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, carry))
     kind = docs.schema[id_col].dataType.simpleString()
     return (by_block(blocks).cogroup(by_block(known2)).applyInPandas(cut, out)
-            .withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col))
+            .withColumn("id", F.col("id").cast(kind))
+            .withColumnsRenamed({"id": id_col, **dict(zip(names, carry))}))

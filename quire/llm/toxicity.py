@@ -1,10 +1,12 @@
 """Toxic passages by maximum-scoring segments.
 
-Training counts each word in toxic and in clean labelled documents and gives
-it a log-odds ratio under an informative Dirichlet prior (the corpus
-frequencies, worth ``PRIOR`` words), with its z-value. Words with clear
-evidence (``MIN_Z``) keep their log-odds as score, every other word costs
-``DRIFT``. A linear-time scan (Ruzzo and Tompa) finds all maximal-scoring
+Training counts the *tokens* of toxic and of clean labelled documents: words
+and their beginnings (``STEMS`` characters), which carry a stem through its
+endings. Each gets a log-odds ratio under an informative Dirichlet prior (the
+corpus frequencies, worth ``PRIOR`` times the toxic words), with its z-value.
+Tokens with clear evidence (``MIN_Z``) keep their log-odds as score; a word
+scores as the best of its tokens and costs ``DRIFT`` when it has none. A
+linear-time scan (Ruzzo and Tompa) finds all maximal-scoring
 segments of a text. Their scores follow an extreme-value law: ``lambda`` solves
 ``sum p_i exp(lambda s_i) = 1`` over the clean word frequencies and ``K`` is
 fitted on clean training documents, so a segment of score ``S`` in a text of
@@ -36,8 +38,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PRIOR = 500.0
-MIN_Z = 3.0
+from quire.llm.common import materialize
+
+PRIOR = 1.0
+MIN_Z = 4.0
+STEMS = (4, 5, 6)
 DRIFT = 0.05
 MAX_E = 0.05
 MAX_TRAIN = 60_000
@@ -50,6 +55,11 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def tokens(word: str) -> list[str]:
+    """The word and, marked by ``*``, its beginnings."""
+    return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
+
+
 def maximal_segments(at: list[int], score: list[float], drift: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments ``(first, last word, score)`` of a text
     whose words at ``at`` score ``score`` and all others ``-drift``.
@@ -81,11 +91,17 @@ class Model:
     def __init__(self, scores: dict[str, float], lam: float, log_k: float, drift: float = DRIFT,
                  a: float = 0.0, b: float = -30.0):
         self.scores, self.lam, self.log_k, self.drift, self.a, self.b = scores, lam, log_k, drift, a, b
+        self.known: dict[str, float] = {}  # scores of words met before
 
     def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         ws = words(text)
+        if len(self.known) > 300_000:
+            self.known.clear()
+        new = set(ws) - self.known.keys()
         get = self.scores.get
-        hits = [(i, s) for i, s in enumerate(map(get, ws)) if s is not None]
+        for w in new:
+            self.known[w] = max([get(t, 0.0) for t in tokens(w)])
+        hits = [(i, s) for i, s in enumerate(map(self.known.__getitem__, ws)) if s > 0]
         return len(ws), maximal_segments([i for i, _ in hits], [s for _, s in hits], self.drift)
 
     def passages(self, text: str | None) -> list[tuple[int, int, float]]:
@@ -141,15 +157,23 @@ def train(rows: DataFrame, prior: float = PRIOR, min_z: float = MIN_Z, max_words
             yield frame(toxic, clean)
 
     def frame(toxic: Counter, clean: Counter) -> pd.DataFrame:
-        ws = list(toxic.keys() | clean.keys())
-        return pd.DataFrame({"w": ws, "t": [toxic[w] for w in ws], "c": [clean[w] for w in ws]})
+        got: dict[str, list[int]] = {}
+        for w in toxic.keys() | clean.keys():
+            t, c = toxic[w], clean[w]
+            for x in tokens(w):
+                n = got.setdefault(x, [0, 0])
+                n[0] += t
+                n[1] += c
+        return pd.DataFrame({"w": list(got), "t": [n[0] for n in got.values()], "c": [n[1] for n in got.values()]})
 
     tab = (rows.mapInPandas(count, "w string, t long, c long").groupBy("w")
            .agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
-    n = tab.agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum(F.col("t") * 0 + 1).alias("v")).first()
+    tab = materialize(tab, "toxicity-tokens")
+    n = tab.filter("w not like '%*'").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     nt, nc = float(n["t"] or 0), float(n["c"] or 0)
     if not nt or not nc:
         return Model({}, 1.0, 0.0)
+    prior = prior * nt
     al = F.col("p") * F.lit(prior)
     lo = lambda y, tot: F.log((F.col(y) + al) / (F.lit(tot + prior) - F.col(y) - al))
     z = (tab.filter("t > 1").withColumn("p", (F.col("t") + F.col("c")) / F.lit(nt + nc))
@@ -162,6 +186,7 @@ def train(rows: DataFrame, prior: float = PRIOR, min_z: float = MIN_Z, max_words
     # frequencies of the scores in clean text, half a count where none was seen
     p = np.array([max(float(r["c"]), 0.5) / nc for r in z])
     s = np.array([float(r["s"]) for r in z])
+    p = p / max(1.0, 2 * p.sum())  # a word's tokens are counted one by one
     drift = max(DRIFT, 2 * float((p * s).sum()))  # the mean score must be negative
     lam = solve_lambda(np.append(p, 1 - p.sum()), np.append(s, -drift))
     model = Model(scores, lam, 0.0, drift)
@@ -229,6 +254,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         max_train: int = MAX_TRAIN) -> Model:
     """Train on the labelled rows that are not held out."""
-    from quire.llm.common import materialize
     rows = training_rows(docs, labels, ~held_out(id_col), id_col, text_col, label_col, max_train)
     return train(materialize(rows, "toxicity-training"))
