@@ -48,6 +48,8 @@ LENGTH = 50
 Q = 24
 HOT = 2000
 KEY_BITS = 48
+#: Smaller blocks than elsewhere: a task holds several numbers for each byte.
+BLOCK_BYTES = 8 << 20
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -324,7 +326,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     in ``carry`` come along unchanged."""
     src = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("text"),
                       *[F.col(c).alias(f"carry{i}") for i, c in enumerate(carry)])
-    n = block_count(src, F.octet_length("text"))
+    n = block_count(src, F.octet_length("text"), BLOCK_BYTES)
     blocks = pack_blocks(src.withColumn("block", block_of("id", n))).repartition(n, "block")
     # the smallest id of each distinct text; payloads of ids alone
     num = F.col("id").cast("long")
