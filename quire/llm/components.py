@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from quire.llm.common import materialize
 
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return (r["n"], r["h"])
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node has one parent and no parent has a parent."""
+    if not edges.groupBy("u").count().filter("count > 1").isEmpty():
+        return False
+    return edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,19 +28,14 @@ def components(links: DataFrame) -> DataFrame:
     # u > v throughout
     edges = materialize(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                         .distinct(), "components")
-    state = _state(edges)
-    while state[0]:
+    while not _all_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = (both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.greatest("v", "m").alias("a"), F.col("m").alias("b")) \
             .unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
         edges = materialize(small.filter("a != b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "components")
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
-    stars = edges.groupBy("u").agg(F.min("v").alias("component"))
+    stars = edges.select("u", F.col("v").alias("component"))
     roots = stars.select(F.col("component").alias("node")).distinct().withColumn("component", F.col("node"))
     return stars.select(F.col("u").alias("node"), "component").unionByName(roots)

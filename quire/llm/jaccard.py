@@ -154,12 +154,17 @@ def long_enough(percent: int):
     """Size filter on ``n`` and ``n2``, and the position filter of a shared
     prefix shingle at ``p`` and ``p2`` (from 0)."""
     size = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
-    # what the two can still share from here on, the prefixes before it being
-    # disjoint at a pair's first shared shingle
-    most = "least(n - p, n2 - p2)"
+    # what two different sets can still share from here on, the prefixes
+    # before it being disjoint at a pair's first shared shingle
+    most = "least(n - p, n2 - p2, n - if(n = n2, 1, 0))"
     return f"{size} and {100 + percent} * {most} >= {percent} * (n + n2)"
 
 
+def same_size(percent: int):
+    """Whether different sets of one size ``n`` can be similar at all."""
+    return f"{100 + percent} * (n - 1) >= {2 * percent} * n"
+
+
 def verify(pairs: DataFrame, docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets reach the similarity."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -195,7 +200,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = able.groupBy("whole").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = materialize(classes, "jaccard-classes")
     members = materialize(classes.join(classes.groupBy("prefix").agg(F.min("id").alias("g")), "prefix")
-                          .select("g", "id"), "jaccard-groups")
+                          .select("g", "id", "n"), "jaccard-groups")
     leaders = members.filter("g = id").select("id")
     posts = (able.join(leaders, "id", "left_semi").dropDuplicates(["id"])
              .select(F.col("id").alias("g"), "n", F.posexplode("tokens").alias("p", "token")))
@@ -213,26 +218,28 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "g", "n", "p", F.col("h.g").alias("g2"), F.col("h.n").alias("n2"), F.col("h.p").alias("p2"))
     first = (star.filter("g != g2").filter(long_enough(percent))
              .select(F.least("g", "g2").alias("a"), F.greatest("g", "g2").alias("b"))
-             .unionByName(members.filter("g != id").select(F.col("g").alias("a"), F.col("id").alias("b"))).distinct())
+             .unionByName(members.filter("g != id").filter(same_size(percent)).select(F.col("g").alias("a"), F.col("id").alias("b"))).distinct())
     linked = materialize(verify(first, src, size, percent), "jaccard-links")
     comp = components(linked)
 
     # second pass: only what lies in different components
     placed = materialize(members.join(comp.withColumnRenamed("node", "id"), "id", "left")
-                         .select("g", "id", F.coalesce("component", "id").alias("c")), "jaccard-placed")
-    spans = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    open_posts = posts.join(spans, "g")
+                         .select("g", "id", "n", F.coalesce("component", "id").alias("c")), "jaccard-placed")
+    spans = placed.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.first("n").alias("n"))
+    open_posts = posts.join(spans.drop("n"), "g")
     split = (open_posts.groupBy("token").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l != h").select("token"))
     left = open_posts.join(split, "token")
     right = left.select("token", *[F.col(c).alias(c + "2") for c in ("g", "n", "p", "lo", "hi")])
     groups = (left.join(right, "token").filter("g < g2 and not (lo = hi and lo2 = hi2 and lo = lo2)").filter(long_enough(percent))
               .select("g", "g2").distinct()
-              .unionByName(spans.filter("lo != hi").select("g", F.col("g").alias("g2"))))
+              .unionByName(spans.filter("lo != hi").filter(same_size(percent)).select("g", F.col("g").alias("g2"))))
     second = (groups.join(placed.select("g", F.col("id").alias("a"), "c"), "g")
               .join(placed.select(F.col("g").alias("g2"), F.col("id").alias("b"), F.col("c").alias("c2")), "g2")
               .filter("c != c2 and a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     more = materialize(verify(second.join(first, ["a", "b"], "left_anti"), src, size, percent), "jaccard-links")
-    final = components(linked.unionByName(more)) if not more.isEmpty() else comp
+    # the components found so far are stars already
+    final = comp if more.isEmpty() else components(
+        more.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     # back to all rows: row -> class -> component
     placed_class = (classes.join(final.withColumnRenamed("node", "id"), "id", "left")
