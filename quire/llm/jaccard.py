@@ -11,8 +11,8 @@ Classes with the same size and prefix collapse into one *group*. Group pairs
 come from the posting lists of prefix shingles and must pass the size and
 position filters; they are expanded to members and verified on whole sets. As
 the result is connectivity, this happens twice. First every group of a posting
-list meets only the smallest groups of its own band of sizes and of the band
-below, and every member its group's leader. Then only what is not yet connected is compared:
+list meets only the heads of its own band of sizes and of the band below (the
+groups with the fewest rarer shingles), and every member its group's leader. Then only what is not yet connected is compared:
 lists that lie in one component are dropped, and the remaining pairs of
 different components are expanded and verified in full. A list of many near
 copies thus costs its length, not its square, and no link that joins two
@@ -208,11 +208,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     common = posts.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
     posts = materialize(posts.join(common, "token"), "jaccard-postings")
 
-    # first pass: each group against the smallest ones of its list, in its own
-    # band of sizes and in the next smaller band
+    # first pass: each group against the heads of its list, in its own band of
+    # sizes and in the next smaller one. A head has the fewest rarer shingles
+    # before the shared one: it is the least edited of near copies
     band = F.floor(F.log("n") / F.lit(math.log(100 / percent))).cast("int")
     posts_b = posts.withColumn("band", band)
-    heads = (posts_b.groupBy("token", "band").agg(F.min(F.struct("n", "g", "p")).alias("h"))
+    heads = (posts_b.groupBy("token", "band").agg(F.min(F.struct("p", "n", "g")).alias("h"))
              .withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))))
     star = posts_b.join(heads, ["token", "band"]).select(
         "g", "n", "p", F.col("h.g").alias("g2"), F.col("h.n").alias("n2"), F.col("h.p").alias("p2"))
