@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +35,44 @@ from pyspark.sql import functions as F
 from quire.llm.common import block_count, block_of, from_payload, pack_blocks, worker_cache
 
 CAPACITY = 1024
-CACHE = 400_000
+CACHE = 300_000
 _BESIDE = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+#: Fixed value: the split pattern of plain byte-level BPE.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _byte_of() -> dict[str, int]:
+    """The character by which byte-level vocabularies write each byte:
+    printable Latin-1 stands for itself, the rest follow from code 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _ranked(tk):
+    """The tokenizer's vocabulary as ranks, which tiktoken encodes about three
+    times as fast, or None where merges don't follow the order of ids (the
+    tokenizer then does all the work itself). The tests hold the two against
+    each other."""
+    import json
+
+    import tiktoken
+    spec = json.loads(tk.to_str())
+    vocab, added = spec["model"]["vocab"], {t["content"] for t in spec["added_tokens"]}
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+    byte = _byte_of()
+    if merged != sorted(merged) or not set("".join(vocab.keys() - added)) <= byte.keys():
+        return None
+    ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in added}
+    return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def _tokenizer(path: str) -> tuple:
-    """Tokenizer and remembered chunks, kept per Python worker."""
+    """Tokenizer, its ranked form, its special texts and the remembered
+    chunks, kept per Python worker."""
     kept = worker_cache()
     if ("packing", path) not in kept:
         import os
@@ -49,7 +81,8 @@ def _tokenizer(path: str) -> tuple:
         tk = Tokenizer.from_file(path)
         if tk.pre_tokenizer is None or "ByteLevel" not in type(tk.pre_tokenizer).__name__ or tk.normalizer is not None:
             raise ValueError(f"{path}: not a plain byte-level tokenizer")
-        kept["packing", path] = (tk, {})
+        special = [t.content for t in tk.get_added_tokens_decoder().values()]
+        kept["packing", path] = (tk, _ranked(tk), special, {})
     return kept["packing", path]
 
 
@@ -61,16 +94,18 @@ def chunks(text: str) -> list[str]:
 
 def tokenize(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers."""
-    tk, known = _tokenizer(path)
+    tk, ranked, special, known = _tokenizer(path)
     cut = [chunks(t or "") for t in texts]
-    new = list(set().union(*cut) - known.keys()) if cut else []
+    new = set().union(*cut) - known.keys()
     if len(known) + len(new) > CACHE:
         known.clear()
-        new = list(set().union(*cut))
-    for lo in range(0, len(new), 20_000):
-        part = new[lo:lo + 20_000]
-        for c, e in zip(part, tk.encode_batch_fast(part, add_special_tokens=False)):
-            known[c] = np.array(e.ids, "<u4").tobytes()
+        new = set().union(*cut)
+    # texts of special tokens are cut out by the tokenizer itself
+    own = [c for c in new if ranked is None or any(s in c for s in special)]
+    for c, e in zip(own, tk.encode_batch_fast(own, add_special_tokens=False)):
+        known[c] = array("I", e.ids).tobytes()
+    for c in new.difference(own):
+        known[c] = array("I", ranked.encode_ordinary(c)).tobytes()
     return [b"".join([known[c] for c in cs]) for cs in cut]
 
 

@@ -78,6 +78,20 @@ def check_packing(docs, got, capacity=1024):
     return len(seqs) * capacity, sum(r.length for r in got)
 
 
+def test_chunks_are_encoded_as_by_the_tokenizer():
+    """All distinct chunks of a larger fixture, and random strings."""
+    import pyarrow.parquet as pq
+    path = vocabulary("byte_bpe_50k.json")
+    tk, ranked, special, _ = packing._tokenizer(path)
+    assert ranked is not None and special == ["<|endoftext|>"]
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    rng = random.Random(9)
+    texts += ["".join(rng.choice(["a", "b", "the", "'s", "'", "ll", " ", "\n", "12", "é", "ß", "日", "🙂", ".", "-", "_", "\u00a0", "\u0301", "½"])
+                      for _ in range(rng.randint(1, 40))) for _ in range(4000)]
+    for t, got in zip(texts, packing.tokenize(texts, path)):
+        assert np.frombuffer(got, "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids
+
+
 def test_packing_keeps_every_token(odd):
     docs = odd.filter("doc_id is not null and not (doc_id = 3 and text = 'twice')")
     room, used = check_packing(docs.collect(), packing.pack(docs, vocabulary("byte_bpe_50k.json")).collect())
