@@ -96,7 +96,7 @@ def tokenize(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers."""
     tk, ranked, special, known = _tokenizer(path)
     cut = [chunks(t or "") for t in texts]
-    new = set().union(*cut) - known.keys()
+    new = {c for c in set().union(*cut) if c not in known}
     if len(known) + len(new) > CACHE:
         known.clear()
         new = set().union(*cut)

@@ -97,10 +97,10 @@ class Model:
         ws = words(text)
         if len(self.known) > 300_000:
             self.known.clear()
-        new = set(ws) - self.known.keys()
         get = self.scores.get
-        for w in new:
-            self.known[w] = max([get(t, 0.0) for t in tokens(w)])
+        for w in set(ws):
+            if w not in self.known:
+                self.known[w] = max([get(t, 0.0) for t in tokens(w)])
         hits = [(i, s) for i, s in enumerate(map(self.known.__getitem__, ws)) if s > 0]
         return len(ws), maximal_segments([i for i, _ in hits], [s for _, s in hits], self.drift)
 
