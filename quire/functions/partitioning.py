@@ -33,20 +33,19 @@ def spread(df: DataFrame, key: str | None = None, factor: float = 0.5) -> DataFr
     return df.repartition(target, key) if key else df.repartition(target)
 
 
-def ordered_index(df: DataFrame, part: list[str], order: list, out: str = "pos") -> DataFrame:
+def ordered_index(df: DataFrame, part: list[str], order: list, slice_by, out: str = "pos",
+                  slice_desc: bool = False) -> DataFrame:
     """1-based position of each row within its ``part`` group by ``order``,
     without putting a whole group into one task.
 
     A window ``row_number`` over ``part`` sends every row of a key to one
     task; a key holding a third of the table would then be sorted by a single
-    core. Here the rows are range-partitioned on ``(part, order)`` (the
-    sampler cuts a hot key into many partitions), numbered inside each
-    partition by ``monotonically_increasing_id`` (consecutive within a
-    partition in sorted order), and shifted by the count of the same key in
-    earlier partitions. The offset table has at most one row per (partition,
-    key), so per key it is bounded by the partition count; it is broadcast
-    when its row count is below ``max_broadcast_rows`` (checked), otherwise
-    joined by hash.
+    core. Here a group is cut into slices by ``slice_by``, a column that never
+    falls (``slice_desc``: never rises) along ``order``, such as the day of the
+    leading time stamp. Rows are numbered inside ``(part, slice)`` and shifted
+    by the number of rows in earlier slices of the group, a table with one
+    narrow row per slice. Slices depend on values alone, so retries and plans
+    of any shape give the same positions. Null group keys form one group.
 
     ``order`` items are column names or Columns (use ``.desc()`` for
     descending); include a unique column last to make positions total.
@@ -55,15 +54,16 @@ def ordered_index(df: DataFrame, part: list[str], order: list, out: str = "pos")
     from pyspark.sql import functions as F
 
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    s = (df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, *[F.col(p) for p in part], *cols)
-         .sortWithinPartitions(*[F.col(p) for p in part], *cols)
-         .withColumn("_op", F.spark_partition_id())
-         .withColumn("_oi", F.monotonically_increasing_id()))
-    b = s.groupBy("_op", *part).agg(F.min("_oi").alias("_lo"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*part).orderBy("_op").rowsBetween(Window.unboundedPreceding, -1)
+    s = df.withColumn("_sl", slice_by)
+    b = s.groupBy(*part, "_sl").agg(F.count(F.lit(1)).alias("_n"))
+    by_slice = F.col("_sl").desc_nulls_last() if slice_desc else F.col("_sl").asc_nulls_first()
+    w = Window.partitionBy(*part).orderBy(by_slice).rowsBetween(Window.unboundedPreceding, -1)
     b = b.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    # the offset table is usually tiny: AQE turns this join into a broadcast
-    # at runtime from the measured size (no separate counting job)
-    j = s.join(b, ["_op", *part])
-    return j.withColumn(out, (F.col("_oi") - F.col("_lo") + F.col("_off") + 1).cast("long")) \
-        .drop("_op", "_oi", "_lo", "_off")
+    b = b.select(F.col("_off"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate([*part, "_sl"])])
+    rn = F.row_number().over(Window.partitionBy(*part, "_sl").orderBy(*cols))
+    n = s.withColumn("_rn", rn)
+    same = [n[c].eqNullSafe(b[f"_k{i}"]) for i, c in enumerate([*part, "_sl"])]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    return n.join(b, cond).select(*[n[c] for c in df.columns], (F.col("_rn") + F.col("_off")).cast("long").alias(out))

@@ -35,7 +35,7 @@ def exchanges(messages: DataFrame, conv: str = "conv_id") -> DataFrame:
     positions: the join key is unique per row, so a conversation holding a
     third of all messages still spreads over all tasks."""
     p = ordered_index(messages.select(conv, "created_at", "turn", "id", "role", "text"), [conv],
-                      ["created_at", "turn", "id"])
+                      ["created_at", "turn", "id"], F.date_trunc("day", "created_at"))
     nxt = p.select(F.col(conv).alias("_c"), (F.col("pos") - 1).alias("_p"), F.col("role").alias("_next_role"),
                    F.col("text").alias("_next_text"), F.col("id").alias("_next_id"),
                    F.col("created_at").alias("_next_at"))
@@ -53,16 +53,11 @@ def exchanges(messages: DataFrame, conv: str = "conv_id") -> DataFrame:
 def first_exchange_flag(messages: DataFrame, conv: str = "conv_id") -> DataFrame:
     """``messages_so_far`` and ``is_first_exchange`` (at most 2 so far);
     the running count is the skew-safe position."""
-    p = ordered_index(messages, [conv], ["created_at", "turn", "id"], out="messages_so_far")
+    p = ordered_index(messages, [conv], ["created_at", "turn", "id"], F.date_trunc("day", "created_at"),
+                      out="messages_so_far")
     return p.withColumn("is_first_exchange", F.col("messages_so_far") <= 2)
 
 
-def context_rank(hits: DataFrame, k: int = 3, key: str = "qid") -> DataFrame:
-    """First ``k`` results per query with position 1..k (by distance, id)."""
-    w = Window.partitionBy(key).orderBy(F.col("distance"), F.col("id"))
-    return hits.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
-
-
 def exchange_rows(ex: DataFrame, context_count: DataFrame | None = None, conv: str = "conv_id") -> DataFrame:
     """K3: an answered exchange as the two stored messages, user then
     assistant, content wrapped as ``{"text": ..}`` and metadata with the
@@ -91,7 +86,9 @@ def exchange_rows(ex: DataFrame, context_count: DataFrame | None = None, conv: s
 def add_documents(conversations: DataFrame, additions: DataFrame) -> DataFrame:
     """Append ``additions (conv_id, doc_id, seq)`` to ``doc_ids`` without
     duplicates; existing order kept, new ones in ``seq`` order."""
-    add = (additions.groupBy("conv_id")
+    # a document added many times counts once, at its first place
+    once = additions.groupBy("conv_id", "doc_id").agg(F.min("seq").alias("seq"))
+    add = (once.groupBy("conv_id")
            .agg(F.array_sort(F.collect_list(F.struct("seq", "doc_id"))).alias("_a"))
            .select(F.col("conv_id").alias("id"), F.transform("_a", lambda s: s["doc_id"]).alias("_new")))
     j = conversations.join(add, "id", "left")

@@ -60,12 +60,25 @@ def test_message_windows(spark):
 
 
 def test_ordered_index_hot_key(spark):
-    df = spark.range(0, 5000).select(
-        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")).alias("k"),
-        (F.col("id") * 7 % 5000).alias("v"))
-    got = ordered_index(df, ["k"], ["v"]).select("k", "v", "pos")
+    # payload columns, 120k rows, a hot and a null key, several shuffle widths
+    df = spark.range(0, 120_000, numPartitions=7).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 100 != 1, (F.col("id") % 50).cast("string")).alias("k"),
+        (F.col("id") * 7919 % 120_000).alias("v"), F.concat(F.lit("text "), F.col("id")).alias("payload"), F.lit(1.5).alias("x"))
     exp = df.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy("v")).cast("long"))
-    assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("4", "8", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = ordered_index(df, ["k"], ["v"], F.floor(F.col("v") / 1000))
+            assert got.count() == 120_000
+            assert got.exceptAll(exp).count() == 0
+            few = ordered_index(df, ["k"], ["v"], F.floor(F.col("v") / 1000)).select("k", "v", "pos")
+            assert few.exceptAll(exp.select("k", "v", "pos")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    down = ordered_index(df, ["k"], [F.col("v").desc()], F.floor(F.col("v") / 1000), slice_desc=True)
+    exp = df.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy(F.col("v").desc())).cast("long"))
+    assert down.exceptAll(exp).count() == 0
 
 
 def test_titles_and_answers(spark):
