@@ -30,7 +30,7 @@ def retrieve_context(messages: DataFrame, conversations: DataFrame, documents: D
     # a chunk reached under two keys of one conversation counts once
     ce = chunks.select("id", "doc_id").join(item_keys, "doc_id").join(ce, "id")
     hits = knn(qe, ce, k=k, metric="cosine", query_id="conv_id", scope=scope, scope_key="scope_key",
-               dim=width, dedupe=True)
+               dim=width, dedupe=True, keys_per_item=2)
     return (hits.join(chunks.select("id", "doc_id", "content"), "id")
             .select("conv_id", F.col("rank").alias("position"), F.col("id").alias("chunk_id"),
                     "doc_id", "distance", "content"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.operators.search import knn, search_results, search_summary
+from quire.operators.search import knn, search_results, search_summary, threshold
 from quire.plans.catalog import register
 from quire.views import Fixture, duck_cte
 
@@ -101,10 +101,9 @@ def v5_threshold(spark, sf_dir):
     """
     fx = Fixture(spark, sf_dir)
     hits = knn(fx.queries(), fx.chunks(), k=K, metric="cosine", exclude_self=True)
-    sim = F.lit(1.0) - F.col("distance")
-    return (hits.filter(sim >= 0.2)
-            .select("qid", F.col("rank").cast("bigint").alias("rank"),
-                    F.col("id").alias("chunk_id"), F.round(sim, 6).alias("similarity")))
+    kept = threshold(hits.withColumn("similarity", F.lit(1.0) - F.col("distance")), 0.2)
+    return kept.select("qid", F.col("rank").cast("bigint").alias("rank"),
+                       F.col("id").alias("chunk_id"), F.round("similarity", 6).alias("similarity"))
 
 
 _V11_SQL = duck_cte("v_chunks", "v_queries", "v_scope") + f"""
