@@ -13,24 +13,57 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions.text import word_count
 
 
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key: the first by ``order`` (ties by all columns' order
-    given). Rows with a null key part are dropped (a key cannot hold null)."""
+    """One row per key: the first by ``order``, equal ones by their other
+    columns. Rows with a null key part have no key: ``without_key`` returns
+    them."""
     key = list(key)
     cols = [c for c in df.columns if c not in key]
     ok = df
     for k in key:
         ok = ok.filter(F.col(k).isNotNull())
-    best = F.min_by(F.struct(*cols), F.struct(*[F.col(o) for o in order]))
+    tie = [c for c in cols if c not in order and not isinstance(df.schema[c].dataType, T.MapType)]
+    best = F.min_by(F.struct(*cols), F.struct(*[F.col(o) for o in order], *[F.col(c) for c in tie]))
     return ok.groupBy(*key).agg(best.alias("_b")).select(*key, *[F.col(f"_b.{c}").alias(c) for c in cols])
 
 
+def without_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The rows that a keyed sink sets aside: those with a null key part."""
+    bad = F.lit(False)
+    for k in key:
+        bad = bad | F.col(k).isNull()
+    return df.filter(bad)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder with data files stands at ``path``, asked from its
+    file system; an unreachable store raises."""
+    fs, p = _file_system(spark, path)
+    if not fs.exists(p):
+        return False
+    # partition folders may start with an underscore, marker files do too
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return any("=" in n or not n.startswith(("_", ".")) for n in names)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this job wrote."""
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
 def rows_to_append(incoming: DataFrame, existing: DataFrame, key: Sequence[str],
                    order: Sequence[str]) -> DataFrame:
     """K1: the rows an ``INSERT .. ON CONFLICT (key) DO NOTHING`` would add."""
@@ -64,12 +97,13 @@ def append_idempotent(incoming: DataFrame, target_path: str, key: Sequence[str],
         key = key + ["_kb"]
         partition_by = ["_kb", *partition_by]
     try:
-        try:
+        # a failing read must fail the batch: only a missing table is empty
+        if table_exists(spark, target_path):
             existing = spark.read.parquet(target_path)
             if buckets is not None:
                 existing = existing.filter(F.col("_kb").isin(buckets))
             existing = existing.select(*key)
-        except Exception:  # noqa: BLE001 - no table yet
+        else:
             existing = spark.createDataFrame([], incoming.select(*key).schema)
         new = rows_to_append(incoming, existing, key, order)
         out = new.select(*incoming.columns)
@@ -110,18 +144,32 @@ def chunk_rows(chunks: DataFrame, created_at: str, n_buckets: int = 64) -> DataF
 
 def resolve_users(incoming: DataFrame, users: DataFrame) -> DataFrame:
     """K4: get-or-create users in bulk. Match by ``id``, else by
-    ``username``, else create with id = hash of the username. Incoming
-    duplicates collapse to one resolution per ``(req_id, req_username)``."""
+    ``username``; else the user is created and keeps the given id, or gets a
+    hash of the username when none came in. Several new requests with one
+    username are one user: the one with the smallest given id. A request with
+    neither a known id nor a username can't be resolved (``user_id`` is the
+    given id, ``created`` false). Incoming duplicates collapse to one
+    resolution per ``(req_id, req_username)``."""
     inc = incoming.select(F.col("id").alias("req_id"), F.col("username").alias("req_username")).distinct()
     by_id = users.select(F.col("id").alias("_uid_id"), F.col("id").alias("_k_id"))
-    by_name = users.select(F.col("id").alias("_uid_name"), F.col("username").alias("_k_name"))
+    by_name = (users.filter(F.col("username").isNotNull()).groupBy(F.col("username").alias("_k_name"))
+               .agg(F.min("id").alias("_uid_name")))
     j = (inc.join(by_id, inc["req_id"] == by_id["_k_id"], "left")
-         .join(by_name, inc["req_username"] == by_name["_k_name"], "left"))
-    new_id = F.substring(F.sha2(F.col("req_username"), 256), 1, 16)
-    found = F.coalesce("_uid_id", "_uid_name")
+         .join(by_name, inc["req_username"] == by_name["_k_name"], "left")
+         .withColumn("_found", F.coalesce("_uid_id", "_uid_name")))
+    new = (j.filter(F.col("_found").isNull() & F.col("req_username").isNotNull())
+           .groupBy(F.col("req_username").alias("_n_name")).agg(F.min("req_id").alias("_n_id")))
+    new = new.withColumn("_n_id", F.coalesce("_n_id", F.substring(F.sha2("_n_name", 256), 1, 16)))
+    j = j.join(new, j["req_username"] == new["_n_name"], "left")
     return j.select("req_id", "req_username",
-                    F.coalesce(found, new_id).alias("user_id"),
-                    found.isNull().alias("created"))
+                    F.coalesce("_found", "_n_id", "req_id").alias("user_id"),
+                    (F.col("_found").isNull() & F.col("_n_id").isNotNull()).alias("created"))
+
+
+def new_users(resolved: DataFrame) -> DataFrame:
+    """K4: the rows to insert, ``(id, username)``, one for each created user."""
+    return (resolved.filter("created").groupBy(F.col("user_id").alias("id"))
+            .agg(F.min("req_username").alias("username")))
 
 
 def new_conversations(incoming: DataFrame, conversations: DataFrame) -> DataFrame:

@@ -27,10 +27,30 @@ def _run_dir(spark, name: str) -> str:
     return checkpoint_path(spark, "runs", f"{name}-{uuid.uuid4().hex}")
 
 
+#: The order in which rows of a table land, as equal parts of its range.
+LANDING = {"events": "ts", "documents": "doc_id", "conversations": "conv_id"}
+PARTS = 4
+
+
+def _land(spark, sf_dir: str, table: str) -> str:
+    """The whole table landed as ``PARTS`` batches of files, one after the
+    other in the table's order, so that a stream over it has several
+    micro-batches. Works for a table stored as one file or as a folder."""
+    t = Fixture(spark, sf_dir).table(table)
+    at = F.col(LANDING[table])
+    at = F.unix_micros(at.cast("timestamp")) if table == "events" else at
+    lo, hi = t.agg(F.min(at), F.max(at)).first()
+    part = F.least(F.lit(PARTS - 1), F.floor((at - F.lit(lo)) * PARTS / F.lit(max(1, hi - lo))).cast("int"))
+    landing = f"{_run_dir(spark, 'landing')}/{table}"
+    for i in range(PARTS):  # a later part has later files
+        t.filter(part == i).coalesce(1).write.mode("append").parquet(landing)
+    return landing
+
+
 def _stream_view(spark, sf_dir: str, table: str, max_files: int | None = 1):
     fx = Fixture(spark, sf_dir)
     schema = fx.table(table).schema
-    src = jobs.file_stream(spark, sf_dir, schema, glob=f"{table}.parquet", max_files=max_files)
+    src = jobs.file_stream(spark, _land(spark, sf_dir, table), schema, max_files=max_files)
     name = f"_stream_{table}_{uuid.uuid4().hex[:8]}"
     src.createOrReplaceTempView(name)
     return fx, name
@@ -113,16 +133,20 @@ def st2_exactly_once_append(spark, sf_dir):
 
 # ---------------------------------------------------------------- ST3
 
+ST3_DELAY = "36500 days"
+# with a delay beyond the table's whole time span a key passes exactly once,
+# in whatever batches its rows arrive
 _ST3_SQL = "select distinct user_id, event_type from events"
 
 
 @register("st3_stream_dedupe", _ST3_SQL)
 def st3_stream_dedupe(spark, sf_dir):
-    """ST3: repeated (user, event type) arrivals dropped within the watermark."""
+    """ST3: repeated (user, event type) arrivals dropped across micro-batches
+    within a delay that covers the table (the tests use shorter ones)."""
     fx, name = _stream_view(spark, sf_dir, "events")
     ev = spark.table(name)
     run = _run_dir(spark, "st3")
-    out = jobs.dedupe_stream(ev, ["user_id", "event_type"])
+    out = jobs.dedupe_stream(ev, ["user_id", "event_type"], ST3_DELAY)
     jobs.run_available(out.writeStream.format("parquet").option("path", f"{run}/out")
                        .option("checkpointLocation", f"{run}/ck").outputMode("append"))
     return spark.read.parquet(f"{run}/out").select("user_id", "event_type")
@@ -180,7 +204,8 @@ from w left join lu on lu.conv_id = w.conv_id where w.fe <= 10
 
 @register("st5_conversation_state", _st5_oracle())
 def st5_conversation_state(spark, sf_dir):
-    """ST5: keyed conversation state (last 10 messages, last retrieval
+    """ST5: the newest window of each conversation after all micro-batches;
+    keyed conversation state (last 10 messages, last retrieval
     time) kept in RocksDB-backed state across micro-batches."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
     fx, name = _stream_view(spark, sf_dir, "conversations")
@@ -189,7 +214,10 @@ def st5_conversation_state(spark, sf_dir):
     out = jobs.conversation_state(msgs)
     jobs.run_available(out.writeStream.format("parquet").option("path", f"{run}/out")
                        .option("checkpointLocation", f"{run}/ck").outputMode("append"))
-    return spark.read.parquet(f"{run}/out").select(
+    # the newest window of each conversation: later updates replace earlier ones
+    got = spark.read.parquet(f"{run}/out")
+    newest = got.groupBy("conv_id").agg(F.max("seq").alias("seq"))
+    return got.join(newest, ["conv_id", "seq"]).select(
         "conv_id", "id", "pos", "role", F.date_format("last_retrieval", "yyyy-MM-dd HH:mm:ss").alias("last_retrieval"))
 
 

@@ -35,13 +35,12 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str
     return r.parquet(path)
 
 
-def run_available(writer, timeout: int = 600) -> None:
-    """Start a ``DataStreamWriter`` with ``availableNow`` and wait for it."""
+def run_available(writer) -> None:
+    """Start a ``DataStreamWriter`` with ``availableNow`` and wait until all
+    that is available has been processed; a failed stream raises."""
     q = writer.trigger(availableNow=True).start()
     try:
-        q.awaitTermination(timeout)
-        if q.exception():
-            raise q.exception()
+        q.awaitTermination()
     finally:
         if q.isActive:
             q.stop()
@@ -183,44 +182,51 @@ MSG_STATE = T.StructType([T.StructField("created_at", T.TimestampType()), T.Stru
                           T.StructField("text", T.StringType())])
 ST5_OUT = T.StructType([T.StructField("conv_id", T.StringType()), T.StructField("id", T.StringType()),
                         T.StructField("pos", T.LongType()), T.StructField("role", T.StringType()),
-                        T.StructField("last_retrieval", T.TimestampType())])
+                        T.StructField("last_retrieval", T.TimestampType()), T.StructField("seq", T.LongType())])
 
 
 class ConversationState(StatefulProcessor):
     """ST5: per conversation, the last ``keep`` messages (ListState, bounded)
     and the time of the last user message (when retrieval last ran). Emits
-    the current window on every update."""
+    the current window on every update, numbered by ``seq``."""
 
     keep = 10
 
     def init(self, handle) -> None:
         self.msgs = handle.getListState("messages", MSG_STATE)
+        self.seq = handle.getValueState("updates", T.StructType([T.StructField("n", T.LongType())]))
         self.last = handle.getValueState("last_retrieval", T.StructType([T.StructField("ts", T.TimestampType())]))
 
     def handleInputRows(self, key, rows, timerValues):
         cur = [tuple(r) for r in self.msgs.get()] if self.msgs.exists() else []
         last = self.last.get()[0] if self.last.exists() else None
         for pdf in rows:
-            for r in pdf[["created_at", "turn", "id", "role", "text"]].itertuples(index=False, name=None):
+            users = pdf.loc[pdf["role"] == "user", "created_at"]
+            if len(users):
+                t = pd.Timestamp(users.max()).to_pydatetime()
+                last = t if last is None or t > last else last
+            # only the batch's newest rows can enter the window
+            new = pdf.sort_values(["created_at", "turn", "id"]).tail(self.keep)
+            for r in new[["created_at", "turn", "id", "role", "text"]].itertuples(index=False, name=None):
                 cur.append((pd.Timestamp(r[0]).to_pydatetime(), int(r[1]), r[2], r[3], r[4]))
-                if r[3] == "user":
-                    t = pd.Timestamp(r[0]).to_pydatetime()
-                    last = t if last is None or t > last else last
-        cur = sorted(cur, key=lambda m: (m[0], m[1], m[2]))[-self.keep:]
+            cur = sorted(cur, key=lambda m: (m[0], m[1], m[2]))[-self.keep:]
         self.msgs.clear()
         self.msgs.put(cur)
         if last is not None:
             self.last.update((last,))
+        seq = (self.seq.get()[0] if self.seq.exists() else 0) + 1
+        self.seq.update((seq,))
         yield pd.DataFrame({"conv_id": [key[0]] * len(cur), "id": [m[2] for m in cur],
                             "pos": list(range(1, len(cur) + 1)), "role": [m[3] for m in cur],
-                            "last_retrieval": [last] * len(cur)})
+                            "last_retrieval": [last] * len(cur), "seq": [seq] * len(cur)})
 
     def close(self) -> None:
         pass
 
 
 def conversation_state(messages: DataFrame) -> DataFrame:
-    """ST5 stream: ``(conv_id, id, pos, role, last_retrieval)`` updates.
+    """ST5 stream: ``(conv_id, id, pos, role, last_retrieval, seq)`` updates;
+    of a conversation's windows the one with the largest ``seq`` is current.
     Needs the RocksDB state store provider set on the session first."""
     return (messages.groupBy("conv_id")
             .transformWithStateInPandas(statefulProcessor=ConversationState(), outputStructType=ST5_OUT,
@@ -253,19 +259,20 @@ def status_merge_sink(base: str, key_buckets: int = 64):
             if not buckets:
                 return
             table = f"{base}/table"
-            try:
+            both = cur
+            # only a missing table means the first batch; any read error fails it
+            if sinks.table_exists(spark, table):
                 prev = (spark.read.parquet(table).filter(F.col("_kb").isin(buckets))
                         .select("doc_id", F.col("new_status").alias("status"), "error",
                                 F.col("status_ts").alias("ts"), F.col("status_seq").alias("seq"), "_kb"))
                 both = prev.unionByName(cur)
-            except Exception:  # noqa: BLE001 - first batch: no table yet
-                both = cur
             merged = dialogue.latest_status(both.drop("_kb")) \
                 .withColumn("_kb", key_bucket(["doc_id"], key_buckets))
             stage = f"{base}/stage/b{batch_id}"
             merged.write.mode("overwrite").parquet(stage)
             (spark.read.parquet(stage).repartition("_kb").write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy("_kb").parquet(table))
+            sinks.remove_path(spark, stage)
         finally:
             cur.unpersist()
     return sink

@@ -51,3 +51,64 @@ def test_cache_hits_misses_and_expiry(spark):
     rows = new_rows.collect()
     assert len(rows) == 2 and all(r.expires_at - r.created_at == dt.timedelta(hours=1) for r in rows)
     assert cache.expire(store, now).count() == 1
+
+
+def test_cache_answers_from_the_newest_row(spark):
+    t = dt.datetime(2024, 1, 1)
+    h = spark.sql("select sha2('q', 256) h").first().h
+    rows = [(h, "old", t, t + dt.timedelta(days=9)), (h, "new", t + dt.timedelta(hours=1), t + dt.timedelta(days=3)),
+            (h, "gone", t + dt.timedelta(hours=2), t)]
+    store = spark.createDataFrame(rows, "query_hash string, results string, created_at timestamp, expires_at timestamp")
+    hits, misses = cache.cache_lookup(spark.createDataFrame([("a", "q")], "id string, text string"), store, "2024-01-02 00:00:00")
+    assert [r.results for r in hits.collect()] == ["new"] and misses.count() == 0
+
+
+def test_users_keep_the_given_id(spark):
+    users = spark.createDataFrame([("1", "ann")], "id string, username string")
+    inc = spark.createDataFrame([("1", None), (None, "ann"), ("7", "bob"), ("8", "bob"), (None, "eve"), ("9", None), (None, None)],
+                                "id string, username string")
+    got = {(r.req_id, r.req_username): (r.user_id, r.created) for r in sinks.resolve_users(inc, users).collect()}
+    eve = spark.sql("select substring(sha2('eve', 256), 1, 16) h").first().h
+    assert got == {("1", None): ("1", False), (None, "ann"): ("1", False), ("7", "bob"): ("7", True), ("8", "bob"): ("7", True),
+                   (None, "eve"): (eve, True), ("9", None): ("9", False), (None, None): (None, False)}
+    new = sorted((r.id, r.username) for r in sinks.new_users(sinks.resolve_users(inc, users)).collect())
+    assert new == sorted([("7", "bob"), (eve, "eve")])
+
+
+def test_failing_read_fails_the_sinks(spark, scratch):
+    """A stored table that can't be read must never count as a missing one."""
+    import pytest
+
+    from quire.streaming import jobs
+    rows = spark.createDataFrame([("d1", "processed", None, dt.datetime(2024, 1, 1), 1)],
+                                 "doc_id string, status string, error string, ts timestamp, seq long")
+    sink = jobs.status_merge_sink(f"{scratch}/st")
+    sink(rows, 0)
+    kb = [x for x in __import__("glob").glob(f"{scratch}/st/table/_kb=*/*.parquet")]
+    with open(kb[0], "wb") as f:          # the only data file is damaged
+        f.write(b"not parquet")
+    with pytest.raises(Exception):
+        sink(rows, 1)
+    with open(f"{scratch}/keyed", "w") as f:
+        f.write("a file where the table's folder should be")
+    with pytest.raises(Exception):
+        sinks.append_idempotent(rows, f"{scratch}/keyed", ["doc_id"], ["seq"])
+    assert not sinks.table_exists(spark, f"{scratch}/nothing")
+
+
+def test_rows_without_key_are_set_aside(spark, scratch):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 1, "b"), (None, 2, "y")], "k string, ord int, v string")
+    sinks.append_idempotent(rows, f"{scratch}/t", ["k"], ["ord"])
+    assert [(r.k, r.v) for r in spark.read.parquet(f"{scratch}/t").collect()] == [("a", "b")]
+    assert [r.v for r in sinks.without_key(rows, ["k"]).collect()] == ["y"]
+
+
+def test_admission_and_text_of_odd_files(spark):
+    from quire.sources import files
+    df = spark.createDataFrame([(None, 5), ("/a.txt", None), ("/a.txt", 5), ("/a.exe", 5)], "path string, length long")
+    got = [(r.admitted, r.reject_reason) for r in files.admit(df).collect()]
+    assert got[0] == (False, "path missing") and got[1] == (False, "size unknown") and got[2] == (True, None) and not got[3][0]
+    raw = [b"ok \xef\xbf\xbd end", b"bad \xff \xef\xbf\xbd \xc3\x28 end", b"\xe2\xef\xbf\xbd", "é😀".encode()]
+    d = spark.createDataFrame([(bytearray(b),) for b in raw], "c binary")
+    out = [r.t for r in d.select(files.extract_text(F.col("c"), F.lit("x.txt")).alias("t")).collect()]
+    assert out == [b.decode("utf-8", errors="ignore") for b in raw]
