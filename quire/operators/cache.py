@@ -19,12 +19,13 @@ def query_hash(text_col: str = "text"):
 
 def cache_lookup(queries: DataFrame, cache: DataFrame, now: str,
                  text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(hits, misses)``: hits carry the cached ``results``."""
+    """``(hits, misses)``: hits carry the cached ``results`` of the newest
+    valid row of their hash (by ``created_at``, then expiry)."""
     q = queries.withColumn("query_hash", query_hash(text_col))
+    age = [F.col(c) for c in ("created_at", "expires_at") if c in cache.columns]
     valid = (cache.filter(F.col("expires_at") > F.to_timestamp(F.lit(now)))
-             .select("query_hash", "results"))
-    # one cache row per hash (the newest write wins)
-    hits = q.join(valid.dropDuplicates(["query_hash"]), "query_hash")
+             .groupBy("query_hash").agg(F.max_by("results", F.struct(*age, F.col("results"))).alias("results")))
+    hits = q.join(valid, "query_hash")
     misses = q.join(valid, "query_hash", "left_anti")
     return hits, misses
 

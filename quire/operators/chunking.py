@@ -7,20 +7,13 @@ no shuffle, no Python. Each document's text is processed whole.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quire.functions.partitioning import spread
-from quire.functions.udtf import simple_chunk_text
 from quire.functions.text import py_strip, word_count
 
 DEFAULT_CHUNK_SIZE = 1000
-# Texts longer than this are packed by the linear Python packer: the native
-# fold copies its output array on every emitted chunk, which is quadratic in
-# the number of chunks of one text.
-LONG_TEXT_CHARS = 200_000
 
 
 def _pack(parts: Column, size: int, joiner: str, suffix: str) -> Column:
@@ -60,14 +53,6 @@ def sentence_chunks(text: Column, size: int = DEFAULT_CHUNK_SIZE) -> Column:
     return _pack(_clean_parts(flat, r"\. "), size, " ", ".")
 
 
-def simple_chunks(text: Column, size: int = DEFAULT_CHUNK_SIZE) -> Column:
-    """C2 then C3: the sentence path replaces the paragraph result when that
-    gave nothing or any chunk is longer than ``2 * size``."""
-    para = paragraph_chunks(text, size)
-    redo = (F.size(para) == 0) | F.exists(para, lambda c: F.length(c) > 2 * size)
-    return F.when(redo, sentence_chunks(text, size)).otherwise(para)
-
-
 def window_chunks(text: Column, size: int = 512, overlap: int = 50) -> Column:
     """C4: fixed windows of ``size`` characters starting every
     ``size - overlap``; stops at the first window that reaches the end."""
@@ -98,51 +83,31 @@ def explode_chunks(df: DataFrame, chunks: Column, key_cols: list[str],
                 F.lit("text").alias("chunk_type")))))
 
 
-def _long_text_chunks(size: int):
-    """Arrow-batched Python packer (same semantics) for long texts; rows
-    passed as null (all short texts) cost nothing."""
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def pack(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else simple_chunk_text(t, size))
-
-    return pack
-
-
 def with_simple_chunks(df: DataFrame, text_col: str, out_col: str = "chunks",
-                       size: int = DEFAULT_CHUNK_SIZE, long_text_chars: int | None = LONG_TEXT_CHARS) -> DataFrame:
-    """``simple_chunks`` as a column, with the paragraph result computed once
-    (a separate projection the optimizer keeps, since it is used three
+                       size: int = DEFAULT_CHUNK_SIZE) -> DataFrame:
+    """C2 then C3 as a column: the sentence path replaces the paragraph result
+    when that gave nothing or any chunk is longer than ``2 * size``. The
+    paragraph result is computed once (a separate projection the optimizer keeps, since it is used three
     times) and the sentence fold only evaluated for the rows that need it.
-
-    Texts longer than ``long_text_chars`` skip the fold: they are packed in
-    one pass by the linear Python packer, which only ever receives those
-    texts (every other row reaches it as null)."""
+    One fold serves texts of every length: it holds the current chunk and
+    references to the finished ones."""
     t = F.col(text_col)
-    if long_text_chars is not None:
-        is_long = F.coalesce(F.length(t), F.lit(0)) > long_text_chars
-        df = df.withColumn("_long", _long_text_chunks(size)(F.when(is_long, t)))
-        t = F.when(~is_long, t)
     para = df.withColumn("_para", paragraph_chunks(t, size))
     redo = (F.size("_para") == 0) | F.exists("_para", lambda c: F.length(c) > 2 * size)
-    native = F.when(redo, sentence_chunks(t, size)).otherwise(F.col("_para"))
-    if long_text_chars is not None:
-        native = F.coalesce(F.col("_long"), native)
-    out = para.withColumn(out_col, native).drop("_para")
-    return out.drop("_long") if long_text_chars is not None else out
+    return para.withColumn(out_col, F.when(redo, sentence_chunks(t, size)).otherwise(F.col("_para"))).drop("_para")
 
 
 def chunk_documents(documents: DataFrame, size: int = DEFAULT_CHUNK_SIZE,
-                    id_col: str = "id", text_col: str = "text",
-                    long_text_chars: int | None = LONG_TEXT_CHARS) -> DataFrame:
+                    id_col: str = "id", text_col: str = "text") -> DataFrame:
     """C2/C3 + C5 over a documents table: ``(doc_id, chunk_index, content, ...)``."""
     d = spread(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")), "doc_id")
-    d = with_simple_chunks(d, "_t", "_chunks", size, long_text_chars)
+    d = with_simple_chunks(d, "_t", "_chunks", size)
     return explode_chunks(d, F.col("_chunks"), ["doc_id"])
 
 
 def chunks_of(chunks: DataFrame, requested: DataFrame, key: str = "doc_id") -> DataFrame:
-    """C6 (rows): chunks of the requested documents (semi-join; order by
-    ``chunk_index`` when reading)."""
+    """C6 (rows): chunks of the requested documents, or the documents to chunk
+    (semi-join; order by ``chunk_index`` when reading)."""
     return chunks.join(requested.select(key).distinct(), key, "left_semi")
 
 

@@ -477,10 +477,7 @@ def g3_summary_prompts(spark, sf_dir):
 def _answers(msgs):
     """Model answers per conversation: ``Summary: <first message>`` and, except
     on every 6th conversation, ``Title: <last message>`` lines."""
-    w = Window.partitionBy("conv_id")
-    first = F.first("text").over(w.orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    last = F.last("text").over(w.orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    a = msgs.select("conv_id", first.alias("_f"), last.alias("_l")).distinct()
+    a = msgs.groupBy("conv_id").agg(F.min_by("text", "turn").alias("_f"), F.max_by("text", "turn").alias("_l"))
     return a.select("conv_id", F.when(F.col("conv_id").cast("bigint") % 6 == 0,
                                       F.concat(F.lit("Summary: "), F.col("_f")))
                     .otherwise(F.concat(F.lit("Summary: "), F.col("_f"), F.lit("\nTitle: "), F.col("_l")))
@@ -578,7 +575,7 @@ def g7_fallback_label(spark, sf_dir):
 
 _U1_SQL = duck_cte("v_conversations_core", "v_conv_docs") + """
 , adds as (
-  select id as conv_id, 10 as pos, cast((cast(id as bigint) * 3) % 200 as varchar) as doc_id from v_conversations_core
+  select id as conv_id, 10 as pos, cast((cast(id as bigint) * 3) % (select count(*) from documents) as varchar) as doc_id from v_conversations_core
   union all
   select conv_id, 11 as pos, doc_id from v_conv_docs where pos = 0
 ), allr as (select conv_id, pos, doc_id from v_conv_docs union all select * from adds),
@@ -592,8 +589,9 @@ def u1_add_documents(spark, sf_dir):
     """Add documents to every conversation without duplicates, order kept."""
     fx = Fixture(spark, sf_dir)
     conv = fx.conversations()
+    n_docs = fx.table("documents").count()
     adds = (conv.select(F.col("id").alias("conv_id"), F.lit(0).alias("seq"),
-                        ((F.col("id").cast("bigint") * 3) % 200).cast("string").alias("doc_id"))
+                        ((F.col("id").cast("bigint") * 3) % n_docs).cast("string").alias("doc_id"))
             .unionByName(fx.conv_docs().filter(F.col("pos") == 0)
                          .select("conv_id", F.lit(1).alias("seq"), "doc_id")))
     out = dialogue.add_documents(conv, adds)

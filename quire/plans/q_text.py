@@ -123,10 +123,11 @@ from chunks c where c.doc_id in (select doc_id from v_conv_docs)
 def c6_chunks_of_documents(spark, sf_dir):
     """Chunks of the documents referenced by conversations, in order."""
     fx = Fixture(spark, sf_dir)
-    ch = chunking.chunks_of(_chunks(spark, sf_dir), fx.conv_docs())
-    n = ch.groupBy("doc_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_chunks"))
-    return ch.join(n, "doc_id").select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"),
-                                       F.col("chunk_length").cast("bigint").alias("chunk_length"), "n_chunks")
+    d = chunking.chunks_of(fx.documents().select(F.col("id").alias("doc_id"), "text"), fx.conv_docs())
+    d = chunking.with_simple_chunks(d, "text", "_chunks").withColumn("n_chunks", F.size("_chunks").cast("bigint"))
+    ch = chunking.explode_chunks(d, F.col("_chunks"), ["doc_id", "n_chunks"])
+    return ch.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"),
+                     F.col("chunk_length").cast("bigint").alias("chunk_length"), "n_chunks")
 
 
 # ---------------------------------------------------------------- files

@@ -75,6 +75,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     created and registered.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = getattr(spark.sparkContext, "_quire_ckpt", None) or tempfile.mkdtemp(prefix="quire-ckpt-")
         try:

@@ -55,11 +55,14 @@ def extension(path: Column) -> Column:
 
 def admit(df: DataFrame, path_col: str = "path", size_col: str = "length",
           max_mb: int = MAX_FILE_SIZE_MB, allowed=ALLOWED_EXTENSIONS) -> DataFrame:
-    """S3: ``admitted`` and ``reject_reason`` by extension and size."""
+    """S3: ``admitted`` and ``reject_reason`` by extension and size; a file
+    without a path or of unknown size is not admitted."""
     ext = extension(F.col(path_col))
     too_big = F.col(size_col) > F.lit(max_mb * 1024 * 1024)
     bad_ext = ~ext.isin(*allowed)
-    reason = (F.when(bad_ext, F.concat(F.lit("extension not allowed: "), ext))
+    reason = (F.when(F.col(path_col).isNull(), F.lit("path missing"))
+              .when(F.col(size_col).isNull(), F.lit("size unknown"))
+              .when(bad_ext, F.concat(F.lit("extension not allowed: "), ext))
               .when(too_big, F.lit("file too large")))
     return df.withColumn("extension", ext).withColumn("reject_reason", reason) \
         .withColumn("admitted", reason.isNull())
@@ -82,10 +85,13 @@ def extract_text(content: Column, filename: Column) -> Column:
             out.append(F.lit(rest))
         return F.concat(*out)
 
-    # invalid bytes are dropped (as ``decode(errors="ignore")``): replace them
-    # with U+FFFD natively, then remove those marks on rows that were invalid
+    # invalid bytes are dropped (as ``decode(errors="ignore")``): they become
+    # U+FFFD natively and those marks are removed. A U+FFFD of the text itself
+    # waits as the last private code point meanwhile.
+    kept = F.unhex(F.regexp_replace(F.hex(content), r"\G((?:(?!EFBFBD)..)*)EFBFBD", "$1F48FBFBD"))
+    cleaned = F.regexp_replace(F.make_valid_utf8(kept.cast("string")), "\uFFFD", "")
     decoded = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")) \
-        .otherwise(F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\uFFFD", ""))
+        .otherwise(F.regexp_replace(cleaned, "\U0010FFFD", "\uFFFD"))
     return (F.when(ext.isin(".txt", ".md"), decoded)
             .when(ext == ".pdf", fill(PDF_TEXT))
             .when(ext.isin(".doc", ".docx"), fill(DOC_TEXT))

@@ -36,13 +36,14 @@ select cast(doc_id as string) as id, cast(1 + doc_id % 50 as string) as user_id,
        text, n_chars, lang, source,
        cast('2024-01-01 00:00:00' as timestamp) + interval '1' minute * (doc_id % 97) as created_at
 from {documents}""",
-    # chunks: every embedding row is one chunk of document (vec_id % 200); the
-    # chunk carries the whole document text
+    # chunks: every document is one chunk with its whole text; its vector is
+    # that of row doc_id % number of embeddings, so equal distances occur
+    # wherever there are more documents than vectors
     "v_chunks": """
-select cast(e.vec_id as string) as id, cast(e.vec_id % 200 as string) as doc_id,
-       cast(floor(e.vec_id / 200.0) as int) as chunk_index,
-       d.text as content, e.embedding
-from {embeddings} e join {documents} d on d.doc_id = e.vec_id % 200""",
+select cast(d.doc_id as string) as id, cast(d.doc_id as string) as doc_id,
+       cast(0 as int) as chunk_index, d.text as content, e.embedding
+from (select doc_id, text, doc_id % (select count(*) from {embeddings}) as vec_id from {documents}) d
+join {embeddings} e on e.vec_id = d.vec_id""",
     # queries: every embedding queries all chunks (its own row excluded)
     "v_queries": """
 select vec_id as qid, embedding from {embeddings}""",
@@ -62,13 +63,13 @@ from {conversations} group by conv_id""",
     "v_conv_docs_spark": """
 select cast(conv_id as string) as conv_id, pos,
        case when pos = 2 and conv_id % 5 = 0 then 'missing'
-            else cast((conv_id * 7 + pos * 13) % 200 as string) end as doc_id
+            else cast((conv_id * 7 + pos * 13) % (select count(*) from {documents}) as string) end as doc_id
 from (select conv_id, explode(if(conv_id % 4 > 0, sequence(0, cast(conv_id % 4 as int) - 1), array())) as pos
       from (select distinct conv_id from {conversations}))""",
     "v_conv_docs_duck": """
 select cast(conv_id as string) as conv_id, pos,
        case when pos = 2 and conv_id % 5 = 0 then 'missing'
-            else cast((conv_id * 7 + pos * 13) % 200 as string) end as doc_id
+            else cast((conv_id * 7 + pos * 13) % (select count(*) from {documents}) as string) end as doc_id
 from (select conv_id, unnest(range(0, cast(conv_id % 4 as int))) as pos
       from (select distinct conv_id from {conversations}))""",
     # pages: each document cut into 2,000-character pages covering all of it
@@ -80,12 +81,12 @@ from (select doc_id, text, lang, source,
 select doc_id, k as page_id, substring(text, 1 + 2000 * k, 2000) as content, lang, source
 from (select doc_id, text, lang, source,
              unnest(range(0, cast(ceil(n_chars / 2000.0) as int))) as k from {documents})""",
-    # scope of a search query: ten documents chosen by rule (no join)
+    # scope of a search query: ten documents of all, chosen by rule
     "v_scope_spark": """
-select vec_id as qid, cast((vec_id * 7 + j * 13) % 200 as string) as doc_id
+select vec_id as qid, cast((vec_id * 7 + j * 13) % (select count(*) from {documents}) as string) as doc_id
 from (select vec_id, explode(sequence(0, 9)) as j from {embeddings})""",
     "v_scope_duck": """
-select vec_id as qid, cast((vec_id * 7 + j * 13) % 200 as string) as doc_id
+select vec_id as qid, cast((vec_id * 7 + j * 13) % (select count(*) from {documents}) as string) as doc_id
 from (select vec_id, unnest(range(0, 10)) as j from {embeddings})""",
 }
 

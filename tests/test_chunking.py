@@ -14,9 +14,9 @@ EDGE = [
 ]
 
 
-def _native(spark, texts, size=1000, long_text_chars=None):
+def _native(spark, texts, size=1000):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
-    out = chunking.chunk_documents(df, size=size, long_text_chars=long_text_chars) \
+    out = chunking.chunk_documents(df, size=size) \
         .select("doc_id", "chunk_index", "content", "token_count")
     got = {}
     for r in out.collect():
@@ -30,10 +30,7 @@ def test_edge_rows_match_python(spark):
         assert got.get(i, []) == simple_chunk_text(t or "", 1000), (i, t)
 
 
-def test_long_text_path_matches(spark):
-    got, _ = _native(spark, EDGE, long_text_chars=100)     # most edge rows take the Python packer
-    for i, t in enumerate(EDGE):
-        assert got.get(i, []) == simple_chunk_text(t or "", 1000), (i, t)
+def test_long_texts_match(spark):
     big = ("word " * 30 + ". ") * 20000                     # ~3.2M characters, several thousand chunks
     got, _ = _native(spark, [big])
     assert got[0] == simple_chunk_text(big, 1000)
