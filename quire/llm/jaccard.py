@@ -95,6 +95,13 @@ def slot(h: np.ndarray, slots: int) -> np.ndarray:
     return (h & np.uint64(slots - 1)).astype(np.int64)
 
 
+def _small(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.DataFrame]:
+    """Batches cut small: a text's words weigh several times the text."""
+    for pdf in batches:
+        for lo in range(0, len(pdf), rows):
+            yield pdf.iloc[lo:lo + rows]
+
+
 def frequencies(docs: DataFrame, size: int = WORDS, slots: int = SLOTS) -> np.ndarray:
     """Counters of all documents' shingles by hash slot: a table of fixed
     size, summed segment by segment."""
@@ -102,7 +109,7 @@ def frequencies(docs: DataFrame, size: int = WORDS, slots: int = SLOTS) -> np.nd
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(slots, np.int64)
-        for pdf in batches:
+        for pdf in _small(batches):
             got = shingles(pdf["text"].tolist(), size)
             if got:
                 total += np.bincount(slot(np.concatenate(got), slots), minlength=slots)
@@ -134,7 +141,7 @@ def sketch(docs: DataFrame, freq: np.ndarray, size: int = WORDS, percent: int =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rank = shared.value
-        for pdf in batches:
+        for pdf in _small(batches):
             rows = []
             for i, h in zip(pdf["id"], shingles(pdf["text"].tolist(), size)):
                 n = len(h)
@@ -170,7 +177,7 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int = WORDS, percent: int =
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _small(batches):
             yield pd.DataFrame({"id": pdf["id"], "s": [h.tobytes() for h in shingles(pdf["text"].tolist(), size)]})
 
     held = (docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(sets, "id long, s binary"))

@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segments.
 
-Training counts the *tokens* of toxic and of clean labelled documents: words
-and their beginnings (``STEMS`` characters), which carry a stem through its
-endings. Each gets a log-odds ratio under an informative Dirichlet prior (the
+Training counts in how many toxic and clean labelled documents each *token*
+stands: words and their beginnings (``STEMS`` characters), which carry a stem
+through its endings. A document counts once, however often it repeats itself. Each gets a log-odds ratio under an informative Dirichlet prior (the
 corpus frequencies, worth ``PRIOR`` times the toxic words), with its z-value.
 Tokens with clear evidence (``MIN_Z``) keep their log-odds as score; a word
 scores as the best of its tokens and costs ``DRIFT`` when it has none. A
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import materialize
 
 PRIOR = 1.0
-MIN_Z = 4.0
+MIN_Z = 3.3
 STEMS = (4, 5, 6)
 DRIFT = 0.05
 MAX_E = 0.05
@@ -148,7 +148,7 @@ def train(rows: DataFrame, prior: float = PRIOR, min_z: float = MIN_Z, max_words
         toxic, clean = Counter(), Counter()
         for pdf in batches:
             for t, y in zip(pdf["text"], pdf["label"]):
-                (toxic if y == 1 else clean).update(words(t))
+                (toxic if y == 1 else clean).update({x for w in set(words(t)) for x in tokens(w)})
             if len(toxic) + len(clean) > 500_000:
                 yield frame(toxic, clean)
                 toxic.clear()
@@ -157,14 +157,8 @@ def train(rows: DataFrame, prior: float = PRIOR, min_z: float = MIN_Z, max_words
             yield frame(toxic, clean)
 
     def frame(toxic: Counter, clean: Counter) -> pd.DataFrame:
-        got: dict[str, list[int]] = {}
-        for w in toxic.keys() | clean.keys():
-            t, c = toxic[w], clean[w]
-            for x in tokens(w):
-                n = got.setdefault(x, [0, 0])
-                n[0] += t
-                n[1] += c
-        return pd.DataFrame({"w": list(got), "t": [n[0] for n in got.values()], "c": [n[1] for n in got.values()]})
+        ws = list(toxic.keys() | clean.keys())
+        return pd.DataFrame({"w": ws, "t": [toxic[w] for w in ws], "c": [clean[w] for w in ws]})
 
     tab = (rows.mapInPandas(count, "w string, t long, c long").groupBy("w")
            .agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
