@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 16 << 20
 #: A task packs its rows for all blocks each time it has gathered this much.
-FLUSH_BYTES = 48 << 20
+FLUSH_BYTES = 32 << 20
 
 
 def worker_cache() -> dict:

@@ -35,8 +35,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import block_count, block_of, from_payload, pack_blocks, worker_cache
 
 CAPACITY = 1024
-CACHE = 300_000
-_BESIDE = re.compile(r" \s|\s ")
+CACHE = 250_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -71,8 +70,8 @@ def _ranked(tk):
 
 
 def _tokenizer(path: str) -> tuple:
-    """Tokenizer, its ranked form, its special texts and the remembered
-    chunks, kept per Python worker."""
+    """Tokenizer, its special texts and the remembered chunks, kept per Python
+    worker."""
     kept = worker_cache()
     if ("packing", path) not in kept:
         import os
@@ -82,31 +81,51 @@ def _tokenizer(path: str) -> tuple:
         if tk.pre_tokenizer is None or "ByteLevel" not in type(tk.pre_tokenizer).__name__ or tk.normalizer is not None:
             raise ValueError(f"{path}: not a plain byte-level tokenizer")
         special = [t.content for t in tk.get_added_tokens_decoder().values()]
-        kept["packing", path] = (tk, _ranked(tk), special, {})
+        ranked = _ranked(tk)
+        encode = ranked.encode_ordinary if ranked else lambda c: tk.encode(c, add_special_tokens=False).ids
+        kept["packing", path] = (tk, special, _Known(encode))
     return kept["packing", path]
 
 
 def chunks(text: str) -> list[str]:
     """``text`` cut before each single space between two non-space characters."""
-    w = text.split(" ") if not _BESIDE.search(text) else _CUT.split(text)
-    return [w[0], *[" " + x for x in w[1:]]] if text else []
+    if not text:
+        return []
+    flat = text.replace("\n", " ")
+    # with no two blanks beside each other and no other white space, every
+    # space is such a place
+    if "  " in flat or len(flat.split(" ")) != len(text.split()):
+        w = _CUT.split(text)
+    else:
+        w = text.split(" ")
+    return [w[0], *[" " + x for x in w[1:]]]
+
+
+class _Known(dict):
+    """Ids of chunks, worked out when first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = array("I", self.encode(chunk)).tobytes()
+        if len(self) < CACHE:  # frequent chunks come early
+            self[chunk] = ids
+        return ids
 
 
 def tokenize(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers."""
-    tk, ranked, special, known = _tokenizer(path)
-    cut = [chunks(t or "") for t in texts]
-    new = {c for c in set().union(*cut) if c not in known}
-    if len(known) + len(new) > CACHE:
-        known.clear()
-        new = set().union(*cut)
-    # texts of special tokens are cut out by the tokenizer itself
-    own = [c for c in new if ranked is None or any(s in c for s in special)]
-    for c, e in zip(own, tk.encode_batch_fast(own, add_special_tokens=False)):
-        known[c] = array("I", e.ids).tobytes()
-    for c in new.difference(own):
-        known[c] = array("I", ranked.encode_ordinary(c)).tobytes()
-    return [b"".join([known[c] for c in cs]) for cs in cut]
+    tk, special, known = _tokenizer(path)
+    out = []
+    for t in texts:
+        t = t or ""
+        if any(s in t for s in special):  # cut out by the tokenizer itself
+            out.append(array("I", tk.encode(t, add_special_tokens=False).ids).tobytes())
+        else:
+            out.append(b"".join(map(known.__getitem__, chunks(t))))
+    return out
 
 
 def balance(lengths: np.ndarray, capacity: int = CAPACITY, linear: float = 1.0,
@@ -152,8 +171,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
+            for lo in range(0, b.num_rows, 250):
+                part = b.slice(lo, 250)
                 ids = [x + end for x in tokenize(part.column("text").to_pylist(), tokenizer_path)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("block"), pa.array(ids, pa.binary())],
                                                  names=["id", "block", "ids"])
