@@ -63,9 +63,11 @@ def reversed_host_key(url: str | None) -> str:
 
 # ------------------------------------------------------------------- writing
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def records(pages: DataFrame, archives: int, id_col: str = "page_id", url_col: str = "url",
+            payload_col: str = "html") -> DataFrame:
     """``(id, url, payload, size, digest, refers_to)``: what each page's
-    record holds; ``refers_to`` is null for responses."""
+    record holds; ``refers_to`` is null for responses. Payloads are dealt to
+    the archives here, once: the join keeps this partitioning."""
     url = F.regexp_replace(F.regexp_replace(F.col(url_col), "\r", "%0D"), "\n", "%0A")
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     p = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), payload.alias("payload"))
@@ -76,7 +78,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     revisits = big.join(shared, ["digest", "size"]).filter("id < target").select("id", F.col("target").alias("refers_to")).distinct()
     # an id may repeat with another payload: only equal payloads are revisits
     revisits = revisits.join(big.join(shared, ["digest", "size"]).filter("id < target").select("id", "digest"), "id").distinct()
-    return (p.withColumn("digest", digest).withColumn("size", size)
+    return (p.withColumn("digest", digest).withColumn("size", size).repartition(archives, "id", "digest")
             .join(revisits, ["id", "digest"], "left").select("id", "url", "payload", "size", "digest", "refers_to"))
 
 
@@ -104,9 +106,9 @@ def record_text() -> Column:
     return F.concat(*parts)
 
 
-def write_archives(recs: DataFrame, path: str, archives: int, compression: str = "gzip") -> None:
-    """Write ``records`` as about ``archives`` WARC files below ``path``."""
-    (recs.repartition(archives, "id", "digest").select(record_text().alias("value"))
+def write_archives(recs: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Write ``records``, one WARC file for each of their partitions."""
+    (recs.select(record_text().alias("value"))
      .write.option("lineSep", END).option("compression", compression).text(path))
 
 
@@ -247,8 +249,10 @@ def read_records(places: DataFrame, files: DataFrame) -> DataFrame:
 def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
             compression: str = "gzip") -> DataFrame:
     """Write the archives and their index below ``path``; returns the index."""
-    n = block_count(pages, F.octet_length(payload_col), ARCHIVE_BYTES)
-    write_archives(records(pages, id_col, url_col, payload_col), f"{path}/archives", n, compression)
+    # not fewer than a join makes, which would deal the payloads out anew
+    n = max(block_count(pages, F.octet_length(payload_col), ARCHIVE_BYTES),
+            int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    write_archives(records(pages, n, id_col, url_col, payload_col), f"{path}/archives", compression)
     return build_index(entries(archive_files(pages.sparkSession, f"{path}/archives")), f"{path}/index", pages.count())
 
 
