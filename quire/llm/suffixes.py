@@ -102,6 +102,15 @@ def sliding_least(h: np.ndarray, w: int) -> np.ndarray:
     return (z & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
+def gather(data: np.ndarray, at: np.ndarray, n: int, width: int) -> np.ndarray:
+    """The ``n`` bytes from each position as rows of ``width`` (in parts: an
+    index weighs eight times the bytes)."""
+    out = np.zeros((len(at), width), np.uint8)
+    for lo in range(0, len(at), 20_000):
+        out[lo:lo + 20_000, :n] = data[at[lo:lo + 20_000, None] + np.arange(n)]
+    return out
+
+
 class Block:
     """The texts of a block that take part, and their anchors."""
 
@@ -131,8 +140,7 @@ class Block:
             cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
             #: first and last start of the strings of each anchor, its own start, its document
             self.first, self.last, self.anchor, self.doc = cat(first, np.int64), cat(last, np.int64), cat(anchor, np.int64), cat(doc, np.int32)
-            grams = np.zeros((len(self.anchor), -(-q // 8) * 8), np.uint8)
-            grams[:, :q] = self.data[self.anchor[:, None] + np.arange(q)]
+            grams = gather(self.data, self.anchor, q, -(-q // 8) * 8)
             self.key = _hash_rows(grams, 1) >> np.uint64(64 - KEY_BITS)
         order = np.lexsort((self.doc, self.key))
         k, d = self.key[order], self.doc[order]
@@ -152,9 +160,7 @@ class Block:
         n = self.last[many] - self.first[many] + 1
         which = np.repeat(many, n)
         at = self.first[which] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        strings = np.zeros((len(at), -(-self.length // 8) * 8), np.uint8)
-        for lo in range(0, len(at), 100_000):
-            strings[lo:lo + 100_000, :self.length] = self.data[at[lo:lo + 100_000, None] + np.arange(self.length)]
+        strings = gather(self.data, at, self.length, -(-self.length // 8) * 8)
         with np.errstate(over="ignore"):
             hot_key = _hash_rows(strings, 2) >> np.uint64(64 - KEY_BITS)
         return (np.concatenate([self.first[one], at]), np.concatenate([self.last[one], at]),
@@ -163,7 +169,7 @@ class Block:
 
     def bytes_of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Context bytes as rows of equal width, zero behind the end."""
-        rows = self.data[first[:, None] + np.arange(self.width)]
+        rows = gather(self.data, first, self.width, self.width)
         rows[np.arange(self.width) >= (last - first + self.length)[:, None]] = 0
         return rows
 
@@ -280,7 +286,7 @@ def judge_contexts(payloads: list[bytes], length: int) -> list[np.ndarray]:
     some = some[np.argsort(key[rep][some], kind="stable")]
     lo = 0
     while lo < len(some):
-        hi = min(len(some), lo + 60_000)
+        hi = min(len(some), lo + 20_000)
         while hi < len(some) and key[rep[some[hi]]] == key[rep[some[hi - 1]]]:
             hi += 1
         part = some[lo:hi]
@@ -304,19 +310,21 @@ def removed_runs(block: Block, asked: Asked, bits: np.ndarray) -> tuple[np.ndarr
     size = asked.last - asked.first + 1
     full = ((np.uint64(1) << size.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
     mine = np.where(asked.ids > rep_id, full, mine)
-    n = len(block.data) + 1
-    cover = np.zeros(n, np.int32)
     whole = mine == full
-    cover += np.bincount(asked.first[whole], minlength=n).astype(np.int32)
-    cover -= np.bincount(asked.last[whole] + block.length, minlength=n).astype(np.int32)
+    starts, ends = [asked.first[whole]], [asked.last[whole] + block.length]
     part = ~whole & (mine != 0)
     for j in range(int(size[part].max()) if part.any() else 0):
         at = asked.first[part][(mine[part] >> np.uint32(j)) & np.uint32(1) == 1] + j
-        cover += np.bincount(at, minlength=n).astype(np.int32)
-        cover -= np.bincount(at + block.length, minlength=n).astype(np.int32)
-    gone = np.concatenate([[0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]])
-    edge = np.diff(gone)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        starts.append(at)
+        ends.append(at + block.length)
+    start, end = np.concatenate(starts), np.concatenate(ends)
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order]) if len(order) else end
+    if not len(start):
+        return start, end
+    # a run ends where nothing before the next start reaches it
+    cut = np.flatnonzero(start[1:] > end[:-1])
+    return start[np.append(0, cut + 1)], end[np.append(cut, len(end) - 1)]
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q,
@@ -382,7 +390,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             bits[asked.bucket == r.bucket] = from_payload(r.payload)["bits"].to_numpy()
         starts, ends = removed_runs(block, asked, bits)
         place = {k: j for j, k in enumerate(block.used)}
-        extra = [unpack(left["payload"])[f"carry{i}"].to_pylist() for i in range(len(carry))] if len(left) else []
+        held = unpack(left["payload"]).drop_columns(["text"]) if len(left) else None
+        extra = [held[f"carry{i}"].to_pylist() for i in range(len(carry))] if held is not None else []
         ids = unpack(right.loc[right["kind"] == 0, "payload"])
         firsts_here = set(ids["id"].to_pylist()) if ids is not None else set()
         rows = []
