@@ -34,6 +34,16 @@ def worker_cache() -> dict:
     return held.__dict__.setdefault("kept", {})
 
 
+def give_back() -> None:
+    """Return memory that a Python worker no longer uses to the system: idle
+    workers of earlier stages count as executor memory, too."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -78,6 +88,8 @@ def pack_blocks(df: DataFrame, block: str = "block") -> DataFrame:
                 yield from emit(held)
                 held, size = [], 0
         yield from emit(held)
+        del held
+        give_back()
 
     def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in held if b.num_rows]

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize
+from quire.llm.common import give_back, materialize
 from quire.llm.components import components
 
 WORDS = 4
@@ -100,6 +100,7 @@ def _small(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.Dat
     for pdf in batches:
         for lo in range(0, len(pdf), rows):
             yield pdf.iloc[lo:lo + rows]
+    give_back()
 
 
 def frequencies(docs: DataFrame, size: int = WORDS, slots: int = SLOTS) -> np.ndarray:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import block_count, block_of, from_payload, pack_blocks, to_payload, unpack
+from quire.llm.common import block_count, block_of, from_payload, give_back, pack_blocks, to_payload, unpack
 
 LENGTH = 50
 Q = 24
@@ -348,6 +348,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         return df.select(*[v.cast("int").alias(c) for c, v in cols.items()], F.lit(kind).alias("kind"), "payload")
 
     def load(left: pd.DataFrame, right: pd.DataFrame) -> Block:
+        give_back()  # what the block before held
         ids = unpack(right.loc[right["kind"] == 0, "payload"])
         return Block(unpack(left["payload"]), set(ids["id"].to_pylist()) if ids is not None else set(), length, q)
 
@@ -369,6 +370,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     def answer_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
         got = judge_anchors(list(pdf["payload"]), hot)
+        give_back()
         return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"],
                              "payload": [np.packbits(np.stack([s >= 1, s == 2]), axis=1).tobytes() for s in got]})
 
@@ -379,6 +381,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     def answer_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
         got = judge_contexts(list(pdf["payload"]), length)
+        give_back()
         return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"],
                              "payload": [to_payload(pa.table({"bits": x})) for x in got]})
 
