@@ -4,8 +4,8 @@ Training counts in how many toxic and clean labelled documents each *token*
 stands: words and their beginnings (``STEMS`` characters), which carry a stem
 through its endings. A document counts once, however often it repeats itself. Each gets a log-odds ratio under an informative Dirichlet prior (the
 corpus frequencies, worth ``PRIOR`` times the toxic words), with its z-value.
-Tokens with clear and strong evidence (``MIN_Z``, ``MIN_LOG_ODDS``) keep their
-log-odds as score; a word
+Tokens with clear and strong evidence (``MIN_Z``, and ``MIN_LOG_ODDS`` before
+the prior, whatever the share of toxic rows) keep their log-odds as score; a word
 scores as the best of its tokens and costs ``DRIFT`` when it has none. A
 linear-time scan (Ruzzo and Tompa) finds all maximal-scoring
 segments of a text. Their scores follow an extreme-value law: ``lambda`` solves
@@ -43,8 +43,11 @@ from quire.llm.common import materialize
 
 PRIOR = 1.0
 MIN_Z = 3.3
-#: Weaker tokens mostly tell languages or topics with more toxic rows apart.
-MIN_LOG_ODDS = 2.0
+#: Least log-odds ratio of the counts themselves; weaker tokens mostly tell
+#: languages or topics with more toxic rows apart. The prior shrinks what a
+#: token can reach to ln((1 + f) / 2f^2) for a toxic share f of the words, so a
+#: cutoff on the shrunk ratio would lock every token out of balanced labels.
+MIN_LOG_ODDS = 2.67
 STEMS = (4, 5, 6)
 DRIFT = 0.05
 MAX_E = 0.05
@@ -173,10 +176,11 @@ def train(rows: DataFrame, prior: float = PRIOR, min_z: float = MIN_Z, max_words
     prior = prior * nt
     al = F.col("p") * F.lit(prior)
     lo = lambda y, tot: F.log((F.col(y) + al) / (F.lit(tot + prior) - F.col(y) - al))
+    plain = lambda y, tot: F.log((F.col(y) + 0.5) / (F.lit(tot + 0.5) - F.col(y)))
     z = (tab.filter("t > 1").withColumn("p", (F.col("t") + F.col("c")) / F.lit(nt + nc))
          .withColumn("s", lo("t", nt) - lo("c", nc))
          .withColumn("z", F.col("s") / F.sqrt(1 / (F.col("t") + al) + 1 / (F.col("c") + al)))
-         .filter((F.col("z") >= min_z) & (F.col("s") >= MIN_LOG_ODDS)).orderBy(F.col("z").desc(), "w").limit(max_words).collect())
+         .filter((F.col("z") >= min_z) & (plain("t", nt) - plain("c", nc) >= MIN_LOG_ODDS)).orderBy(F.col("z").desc(), "w").limit(max_words).collect())
     scores = {r["w"]: float(r["s"]) for r in z}
     if not scores:
         return Model({}, 1.0, 0.0)

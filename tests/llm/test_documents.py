@@ -338,6 +338,25 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("percent", [10, 30, 50])
+def test_toxic_words_count_at_any_share_of_labels(spark, percent):
+    rng = random.Random(percent)
+    rows, labels = [], []
+    for i in range(1600):
+        toxic = rng.randrange(100) < percent
+        ws = [f"w{rng.randint(0, 300)}" for _ in range(30)]
+        for _ in range(4 if toxic else 0):
+            ws.insert(rng.randrange(len(ws)), rng.choice(["vile", "scum", "moron"]))
+        rows.append(" ".join(ws))
+        labels.append((i, int(toxic)))
+    docs = frame(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {"vile", "scum", "moron"} <= set(model.scores)
+    found = {r.doc_id for r in toxicity.score(docs, model).collect() if r.score >= toxicity.THRESHOLD}
+    held = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([i in found for i, y in held if y]) > 0.95 and np.mean([i in found for i, y in held if not y]) < 0.02
+
+
 # ---------------------------------------------------------------- licences
 
 def plain_license(text):
