@@ -7,16 +7,18 @@ of a fixed ladder to the tightest, a cutoff is accepted while the exact
 binomial (Clopper-Pearson) upper bound on its false rejection of good
 documents stays below the rule's share of ``RISK``; the first failure ends the
 ladder. Fixed-sequence testing needs no correction inside a ladder, and the
-error rate is divided over all (stratum, rule) ladders (Bonferroni). With
-probability ``1 - ERROR`` over the holdout, no stratum loses more than
-``RISK`` of its good documents to the learned rules. A ladder without enough
-holdout rows gets no cutoff, so it rejects nothing.
+error rate is divided over all (stratum, rule) ladders that have holdout rows
+enough to accept anything (Bonferroni; the others cannot err, see
+``testable``). With probability ``1 - ERROR`` over the holdout, no stratum
+loses more than ``RISK`` of its good documents to the learned rules. A ladder
+without enough holdout rows gets no cutoff, so it rejects nothing.
 
-Strata beyond the ``MAX_STRATA`` best labelled ones share one stratum, which
-bounds the table of cutoffs; labels are counted over all labelled rows.
+Every stratum is judged by its own holdout rows only, however many strata
+there are: the cutoffs stay a distributed table, joined by stratum.
 
 Defined results: a text that is null or empty has no words and fails the base
-rule; null or unknown languages fall into the shared stratum; repeated ids are
+rule; null languages are one stratum; strata without labelled good rows meet
+the base rule only; repeated ids are
 kept row by row (a label counts once for each row of its id); an empty
 documents or labels table gives no cutoffs; other columns are ignored.
 """
@@ -36,8 +38,6 @@ from quire.llm.common import materialize
 
 RISK = 0.04
 ERROR = 0.05
-MAX_STRATA = 64
-SHARED = "*"
 #: rule -> (numerator, denominator): values are ratios, higher is worse
 RULES = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"),
          "repeats": ("n_repeat_words", "n_words"), "long_words": ("word_chars", "n_words")}
@@ -137,47 +137,60 @@ def accepted_cutoff(ladder: list[float], false_rejections: list[int], n: int, ri
     return best
 
 
+def testable(sizes: list[tuple[int, int]], risk: float, error: float) -> int:
+    """Among how many strata the error is divided: the least ``m`` such that
+    at most ``m`` strata have the rows that ``error / m`` asks for when none is
+    rejected. Smaller strata can accept nothing then, so they cannot err.
+    ``sizes``: (rows, how many strata have that many)."""
+    def able(m: int) -> int:
+        return sum(c for n, c in sizes if n * math.log1p(-risk) <= math.log(error / m) + 1e-9)
+    lo, hi = 1, max(1, sum(c for _, c in sizes))
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if able(mid) <= mid else (mid + 1, hi)
+    return lo
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
-            risk: float = RISK, error: float = ERROR, max_strata: int = MAX_STRATA) -> DataFrame:
-    """Cutoffs ``(stratum, rule, cutoff)``, at most ``(max_strata + 1) x
-    rules`` rows; a ladder that accepts nothing has no row."""
+            risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """Cutoffs ``(stratum, <a column for each rule>)``; a ladder that accepts
+    nothing has null, a stratum without any cutoff has no row."""
     good = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("label = 1 and id is not null")
     held = measured.filter(~F.col("base_failed")).join(good.select("id"), "id")
-    sizes = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
-    # the best labelled strata keep their own cutoffs: a bounded list of names
-    named = [r["stratum"] for r in sizes.filter("stratum is not null")
-             .orderBy(F.col("n").desc(), "stratum").limit(max_strata).collect()]
-    n_ladders = (len(named) + 1) * len(RULES)
-    held = held.withColumn("stratum", F.when(F.col("stratum").isin(named), F.col("stratum")).otherwise(F.lit(SHARED)))
     # one aggregate counts, for each stratum, rule and cutoff, the good
     # documents beyond it
     sums = [F.sum((rule_value(r) > F.lit(c)).cast("long")).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(LADDER[r])]
-    table = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums)
+    table = materialize(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums), "quality-ladders")
+    per_rule, per_ladder = risk / len(RULES), error / len(RULES)
+    # strata with more rows than MANY are testable at any number of strata
+    # below 1e18, so at most MANY sizes are told apart
+    many = math.ceil(math.log(per_ladder / 1e18) / math.log1p(-per_rule))
+    sizes = table.groupBy(F.least("n", F.lit(many)).alias("n")).count().collect()
+    m = testable([(r["n"], r["count"]) for r in sizes], per_rule, per_ladder)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for row in pdf.to_dict("records"):
-                for r in RULES:
-                    ks = [int(row[f"{r}_{i}"]) for i in range(len(LADDER[r]))]
-                    cut = accepted_cutoff(LADDER[r], ks, int(row["n"]), risk / len(RULES), error / n_ladders)
-                    if cut is not None:
-                        rows.append((row["stratum"], r, cut))
-            yield pd.DataFrame(rows, columns=["stratum", "rule", "cutoff"])
+                cut = [accepted_cutoff(LADDER[r], [int(row[f"{r}_{i}"]) for i in range(len(LADDER[r]))], int(row["n"]),
+                                       per_rule, per_ladder / m) for r in RULES]
+                if any(c is not None for c in cut):
+                    rows.append((row["stratum"], *cut))
+            got = pd.DataFrame(rows, columns=["stratum", *RULES])
+            yield got.astype({r: "float64" for r in RULES})
 
-    return table.mapInPandas(decide, "stratum string, rule string, cutoff double")
+    return table.mapInPandas(decide, "stratum string, " + ", ".join(f"{r} double" for r in RULES))
 
 
-def judge(measured: DataFrame, cuts: dict[str, dict[str, float]]) -> DataFrame:
-    """``kept``: the base rule holds and no value exceeds its cutoff.
-    ``cuts``: stratum -> rule -> cutoff."""
-    named = [s for s in cuts if s != SHARED]
-    stratum = F.when(F.col("stratum").isin(named), F.col("stratum")).otherwise(F.lit(SHARED)) if named else F.lit(SHARED)
+def judge(measured: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``kept``: the base rule holds and no value exceeds the cutoff of its
+    own stratum in ``cuts`` (see ``cutoffs``)."""
+    cuts = cuts.select(F.col("stratum").alias("_stratum"), *[F.col(r).alias(f"_{r}") for r in RULES])
     bad = F.lit(False)
-    for s, rules in cuts.items():
-        for r, c in rules.items():
-            bad = bad | ((stratum == s) & (rule_value(r) > F.lit(c)))
-    return measured.withColumn("kept", ~F.col("base_failed") & ~bad)
+    for r in RULES:
+        bad = bad | F.coalesce(rule_value(r) > F.col(f"_{r}"), F.lit(False))
+    both = measured.join(cuts, measured["stratum"].eqNullSafe(cuts["_stratum"]), "left")
+    return both.withColumn("kept", ~F.col("base_failed") & ~bad).select(*measured.columns, "kept")
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -185,10 +198,6 @@ def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Counts and verdict of every document (see the module's text)."""
     # measured once: the holdout and the verdicts both read the stored counts
     measured = materialize(counts(docs, id_col, text_col, stratum_col), "quality-counts")
-    # at most (MAX_STRATA + 1) * len(RULES) rows
-    found = cutoffs(measured, labels, id_col, label_col).collect()
-    cuts: dict[str, dict[str, float]] = {}
-    for r in found:
-        cuts.setdefault(r["stratum"], {})[r["rule"]] = r["cutoff"]
+    cuts = materialize(cutoffs(measured, labels, id_col, label_col), "quality-cutoffs")
     return judge(measured, cuts).withColumnRenamed("id", id_col).withColumnRenamed("stratum", stratum_col)
 

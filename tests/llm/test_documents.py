@@ -89,6 +89,31 @@ def test_quality_learns_and_guards(spark):
     assert quality.filter_quality(docs.limit(0), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
 
 
+def test_quality_judges_each_stratum_by_its_own_holdout(spark):
+    # nulls and 64 languages have many labelled rows, all without symbols; the
+    # small and the unlabelled language are full of symbols in good rows
+    rows, labels = [], []
+    for lang, n in [(None, 1500), *[(f"big{j}", 20) for j in range(64)], ("small", 2), ("new", 30), ("well", 1500)]:
+        for _ in range(n):
+            i, bad = len(rows), lang == "well" and len(rows) % 10 == 0
+            words = [f"w{i}x{k}" + ("###" if lang in ("small", "new") or bad else "") for k in range(25)]
+            rows.append((i, " ".join(words), lang))
+            if lang != "new":
+                labels.append((i, int(not bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality.filter_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert len(got) == len(rows)
+    assert all(r.kept for r in got if r.lang in ("small", "new"))
+    assert not any(r.kept for r in got if r.lang == "well" and r.doc_id % 10 == 0)
+
+
+def test_error_is_divided_among_testable_strata():
+    # 299 rows certify 1 % at an error of 0.05; 5,000 tiny strata take no share
+    assert quality.testable([(299, 1), (10, 5000)], 0.01, 0.05) == 1
+    assert quality.testable([(299, 2)], 0.01, 0.05) == 2 and quality.testable([(2000, 7)], 0.01, 0.05) == 7
+    assert quality.testable([], 0.01, 0.05) == 1
+
+
 # ---------------------------------------------------------------- suffixes
 
 def plain_removals(rows, k=50):
