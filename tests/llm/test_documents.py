@@ -303,6 +303,24 @@ def test_net_learns_held_out_findings(spark):
     assert (net.probability(new) >= net.threshold).mean() > 0.9 and (net.probability(plain) >= net.threshold).mean() < 0.05
 
 
+def other_keys(n, seed=6):
+    rng = random.Random(seed)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    return ["".join(rng.choices(chars, k=36)) for _ in range(n)]
+
+
+def test_net_reports_in_a_corpus_with_few_findings(spark, scratch):
+    from quire.llm import stages
+    keys = other_keys(20)
+    texts = [f"The value {k} was sent to all of us" for k in keys] + ["one internationalisation word", "token = abcdef12", None]
+    docs = frame(spark, texts)
+    docs.write.parquet(f"{scratch}/documents.parquet")
+    got = {r.doc_id: r.spans for r in QUERIES["op5_secrets"](spark, scratch).collect()}
+    assert sum(got[i] == "net:10:46" for i in range(20)) >= 19 and got[20] == "" and got[21] == "assign:0:16"
+    masked = {r.doc_id: r.text for r in stages.mask_secrets(docs).collect()}
+    assert sum(k in masked[i] for i, k in enumerate(keys)) <= 1 and masked[20] == texts[20] and masked[22] is None
+
+
 def test_redact():
     assert secrets.redact("abcdefgh", [(1, 3), (2, 5), (6, 7)], "*") == "a*f*h"
     assert secrets.redact(None, [(0, 1)]) is None and secrets.redact("ab", []) == "ab"
