@@ -321,6 +321,24 @@ def test_net_reports_in_a_corpus_with_few_findings(spark, scratch):
     assert sum(k in masked[i] for i, k in enumerate(keys)) <= 1 and masked[20] == texts[20] and masked[22] is None
 
 
+def test_threshold_keeps_its_recall(spark):
+    rng = random.Random(9)
+    y = np.array([1] * 200 + [0] * 200)
+    net = secrets.Net()
+    z = np.array([rng.gauss(0, 1) for _ in y])
+    net.calibrate(z, y, secrets.MIN_RECALL)
+    p = 1 / (1 + np.exp(-(net.scale * z + net.shift)))
+    assert (p[y == 1] >= net.threshold).mean() >= secrets.MIN_RECALL
+
+
+def test_judged_candidates_are_no_negatives(spark):
+    rng = random.Random(3)
+    keys = other_keys(400)
+    texts = [f"some text token = {rng.randbytes(20).hex()} and more words" for _ in range(200)] + [f"sent {k} to all" for k in keys]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(frame(spark, texts)).collect()}
+    assert np.mean([any(s.kind == "net" for s in got[200 + i]) for i in range(400)]) > 0.9
+
+
 def test_redact():
     assert secrets.redact("abcdefgh", [(1, 3), (2, 5), (6, 7)], "*") == "a*f*h"
     assert secrets.redact(None, [(0, 1)]) is None and secrets.redact("ab", []) == "ab"
