@@ -2,14 +2,18 @@
 
 The licence templates are a small fixed table of word sequences with the key
 phrases that must stand in a file. From them comes a positional index: for
-each of a template's ``RARE`` highest-IDF words (IDF over the templates, ties
-by word) the positions where it stands. A file's words are looked up in the
-index; every hit proposes a start ``file position - template position``, and
-proposals of one template that agree on the start are intersected into one
-place with the share of the template's rare-word weight that it explains.
-A place counts when this share reaches ``MIN_SHARE`` and one of the template's
-key phrases stands in the file word for word.
-
+each of a template's ``RARE`` highest-IDF words (IDF over the documents; ties
+by the number of templates, then the longer word) the positions where it
+stands. A file's words are looked up in the index; every hit proposes a start
+``file position - template position``, and proposals of one template that agree
+on the start are intersected into one place with the share of the template's
+rare-word weight that it explains. A key phrase found word for word proposes a
+place, too, and that place counts with ``MIN_SHARE`` at least. Any other place
+counts when its share reaches ``MIN_SHARE`` and one of the template's key
+phrases stands within a template's length of it. A key phrase that another
+template's key phrase carries on (attribution noncommercial) is not found.
+
+One aggregate counts the documents with each template word (a row a word).
 The work on a file is a projection: no shuffle, no Python. Base phrases are
 found by the same word positions.
 
@@ -52,15 +56,17 @@ RARE = 6
 MIN_SHARE = 0.5
 
 
-def build_index(templates: dict = TEMPLATES, rare: int = RARE) -> dict[str, list[tuple[str, int, float]]]:
+def build_index(df: dict[str, int], n: int, templates: dict = TEMPLATES,
+                rare: int = RARE) -> dict[str, list[tuple[str, int, float]]]:
     """word -> ``(template, position, weight)`` for the rarest words of each
-    template; a template's weights sum to 1 over its words' first places."""
+    template, where ``df`` of ``n`` documents have a word; a template's weights
+    sum to 1 over its words' places."""
     split = {k: v[0].split() for k, v in templates.items()}
-    df = Counter(w for ws in split.values() for w in set(ws))
+    shared = Counter(w for ws in split.values() for w in set(ws))
     out: dict[str, list[tuple[str, int, float]]] = {}
     for name, ws in split.items():
-        idf = {w: math.log((1 + len(split)) / df[w]) for w in set(ws)}
-        top = sorted(idf, key=lambda w: (-idf[w], w))[:rare]
+        idf = {w: math.log((2 + n) / (1 + df.get(w, 0))) for w in set(ws)}
+        top = sorted(idf, key=lambda w: (-idf[w], shared[w], -len(w), w))[:rare]
         total = sum(idf[w] * ws.count(w) for w in top)
         for w in top:
             for p, x in enumerate(ws):
@@ -69,6 +75,45 @@ def build_index(templates: dict = TEMPLATES, rare: int = RARE) -> dict[str, list
     return out
 
 
+def word_array(text_col: str) -> Column:
+    """The words of a text: pieces between ASCII characters that are neither
+    letters nor digits (the two ends of the split may be empty)."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.filter(F.split(F.lower(text), r"[\x00-/:-@\[-`{-\x7f]+"), lambda w: w != "")
+
+
+def document_frequency(docs: DataFrame, text_col: str = "text", templates: dict = TEMPLATES) -> tuple[dict[str, int], int]:
+    """How many documents have each template word, and how many there are."""
+    vocab = sorted({w for sentence, _ in templates.values() for w in sentence.split()})
+    has = F.array_intersect(word_array(text_col), F.array(F.lit(""), *[F.lit(w) for w in vocab]))
+    got = (docs.select(F.explode(F.concat(F.array(F.lit("")), has)).alias("w")).groupBy("w").count()
+           .collect())  # a row for each template word, and "" for all documents
+    df = {r["w"]: r["count"] for r in got}
+    return df, df.pop("", 0)
+
+
+def continued(phrase: str, name: str, templates: dict = TEMPLATES) -> list[tuple[str, int]]:
+    """``(other phrase, distance)``: key phrases of other templates that would
+    begin inside ``phrase`` and reach beyond it."""
+    ws = phrase.split()
+    return sorted({(q, len(ws) - k) for t, (_, keys) in templates.items() if t != name for q in keys
+                   for k in range(1, min(len(ws), len(q.split()) - 1) + 1) if ws[-k:] == q.split()[:k]})
+
+
+def _key_places(name: str, templates: dict) -> list[str]:
+    """SQL: the places ``(t, i, at, n)`` that key phrases of a template
+    propose: the phrase's position, the template's start and its length."""
+    ws, out = templates[name][0].split(), []
+    for p in templates[name][1]:
+        k = p.split()
+        o = next(i for i in range(len(ws)) if ws[i:i + len(k)] == k)
+        at = _phrase_at("words", p)
+        for q, far in continued(p, name, templates):
+            at = f"filter({at}, i -> not array_contains({_phrase_at('words', q)}, cast(i + {far} as int)))"
+        out.append(f"transform({at}, i -> named_struct('t', {_str(name)}, 'i', i, 'at', i - {o}, 'n', {len(ws)}))")
+    return out
+
+
 def _str(v: str) -> str:
     return "'" + v + "'"
 
@@ -89,15 +134,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     """``(<id_col>, n_words, base_places, places)`` of every row.
     ``base_places``: array of ``(label, start)``; ``places``: array of
     ``(label, start, share)`` found by the index and verified."""
-    index = build_index(templates)
+    index = build_index(*document_frequency(docs, text_col, templates), templates)
     phrases = sorted({p for _, keys in templates.values() for p in keys} | set(base.values()))
     anchors = {max(p.split(), key=len) for p in phrases}
     known = sorted(set(index) | anchors)
-    # the words of a text: pieces between ASCII characters that are neither
-    # letters nor digits (the two ends of the split may be empty)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    words = F.filter(F.split(F.lower(text), r"[\x00-/:-@\[-`{-\x7f]+"), lambda w: w != "")
-    df = docs.select(F.col(id_col).alias("id"), words.alias("words"))
+    df = docs.select(F.col(id_col).alias("id"), word_array(text_col).alias("words"))
     listed = "array(" + ", ".join(_str(w) for w in known) + ")"
     df = df.withColumn("hits", F.expr(
         f"filter(transform(words, (w, p) -> named_struct('w', w, 'p', p)), h -> array_contains({listed}, h.w))"))
@@ -107,15 +148,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     proposals = (f"flatten(transform(hits, h -> transform(coalesce(try_element_at({posts}, h.w), array()), "
                  "x -> named_struct('t', x.t, 'at', h.p - x.o, 's', x.s))))")
     df = df.withColumn("found", F.expr(proposals))
+    keys = [x for t in templates for x in _key_places(t, templates)]
+    df = df.withColumn("keys", F.expr(f"flatten(array({', '.join(keys)}))"))
     # intersect: proposals of one template with the same start add up
-    merged = ("transform(array_distinct(transform(found, f -> named_struct('t', f.t, 'at', f.at))), "
+    merged = ("transform(array_distinct(concat(transform(found, f -> named_struct('t', f.t, 'at', f.at)), "
+              "transform(keys, k -> named_struct('t', k.t, 'at', k.at)))), "
               "g -> named_struct('label', g.t, 'start', g.at, 'share', aggregate(found, cast(0 as double), "
               "(a, f) -> a + if(f.t = g.t and f.at = g.at, f.s, cast(0 as double)))))")
-    verified = " or ".join(
-        f"(m.label = {_str(t)} and (" + " or ".join(f"size({_phrase_at('words', p)}) > 0" for p in keys) + "))"
-        for t, (_, keys) in templates.items())
+    here = "exists(keys, k -> k.t = m.label and k.at = m.start)"
+    near = "exists(keys, k -> k.t = m.label and k.i between m.start - k.n and m.start + 2 * k.n)"
     df = df.withColumn("places", F.expr(
-        f"filter(filter({merged}, m -> m.share >= {min_share}), m -> {verified})"))
+        f"transform(filter({merged}, m -> {here} or (m.share >= {min_share} and {near})), m -> named_struct('label', m.label, "
+        f"'start', m.start, 'share', if({here}, greatest(m.share, cast({min_share} as double)), m.share)))"))
     base_places = "flatten(array(" + ", ".join(
         f"transform({_phrase_at('words', p)}, i -> named_struct('label', {_str(l)}, 'start', i))" for l, p in base.items()) + "))"
     return df.select(F.col("id").alias(id_col), F.size("words").cast("long").alias("n_words"),

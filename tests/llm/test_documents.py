@@ -450,6 +450,26 @@ def test_license_templates_by_position(spark):
     assert got[14].labels == "" and got[3].labels == "mit" and got[3].score == 1.0
 
 
+def test_license_notices_other_than_the_template(spark):
+    far = "redistribution x y z " + "filler " * 300
+    notices = ["distributed under the terms of the GNU General Public License version 3",
+               "Redistribution and use in source and binary forms, with or without modification, is allowed",
+               "Creative Commons Attribution NonCommercial 4.0", "Creative Commons Attribution 4.0",
+               "modification are permitted provided that the following conditions are met " + far + "redistribution and use"]
+    common = ["they are going to get any copy and it can be used in general as met"] * 20
+    got = {r.doc_id: r for r in licenses.report(licenses.scan(frame(spark, notices + common))).collect()}
+    assert [got[i].labels for i in range(5)] == ["gpl", "bsd", "cc-by-nc", "cc-by", ""]
+    assert all(got[i].score >= licenses.MIN_SHARE for i in range(4)) and got[9].labels == ""
+
+
+def test_license_words_are_rare_in_the_documents(spark):
+    docs = frame(spark, ["redistribution of the forms", "the forms", "the", None])
+    df, n = licenses.document_frequency(docs)
+    assert n == 4 and (df["the"], df["forms"], df["redistribution"], df.get("met", 0)) == (3, 2, 1, 0)
+    bsd = {w for w, ps in licenses.build_index({"are": 900, "met": 800, "binary": 700}, 1000).items() if any(t == "bsd" for t, _, _ in ps)}
+    assert {"redistribution", "modification"} <= bsd and not {"are", "met", "binary"} & bsd
+
+
 def test_op9_on_the_fixture(spark):
     docs = fixture(spark)
     for r in QUERIES["op9_licenses"](spark, SF).collect():
