@@ -97,6 +97,61 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "kept_sha256")
 
 
+@_add
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.digests import copies
+    return copies(table(spark, sf_dir, "documents"), keep="largest")
+
+
+ORACLES["op11_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+@_add
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.periods import find_runs, planted
+    got = find_runs(table(spark, sf_dir, "documents"), keep_text=False, rewrite=planted)
+    return got.select("doc_id", "n_runs", "start", "length", "period",
+                      F.expr("1000 * length div period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@_add
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.collocations import collocations
+    return collocations(table(spark, sf_dir, "documents")).withColumnRenamed("stratum", "lang")
+
+
+ORACLES["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+totals AS (SELECT lang, count(*) AS n FROM places GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+          FROM places, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL HAVING count(*) >= 100),
+inner_ AS (
+  SELECT lang, n, array_to_string(string_split(phrase, ' ')[1:k - 1], ' ') AS phrase FROM f WHERE k > 2
+  UNION ALL SELECT lang, n, array_to_string(string_split(phrase, ' ')[2:k], ' ') FROM f WHERE k > 2),
+free AS (SELECT * FROM f WHERE k > 1 AND NOT EXISTS (
+  SELECT 1 FROM inner_ o WHERE o.lang = f.lang AND o.phrase = f.phrase AND o.n >= f.n)),
+cuts AS (SELECT lang, phrase, n AS a, cut, array_to_string(string_split(phrase, ' ')[1:cut], ' ') AS head,
+                array_to_string(string_split(phrase, ' ')[cut + 1:k], ' ') AS tail
+         FROM free, (SELECT unnest([1, 2, 3, 4]) AS cut) WHERE cut < k),
+scored AS (SELECT c.lang, c.phrase, c.cut, c.a, h.n AS l, t.n AS r, totals.n,
+                  CAST((1000::HUGEINT * c.a * totals.n) // (h.n::HUGEINT * t.n) AS BIGINT) AS score
+           FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail
+           JOIN totals ON totals.lang = c.lang),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
 @_add
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of ``corpus_pipeline.py`` in a row."""
