@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.partitioning import ordered_index
+from quire.operators import versions
 
 
 def last_messages(messages: DataFrame, n: int, conv: str = "conv_id") -> DataFrame:
@@ -142,3 +143,20 @@ def archive_split(conversations: DataFrame, cutoff: str) -> DataFrame:
     return conversations.withColumn(
         "status", F.when(F.col("updated_at") < F.to_timestamp(F.lit(cutoff)), F.lit("archived"))
         .otherwise(F.lit("active")))
+
+
+def apply_status_table(log: DataFrame, base: str):
+    """U2 on the versioned documents table at ``base``: the newest status of
+    each document in ``log`` is applied in one atomic step that rewrites only
+    the buckets of those documents."""
+    latest = latest_status(log).withColumnRenamed("doc_id", "id")
+
+    def combine(docs: DataFrame, new: DataFrame) -> DataFrame:
+        return apply_status(docs, new.withColumnRenamed("id", "doc_id"))
+    return versions.merge(latest, base, ["id"], combine)
+
+
+def archive_table(spark: SparkSession, base: str, cutoff: str):
+    """U5 on the versioned conversations table at ``base``, in one atomic
+    step."""
+    return versions.rewrite(spark, base, lambda rows: archive_split(rows, cutoff))

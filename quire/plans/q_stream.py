@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import NON_WS
 from quire.functions.udtf import register_chunk_text
 from quire.functions.vector import register_sql_functions
-from quire.operators import dialogue, sinks
+from quire.operators import dialogue, sinks, versions
 from quire.plans.catalog import register
 from quire.plans.q_tables import _U2_SQL, _status_log
 from quire.plans.q_text import _EXT, _C23_SQL, chunk_oracle
@@ -225,15 +225,15 @@ def st5_conversation_state(spark, sf_dir):
 
 @register("st6_status_stream", _U2_SQL)
 def st6_status_stream(spark, sf_dir):
-    """ST6: the status log folded live into a bucketed status table (each
-    batch rewrites only its buckets); applied to the documents it equals the
+    """ST6: the status log folded live into a versioned status table (each
+    batch rewrites only its buckets, in one atomic step); applied to the documents it equals the
     batch fold (U2)."""
     fx, name = _stream_view(spark, sf_dir, "events")
     log = _status_log(spark.table(name))
     run = _run_dir(spark, "st6")
     jobs.run_available(log.writeStream.foreachBatch(jobs.status_merge_sink(f"{run}/status"))
                        .option("checkpointLocation", f"{run}/ck"))
-    latest = spark.read.parquet(f"{run}/status/table").drop("_kb")
+    latest = versions.read(spark, f"{run}/status")
     return dialogue.apply_status(fx.documents(), latest).select("id", "status", "error")
 
 

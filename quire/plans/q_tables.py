@@ -3,15 +3,18 @@ U1-U5, G1-G7, E1-E4."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import NON_WS, WS_CLASS
-from quire.operators import dialogue, embedding, lookup, parse, prompts
+from quire.operators import dialogue, embedding, lookup, parse, prompts, versions
 from quire.operators.chunking import chunk_documents
 from quire.plans.catalog import register
 from quire.plans.chat import chat_prompts, retrieve_context
 from quire.plans.q_text import chunk_oracle
+from quire.session import checkpoint_path
 from quire.views import Fixture, duck_cte
 
 _STRIP = f"'^{WS_CLASS}+|{WS_CLASS}+$'"
@@ -672,6 +675,10 @@ from v_conversations_core
 
 @register("u5_archive", _U5_SQL)
 def u5_archive(spark, sf_dir):
-    """Archive conversations not updated since the cutoff."""
-    c = dialogue.archive_split(Fixture(spark, sf_dir).conversations(), "2024-01-03 00:00:00")
+    """Archive conversations not updated since the cutoff, as one atomic
+    change of the stored table."""
+    base = checkpoint_path(spark, "runs", f"conversations-{uuid.uuid4().hex}")
+    versions.overwrite(Fixture(spark, sf_dir).conversations(), base, ["id"])
+    dialogue.archive_table(spark, base, "2024-01-03 00:00:00")
+    c = versions.read(spark, base)
     return c.select("id", "status")

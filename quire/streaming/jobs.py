@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from quire.operators import chunking, dialogue, sinks
+from quire.operators import chunking, dialogue, sinks, versions
 from quire.sources import files
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -235,44 +235,22 @@ def conversation_state(messages: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- ST6
 
-def status_merge_sink(base: str, key_buckets: int = 64):
+def status_merge_sink(base: str, key_buckets: int = 64, keep: int = 3):
     """ST6: ``foreachBatch`` folding a status-log batch into the current
-    status table ``base/table``, laid out by a hash bucket of the key.
+    status table, a versioned table at ``base`` (``quire.operators.versions``)
+    laid out by a hash bucket of the key.
 
     Only the buckets the batch touches are read, merged (newest by
-    ``(ts, seq)``), staged under ``base/stage/b<batch>`` and swapped in with
-    dynamic partition overwrite, so a batch costs its buckets, not the whole
-    table. The merge is a max-by fold, so a replayed batch (after a failure
-    anywhere in between) yields the same table."""
-    from quire.operators.sinks import key_bucket
-    from pyspark import StorageLevel
+    ``(ts, seq)``) and written, to a folder of the batch's own; renaming one
+    manifest makes the change. A job that dies before leaves the old table,
+    one that dies after leaves the new one, and since the merge is a max-by
+    fold a replayed batch changes nothing. ``keep`` versions stay."""
+    def combine(stored: DataFrame, batch: DataFrame) -> DataFrame:
+        return dialogue.latest_status(stored.unionByName(batch).withColumnsRenamed(
+            {"new_status": "status", "status_ts": "ts", "status_seq": "seq"}))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        cur = (dialogue.latest_status(batch)
-               .select("doc_id", F.col("new_status").alias("status"), "error",
-                       F.col("status_ts").alias("ts"), F.col("status_seq").alias("seq"))
-               .withColumn("_kb", key_bucket(["doc_id"], key_buckets))
-               .persist(StorageLevel.MEMORY_AND_DISK))
-        try:
-            buckets = [r[0] for r in cur.select("_kb").distinct().collect()]  # <= key_buckets
-            if not buckets:
-                return
-            table = f"{base}/table"
-            both = cur
-            # only a missing table means the first batch; any read error fails it
-            if sinks.table_exists(spark, table):
-                prev = (spark.read.parquet(table).filter(F.col("_kb").isin(buckets))
-                        .select("doc_id", F.col("new_status").alias("status"), "error",
-                                F.col("status_ts").alias("ts"), F.col("status_seq").alias("seq"), "_kb"))
-                both = prev.unionByName(cur)
-            merged = dialogue.latest_status(both.drop("_kb")) \
-                .withColumn("_kb", key_bucket(["doc_id"], key_buckets))
-            stage = f"{base}/stage/b{batch_id}"
-            merged.write.mode("overwrite").parquet(stage)
-            (spark.read.parquet(stage).repartition("_kb").write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("_kb").parquet(table))
-            sinks.remove_path(spark, stage)
-        finally:
-            cur.unpersist()
+        got = versions.merge(dialogue.latest_status(batch), base, ["doc_id"], combine, buckets=key_buckets)
+        if got is not None and got.number % (2 * keep) == 0:
+            versions.vacuum(batch.sparkSession, base, keep)
     return sink

@@ -84,7 +84,7 @@ def test_failing_read_fails_the_sinks(spark, scratch):
                                  "doc_id string, status string, error string, ts timestamp, seq long")
     sink = jobs.status_merge_sink(f"{scratch}/st")
     sink(rows, 0)
-    kb = [x for x in __import__("glob").glob(f"{scratch}/st/table/_kb=*/*.parquet")]
+    kb = [x for x in __import__("glob").glob(f"{scratch}/st/data/*/_kb=*/*.parquet")]
     with open(kb[0], "wb") as f:          # the only data file is damaged
         f.write(b"not parquet")
     with pytest.raises(Exception):

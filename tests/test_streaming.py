@@ -98,7 +98,7 @@ def test_raw_file_landing_ingest(spark, scratch):
 
 
 def test_status_fold_multi_batch_and_replay(spark, scratch):
-    from quire.operators import dialogue
+    from quire.operators import dialogue, versions
     from quire.plans.q_tables import _status_log
     ev = Fixture(spark, SF).table("events")
     land = f"{scratch}/ev"
@@ -109,7 +109,7 @@ def test_status_fold_multi_batch_and_replay(spark, scratch):
         src = jobs.file_stream(spark, f"{land}/*", ev.schema, max_files=1)
         jobs.run_available(_status_log(src).writeStream.foreachBatch(jobs.status_merge_sink(base, key_buckets=8))
                            .option("checkpointLocation", f"{scratch}/{ck}"))
-    got = spark.read.parquet(f"{base}/table").select("doc_id", "new_status", "error")
+    got = versions.read(spark, base).select("doc_id", "new_status", "error")
     exp = dialogue.latest_status(_status_log(ev)).select("doc_id", "new_status", "error")
     assert got.count() == exp.count()
     assert got.exceptAll(exp).count() == 0
