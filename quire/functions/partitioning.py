@@ -67,3 +67,74 @@ def ordered_index(df: DataFrame, part: list[str], order: list, slice_by, out: st
     for c in same[1:]:
         cond = cond & c
     return n.join(b, cond).select(*[n[c] for c in df.columns], (F.col("_rn") + F.col("_off")).cast("long").alias(out))
+
+
+#: Rows below which a plain window over the groups is taken.
+SLICE_ROWS = 100_000
+#: Slices that the whole table is cut into, at least and at most.
+SLICES = (64, 2048)
+
+
+def _cuts(df: DataFrame, number, slices: int) -> tuple[int, list, list]:
+    """``(rows, cut points, heavy values)`` of a numeric column: quantiles
+    from one sketch. A heavy value is several quantiles at once."""
+    from pyspark.sql import functions as F
+
+    q = F.percentile_approx(number, [i / slices for i in range(1, slices)], 20 * slices)
+    got = df.agg(F.count(F.lit(1)).alias("n"), q.alias("q")).first()
+    found = [x for x in got["q"] or []]
+    cuts = sorted(set(found))
+    return int(got["n"]), cuts, [c for c in cuts if found.count(c) > 1]
+
+
+def _place(number, cuts: list):
+    """Place of a number among sorted cut points; a number that is a cut point
+    has a place of its own, nulls come first."""
+    from pyspark.sql import functions as F
+
+    at = F.array(*[F.lit(c) for c in cuts])
+    below = F.size(F.filter(at, lambda c: c < number))
+    upto = F.size(F.filter(at, lambda c: c <= number))
+    return F.when(number.isNull(), F.lit(-1)).otherwise(below + upto)
+
+
+def text_number(text):
+    """The first seven bytes of a text as a number that sorts as the text."""
+    from pyspark.sql import functions as F
+
+    return F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
+def quantile_index(df: DataFrame, part: list[str], order: list, lead, second=None, lead_desc: bool = False,
+                   second_desc: bool = False, out: str = "pos", slice_rows: int = SLICE_ROWS,
+                   slices: int | None = None) -> DataFrame:
+    """1-based position of each row within its ``part`` group by ``order``, as
+    ``ordered_index``, with slices taken from the data.
+
+    ``lead`` is a number that sorts as the first column of ``order``, and
+    ``second`` (optional) one that never falls along the second. The table's
+    quantiles of ``lead`` are the cut points of all groups, so no slice of any
+    group holds more than about ``1 / slices`` of the table, wherever its rows
+    lie; where so many rows share one ``lead`` that it is several quantiles,
+    they are cut again by ``second``. Positions don't depend on the cuts.
+    Tables below ``slice_rows`` are numbered by a plain window."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    slices = slices or max(SLICES[0], min(SLICES[1], 4 * df.sparkSession.sparkContext.defaultParallelism))
+    n, cuts, heavy = _cuts(df, lead, slices)
+    if n <= slice_rows or not cuts:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*part).orderBy(*cols)).cast("long"))
+    sign = -1 if lead_desc else 1
+    first = _place(lead, cuts) * sign
+    if heavy and second is not None:
+        crowded = lead.isin(heavy)
+        # cut points within the crowd
+        cuts2 = _cuts(df.filter(crowded), second, slices)[1]
+        then = F.when(crowded, _place(second, cuts2) * (-1 if second_desc else 1)).otherwise(F.lit(0)) if cuts2 else F.lit(0)
+    else:
+        then = F.lit(0)
+    # one number that never falls along the order
+    width = 4 * (slices + 1)
+    return ordered_index(df, part, cols, (first * F.lit(width) + then).cast("long"), out=out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions.partitioning import ordered_index
+from quire.functions.partitioning import quantile_index
 from quire.operators import versions
 
 
@@ -35,8 +35,8 @@ def exchanges(messages: DataFrame, conv: str = "conv_id") -> DataFrame:
     ``lead`` as an equi-join on ``(conv_id, pos + 1)`` over skew-safe
     positions: the join key is unique per row, so a conversation holding a
     third of all messages still spreads over all tasks."""
-    p = ordered_index(messages.select(conv, "created_at", "turn", "id", "role", "text"), [conv],
-                      ["created_at", "turn", "id"], F.date_trunc("day", "created_at"))
+    p = quantile_index(messages.select(conv, "created_at", "turn", "id", "role", "text"), [conv],
+                       ["created_at", "turn", "id"], F.unix_micros("created_at"), F.col("turn").cast("long"))
     nxt = p.select(F.col(conv).alias("_c"), (F.col("pos") - 1).alias("_p"), F.col("role").alias("_next_role"),
                    F.col("text").alias("_next_text"), F.col("id").alias("_next_id"),
                    F.col("created_at").alias("_next_at"))
@@ -54,8 +54,8 @@ def exchanges(messages: DataFrame, conv: str = "conv_id") -> DataFrame:
 def first_exchange_flag(messages: DataFrame, conv: str = "conv_id") -> DataFrame:
     """``messages_so_far`` and ``is_first_exchange`` (at most 2 so far);
     the running count is the skew-safe position."""
-    p = ordered_index(messages, [conv], ["created_at", "turn", "id"], F.date_trunc("day", "created_at"),
-                      out="messages_so_far")
+    p = quantile_index(messages, [conv], ["created_at", "turn", "id"], F.unix_micros("created_at"),
+                       F.col("turn").cast("long"), out="messages_so_far")
     return p.withColumn("is_first_exchange", F.col("messages_so_far") <= 2)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.partitioning import ordered_index
+from quire.functions.partitioning import quantile_index, text_number
 
 EMPTY_SCOPES = ("all", "none", "owned_processed")
 
@@ -66,8 +66,8 @@ def search_scope_keys(conversations: DataFrame, documents: DataFrame,
 def user_documents(documents: DataFrame) -> DataFrame:
     """Documents per user newest first, ``pos`` 1-based (skew-safe: a
     user owning a third of all documents is numbered by many tasks)."""
-    return ordered_index(documents, ["user_id"], [F.col("created_at").desc(), F.col("id")],
-                         F.date_trunc("day", "created_at"), slice_desc=True)
+    return quantile_index(documents, ["user_id"], [F.col("created_at").desc(), F.col("id")],
+                          F.unix_micros("created_at"), text_number(F.col("id")), lead_desc=True)
 
 
 def owned_lookup(requests: DataFrame, table: DataFrame, id_col: str = "id") -> DataFrame:
@@ -108,7 +108,8 @@ def conversation_documents(conversations: DataFrame, documents: DataFrame) -> Da
 
 def conversation_messages(messages: DataFrame) -> DataFrame:
     """Messages of each conversation with their order ``pos`` (skew-safe)."""
-    return ordered_index(messages, ["conv_id"], ["created_at", "turn", "id"], F.date_trunc("day", "created_at"))
+    return quantile_index(messages, ["conv_id"], ["created_at", "turn", "id"], F.unix_micros("created_at"),
+                          F.col("turn").cast("long"))
 
 
 def processing_completion(documents: DataFrame, parsed_rows: DataFrame) -> DataFrame:

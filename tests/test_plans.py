@@ -1,4 +1,5 @@
 """Plan-shape checks: the physical plans we rely on for scale."""
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,9 +97,20 @@ def test_stored_ivf_index_is_pruned(spark, scratch):
     ann.write_ivf_index(assigned, f"{scratch}/ivf")
     stored = spark.read.parquet(f"{scratch}/ivf")
     q = fx.queries().limit(3)          # a small query batch probes few lists
-    hits = ann.ivf_search(q, cents, stored, k=5, nprobe=2)
-    p = formatted(hits)
-    assert "dynamicpruning" in p.lower()
+    plans = []
+    real = ann.knn
+
+    def spy(*a, **kw):
+        out = real(*a, **kw)
+        if kw.get("scope") is not None:
+            plans.append(formatted(out))
+        return out
+    ann.knn = spy
+    try:
+        hits = ann.ivf_search(q, ann.list_bounds(cents, stored), stored, k=5, nprobe=2, max_probe=4)
+    finally:
+        ann.knn = real
+    assert len(plans) == 2 and all(re.search(r"PartitionFilters: \[.*list_id#\d+ IN ", p) for p in plans)
     assert hits.count() == 15
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions.partitioning import ordered_index
+from quire.functions.partitioning import ordered_index, quantile_index, text_number
 from quire.operators import dialogue, lookup, prompts, quality, sinks
 
 TS = dt.datetime(2024, 1, 1)
@@ -173,3 +173,44 @@ def test_store_chunks_rerun_is_idempotent(spark, scratch):
     sinks.write_chunks(rows, f"{scratch}/chunks")
     stored = spark.read.parquet(f"{scratch}/chunks")
     assert stored.count() == rows.count() == stored.select("id").distinct().count()
+
+
+def test_positions_of_a_hot_group_within_one_minute(spark):
+    """A third of all rows: one group, one minute, few time stamps."""
+    from pyspark.sql import Window
+    base = spark.range(0, 30_000, numPartitions=7)
+    t = F.when(F.col("id") % 3 == 0, F.col("id") % 4).otherwise(F.pmod(F.xxhash64("id"), F.lit(10 ** 9)))
+    df = base.select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 1000 == 1, None)
+                     .otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("k"),
+                     F.when(F.col("id") % 100 != 7, F.timestamp_micros(t.cast("long"))).alias("at"),
+                     F.concat(F.lit("d"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5000))).alias("d"), F.col("id"))
+    for desc in (False, True):
+        lead = F.col("at").desc_nulls_last() if desc else F.col("at").asc_nulls_first()
+        order = [lead, "d", "id"]
+        want = df.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy(lead, "d", "id")).cast("long"))
+        got = quantile_index(df, ["k"], order, F.unix_micros("at"), text_number(F.col("d")), lead_desc=desc, slice_rows=0, slices=64)
+        assert got.count() == 30_000 and got.exceptAll(want).count() == 0
+        few = quantile_index(df, ["k"], order, F.unix_micros("at"), lead_desc=desc, slice_rows=0, slices=8)
+        assert few.exceptAll(want).count() == 0
+    # the hot group is cut into slices of a few hundred rows
+    from quire.functions import partitioning
+    seen = []
+    real = partitioning.ordered_index
+
+    def spy(df, part, order, slice_by, **kw):
+        seen.append(df.groupBy("k", slice_by.alias("s")).count().agg(F.max("count")).first()[0])
+        return real(df, part, order, slice_by, **kw)
+    partitioning.ordered_index = spy
+    try:
+        quantile_index(df, ["k"], ["at", "d", "id"], F.unix_micros("at"), text_number(F.col("d")), slice_rows=0, slices=64)
+    finally:
+        partitioning.ordered_index = real
+    assert seen[0] <= 30_000 // 20
+    assert quantile_index(df.limit(0), ["k"], ["at"], F.unix_micros("at"), slice_rows=0).count() == 0
+
+
+def test_text_numbers_sort_as_texts(spark):
+    texts = ["", "a", "ab", "abcdefg", "abcdefgh", "b", "é", "éa", "0", "10", "2", "\x01"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text_number(F.col("t")).alias("n")).collect()
+    by_text = [r.n for r in sorted(rows, key=lambda r: r.t.encode())]
+    assert by_text == sorted(by_text) and len(set(by_text)) == len(texts) - 1
