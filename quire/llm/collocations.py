@@ -16,16 +16,20 @@ fewer passes than there are lengths.
 
 *What a task needs to know.* The step in which a part was found frequent comes
 from a filter of ``2 ** 16`` to ``2 ** 26`` bytes (by the number of words),
-the only thing that is broadcast: each slot holds the first step that set it.
-Slots may collide, so a phrase may start too early, never too late, and since
-a slot once set stays, it is still counted for one full cycle. Counts are
-therefore exact, whatever the filter's load; a crowded filter only costs time.
-
-*What is counted.* A task numbers the phrases of each piece of input exactly
-and emits one row for each distinct one; Spark adds them up and keeps each
-step's counts as a table. A phrase that reaches ``threshold`` within a cycle of
+which is broadcast: each slot holds the first step that set it. Slots may
+collide, so a phrase may start too early, never too late, and since a slot
+once set stays, it is still counted for one full cycle. Counts are therefore
+exact, whatever the filter's load; a crowded filter only costs time.
+
+*What is counted.* Texts are split once, into pieces of numbered words. A
+phrase goes by two 64-bit hashes of its stratum and words, made for all places
+of a piece at a time. A piece sends each distinct phrase once, with its count,
+to the bucket of its hash, as packed numbers; a bucket sorts, adds up and
+keeps a step's counts. A phrase that reaches ``threshold`` within a cycle of
 ``SHARDS`` steps has ``threshold / SHARDS`` in one of them, so only phrases
-with such a step are added up over steps.
+with such a step are added up over steps, found again by a second filter of
+the same size. At the end a reading of the pieces gives the frequent phrases
+back their words.
 
 Defined results: null and empty texts have no words; null strata are one
 stratum of their own (``und``), together with rows that name it so; repeated
@@ -35,16 +39,16 @@ are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import from_payload, give_back, materialize, scratch_path, to_payload
+from quire.llm.common import from_payload, give_back, materialize, scratch_path, to_payload, worker_cache
 
 SHARDS = 4
 MAX_WORDS = 5
@@ -52,18 +56,16 @@ THRESHOLD = 100
 TOP = 2000
 #: A task forms a piece of each shard from about this much text.
 PIECE_BYTES = 24 << 20
+#: Words of one bucket and step, about.
+BUCKET_WORDS = 1 << 20
 UNNAMED = "und"
 NEVER = 255
 HASHES = 3
-_CUT = re.compile("[.,;:!?\n-\r]")
-_WORD = re.compile("[^ \t]+")
-_LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
-#: Copies of a lookup row of one word: many phrases start or end with it.
+#: Copies of a lookup row: many phrases start or end with the same word.
 SALTS = 16
-
-
-def _hash_words(words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+# one byte for one byte: A-Z to a-z, tabs to spaces, what ends a piece to \n
+_SAME = bytes(range(256))
+_TABLE = _SAME.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n"))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -72,24 +74,41 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """Two 64-bit hashes of each word, ``(2, words)``: sums of random numbers
+    drawn for every byte at every place."""
+    kept = worker_cache()
+    if "phrase bytes" not in kept:
+        kept["phrase bytes"] = np.random.default_rng(13).integers(0, 1 << 64, (2, 64, 256), np.uint64, endpoint=False)
+    table = kept["phrase bytes"]
+    words = words.cast(pa.large_binary())
+    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+    n = len(words)
+    if not n:
+        return np.zeros((2, 0), np.uint64)
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + n + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[at[0]:at[-1]]
+    place = np.arange(len(data)) - np.repeat(at[:-1] - at[0], np.diff(at))
+    with np.errstate(over="ignore"):
+        turn = np.uint64(0x9E3779B97F4A7C15) ** (place // 64).astype(np.uint64)   # words of over 64 bytes
+        return np.stack([_mix(np.add.reduceat(t[place % 64, data] * turn, at[:-1] - at[0])) for t in table])
+
+
 def tokenised(docs: DataFrame, text_col: str, stratum_col: str, shards: int) -> DataFrame:
-    """``(shard, stratum, n_words, piece)``: the words of some rows of one
-    stratum, as numbers and their meaning; 0 ends a piece of text."""
-    src = docs.select(F.coalesce(F.col(stratum_col).cast("string"), F.lit(UNNAMED)).alias("stratum"), F.col(text_col).alias("text"))
+    """``(shard, stratum, n_words, words, codes)``: some rows of one stratum
+    as numbers and the words that they stand for (from 1); 0 ends a piece of
+    text."""
+    src = docs.select(F.coalesce(F.col(stratum_col).cast("string"), F.lit(UNNAMED)).alias("stratum"),
+                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, str], tuple[dict[str, int], list[int]]] = {}
+        held: dict[tuple[int, str], list[bytes]] = {}
         size = dealt = 0
         for b in batches:
             for stratum, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                number, codes = held.setdefault((dealt % shards, stratum), ({}, [0]))
+                held.setdefault((dealt % shards, stratum), []).append(text)
                 dealt += 1
-                for part in _CUT.split((text or "").translate(_LOWER)):
-                    words = _WORD.findall(part)
-                    if words:
-                        codes += [number.setdefault(w, len(number) + 1) for w in words]
-                        codes.append(0)
-                size += len(text or "")
+                size += len(text)
                 if size >= PIECE_BYTES:
                     yield from emit(held)
                     held, size = {}, 0
@@ -97,91 +116,197 @@ def tokenised(docs: DataFrame, text_col: str, stratum_col: str, shards: int) ->
         give_back()
 
     def emit(held: dict) -> Iterator[pa.RecordBatch]:
-        for (shard, stratum), (number, codes) in held.items():
-            if number:
-                c = np.array(codes, np.uint32)
-                t = pa.table({"words": pa.array([list(number)], pa.list_(pa.large_string())),
-                              "codes": pa.array([c.tobytes()], pa.large_binary())})
+        for (shard, stratum), texts in held.items():
+            words, codes = numbered(b"\n".join(texts))
+            if len(words):
+                n = int(np.count_nonzero(codes))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard], pa.int32()), pa.array([stratum], pa.string()), pa.array([int((c > 0).sum())], pa.int64()),
-                     pa.array([to_payload(t)], pa.binary())], names=["shard", "stratum", "n_words", "piece"])
-
-    return src.mapInArrow(run, "shard int, stratum string, n_words long, piece binary")
+                    [pa.array([shard], pa.int32()), pa.array([stratum], pa.string()), pa.array([n], pa.int64()),
+                     pa.array([to_payload(pa.table({"w": words}))], pa.binary()),
+                     pa.array([to_payload(pa.table({"c": codes}))], pa.binary())],
+                    names=["shard", "stratum", "n_words", "words", "codes"])
+
+    return src.mapInArrow(run, "shard int, stratum string, n_words long, words binary, codes binary")
+
+
+def numbered(text: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words of a text and their numbers in order, 0 between
+    pieces and at both ends."""
+    text = b"\n " + text.translate(_TABLE).replace(b"\n", b" \n ") + b" \n"
+    whole = pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, len(text)], np.int64)), pa.py_buffer(text))
+    found = pc.split_pattern(whole, pattern=" ").flatten().dictionary_encode()
+    word = ~np.isin(np.arange(len(found.dictionary)), [pc.index(found.dictionary, pa.scalar(x, found.dictionary.type)).as_py() for x in ("", "\n")])
+    number = np.where(word, np.cumsum(word), 0).astype(np.int64)
+    empty = pc.index(found.dictionary, pa.scalar("", found.dictionary.type)).as_py()
+    at = found.indices.to_numpy()
+    codes = number[at[at != empty]]
+    keep = np.ones(len(codes), bool)
+    keep[1:] = (codes[1:] > 0) | (codes[:-1] > 0)
+    return found.dictionary.filter(pa.array(word)), codes[keep].astype(np.uint32)
 
 
 def slots(h: np.ndarray, size: int) -> np.ndarray:
     """The filter's slots of each hash, one row for each of ``HASHES``."""
-    return np.stack([_mix(h + np.uint64(0x9E3779B97F4A7C15 * i & (1 << 64) - 1)) & np.uint64(size - 1)
-                     for i in range(1, HASHES + 1)]).astype(np.int64)
+    with np.errstate(over="ignore"):
+        return np.stack([_mix(h + np.uint64(0x9E3779B97F4A7C15 * i & (1 << 64) - 1)) & np.uint64(size - 1)
+                         for i in range(1, HASHES + 1)]).astype(np.int64)
 
 
-def count_piece(words: list[str], codes: np.ndarray, stratum: str, seen: np.ndarray, step: int, shards: int,
-                max_words: int) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray]]:
-    """The phrases of a piece that count in ``step``: ``(length, phrases,
-    hashes, occurrences)``. ``seen`` is the filter."""
-    word_hash = np.concatenate([np.zeros(1, np.uint64), _hash_words(words)])
+def phrases_of(words: pa.Array, codes: np.ndarray, stratum: str, seen: np.ndarray, step: int,
+               max_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length the places whose phrase counts in or before ``step``:
+    ``(length, places, hashes (2, places), first step of each)``."""
+    word = np.concatenate([np.zeros((2, 1), np.uint64), word_hashes(words)], axis=1)
     codes = codes.astype(np.int64)
-    known = codes > 0
     with np.errstate(over="ignore"):
-        h = _mix(word_hash[codes] ^ _mix(_hash_words([stratum])))
-        gram = codes
-        # step from which the phrase at each place counts, and whether it is whole
-        first = np.zeros(len(codes), np.int64)
-        whole = known
+        seed = _mix(word_hashes(pa.array([stratum or " "]))[:, 0])
+        at = np.flatnonzero(codes > 0)
+        h = _mix(word[:, codes[at]] ^ seed[:, None])
+        first = np.zeros(len(at), np.int16)
         for k in range(1, max_words + 1):
             if k > 1:
-                n = len(codes) - k + 1
-                if n < 1:
-                    return
-                # asked only where the shorter phrases count already; one can't
+                # asked only where the shorter phrase counts already; one can't
                 # be found frequent before its own first step
-                reached = np.full(n + 1, 1 << 30, np.int64)
-                ask = np.flatnonzero(whole & (first <= step))
-                reached[ask] = seen[slots(h[ask], len(seen))].max(axis=0)
-                reached[reached == NEVER] = 1 << 30
-                reached = np.maximum(reached, first)
-                first = np.maximum(reached[:-1], reached[1:]) + 1
-                whole = whole[:-1] & whole[1:]
-                live = np.flatnonzero(whole & (first <= step))
-                if not len(live):
-                    return
-                pair = gram[live] * (len(words) + 1) + codes[live + k - 1]
-                at, inv = np.unique(pair, return_index=True, return_inverse=True)[1:]
-                gram = np.zeros(n, np.int64)
-                gram[live] = inv + 1
-                new = _mix(h[live] * np.uint64(0x9E3779B97F4A7C15) + word_hash[codes[live + k - 1]])
-                h = np.zeros(n, np.uint64)
-                h[live] = new
-            else:
-                live = np.flatnonzero(whole)
-                at, inv = np.unique(gram[live], return_index=True, return_inverse=True)[1:]
-            due = first[live[at]] + shards > step
-            if due.any():
-                n_of = np.bincount(inv, minlength=len(at))[due]
-                place = live[at[due]]
-                cols = [[words[c - 1] for c in codes[place + j].tolist()] for j in range(k)]
-                yield k, [" ".join(p) for p in zip(*cols)] if k > 1 else cols[0], h[place], n_of
-
-
-def step_counts(pieces: DataFrame, seen, step: int, shards: int, max_words: int) -> DataFrame:
-    """``(stratum, phrase, k, h, n)`` of one shard's pieces in ``step``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                reached = seen[slots(h[0], len(seen))].max(axis=0).astype(np.int16)
+                ok = reached < NEVER
+                at, h, first = at[ok], h[:, ok], np.maximum(reached[ok], first[ok])
+                # both parts, from this place and from the next, have been frequent
+                pair = np.flatnonzero(at[1:] == at[:-1] + 1)
+                pair = pair[codes[at[pair] + k - 1] > 0]
+                first = np.maximum(first[pair], first[pair + 1]) + 1
+                at = at[pair]
+                h = _mix(h[:, pair] * np.uint64(0x9E3779B97F4A7C15) + word[:, codes[at + k - 1]])
+                now = first <= step
+                at, h, first = at[now], h[:, now], first[now]
+            if not len(at):
+                return
+            yield k, at, h, first
+
+
+def added_up(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(index, hashes, sums)`` of the distinct hashes ``(2, n)``."""
+    order = np.argsort(h[0], kind="stable")
+    s = h[:, order]
+    new = np.ones(len(order), bool)
+    new[1:] = s[0, 1:] != s[0, :-1]
+    if ((s[1, 1:] != s[1, :-1]) & ~new[1:]).any():   # other phrases under one first hash
+        order = np.lexsort((h[1], h[0]))
+        s = h[:, order]
+        new[1:] = (s[:, 1:] != s[:, :-1]).any(axis=0)
+    starts = np.flatnonzero(new)
+    return order[starts], s[:, starts], np.add.reduceat(n[order], starts) if len(starts) else n
+
+
+def _piece(words: pa.Scalar, codes: pa.Scalar) -> tuple[pa.Array, np.ndarray]:
+    return from_payload(words.as_buffer())["w"].combine_chunks(), from_payload(codes.as_buffer())["c"].to_numpy()
+
+
+def _counted(h: np.ndarray, n: np.ndarray, k: np.ndarray) -> bytes:
+    return to_payload(pa.table({"h1": h[0], "h2": h[1], "n": n, "k": k}))
+
+
+def step_counts(pieces: DataFrame, seen, step: int, shards: int, max_words: int, buckets: int, some: int) -> DataFrame:
+    """``(bucket, counts, heavy)``: the counts of one shard's pieces in
+    ``step``, and of those the ones of ``some`` or more."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(seen.value, np.uint8)
         for b in batches:
-            for stratum, payload in zip(b.column(0).to_pylist(), b.column(1)):
+            for stratum, w, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                found = []
+                for k, _, h, first in phrases_of(*_piece(w, c), stratum, table, step, max_words):
+                    due = h[:, first + shards > step]
+                    if due.shape[1]:
+                        _, d, n = added_up(due, np.ones(due.shape[1], np.int64))
+                        found.append((d, n, np.full(len(n), k, np.int8)))
+                if found:
+                    yield packed(*(np.concatenate(x, axis=-1) for x in zip(*found)))
+        give_back()
+
+    def packed(h: np.ndarray, n: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        of = (h[0] % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(of, kind="stable")
+        cut = np.searchsorted(of[order], np.arange(buckets + 1))
+        parts = [(i, order[lo:hi]) for i, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo]
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()),
+                                           pa.array([_counted(h[:, x], n[x], k[x]) for _, x in parts], pa.binary())], names=["bucket", "counts"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = pa.concat_tables([from_payload(p) for p in pdf["counts"]])
+        h = np.stack([t["h1"].to_numpy(), t["h2"].to_numpy()])
+        at, h, n = added_up(h, t["n"].to_numpy())
+        k = t["k"].to_numpy()[at]
+        big = n >= some
+        give_back()
+        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "counts": [_counted(h, n, k)], "heavy": [_counted(h[:, big], n[big], k[big])]})
+
+    sent = pieces.mapInArrow(count, "bucket int, counts binary")
+    return sent.groupBy("bucket").applyInPandas(add, "bucket int, counts binary, heavy binary")
+
+
+def _slots_of(rows: DataFrame, size: int) -> np.ndarray:
+    """The distinct slots of the first hashes in ``rows`` (packed counts, or a
+    column of hashes), at most ``size``: what the driver gathers."""
+    packed = rows.schema[0].dataType.typeName() == "binary"
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.zeros(0, np.int64)
+        for b in batches:
+            hashes = [from_payload(p.as_buffer())["h1"].to_numpy() for p in b.column(0)] if packed else [b.column(0).to_numpy().view(np.uint64)]
+            for h in hashes:
+                mine = np.union1d(mine, slots(h, size).ravel())
+        if len(mine):
+            yield pa.RecordBatch.from_arrays([pa.array(mine)], names=["slot"])
+
+    return rows.mapInArrow(local, "slot long").distinct().toArrow()["slot"].to_numpy()
+
+
+def _matching(steps: list[DataFrame], heavy: np.ndarray, now: int) -> DataFrame:
+    """``(h1, h2, k, n, now)`` of the phrases of some steps with a heavy one."""
+    sent = steps[0].sparkSession.sparkContext.broadcast(heavy.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(sent.value, bool)
+        for b in batches:
+            for payload, step in zip(b.column(0), b.column(1).to_pylist()):
                 t = from_payload(payload.as_buffer())
-                codes = np.frombuffer(t["codes"][0].as_py(), np.uint32)
-                for k, phrases, h, n in count_piece(t["words"][0].as_py(), codes, stratum, table, step, shards, max_words):
-                    for lo in range(0, len(phrases), 50_000):
-                        m = len(phrases[lo:lo + 50_000])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([stratum] * m), pa.array(phrases[lo:lo + m]), pa.array(np.full(m, k, np.int32)),
-                             pa.array(h[lo:lo + m].view(np.int64)), pa.array(n[lo:lo + m])], names=["stratum", "phrase", "k", "h", "n"])
-                del t, codes
+                h = t["h1"].to_numpy()
+                at = np.flatnonzero(bits[slots(h, len(bits))].all(axis=0))
+                if len(at):
+                    n = t["n"].to_numpy()[at]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h[at].view(np.int64)), pa.array(t["h2"].to_numpy()[at].view(np.int64)), pa.array(t["k"].to_numpy()[at].astype(np.int32)),
+                         pa.array(n), pa.array(n if step == now else np.zeros_like(n))], names=["h1", "h2", "k", "n", "now"])
+        give_back()
+
+    every = steps[0].select("counts", "step")
+    for s in steps[1:]:
+        every = every.unionByName(s.select("counts", "step"))
+    got = every.mapInArrow(run, "h1 long, h2 long, k int, n long, now long")
+    return got.groupBy("h1", "h2").agg(F.first("k").alias("k"), F.sum("n").alias("n"), F.sum("now").alias("now"))
+
+
+def _named(pieces: DataFrame, seen, step: int, max_words: int) -> DataFrame:
+    """``(stratum, phrase, h1, h2)`` of the phrases that may be frequent."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(seen.value, np.uint8)
+        for b in batches:
+            for stratum, w, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                words, codes = _piece(w, c)
+                for k, place, h, _ in phrases_of(words, codes, stratum, table, step, max_words):
+                    if k < max_words:
+                        ok = table[slots(h[0], len(table))].max(axis=0) < NEVER
+                        place, h = place[ok], h[:, ok]
+                    if not len(place):
+                        continue
+                    at, d, _ = added_up(h, np.ones(len(place), np.int64))
+                    text = [words.take(pa.array(codes[place[at] + j].astype(np.int64) - 1)) for j in range(k)]
+                    text = pc.binary_join_element_wise(*text, pa.scalar(" ", text[0].type)) if k > 1 else text[0]
+                    yield pa.RecordBatch.from_arrays([pa.array([stratum] * len(at)), text.cast(pa.string()), pa.array(d[0].view(np.int64)),
+                                                      pa.array(d[1].view(np.int64))], names=["stratum", "phrase", "h1", "h2"])
         give_back()
 
-    got = pieces.mapInArrow(run, "stratum string, phrase string, k int, h long, n long")
-    return got.groupBy("stratum", "phrase").agg(F.first("k").alias("k"), F.first("h").alias("h"), F.sum("n").alias("n"))
+    got = pieces.mapInArrow(run, "stratum string, phrase string, h1 long, h2 long")
+    return got.groupBy("h1", "h2").agg(F.first("stratum").alias("stratum"), F.first("phrase").alias("phrase"))
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", stratum_col: str = "lang", threshold: int = THRESHOLD,
@@ -192,64 +317,49 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", stratum_col: str = "l
     spark = docs.sparkSession
     path = scratch_path(spark, "phrase-pieces")
     tokenised(docs, text_col, stratum_col, shards).write.partitionBy("shard").option("compression", "none").parquet(path)
-    pieces = spark.read.schema("stratum string, n_words long, piece binary, shard int").parquet(path)
+    pieces = spark.read.schema("stratum string, n_words long, words binary, codes binary, shard int").parquet(path)
     totals = pieces.groupBy("stratum").agg(F.sum("n_words").alias("n"))
     n_words = pieces.agg(F.sum("n_words").alias("n")).first()["n"] or 0
+    pieces = pieces.select("stratum", "words", "codes", "shard")
     size = 1 << min(26, max(16, (n_words // 32).bit_length()))
+    buckets = max(n_words // (shards * BUCKET_WORDS), min(2 * spark.sparkContext.defaultParallelism, n_words >> 16), 1)
     seen = np.full(size, NEVER, np.uint8)
     some = -(-threshold // shards)
     steps: list[DataFrame] = []
+    heavy: list[np.ndarray] = []
     step, last = 0, -1
     while n_words and step < max(shards, last + 1 + shards):
         if step >= NEVER:
             raise ValueError(f"{shards} shards and {max_words} words take more than {NEVER} steps")
         sent = spark.sparkContext.broadcast(seen.tobytes())
-        of_shard = pieces.filter(F.col("shard") == step % shards).select("stratum", "piece")
-        steps.append(materialize(step_counts(of_shard, sent, step, shards, max_words).withColumn("step", F.lit(step)), "phrase-step"))
+        of_shard = pieces.filter(F.col("shard") == step % shards)
+        steps.append(materialize(step_counts(of_shard, sent, step, shards, max_words, buckets, some)
+                                 .withColumn("step", F.lit(step)), "phrase-step"))
         sent.unpersist()
+        heavy.append(_slots_of(steps[-1].select("heavy"), size))
         # phrases that reached the threshold in this step
-        cycle = _union(steps[-shards:]).filter(F.col("k") < max_words)
-        heavy = cycle.filter(F.col("n") >= some).select("h").distinct()
-        now = F.sum(F.when(F.col("step") == step, F.col("n")).otherwise(0))
-        total = F.sum("n")
-        fresh = (cycle.join(heavy, "h", "left_semi").groupBy("h").agg(total.alias("total"), now.alias("now"))
-                 .filter((F.col("total") >= threshold) & (F.col("total") - F.col("now") < threshold)).select("h"))
-        new = set_slots(fresh, size)
+        fresh = (_matching(steps[-shards:], _bits(heavy[-shards:], size), step)
+                 .filter((F.col("k") < max_words) & (F.col("n") >= threshold) & (F.col("n") - F.col("now") < threshold)))
+        new = _slots_of(fresh.select("h1"), size)
         if len(new):
             last = step
             seen[new[seen[new] == NEVER]] = step
         step += 1
     if not steps:
-        empty = spark.createDataFrame([], "stratum string, phrase string, k int, n long")
-        return empty, totals
-    every = _union(steps)
-    heavy = every.filter(F.col("n") >= some).select("stratum", "phrase").distinct()
-    counts = (every.join(heavy, ["stratum", "phrase"], "left_semi").groupBy("stratum", "phrase")
-              .agg(F.first("k").alias("k"), F.sum("n").alias("n")).filter(F.col("n") >= threshold))
+        return spark.createDataFrame([], "stratum string, phrase string, k int, n long"), totals
+    frequent = _matching(steps, _bits(heavy, size), -1).filter(F.col("n") >= threshold).select("h1", "h2", "k", "n")
+    names = _named(pieces, spark.sparkContext.broadcast(seen.tobytes()), step, max_words)
+    counts = frequent.join(names, ["h1", "h2"]).select("stratum", "phrase", "k", "n")
     return materialize(counts, "phrases"), totals
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def _bits(parts: list[np.ndarray], size: int) -> np.ndarray:
+    out = np.zeros(size, bool)
+    for p in parts:
+        out[p] = True
     return out
 
 
-def set_slots(hashes: DataFrame, size: int) -> np.ndarray:
-    """The distinct slots of all ``hashes``, at most ``size``: the one thing
-    that the driver gathers."""
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = np.zeros(0, np.int64)
-        for b in batches:
-            if b.num_rows:
-                mine = np.union1d(mine, slots(b.column(0).to_numpy().view(np.uint64), size).ravel())
-        if len(mine):
-            yield pa.RecordBatch.from_arrays([pa.array(mine)], names=["slot"])
-
-    return hashes.mapInArrow(local, "slot long").distinct().toArrow()["slot"].to_numpy()
-
-
 def collocations(docs: DataFrame, text_col: str = "text", stratum_col: str = "lang", threshold: int = THRESHOLD,
                  max_words: int = MAX_WORDS, top: int = TOP, shards: int = SHARDS) -> DataFrame:
     """The ``top`` phrases of two and more words of each stratum: ``(stratum,

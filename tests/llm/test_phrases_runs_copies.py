@@ -223,16 +223,37 @@ def test_collocations_with_a_crowded_filter(spark, monkeypatch):
 
 
 def test_a_phrase_starts_once_its_parts_are_frequent():
-    words, codes = ["a", "b"], np.array([0, 1, 2, 1, 2, 0], np.uint32)
+    words, codes = collocations.numbered(b"A b\ta  B.,\n")
+    assert words.to_pylist() == ["a", "b"] and codes.tolist() == [0, 1, 2, 1, 2, 0]
     seen = np.full(1 << 16, collocations.NEVER, np.uint8)
-    step = lambda s: {p: int(c) for _, ps, _, n in collocations.count_piece(words, codes, "en", seen, s, 4, 5) for p, c in zip(ps, n)}
+
+    def step(s):
+        out = {}
+        for k, place, _, first in collocations.phrases_of(words, codes, "en", seen, s, 5):
+            for p in place[first + 4 > s].tolist():
+                phrase = " ".join(words[int(c) - 1].as_py() for c in codes[p:p + k])
+                out[phrase] = out.get(phrase, 0) + 1
+        return out
     assert step(0) == {"a": 2, "b": 2} and step(4) == {}
-    for k, ps, h, _ in list(collocations.count_piece(words, codes, "en", seen, 0, 4, 5)):
-        seen[collocations.slots(h, len(seen))] = 2   # both words are found frequent in step 2
+    for _, _, h, _ in list(collocations.phrases_of(words, codes, "en", seen, 0, 5)):
+        seen[collocations.slots(h[0], len(seen))] = 2   # both words are found frequent in step 2
     assert step(2) == {"a": 2, "b": 2}
     assert step(3) == {"a": 2, "b": 2, "a b": 2, "b a": 1} and step(6) == {"a b": 2, "b a": 1} and step(7) == {}
 
 
+def test_hashes_of_words_and_sums_of_hashes():
+    import pyarrow as pa
+    words = ["", "a", "b", "ab", "ba", "é", "x" * 64, "x" * 65, "y" + "x" * 64, "x" * 64 + "y", "x" * 200, "a"]
+    h = collocations.word_hashes(pa.array(words[1:])).T.tolist()
+    assert h[0] == h[-1] and len({tuple(x) for x in h}) == len(words) - 2
+    assert collocations.word_hashes(pa.array(["zz", *words[1:]]).slice(1)).T.tolist() == h
+    # two phrases under one first hash
+    h = np.array([[5, 5, 3, 5, 5], [1, 2, 1, 1, 2]], np.uint64)
+    at, d, n = collocations.added_up(h, np.array([1, 10, 100, 1000, 10_000]))
+    assert d.T.tolist() == [[3, 1], [5, 1], [5, 2]] and n.tolist() == [100, 1001, 10_010]
+    assert h[:, at].tolist() == d.tolist()
+
+
 def test_collocations_of_nothing(spark):
     docs = frame(spark, [(1, None, "en"), (2, "", None), (3, " . ,\n", "en")])
     for d in (docs, docs.limit(0)):
