@@ -41,13 +41,15 @@ SHARD_ROWS = 8192
 QUERY_ROWS = 1024
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``(id, v)`` of the vectors that take part."""
+def usable(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column) -> DataFrame:
+    """``(id, v, asks)`` of the vectors that take part; queries and candidates
+    share one width."""
     v = F.col("v")
     ok = (F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0)
           & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
           & F.exists(v, lambda x: x != 0))
-    d = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter(ok)
+    d = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"),
+                       F.coalesce(is_query, F.lit(False)).alias("asks")).filter(ok)
     width = d.groupBy(F.size("v").alias("w")).count().orderBy(F.col("count").desc(), "w").limit(1).collect()
     return d.filter(F.size("v") == (width[0]["w"] if width else 0))
 
@@ -91,28 +93,32 @@ def _blob(a: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(a, kind).tobytes()
 
 
-def _gather(d: DataFrame, n: int, name: str) -> DataFrame:
-    """Rows ``(<name>, ids, vecs)`` with all vectors of a shard or block."""
+def _gather(d: DataFrame, n: int, name: str, piv: np.ndarray, m: int) -> DataFrame:
+    """Rows ``(<name>, ids, vecs, perms)`` with all vectors of a shard or block
+    and their permutations, which are worked out here, once."""
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        return pd.DataFrame({name: [key[0]], "ids": [_blob(pdf["id"].to_numpy(), "<i8")],
-                             "vecs": [_blob(np.stack(pdf["v"].to_list()), "<f8")]})
+        # copies of an id in one order on every retry
+        pdf = pdf.assign(b=[_blob(x, "<f8") for x in pdf["v"]]).sort_values(["id", "b"], kind="stable")
+        x = np.stack(pdf["v"].to_list())
+        return pd.DataFrame({name: [key[0]], "ids": [_blob(pdf["id"].to_numpy(), "<i8")], "vecs": [_blob(x, "<f8")],
+                             "perms": [_blob(permutations(x, piv, m), "<i2")]})
     # repeated ids are kept, so a hash of id and vector would put all copies
     # of a row into one shard; the id alone already spreads copies of vectors
     dealt = d.withColumn(name, F.pmod(F.xxhash64("id", F.lit(name)), F.lit(n)).cast("int"))
-    return dealt.groupBy(name).applyInPandas(one, f"{name} int, ids binary, vecs binary")
+    return dealt.groupBy(name).applyInPandas(one, f"{name} int, ids binary, vecs binary, perms binary")
 
 
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20,
            pivots: int = PIVOTS, length: int = LENGTH, share: float = SHARE) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row that satisfies
     ``is_query`` its ``k`` nearest other rows found."""
-    d = usable(vectors, id_col, vec_col)
-    q = usable(vectors.filter(is_query), id_col, vec_col).dropDuplicates(["id"])
+    d = usable(vectors, id_col, vec_col, is_query)
+    # of queries with one id the one with the least vector, on every retry
+    q = d.filter("asks").groupBy("id").agg(F.min("v").alias("v"))
     n = d.count()
     n_shards, n_blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-q.count() // QUERY_ROWS))
     piv = choose_pivots(d, pivots)
-    m = min(length, len(piv))
+    n_pivots, m = len(piv), min(length, len(piv))
 
     def unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -120,29 +126,32 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
                 ids, qids = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.qids, "<i8")
                 x = np.frombuffer(r.vecs, "<f8").reshape(len(ids), -1)
                 qx = np.frombuffer(r.qvecs, "<f8").reshape(len(qids), -1)
-                inv = InvertedFile(permutations(x, piv, m), len(piv))
+                inv = InvertedFile(np.frombuffer(r.perms, "<i2").reshape(len(ids), m), n_pivots)
+                most = float(np.sqrt((x * x).sum(axis=1)).max())
                 take = min(len(ids), max(4 * k, int(np.ceil(share * len(ids)))))
                 got = []
-                for qid, v, perm in zip(qids, qx, permutations(qx, piv, m)):
+                for qid, v, perm in zip(qids, qx, np.frombuffer(r.qperms, "<i2").reshape(len(qids), m)):
                     f = inv.footrule(perm)
                     cand = np.flatnonzero(f <= np.partition(f, take - 1)[take - 1])
                     cand = cand[ids[cand] != qid]
                     s = x[cand] @ v
-                    # all that can be among the best k, whatever their ties
+                    # all that can be among the best k, whatever their ties:
+                    # the two ways to multiply differ by rounding only
                     if len(cand) > k:
-                        keep = s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9
+                        slack = 4e-16 * len(v) * most * float(np.linalg.norm(v))
+                        keep = s >= np.partition(s, len(s) - k)[len(s) - k] - slack
                         cand = cand[keep]
                     s = np.array([float(np.dot(x[c], v)) for c in cand])
                     best = np.lexsort((ids[cand], -s))[:k]
                     got.append(pd.DataFrame({"query_id": qid, "vec_id": ids[cand[best]], "score": s[best]}))
                 yield pd.concat(got) if got else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    shards = _gather(d, n_shards, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    blocks = (_gather(q, n_blocks, "block").withColumnRenamed("ids", "qids").withColumnRenamed("vecs", "qvecs")
+    shards = _gather(d, n_shards, "shard", piv, m).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    blocks = (_gather(q, n_blocks, "block", piv, m).withColumnsRenamed({"ids": "qids", "vecs": "qvecs", "perms": "qperms"})
               .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))))
     units = shards.repartition(n_shards * n_blocks, "shard", "block").join(
         blocks.repartition(n_shards * n_blocks, "shard", "block"), ["shard", "block"])
-    near = units.select("ids", "vecs", "qids", "qvecs").mapInPandas(unit, "query_id long, vec_id long, score double")
+    near = units.select("ids", "vecs", "perms", "qids", "qvecs", "qperms").mapInPandas(unit, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -117,3 +117,27 @@ def test_many_equal_vectors_tie_by_id(spark):
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [r.vec_id for r in neighbours.search(docs, F.col("vec_id") == 400, k=20).orderBy("rank").collect()]
     assert got == list(range(1, 40, 2))
+
+
+def test_queries_have_the_width_of_the_table(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=2).tolist()) for i in range(1, 60)]
+    rows += [(100 + 20 * i, [1.0, 2.0, 3.0]) for i in range(9)]     # most queries have another width
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(docs, F.col("vec_id") % 20 == 0, k=3, share=1.0).collect()
+    want = plain_search(np.array([i for i, _ in rows[:59]]), np.array([v for _, v in rows[:59]]), [20, 40], 3)
+    assert {r.query_id for r in got} == {20, 40}
+    assert sorted((r.query_id, r.vec_id) for r in got) == sorted((q, i) for q, v in want.items() for i, _ in v)
+    assert neighbours.search(docs, F.lit(None).cast("boolean")).count() == 0
+
+
+@pytest.mark.parametrize("scale", [1e-6, 1.0, 1e8])
+def test_ties_at_any_scale(spark, scale):
+    """Products that are equal but for the order of their terms."""
+    v = [0.1 * scale, 0.7 * scale, -0.3 * scale]
+    rows = [(i, [v[(i + j) % 3] for j in range(3)]) for i in range(1, 300)] + [(300, [scale] * 3)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in neighbours.search(docs, F.col("vec_id") == 300, k=20, share=1.0).orderBy("rank").collect()]
+    x = {i: np.array(e) for i, e in rows}
+    want = sorted(((i, float(np.dot(x[i], x[300]))) for i in range(1, 300)), key=lambda t: (-t[1], t[0]))[:20]
+    assert got == want
