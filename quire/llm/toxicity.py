@@ -72,23 +72,27 @@ def maximal_segments(at: list[int], score: list[float], drift: float) -> list[tu
 
     Ruzzo and Tompa's scan over the positive words only; the cumulative score
     just before a word includes the drift of the words passed over."""
-    out: list[list[float]] = []  # first, last, cumulative before, cumulative after
+    out: list[list[float]] = []  # first, last, cumulative before, cumulative after, link
     total, prev = 0.0, -1
     for p, s in zip(at, score):
         total -= drift * (p - prev - 1)
         left, right = total, total + s
         total, prev = right, p
-        new = [p, p, left, right]
+        new = [p, p, left, right, -1]
+        j = len(out) - 1
         while True:
-            j = len(out) - 1
+            # the nearest segment that starts lower: segments between a
+            # segment and its link start no lower than it does
             while j >= 0 and out[j][2] >= new[2]:
-                j -= 1
+                j = out[j][4]
             if j < 0 or out[j][3] >= new[3]:
                 break
-            new = [out[j][0], new[1], out[j][2], new[3]]
-            del out[j:]
+            new = [out[j][0], new[1], out[j][2], new[3], -1]
+            del out[j + 1:]
+            j = out.pop()[4]
+        new[4] = j
         out.append(new)
-    return [(int(a), int(b), r - l) for a, b, l, r in out]
+    return [(int(a), int(b), r - l) for a, b, l, r, _ in out]
 
 
 class Model:
