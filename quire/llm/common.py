@@ -57,9 +57,11 @@ def block_count(df: DataFrame, size: Column, block_bytes: int = BLOCK_BYTES) ->
     return max(1, -(-total // block_bytes), min(2 * cores, total >> 18))
 
 
-def block_of(key: str, n: int) -> Column:
-    """Block of a row: a hash of its id, the same on every retry."""
-    return F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("block")), F.lit(n)).cast("int")
+def block_of(key: str, n: int, text: str | None = None) -> Column:
+    """Block of a row: a hash of its id, the same on every retry. Rows without
+    an id go by ``text``, so that a crowd of them spreads, too."""
+    other = [F.when(F.col(key).isNull(), F.col(text))] if text else []
+    return F.pmod(F.xxhash64(F.col(key).cast("string"), *other, F.lit("block")), F.lit(n)).cast("int")
 
 
 def to_payload(t: pa.Table | pa.RecordBatch) -> bytes:

@@ -195,6 +195,6 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     cols = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
     out = "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    ids = src.withColumn("block", block_of("id", n)).mapInArrow(ids_of, "id string, block int, ids binary")
+    ids = src.withColumn("block", block_of("id", n, "text")).mapInArrow(ids_of, "id string, block int, ids binary")
     return (pack_blocks(ids).repartition(n, "block").groupBy("block")
             .applyInPandas(one_pool, out + ", ids array<int>" * keep_ids).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col))

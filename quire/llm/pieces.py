@@ -112,7 +112,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     are left out and only the digests are returned."""
     src = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     n = block_count(src, F.octet_length("text"))
-    blocks = pack_blocks(src.withColumn("block", block_of("id", n))).repartition(n, "block")
+    blocks = pack_blocks(src.withColumn("block", block_of("id", n, "text"))).repartition(n, "block")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

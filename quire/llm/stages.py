@@ -47,19 +47,23 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """Repeated strings are cut out of texts (whole characters remain);
     documents of which nothing remains go."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    # other columns go along under names that can't clash with the operator's;
     # a null text stays null; one that was empty before stays
-    got = suffixes.removals(docs.withColumn("_null", F.col("text").isNull()), carry=(*others, "_null"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    names = [f"_other{i}" for i in range(len(others))]
+    src = docs.select("doc_id", "text", F.col("text").isNull().alias("_null"),
+                      *[F.col(f"`{c}`").alias(n) for c, n in zip(others, names)])
+    got = suffixes.removals(src, carry=(*names, "_null"))
 
     @F.pandas_udf("string")
     def decoded(kept: pd.Series) -> pd.Series:
         return pd.Series([bytes(k).decode("utf-8", "ignore") for k in kept], dtype=object)
 
-    got = (got.withColumn("text", F.when(~F.col("_null"), decoded("kept")))
-           .filter((F.col("n_bytes") == 0) | (F.length("text") > 0)))
-    if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.char_length("text"))
-    return _as_before(got, docs)
+    text = F.when(~F.col("_null"), decoded("kept"))
+    got = got.select("doc_id", text.alias("text"), "n_bytes", *names).filter((F.col("n_bytes") == 0) | (F.length("text") > 0))
+    back = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text"),
+            **{c: F.col(n) for c, n in zip(others, names)}}
+    return got.select(*[back[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:

@@ -48,6 +48,8 @@ LENGTH = 50
 Q = 24
 HOT = 2000
 KEY_BITS = 48
+#: Contexts that are refined at a time (more where one anchor has more).
+PART = 4000
 #: Smaller blocks than elsewhere: a task holds several numbers for each byte.
 BLOCK_BYTES = 8 << 20
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -140,14 +142,16 @@ class Block:
             cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
             #: first and last start of the strings of each anchor, its own start, its document
             self.first, self.last, self.anchor, self.doc = cat(first, np.int64), cat(last, np.int64), cat(anchor, np.int64), cat(doc, np.int32)
-            grams = gather(self.data, self.anchor, q, -(-q // 8) * 8)
-            self.key = _hash_rows(grams, 1) >> np.uint64(64 - KEY_BITS)
-        order = np.lexsort((self.doc, self.key))
-        k, d = self.key[order], self.doc[order]
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+            del first, last, anchor, doc
+            self.key = np.empty(len(self.anchor), np.uint64)
+            for at in range(0, len(self.anchor), 50_000):
+                grams = gather(self.data, self.anchor[at:at + 50_000], q, -(-q // 8) * 8)
+                self.key[at:at + 50_000] = _hash_rows(grams, 1) >> np.uint64(64 - KEY_BITS)
+        # an anchor of a document counts once: numbered by key, then document
+        self.keys, of = np.unique(self.key, return_inverse=True)
+        pair = np.unique(of * max(1, len(used)) + self.doc)
         #: distinct anchors and in how many of the block's documents they are
-        self.keys, n = np.unique(k[new], return_counts=True)
+        n = np.bincount(pair // max(1, len(used)), minlength=len(self.keys))
         self.docs_of = np.minimum(n, 65_535).astype(np.uint16)
 
     def contexts(self, state: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -286,7 +290,7 @@ def judge_contexts(payloads: list[bytes], length: int) -> list[np.ndarray]:
     some = some[np.argsort(key[rep][some], kind="stable")]
     lo = 0
     while lo < len(some):
-        hi = min(len(some), lo + 20_000)
+        hi = min(len(some), lo + PART)
         while hi < len(some) and key[rep[some[hi]]] == key[rep[some[hi - 1]]]:
             hi += 1
         part = some[lo:hi]
@@ -332,10 +336,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """``(<id_col>, n_bytes, spans, kept_sha256, kept)``: the removed byte
     runs ``(start, end)`` of every row and what is left of it; columns named
     in ``carry`` come along unchanged."""
+    if length - q + 1 > 31:
+        raise ValueError(f"strings of {length} bytes with anchors of {q}: at most 31 strings may share an anchor (a bit each)")
     src = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("text"),
                       *[F.col(c).alias(f"carry{i}") for i, c in enumerate(carry)])
     n = block_count(src, F.octet_length("text"), BLOCK_BYTES)
-    blocks = pack_blocks(src.withColumn("block", block_of("id", n))).repartition(n, "block")
+    blocks = pack_blocks(src.withColumn("block", block_of("id", n, "text"))).repartition(n, "block")
     # the smallest id of each distinct text; payloads of ids alone
     num = F.col("id").cast("long")
     firsts = (src.select("id", "text").filter(F.col("id").isNotNull() & (F.octet_length("text") >= length))

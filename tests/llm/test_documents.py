@@ -180,6 +180,19 @@ def test_op4_on_the_fixture(spark):
             want[r.doc_id][0], sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest())
 
 
+def test_suffix_strings_beyond_a_bit_each(spark):
+    with pytest.raises(ValueError):
+        suffixes.removals(frame(spark, ["x"]), length=80)
+
+
+def test_rows_without_id_spread_over_blocks(spark):
+    from quire.llm.common import block_of
+    docs = frame(spark, [], [(None, f"text {i}") for i in range(400)]).withColumn("b", block_of("doc_id", 16, "text"))
+    assert docs.select("b").distinct().count() == 16
+    same = frame(spark, ["a", "b"]).select((block_of("doc_id", 16, "text") == block_of("doc_id", 16)).alias("s"))
+    assert all(r.s for r in same.collect())
+
+
 def test_suffix_empty(spark):
     assert suffixes.removals(frame(spark, []).limit(0)).count() == 0
 
@@ -377,6 +390,15 @@ def test_maximal_segments_equal_their_definition():
         assert [(a, b, round(x, 6)) for a, b, x in got] == [(a, b, round(x, 6)) for a, b, x in plain_segments(full)]
 
 
+def test_segment_scan_is_linear():
+    import time
+    rng = random.Random(1)
+    for scores in ([0.2] * 400_000, [rng.uniform(0.1, 1.2) for _ in range(400_000)]):
+        t0 = time.time()
+        got = toxicity.maximal_segments([10 * i for i in range(400_000)], scores, 0.05)
+        assert got and time.time() - t0 < 20
+
+
 def test_op8_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in QUERIES["op8_toxicity"](spark, sf).collect()}

@@ -115,3 +115,15 @@ def test_stages_on_odd_tables(spark):
         assert len(masked) == n and (not n or {(1 << 60, "[SECRET]"), (0, None)} <= masked)
         assert stages.pack(table, vocabulary("byte_bpe_50k.json")).filter("start = 0").count() == n
     assert random.Random(0) and docs.filter(F.col("doc_id").isNull()).count() == 1
+
+
+def test_repeats_are_cut_whatever_other_columns_are_called(spark):
+    names = ["kept", "spans", "n_bytes", "kept_sha256", "_null", "id", "block", "payload", "kind", "carry0", "_other0", "bucket"]
+    rows = [(1, "x" * 60 + "ab", *range(12)), (2, "cd" + "x" * 60, *range(12)), (3, None, *[None] * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names)).withColumn("n_chars", F.length("text"))
+    got = {r.doc_id: tuple(r) for r in stages.cut_repeats(docs).collect()}
+    assert got[1] == (*rows[0], 62) and got[3] == (*rows[2], None)
+    assert got[2] == (2, "cd", *range(12), 2)
+    for name in names:      # one at a time, too
+        one = docs.select("doc_id", "text", name)
+        assert stages.cut_repeats(one).columns == one.columns and stages.cut_repeats(one).count() == 3
