@@ -31,10 +31,10 @@ ODD = [(1, "http://a.example.com/x", "short"), (2, None, None), (3, "", ""), (4,
        (None, "http://n/", "p" * 1000), (1 << 60, "x", "z" * 200_000), (12, "x: y", "\n\r\n\r\n")]
 
 
-@pytest.mark.parametrize("compression", ["gzip", "none"])
-def test_round_trip(spark, compression):
+@pytest.mark.parametrize("archive_bytes", [1, 1 << 20])
+def test_round_trip(spark, archive_bytes):
     docs = spark.createDataFrame([(*r, 1, "p") for r in ODD], "page_id long, url string, html string, offset int, path string")
-    got = warc.round_trip(docs, compression=compression).collect()
+    got = warc.round_trip(docs, archive_bytes=archive_bytes).collect()
     key = lambda x: (x[0] is None, x[0] or 0)
     assert sorted([(r.id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=key) == \
         sorted(plain_records(ODD), key=key)
@@ -65,8 +65,43 @@ def test_index_looks_up_single_pages(spark, scratch):
     index = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch + "/w")
     assert index.count() > 1
     asked = spark.createDataFrame([(rows[17][1], 17), (rows[2999][1], 2999), ("http://none/", 5)], "url string, id long")
-    got = warc.read_records(warc.look_up(asked, index), warc.archive_files(spark, scratch + "/w/archives")).collect()
+    got = warc.read_records(warc.look_up(asked, index)).collect()
     assert sorted((r.id, r.payload) for r in got) == [(17, rows[17][2]), (2999, rows[2999][2])]
+    # the archives give the same entries when they are read from end to end
+    found = warc.entries(warc.archive_files(spark, scratch + "/w/archives"))
+    bare = F.regexp_replace("path", "^file:/*", "/")
+    assert sorted(map(tuple, found.withColumn("path", bare).collect())) == sorted(map(tuple, spark.read.parquet(scratch + "/w/entries").collect()))
+
+
+def test_a_look_up_opens_one_block_and_one_range(spark, scratch):
+    """Everything but the bytes that a request needs is spoilt, and it is
+    answered still."""
+    import glob
+    rows = [(i, f"http://h{i % 7}.example.org/{i}", f"page {i} " * 50) for i in range(3000)]
+    index = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch + "/w", archive_bytes=20_000)
+    asked = spark.createDataFrame([(rows[1234][1], 1234)], "url string, id long")
+    blocks = index.orderBy("first_key", "first_id").collect()
+    want = (warc.reversed_host_key(rows[1234][1]), 1234)
+    block = [b for b in blocks if (b.first_key, b.first_id) <= want][-1]
+    entry = spark.read.parquet(scratch + "/w/entries").filter("id = 1234").first()
+    needed = {block.path: (block.offset, block.length), entry.path: (entry.offset, entry.length)}
+    files = glob.glob(scratch + "/w/archives/*.gz") + glob.glob(scratch + "/w/index/blocks/*.idx")
+    assert len(files) > 20 and block.length < sum(b.length for b in blocks) / 3
+    for path in files:
+        with open(path, "rb") as f:
+            data = f.read()
+        at, n = needed.get(path, (0, 0))
+        with open(path, "wb") as f:
+            f.write(b"\xff" * at + data[at:at + n] + b"\xff" * (len(data) - at - n))
+    got = warc.read_records(warc.look_up(asked, index)).collect()
+    assert [(r.id, r.payload) for r in got] == [(1234, rows[1234][2])]
+    other = spark.createDataFrame([(rows[5][1], 5)], "url string, id long")
+    with pytest.raises(Exception):
+        warc.read_records(warc.look_up(other, index)).collect()
+
+
+def test_file_systems():
+    assert warc.file_system("/a/b")[1] == "/a/b" and warc.file_system("file:/a/b")[1] == "/a/b" and warc.file_system("file:///a/b")[1] == "/a/b"
 
 
 def test_keys():
