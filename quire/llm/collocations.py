@@ -55,7 +55,7 @@ MAX_WORDS = 5
 THRESHOLD = 100
 TOP = 2000
 #: A task forms a piece of each shard from about this much text.
-PIECE_BYTES = 24 << 20
+PIECE_BYTES = 16 << 20
 #: Words of one bucket and step, about.
 BUCKET_WORDS = 1 << 20
 UNNAMED = "und"
@@ -105,19 +105,23 @@ def tokenised(docs: DataFrame, text_col: str, stratum_col: str, shards: int) ->
         held: dict[tuple[int, str], list[bytes]] = {}
         size = dealt = 0
         for b in batches:
-            for stratum, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held.setdefault((dealt % shards, stratum), []).append(text)
-                dealt += 1
-                size += len(text)
-                if size >= PIECE_BYTES:
-                    yield from emit(held)
-                    held, size = {}, 0
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                for stratum, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    held.setdefault((dealt % shards, stratum), []).append(text)
+                    dealt += 1
+                    size += len(text)
+                    if size >= PIECE_BYTES:
+                        yield from emit(held)
+                        held, size = {}, 0
+                        give_back()
         yield from emit(held)
+        del held
         give_back()
 
     def emit(held: dict) -> Iterator[pa.RecordBatch]:
-        for (shard, stratum), texts in held.items():
-            words, codes = numbered(b"\n".join(texts))
+        for shard, stratum in list(held):
+            words, codes = numbered(b"\n".join(held.pop((shard, stratum))))
             if len(words):
                 n = int(np.count_nonzero(codes))
                 yield pa.RecordBatch.from_arrays(
@@ -155,37 +159,42 @@ def slots(h: np.ndarray, size: int) -> np.ndarray:
 def phrases_of(words: pa.Array, codes: np.ndarray, stratum: str, seen: np.ndarray, step: int,
                max_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each length the places whose phrase counts in or before ``step``:
-    ``(length, places, hashes (2, places), first step of each)``."""
+    ``(length, places, hashes (2, places), first step of each)``. For single
+    words the places are numbers of words instead."""
     word = np.concatenate([np.zeros((2, 1), np.uint64), word_hashes(words)], axis=1)
     codes = codes.astype(np.int64)
     with np.errstate(over="ignore"):
-        seed = _mix(word_hashes(pa.array([stratum or " "]))[:, 0])
+        h = _mix(word ^ _mix(word_hashes(pa.array([stratum or " "])))[:, :1])
+        yield 1, np.arange(1, len(words) + 1), h[:, 1:], np.zeros(len(words), np.int16)
         at = np.flatnonzero(codes > 0)
-        h = _mix(word[:, codes[at]] ^ seed[:, None])
+        reached = _reached(seen, h[0])[codes[at]]
         first = np.zeros(len(at), np.int16)
-        for k in range(1, max_words + 1):
-            if k > 1:
-                # asked only where the shorter phrase counts already; one can't
-                # be found frequent before its own first step
-                reached = seen[slots(h[0], len(seen))].max(axis=0).astype(np.int16)
-                ok = reached < NEVER
-                at, h, first = at[ok], h[:, ok], np.maximum(reached[ok], first[ok])
-                # both parts, from this place and from the next, have been frequent
-                pair = np.flatnonzero(at[1:] == at[:-1] + 1)
-                pair = pair[codes[at[pair] + k - 1] > 0]
-                first = np.maximum(first[pair], first[pair + 1]) + 1
-                at = at[pair]
-                h = _mix(h[:, pair] * np.uint64(0x9E3779B97F4A7C15) + word[:, codes[at + k - 1]])
-                now = first <= step
-                at, h, first = at[now], h[:, now], first[now]
-            if not len(at):
+        h = h[:, codes[at]]
+        for k in range(2, max_words + 1):
+            # one can't be found frequent before its own first step
+            ok = reached < NEVER
+            at, h, first = at[ok], h[:, ok], np.maximum(reached[ok], first[ok])
+            # both parts, from this place and from the next, have been frequent
+            pair = np.flatnonzero(at[1:] == at[:-1] + 1)
+            first = np.maximum(first[pair], first[pair + 1]) + 1
+            pair, first = pair[first <= step], first[first <= step]
+            if not len(pair):
                 return
+            at = at[pair]
+            h = _mix(h[:, pair] * np.uint64(0x9E3779B97F4A7C15) + word[:, codes[at + k - 1]])
             yield k, at, h, first
+            if k < max_words:
+                reached = _reached(seen, h[0])
+
+
+def _reached(seen: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The step in which each phrase was found frequent, ``NEVER`` so far."""
+    return seen[slots(h, len(seen))].max(axis=0).astype(np.int16)
 
 
 def added_up(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(index, hashes, sums)`` of the distinct hashes ``(2, n)``."""
-    order = np.argsort(h[0], kind="stable")
+    order = np.argsort(h[0])
     s = h[:, order]
     new = np.ones(len(order), bool)
     new[1:] = s[0, 1:] != s[0, :-1]
@@ -213,10 +222,15 @@ def step_counts(pieces: DataFrame, seen, step: int, shards: int, max_words: int,
         for b in batches:
             for stratum, w, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 found = []
-                for k, _, h, first in phrases_of(*_piece(w, c), stratum, table, step, max_words):
-                    due = h[:, first + shards > step]
-                    if due.shape[1]:
-                        _, d, n = added_up(due, np.ones(due.shape[1], np.int64))
+                words, codes = _piece(w, c)
+                for k, _, h, first in phrases_of(words, codes, stratum, table, step, max_words):
+                    due = first + shards > step
+                    if due.any():
+                        d, n = h[:, due], np.ones(int(due.sum()), np.int64)
+                        if k == 1:
+                            n = np.bincount(codes, minlength=len(words) + 1)[1:][due]
+                        else:
+                            _, d, n = added_up(d, n)
                         found.append((d, n, np.full(len(n), k, np.int8)))
                 if found:
                     yield packed(*(np.concatenate(x, axis=-1) for x in zip(*found)))
@@ -294,12 +308,13 @@ def _named(pieces: DataFrame, seen, step: int, max_words: int) -> DataFrame:
                 words, codes = _piece(w, c)
                 for k, place, h, _ in phrases_of(words, codes, stratum, table, step, max_words):
                     if k < max_words:
-                        ok = table[slots(h[0], len(table))].max(axis=0) < NEVER
+                        ok = _reached(table, h[0]) < NEVER
                         place, h = place[ok], h[:, ok]
                     if not len(place):
                         continue
                     at, d, _ = added_up(h, np.ones(len(place), np.int64))
-                    text = [words.take(pa.array(codes[place[at] + j].astype(np.int64) - 1)) for j in range(k)]
+                    number = [place[at]] if k == 1 else [codes[place[at] + j].astype(np.int64) for j in range(k)]
+                    text = [words.take(pa.array(x - 1)) for x in number]
                     text = pc.binary_join_element_wise(*text, pa.scalar(" ", text[0].type)) if k > 1 else text[0]
                     yield pa.RecordBatch.from_arrays([pa.array([stratum] * len(at)), text.cast(pa.string()), pa.array(d[0].view(np.int64)),
                                                       pa.array(d[1].view(np.int64))], names=["stratum", "phrase", "h1", "h2"])
