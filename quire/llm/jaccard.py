@@ -44,6 +44,7 @@ WORDS = 4
 #: Similarity as a fraction in hundredths, compared in whole numbers.
 PERCENT = 85
 SLOTS = 1 << 20
+_FAN = 64
 _SEGMENT = 1 << 14
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -105,7 +106,8 @@ def _small(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.Dat
 
 def frequencies(docs: DataFrame, size: int = WORDS, slots: int = SLOTS) -> np.ndarray:
     """Counters of all documents' shingles by hash slot: a table of fixed
-    size, summed segment by segment."""
+    size, summed segment by segment, each in a tree: a group adds those of
+    ``_FAN`` tasks, then of ``_FAN`` such groups, and so on."""
     n_seg = max(1, slots // _SEGMENT)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,10 +123,16 @@ def frequencies(docs: DataFrame, size: int = WORDS, slots: int = SLOTS) -> np.nd
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(c, f"<i{w}").astype(np.int64) for c, w in zip(pdf["counts"], pdf["width"]))
-        return pd.DataFrame({"segment": [key[0]], "counts": [total.astype("<i8").tobytes()]})
-
-    rows = (docs.mapInPandas(count, "segment int, width int, counts binary").groupBy("segment")
-            .applyInPandas(add, "segment int, counts binary").collect())  # SLOTS counters
+        give_back()
+        return pd.DataFrame({"segment": [key[0]], "node": [key[1]], "width": [8], "counts": [total.astype("<i8").tobytes()]})
+
+    shape = "segment int, node int, width int, counts binary"
+    sums = (docs.mapInPandas(count, "segment int, width int, counts binary")
+            .withColumn("node", F.floor(F.spark_partition_id() / _FAN).cast("int")).groupBy("segment", "node").applyInPandas(add, shape))
+    for _ in range(2):   # 64 ** 3 tasks come down to a sum each of 64 ** 0
+        sums = sums.withColumn("node", F.floor(F.col("node") / _FAN).cast("int")).groupBy("segment", "node").applyInPandas(add, shape)
+    rows = sums.groupBy("segment").agg(F.collect_list("counts").alias("all")).collect()  # SLOTS counters
+    rows = [{"segment": r["segment"], "counts": sum(np.frombuffer(c, "<i8") for c in r["all"]).tobytes()} for r in rows]
     parts = {r["segment"]: np.frombuffer(r["counts"], "<i8") for r in rows}
     empty = [len(p) for p in np.array_split(np.zeros(slots, np.int8), n_seg)]
     return np.concatenate([parts.get(i, np.zeros(empty[i], np.int64)) for i in range(n_seg)])

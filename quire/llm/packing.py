@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import block_count, block_of, from_payload, pack_blocks, worker_cache
+from quire.llm.common import block_count, block_of, from_payload, give_back, pack_blocks, worker_cache
 
 CAPACITY = 1024
 CACHE = 250_000
@@ -69,24 +69,35 @@ def _ranked(tk):
     return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _load(path: str):
+    import os
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(path)
+
+
 def _tokenizer(path: str) -> tuple:
-    """Tokenizer, its special texts and the remembered chunks, kept per Python
-    worker."""
+    """Special texts and the remembered chunks of a tokenizer, kept per Python
+    worker (where ranks do the work, the tokenizer itself is not)."""
     kept = worker_cache()
     if ("packing", path) not in kept:
-        import os
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        tk = Tokenizer.from_file(path)
+        tk = _load(path)
         if tk.pre_tokenizer is None or "ByteLevel" not in type(tk.pre_tokenizer).__name__ or tk.normalizer is not None:
             raise ValueError(f"{path}: not a plain byte-level tokenizer")
         special = [t.content for t in tk.get_added_tokens_decoder().values()]
         ranked = _ranked(tk)
         encode = ranked.encode_ordinary if ranked else lambda c: tk.encode(c, add_special_tokens=False).ids
-        kept["packing", path] = (tk, special, _Known(encode))
+        kept["packing", path] = (special, _Known(encode))
     return kept["packing", path]
 
 
+def forget(path: str) -> None:
+    """Let go of remembered chunks at a task's end: idle workers of a stage
+    stay beside those of the next."""
+    _tokenizer(path)[1].clear()
+    give_back()
+
+
 def chunks(text: str) -> list[str]:
     """``text`` cut before each single space between two non-space characters."""
     if not text:
@@ -117,12 +128,12 @@ class _Known(dict):
 
 def tokenize(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers."""
-    tk, special, known = _tokenizer(path)
+    special, known = _tokenizer(path)
     out = []
     for t in texts:
         t = t or ""
         if any(s in t for s in special):  # cut out by the tokenizer itself
-            out.append(array("I", tk.encode(t, add_special_tokens=False).ids).tobytes())
+            out.append(array("I", _load(path).encode(t, add_special_tokens=False).ids).tobytes())
         else:
             out.append(b"".join(map(known.__getitem__, chunks(t))))
     return out
@@ -176,8 +187,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 ids = [x + end for x in tokenize(part.column("text").to_pylist(), tokenizer_path)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("block"), pa.array(ids, pa.binary())],
                                                  names=["id", "block", "ids"])
+        forget(tokenizer_path)
 
     def one_pool(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        give_back()  # what the pool before held
         t = pa.concat_tables([from_payload(p) for p in pdf["payload"]])
         names, ids = t["id"].to_pylist(), t["ids"].to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (names[i] is None, names[i], ids[i]))

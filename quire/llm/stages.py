@@ -9,12 +9,14 @@ compare documents.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import jaccard, packing, secrets, suffixes, toxicity
-from quire.llm.common import materialize
+from quire.llm.common import give_back, materialize
 
 #: Near duplicates of a corpus: five-word shingles, similarity 0.8 or more.
 SHINGLE_WORDS = 5
@@ -30,9 +32,12 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = toxicity.fit(docs, labels)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        e = pd.Series([min(60.0, model.evidence(model.passages(t))) for t in texts], dtype=float)
-        return pd.Series(model.probability(e.to_numpy()))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            e = pd.Series([min(60.0, model.evidence(model.passages(t))) for t in texts], dtype=float)
+            yield pd.Series(model.probability(e.to_numpy()))
+        model.known.clear()
+        give_back()
 
     return docs.filter(score("text") < toxicity.THRESHOLD)
 
@@ -56,8 +61,10 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     got = suffixes.removals(src, carry=(*names, "_null"))
 
     @F.pandas_udf("string")
-    def decoded(kept: pd.Series) -> pd.Series:
-        return pd.Series([bytes(k).decode("utf-8", "ignore") for k in kept], dtype=object)
+    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for kept in batches:
+            yield pd.Series([bytes(k).decode("utf-8", "ignore") for k in kept], dtype=object)
+        give_back()
 
     text = F.when(~F.col("_null"), decoded("kept"))
     got = got.select("doc_id", text.alias("text"), "n_bytes", *names).filter((F.col("n_bytes") == 0) | (F.length("text") > 0))
@@ -71,8 +78,10 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     net = secrets.train(materialize(secrets.scan(docs), "secret-candidates"))
 
     @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
-        return pd.Series([secrets.redact(t, secrets.all_spans(t, net)) if t else t for t in texts], dtype=object)
+    def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([secrets.redact(t, secrets.all_spans(t, net)) if t else t for t in texts], dtype=object)
+        give_back()
 
     got = docs.withColumn("text", masked("text"))
     if "n_chars" in docs.columns:

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialize
+from quire.llm.common import give_back, materialize
 
 PRIOR = 1.0
 MIN_Z = 3.3
@@ -105,7 +105,7 @@ class Model:
 
     def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         ws = words(text)
-        if len(self.known) > 300_000:
+        if len(self.known) > 150_000:
             self.known.clear()
         get = self.scores.get
         for w in set(ws):
@@ -165,6 +165,9 @@ def train(rows: DataFrame, prior: float = PRIOR, min_z: float = MIN_Z, max_words
                 clean.clear()
         if toxic or clean:
             yield frame(toxic, clean)
+        toxic.clear()
+        clean.clear()
+        give_back()
 
     def frame(toxic: Counter, clean: Counter) -> pd.DataFrame:
         ws = list(toxic.keys() | clean.keys())
@@ -204,6 +207,8 @@ def train(rows: DataFrame, prior: float = PRIOR, min_z: float = MIN_Z, max_words
                 if y == 0 and segs and k:
                     got.append(lam * max(x[2] for x in segs) - math.log(k))
             yield pd.DataFrame({"x": got}, dtype="float64")
+        model.known.clear()
+        give_back()
 
     # Gumbel: the mean of lambda * S - ln n lies Euler's constant above ln K
     m = rows.mapInPandas(best, "x double").agg(F.avg("x").alias("m")).first()["m"]
@@ -213,6 +218,8 @@ def train(rows: DataFrame, prior: float = PRIOR, min_z: float = MIN_Z, max_words
         for pdf in batches:
             e = [round(model.evidence(model.passages(t)), 1) for t in pdf["text"]]
             yield pd.DataFrame({"e": np.minimum(e, 60.0), "label": pdf["label"]})
+        model.known.clear()
+        give_back()
 
     ev = (rows.mapInPandas(evidence, "e double, label int").groupBy("e")
           .agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).collect())  # e: 650 steps of 0.1
@@ -250,6 +257,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pd.DataFrame({"id": pdf["id"].to_numpy(), "score": model.probability(np.asarray(e, float)),
                                 "passages": [[{"first": a, "last": b, "normalised": s} for a, b, s in p if s >= least]
                                              for p in found]})
+        model.known.clear()
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return src.mapInPandas(run, "id string, score double, passages array<struct<first:int,last:int,normalised:double>>") \
