@@ -1,45 +1,45 @@
 """``chunk_text(text, size)`` as a SQL table function.
 
-A small per-row Python helper for SQL users (``LATERAL chunk_text(..)``);
-the table jobs use the native fold in ``quire.operators.chunking``, which
-gives the same chunks.
+A temporary SQL function over the chunkers' fold (C2/C3), written in SQL: the
+plan of ``LATERAL chunk_text(..)`` holds one generator over native expressions
+and no Python.
 """
 
 from __future__ import annotations
 
-from pyspark.sql.functions import udtf
+from quire.functions.text import WS_CHARS, WS_CLASS
 
 
-def simple_chunk_text(text: str, size: int = 1000) -> list[str]:
-    """Paragraph packing with the sentence fallback (C2/C3 semantics)."""
-    def pack(parts, joiner, suffix):
-        out, cur = [], ""
-        for p in parts:
-            p = p.strip()
-            if not p:
-                continue
-            if cur and len(cur) + len(p) > size:
-                out.append(cur + suffix)
-                cur = p
-            else:
-                cur = cur + joiner + p if cur else p
-        if cur:
-            out.append(cur + suffix)
-        return out
+def _text(s: str) -> str:
+    """``s`` as a SQL literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
-    text = text or ""
-    chunks = pack(text.split("\n\n"), "\n\n", "")
-    if not chunks or any(len(c) > 2 * size for c in chunks):
-        chunks = pack(text.replace("\n", " ").split(". "), " ", ".")
-    return chunks
 
+def _packed(parts: str, joiner: str, suffix: str, most: str) -> str:
+    """SQL of the packing fold over an array: a part goes to the current chunk
+    unless both are longer than ``size`` together."""
+    out = f"array_append(a.out, concat(a.cur, {_text(suffix)}))"
+    clean = f"filter(transform({parts}, p -> btrim(p, {_text(WS_CHARS)})), p -> p <> '')"
+    return (f"aggregate({clean}, named_struct('cur', '', 'out', cast(array() as array<string>)), (a, x) -> "
+            f"if(a.cur <> '' and length(a.cur) + length(x) > {most}, named_struct('cur', x, 'out', {out}), "
+            f"named_struct('cur', if(a.cur <> '', concat(a.cur, {_text(joiner)}, x), x), 'out', a.out)), "
+            f"a -> if(a.cur <> '', {out}, a.out))")
 
-@udtf(returnType="chunk_index: int, content: string, token_count: int")
-class ChunkText:
-    def eval(self, text, size):
-        for i, c in enumerate(simple_chunk_text(text, int(size) if size is not None else 1000)):
-            yield i, c, len(c.split())
+
+def chunk_text_sql(name: str = "chunk_text") -> str:
+    """The statement that makes the function."""
+    text, most = f"coalesce({name}.text, '')", f"coalesce({name}.size, 1000)"
+    paragraphs = _packed(f"split({text}, {_text(chr(10) * 2)}, -1)", "\n\n", "", most)
+    flat = f"replace({text}, {_text(chr(10))}, ' ')"
+    sentences = _packed(f"split({flat}, {_text(r'\. ')}, -1)", " ", ".", most)
+    # one element, so that the paragraphs are packed once and used three times
+    chunks = (f"transform(array({paragraphs}), c -> if(size(c) = 0 or exists(c, x -> length(x) > 2 * {most}), "
+              f"{sentences}, c))[0]")
+    words = f"size(filter(split(content, {_text(WS_CLASS + '+')}, -1), w -> w <> ''))"
+    return (f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(text STRING, size INT DEFAULT 1000) "
+            f"RETURNS TABLE(chunk_index INT, content STRING, token_count INT) "
+            f"RETURN SELECT chunk_index, content, {words} FROM posexplode({chunks}) AS t(chunk_index, content)")
 
 
 def register_chunk_text(spark) -> None:
-    spark.udtf.register("chunk_text", ChunkText)
+    spark.sql(chunk_text_sql())

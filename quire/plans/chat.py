@@ -19,12 +19,17 @@ def retrieve_context(messages: DataFrame, conversations: DataFrame, documents: D
     its search scope.
 
     Texts are embedded with the default embedder as raw signed counts (cosine
-    does its own normalisation); each distinct chunk text is embedded once (E4).
+    does its own normalisation). ``chunks`` that carry a ``content_hash`` come
+    from the chunk store with their vectors; of others each distinct text is
+    embedded once (E4).
     """
     q = dialogue.last_user_message(messages)
     qe = embedding.hash_embed(q.select("conv_id", "text"), "conv_id", "text", width, normalize=False)
-    sp = embedding.embed_distinct(chunks.select("id", "content"), "id", "content", width, normalize=False)
-    ce = embedding.densify(sp.select("id", "bucket", "value"), "id", width)
+    if "content_hash" in chunks.columns:
+        ce = chunks.select("id", "embedding")
+    else:
+        sp = embedding.embed_distinct(chunks.select("id", "content"), "id", "content", width, normalize=False)
+        ce = embedding.densify(sp.select("id", "bucket", "value"), "id", width)
     scope, item_keys = lookup.search_scope_keys(conversations, documents, empty_scope)
     # each chunk under its document's key and (if processed) its owner's key;
     # a chunk reached under two keys of one conversation counts once

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import NON_WS, WS_CLASS
-from quire.operators import dialogue, embedding, lookup, parse, prompts, versions
+from quire.operators import chunk_store, dialogue, embedding, lookup, parse, prompts, versions
 from quire.operators.chunking import chunk_documents
 from quire.plans.catalog import register
 from quire.plans.chat import chat_prompts, retrieve_context
@@ -355,8 +355,10 @@ def e4_embed_distinct(spark, sf_dir):
 # ---------------------------------------------------------------- chat plan (V4 + W5 + G1 + A3)
 
 def _chat_oracle_cte(k: int = 3) -> str:
-    return duck_cte("v_messages", "v_conversations_core", "v_conv_docs", "v_documents", "v_chunks") + f"""
-, q as (select conv_id, arg_max(text, turn) as text from v_messages where role = 'user' group by conv_id),
+    views = duck_cte("v_messages", "v_conversations_core", "v_conv_docs", "v_documents").replace("with ", "with recursive ", 1)
+    return chunk_oracle(base=views + ", base as (select id as doc_id, coalesce(text, '') as t from v_documents)") + f"""
+, v_chunks as (select sha256(doc_id || ':' || cast(chunk_index as varchar)) as id, doc_id, content from chunks),
+q as (select conv_id, arg_max(text, turn) as text from v_messages where role = 'user' group by conv_id),
 {_sparse_sql("qsp", "q", "conv_id", "text")},
 {_sparse_sql("csp", "v_chunks", "id", "content")},
 qn as (select id, sum(v * v) as n2 from qsp group by id),
@@ -369,8 +371,9 @@ scope as (
   where c.n_docs = 0
 ),
 dots as (
-  select qs.id as conv_id, cs.id as chunk_id, sum(qs.v * cs.v) as dot
-  from qsp qs join csp cs on cs.b = qs.b group by all
+  select s.conv_id, c.id as chunk_id, sum(qs.v * cs.v) as dot
+  from scope s join v_chunks c on c.doc_id = s.doc_id join qsp qs on qs.id = s.conv_id
+  join csp cs on cs.id = c.id and cs.b = qs.b group by all
 ),
 pairs as (
   select s.conv_id, c.id as chunk_id, c.content,
@@ -394,11 +397,18 @@ select conv_id, cast(position as bigint) as position, chunk_id, round(distance,
 """
 
 
+def _stored_chunks(spark, fx):
+    """The documents' chunks (C2/C3) from a chunk store."""
+    base = checkpoint_path(spark, "runs", f"chunks-{uuid.uuid4().hex}")
+    chunk_store.refresh(fx.documents(), base)
+    return versions.read(spark, base)
+
+
 @register("w5_context_rank", _W5_SQL)
 def w5_context_rank(spark, sf_dir):
     """V4 + W5: top 3 chunks (cosine, scoped) for each conversation's last question."""
     fx = Fixture(spark, sf_dir)
-    ctx = retrieve_context(fx.messages(), fx.conversations(), fx.documents(), fx.chunks())
+    ctx = retrieve_context(fx.messages(), fx.conversations(), fx.documents(), _stored_chunks(spark, fx))
     return ctx.select("conv_id", F.col("position").cast("bigint").alias("position"), "chunk_id",
                       F.round("distance", 6).alias("distance"))
 
@@ -425,7 +435,7 @@ select conv_id, prompt, context_docs_count, cast(length(prompt) as bigint) as pr
 def g1_chat_prompts(spark, sf_dir):
     """G1 + A3: the whole chat-turn plan to one prompt per conversation."""
     fx = Fixture(spark, sf_dir)
-    return chat_prompts(fx.messages(), fx.conversations(), fx.documents(), fx.chunks())
+    return chat_prompts(fx.messages(), fx.conversations(), fx.documents(), _stored_chunks(spark, fx))
 
 
 _G2_SQL = _chat_oracle_cte() + """
@@ -453,7 +463,7 @@ def g2_agent_prompts(spark, sf_dir):
     """The second prompt layout for every conversation with a question."""
     fx = Fixture(spark, sf_dir)
     msgs = fx.messages()
-    ctx = retrieve_context(msgs, fx.conversations(), fx.documents(), fx.chunks())
+    ctx = retrieve_context(msgs, fx.conversations(), fx.documents(), _stored_chunks(spark, fx))
     q = dialogue.last_user_message(msgs).select("conv_id", "text")
     counts = msgs.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"))
     return prompts.agent_prompt(q, dialogue.last_messages(msgs, 6), counts, ctx)

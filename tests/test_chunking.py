@@ -3,7 +3,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quire.functions.text import py_strip, word_count
-from quire.functions.udtf import simple_chunk_text
+from plain import plain_chunks
 from quire.operators import chunking
 
 EDGE = [
@@ -27,13 +27,13 @@ def _native(spark, texts, size=1000):
 def test_edge_rows_match_python(spark):
     got, _ = _native(spark, EDGE)
     for i, t in enumerate(EDGE):
-        assert got.get(i, []) == simple_chunk_text(t or "", 1000), (i, t)
+        assert got.get(i, []) == plain_chunks(t or "", 1000), (i, t)
 
 
 def test_long_texts_match(spark):
     big = ("word " * 30 + ". ") * 20000                     # ~3.2M characters, several thousand chunks
     got, _ = _native(spark, [big])
-    assert got[0] == simple_chunk_text(big, 1000)
+    assert got[0] == plain_chunks(big, 1000)
 
 
 def test_sentence_fallback_appends_dot(spark):
@@ -52,7 +52,7 @@ def test_token_count_is_python_split(spark):
 def test_fold_equals_python_property(spark, texts):
     got, _ = _native(spark, texts, size=20)
     for i, t in enumerate(texts):
-        assert got.get(i, []) == simple_chunk_text(t, 20)
+        assert got.get(i, []) == plain_chunks(t, 20)
 
 
 def test_window_chunks(spark):
@@ -88,4 +88,10 @@ def test_udtf_equals_native(spark):
         got.setdefault(r.id, []).append((r.chunk_index, r.content))
     for i, t in enumerate(EDGE):
         if t is not None:
-            assert [c for _, c in sorted(got.get(i, []))] == simple_chunk_text(t, 1000)
+            assert [c for _, c in sorted(got.get(i, []))] == plain_chunks(t, 1000)
+    # null sizes and the default, and nothing but native expressions in the plan
+    one = spark.sql("select c.content from lateral chunk_text('a. b', null) c").collect()
+    assert [r.content for r in one] == [r.content for r in spark.sql("select content from chunk_text('a. b')").collect()] == ["a. b"]
+    small = spark.sql("select content from chunk_text('aa bb. cc dd. ee', 5)").collect()
+    assert [r.content for r in small] == plain_chunks("aa bb. cc dd. ee", 5)
+    assert "Python" not in u._jdf.queryExecution().toString()

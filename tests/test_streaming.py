@@ -74,7 +74,7 @@ def test_conversation_state_across_batches_equals_window(spark, scratch):
 
 def test_raw_file_landing_ingest(spark, scratch):
     import os
-    from quire.functions.udtf import simple_chunk_text
+    from plain import plain_chunks
     land = f"{scratch}/landing"
     os.makedirs(f"{land}/a")
     texts = {"a/one.txt": "First paragraph.\n\nSecond paragraph.", "a/two.MD": "x" * 2500 + ". end",
@@ -92,8 +92,8 @@ def test_raw_file_landing_ingest(spark, scratch):
     for r in spark.read.parquet(target).collect():
         got.setdefault(os.path.basename(r.raw_path), []).append((r.chunk_index, r.content))
     assert set(got) == {"one.txt", "two.MD", "b.pdf"}          # .exe not admitted
-    assert [c for _, c in sorted(got["one.txt"])] == simple_chunk_text(texts["a/one.txt"])
-    assert [c for _, c in sorted(got["two.MD"])] == simple_chunk_text(texts["a/two.MD"])
+    assert [c for _, c in sorted(got["one.txt"])] == plain_chunks(texts["a/one.txt"])
+    assert [c for _, c in sorted(got["two.MD"])] == plain_chunks(texts["a/two.MD"])
     assert sorted(got["b.pdf"])[0][1].startswith("[PDF Content] Filename: b.pdf")
 
 
