@@ -1,21 +1,21 @@
 """License scan by a positional rare-token index (native Spark expressions).
 
-The licence templates are a small fixed table of word sequences with the key
-phrases that must stand in a file. From them comes a positional index: for
-each of a template's ``RARE`` highest-IDF words (IDF over the documents; ties
-by the number of templates, then the longer word) the positions where it
-stands. A file's words are looked up in the index; every hit proposes a start
-``file position - template position``, and proposals of one template that agree
-on the start are intersected into one place with the share of the template's
-rare-word weight that it explains. A key phrase found word for word proposes a
-place, too, and that place counts with ``MIN_SHARE`` at least. Any other place
-counts when its share reaches ``MIN_SHARE`` and one of the template's key
-phrases stands within a template's length of it. A key phrase that another
-template's key phrase carries on (attribution noncommercial) is not found.
-
-One aggregate counts the documents with each template word (a row a word).
-The work on a file is a projection: no shuffle, no Python. Base phrases are
-found by the same word positions.
+Licence texts, notices and short forms (``licence_texts``) are a small fixed
+table of word sequences. From them comes a positional index: for each
+version's ``RARE`` highest-IDF words (IDF over the documents; ties by the
+number of versions, then the longer word) the places where it stands. A file's
+words are looked up in the index; every hit proposes a start ``file position -
+version position``. The postings of the version are intersected there by
+relative position: each is looked up at its distance from the start, and the
+place has the share of the version's rare-word weight that stands where it
+should. A start that several hits propose is judged for the first posting that
+holds. It counts when its share reaches ``MIN_SHARE``, every mandatory key
+phrase of the version stands word for word at its own distance from the start,
+and none of the words that may not follow the version does.
+
+One aggregate counts the documents with each template word (a row a word). The
+work on a file is a projection whose steps grow with the file's index words:
+no shuffle, no Python. Base phrases are found by the same word positions.
 
 Defined results: null or empty text has no words and no labels; rows with
 null or repeated ids are scanned one by one; an empty table gives an empty
@@ -25,53 +25,44 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.licence_texts import TEXTS, Version
+
 #: The base phrases and their labels.
 BASE = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
-
-#: Template sentences (as words) and the key phrases that must be present.
-TEMPLATES = {
-    "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-            "documentation files the software to deal in the software without restriction",
-            ["permission is hereby granted free of charge", "deal in the software without restriction"]),
-    "apache-2": ("licensed under the apache license version 2 0 the license you may not use this file except in compliance "
-                 "with the license", ["licensed under the apache license", "apache license version 2"]),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the "
-            "following conditions are met", ["redistribution and use in source and binary forms"]),
-    "gpl": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
-            "license as published by the free software foundation", ["gnu general public license"]),
-    "mpl-2": ("this source code form is subject to the terms of the mozilla public license v 2 0",
-              ["mozilla public license"]),
-    "cc-by": ("this work is licensed under a creative commons attribution 4 0 international license",
-              ["creative commons attribution"]),
-    "cc-by-nc": ("licensed under a creative commons attribution noncommercial 4 0 international license cc by nc",
-                 ["attribution noncommercial", "cc by nc"]),
-    "reserved": ("copyright all rights reserved no part may be reproduced without permission", ["all rights reserved"]),
-}
 RARE = 6
 MIN_SHARE = 0.5
+_WORD = re.compile("[a-z0-9]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a template, as ``word_array`` has those of a file."""
+    return _WORD.findall(text.lower())
+
+
+def versions(templates: dict[str, list[Version]] = TEXTS) -> list[tuple[str, list[str], Version]]:
+    """``(label, words, version)`` of all versions."""
+    return [(label, words_of(v.text), v) for label, vs in templates.items() for v in vs]
 
 
-def build_index(df: dict[str, int], n: int, templates: dict = TEMPLATES,
-                rare: int = RARE) -> dict[str, list[tuple[str, int, float]]]:
-    """word -> ``(template, position, weight)`` for the rarest words of each
-    template, where ``df`` of ``n`` documents have a word; a template's weights
-    sum to 1 over its words' places."""
-    split = {k: v[0].split() for k, v in templates.items()}
-    shared = Counter(w for ws in split.values() for w in set(ws))
-    out: dict[str, list[tuple[str, int, float]]] = {}
-    for name, ws in split.items():
+def build_index(df: dict[str, int], n: int, templates: dict[str, list[Version]] = TEXTS,
+                rare: int = RARE) -> list[list[tuple[str, int, float]]]:
+    """For each version the postings ``(word, position, weight)`` of its
+    rarest words, where ``df`` of ``n`` documents have a word; a version's
+    weights sum to 1 over its words' places."""
+    split = [ws for _, ws, _ in versions(templates)]
+    shared = Counter(w for ws in split for w in set(ws))
+    out = []
+    for ws in split:
         idf = {w: math.log((2 + n) / (1 + df.get(w, 0))) for w in set(ws)}
         top = sorted(idf, key=lambda w: (-idf[w], shared[w], -len(w), w))[:rare]
         total = sum(idf[w] * ws.count(w) for w in top)
-        for w in top:
-            for p, x in enumerate(ws):
-                if x == w:
-                    out.setdefault(w, []).append((name, p, idf[w] / total))
+        out.append([(w, p, idf[w] / total) for w in top for p, x in enumerate(ws) if x == w])
     return out
 
 
@@ -79,91 +70,88 @@ def word_array(text_col: str) -> Column:
     """The words of a text: pieces between ASCII characters that are neither
     letters nor digits (the two ends of the split may be empty)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return F.filter(F.split(F.lower(text), r"[\x00-/:-@\[-`{-\x7f]+"), lambda w: w != "")
+    return F.filter(F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-/:-`{-\x7f]+"),
+                    lambda w: w != "")
 
 
-def document_frequency(docs: DataFrame, text_col: str = "text", templates: dict = TEMPLATES) -> tuple[dict[str, int], int]:
+def document_frequency(docs: DataFrame, text_col: str = "text",
+                       templates: dict[str, list[Version]] = TEXTS) -> tuple[dict[str, int], int]:
     """How many documents have each template word, and how many there are."""
-    vocab = sorted({w for sentence, _ in templates.values() for w in sentence.split()})
-    has = F.array_intersect(word_array(text_col), F.array(F.lit(""), *[F.lit(w) for w in vocab]))
+    vocab = sorted({w for _, ws, _ in versions(templates) for w in ws})
+    has = F.array_intersect(word_array(text_col), F.array(*[F.lit(w) for w in vocab]))
     got = (docs.select(F.explode(F.concat(F.array(F.lit("")), has)).alias("w")).groupBy("w").count()
            .collect())  # a row for each template word, and "" for all documents
     df = {r["w"]: r["count"] for r in got}
     return df, df.pop("", 0)
 
 
-def continued(phrase: str, name: str, templates: dict = TEMPLATES) -> list[tuple[str, int]]:
-    """``(other phrase, distance)``: key phrases of other templates that would
-    begin inside ``phrase`` and reach beyond it."""
-    ws = phrase.split()
-    return sorted({(q, len(ws) - k) for t, (_, keys) in templates.items() if t != name for q in keys
-                   for k in range(1, min(len(ws), len(q.split()) - 1) + 1) if ws[-k:] == q.split()[:k]})
-
-
-def _key_places(name: str, templates: dict) -> list[str]:
-    """SQL: the places ``(t, i, at, n)`` that key phrases of a template
-    propose: the phrase's position, the template's start and its length."""
-    ws, out = templates[name][0].split(), []
-    for p in templates[name][1]:
-        k = p.split()
-        o = next(i for i in range(len(ws)) if ws[i:i + len(k)] == k)
-        at = _phrase_at("words", p)
-        for q, far in continued(p, name, templates):
-            at = f"filter({at}, i -> not array_contains({_phrase_at('words', q)}, cast(i + {far} as int)))"
-        out.append(f"transform({at}, i -> named_struct('t', {_str(name)}, 'i', i, 'at', i - {o}, 'n', {len(ws)}))")
-    return out
-
-
 def _str(v: str) -> str:
     return "'" + v + "'"
 
 
+def _array(items: list[str], kind: str) -> str:
+    return f"cast(array({', '.join(items)}) as array<{kind}>)"
+
+
 def _phrase_at(words: str, phrase: str) -> str:
     """SQL: start positions (from 0) of ``phrase`` in the array ``words``.
     The rarest-looking (longest) word is looked up first."""
     ws = phrase.split()
     k = max(range(len(ws)), key=lambda i: len(ws[i]))
-    checks = " and ".join([f"i >= {k}", f"i + {len(ws) - k} <= size({words})"])
-    same = " and ".join(f"try_element_at({words}, cast(i + {j - k + 1} as int)) = {_str(w)}" for j, w in enumerate(ws) if j != k)
-    return (f"transform(filter(filter(hits, h -> h.w = {_str(ws[k])}).p, "
-            f"i -> {checks} and {same}), i -> i - {k})")
+    same = " and ".join(f"get({words}, cast(i + {j - k} as int)) <=> {_str(w)}" for j, w in enumerate(ws) if j != k)
+    return (f"transform(filter(filter(hits, h -> h.w = {_str(ws[k])}).p, i -> {same}), i -> i - {k})")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict = TEMPLATES,
-         base: dict = BASE, min_share: float = MIN_SHARE) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[Version]] = TEXTS,
+         base: dict = BASE, min_share: float = MIN_SHARE, index: list[list[tuple[str, int, float]]] | None = None) -> DataFrame:
     """``(<id_col>, n_words, base_places, places)`` of every row.
     ``base_places``: array of ``(label, start)``; ``places``: array of
-    ``(label, start, share)`` found by the index and verified."""
-    index = build_index(*document_frequency(docs, text_col, templates), templates)
-    phrases = sorted({p for _, keys in templates.values() for p in keys} | set(base.values()))
-    anchors = {max(p.split(), key=len) for p in phrases}
-    known = sorted(set(index) | anchors)
+    ``(label, start, share)`` found by the index and verified. ``index`` is
+    built from the documents by default."""
+    held = versions(templates)
+    if index is None:
+        index = build_index(*document_frequency(docs, text_col, templates), templates)
+    anchors = {max(p.split(), key=len) for p in base.values()}
+    known = sorted({w for ps in index for w, _, _ in ps} | anchors)
     df = docs.select(F.col(id_col).alias("id"), word_array(text_col).alias("words"))
-    listed = "array(" + ", ".join(_str(w) for w in known) + ")"
-    df = df.withColumn("hits", F.expr(
-        f"filter(transform(words, (w, p) -> named_struct('w', w, 'p', p)), h -> array_contains({listed}, h.w))"))
-    posts = "map(" + ", ".join(
-        f"{_str(w)}, array(" + ", ".join(f"named_struct('t', {_str(t)}, 'o', {o}, 's', cast({s!r} as double))" for t, o, s in ps) + ")"
-        for w, ps in sorted(index.items())) + ")"
-    proposals = (f"flatten(transform(hits, h -> transform(coalesce(try_element_at({posts}, h.w), array()), "
-                 "x -> named_struct('t', x.t, 'at', h.p - x.o, 's', x.s))))")
-    df = df.withColumn("found", F.expr(proposals))
-    keys = [x for t in templates for x in _key_places(t, templates)]
-    df = df.withColumn("keys", F.expr(f"flatten(array({', '.join(keys)}))"))
-    # intersect: proposals of one template with the same start add up
-    merged = ("transform(array_distinct(concat(transform(found, f -> named_struct('t', f.t, 'at', f.at)), "
-              "transform(keys, k -> named_struct('t', k.t, 'at', k.at)))), "
-              "g -> named_struct('label', g.t, 'start', g.at, 'share', aggregate(found, cast(0 as double), "
-              "(a, f) -> a + if(f.t = g.t and f.at = g.at, f.s, cast(0 as double)))))")
-    here = "exists(keys, k -> k.t = m.label and k.at = m.start)"
-    near = "exists(keys, k -> k.t = m.label and k.i between m.start - k.n and m.start + 2 * k.n)"
-    df = df.withColumn("places", F.expr(
-        f"transform(filter({merged}, m -> {here} or (m.share >= {min_share} and {near})), m -> named_struct('label', m.label, "
-        f"'start', m.start, 'share', if({here}, greatest(m.share, cast({min_share} as double)), m.share)))"))
+    df = df.withColumn("hits", F.expr("filter(transform(words, (w, p) -> named_struct('w', w, 'p', p)), "
+                                      f"h -> h.w in ({', '.join(_str(w) for w in known)}))"))
+    # word -> its postings; version -> its postings, the words of its key
+    # phrases, the words that may not follow it
+    posts: dict[str, list[str]] = {}
+    for t, ps in enumerate(index):
+        for j, (w, o, _) in enumerate(ps):
+            posts.setdefault(w, []).append(f"named_struct('t', {t}, 'j', {j}, 'o', {o})")
+    by_word = "map(" + ", ".join(f"{_str(w)}, array({', '.join(p)})" for w, p in sorted(posts.items())) + ")" if posts else "null"
+    rare = _array([_array([f"named_struct('w', {_str(w)}, 'o', {o}, 's', cast({s!r} as double))" for w, o, s in ps],
+                          "struct<w:string,o:int,s:double>") for ps in index], "array<struct<w:string,o:int,s:double>>")
+    keys, bans = [], []
+    for _, ws, v in held:
+        at = []
+        for p in v.keys:
+            k = p.split()
+            o = next(i for i in range(len(ws)) if ws[i:i + len(k)] == k)
+            at += [f"named_struct('w', {_str(w)}, 'o', {o + i})" for i, w in enumerate(k)]
+        keys.append(_array(at, "struct<w:string,o:int>"))
+        bans.append(_array([_str(w) for w in v.not_before], "string"))
+    pairs = "array<struct<w:string,o:int>>"
+    tables = {"rare": rare, "must": _array(keys, pairs), "bans": _array(bans, "array<string>"),
+              "length": _array([str(len(ws)) for _, ws, _ in held], "int"), "label": _array([_str(x) for x, _, _ in held], "string")}
+    if posts:
+        proposed = f"flatten(transform(hits, h -> transform(coalesce(try_element_at({by_word}, h.w), array()), x -> named_struct('t', x.t, 'j', x.j, 'at', h.p - x.o))))"
+        # judged once: for the first posting that holds at this start
+        first = f"not exists(slice(get({tables['rare']}, x.t), 1, x.j), r -> get(words, x.at + r.o) <=> r.w)"
+        share = f"aggregate(get({tables['rare']}, x.t), cast(0 as double), (a, r) -> a + if(get(words, x.at + r.o) <=> r.w, r.s, cast(0 as double)))"
+        verified = (f"forall(get({tables['must']}, x.t), r -> get(words, x.at + r.o) <=> r.w) and "
+                    f"not coalesce(array_contains(get({tables['bans']}, x.t), get(words, x.at + get({tables['length']}, x.t))), false)")
+        places = (f"filter(transform(filter({proposed}, x -> {first} and {verified}), x -> named_struct('label', get({tables['label']}, x.t), "
+                  f"'start', x.at, 'share', {share})), m -> m.share >= {min_share})")
+    else:
+        places = "cast(array() as array<struct<label:string,start:int,share:double>>)"
     base_places = "flatten(array(" + ", ".join(
         f"transform({_phrase_at('words', p)}, i -> named_struct('label', {_str(l)}, 'start', i))" for l, p in base.items()) + "))"
     return df.select(F.col("id").alias(id_col), F.size("words").cast("long").alias("n_words"),
-                     F.expr(base_places).alias("base_places"), "places")
+                     F.expr(base_places).alias("base_places"), F.expr(places).alias("places"))
 
 
 def report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:

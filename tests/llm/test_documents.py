@@ -454,7 +454,7 @@ def plain_license(text):
 
 LICENSE_TEXTS = [None, "", "--", "under the MIT License", "Under the mit license under the mit license.", "CC-BY-NC cc by cc by nc",
                  "Apache License, Version 2.0", "xunder the mit license", "cc_by.nc é under\nthe\tMIT--license é", "by nc", "cc", "nc cc by",
-                 licenses.TEMPLATES["mit"][0], "foo " * 3000 + licenses.TEMPLATES["bsd"][0], "permission granted obtaining copy deal"]
+                 licenses.TEXTS["mit"][0].text, "foo " * 3000 + licenses.TEXTS["bsd"][2].text, "permission granted obtaining copy deal"]
 
 
 def test_license_base(spark):
@@ -488,10 +488,61 @@ def test_license_words_are_rare_in_the_documents(spark):
     docs = frame(spark, ["redistribution of the forms", "the forms", "the", None])
     df, n = licenses.document_frequency(docs)
     assert n == 4 and (df["the"], df["forms"], df["redistribution"], df.get("met", 0)) == (3, 2, 1, 0)
-    bsd = {w for w, ps in licenses.build_index({"are": 900, "met": 800, "binary": 700}, 1000).items() if any(t == "bsd" for t, _, _ in ps)}
+    notice = next(i for i, (x, ws, _) in enumerate(licenses.versions()) if x == "bsd" and ws[-1] == "met")
+    bsd = {w for w, _, _ in licenses.build_index({"are": 900, "met": 800, "binary": 700}, 1000)[notice]}
     assert {"redistribution", "modification"} <= bsd and not {"are", "met", "binary"} & bsd
 
 
+def plain_places(text, index):
+    """Places by trying every start of every version."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    get = lambda i: words[i] if 0 <= i < len(words) else None
+    out = []
+    for (label, ws, v), posts in zip(licenses.versions(), index):
+        for at in range(-len(ws), len(words)):
+            share = sum(s for w, o, s in posts if get(at + o) == w)
+            starts = [next(i for i in range(len(ws)) if ws[i:i + len(k)] == k) for k in map(str.split, v.keys)]
+            there = all(get(at + o + i) == w for o, k in zip(starts, v.keys) for i, w in enumerate(k.split()))
+            if share >= licenses.MIN_SHARE and there and get(at + len(ws)) not in v.not_before:
+                out.append((label, at, round(share, 9)))
+    return sorted(out)
+
+
+def test_places_equal_all_starts_tried(spark):
+    rng = random.Random(3)
+    texts = [v.text for _, _, v in licenses.versions()]
+    texts += [licenses._WORD.sub(lambda m: rng.choice([m.group()] * 9 + ["x", m.group() + " y"]), t.lower()) for t in texts]
+    texts += [" ".join(rng.choice(texts).split()[:rng.randint(1, 60)]) + " tail " + rng.choice(texts) for _ in range(20)] + [None, ""]
+    docs = frame(spark, texts)
+    index = licenses.build_index(*licenses.document_frequency(docs))
+    got = {r.doc_id: sorted((x.label, x.start, round(x.share, 9)) for x in r.places) for r in licenses.scan(docs, index=index).collect()}
+    assert got == {i: plain_places(t, index) for i, t in enumerate(texts)}
+    found = {i: {x[0] for x in got[i]} for i in got}
+    assert all(label in found[i] for i, (label, _, _) in enumerate(licenses.versions()))
+
+
+def test_labels_come_through_the_index(spark):
+    texts = [v.text for _, _, v in licenses.versions()] + ["plain words"]
+    docs = frame(spark, texts)
+    none = licenses.scan(docs, index=[[] for _ in licenses.versions()]).collect()
+    assert all(not r.places for r in none) and any(r.base_places for r in none)
+    index = licenses.build_index({}, len(texts))
+    gpl = [i for i, (x, _, _) in enumerate(licenses.versions()) if x == "gpl"]
+    without = licenses.scan(docs, index=[[] if i in gpl else p for i, p in enumerate(index)])
+    labels = {r.doc_id: r.labels.split(",") for r in licenses.report(without).collect()}
+    assert not any("gpl" in labels[i] for i in gpl) and "mit" in labels[0]
+    assert all("gpl" in r.labels.split(",") for r in licenses.report(licenses.scan(docs, index=index)).collect() if r.doc_id in gpl)
+
+
+def test_many_index_words_in_one_text(spark):
+    import time
+    index = licenses.build_index({}, 10)
+    word = "redistribution"
+    docs = frame(spark, [" ".join([word] * 20_000), " ".join(["redistribution and use in source and binary forms"] * 2500)])
+    t0 = time.time()
+    got = {r.doc_id: len(r.places) for r in licenses.scan(docs, index=index).collect()}
+    assert got[0] == 0 and got[1] >= 2500 and time.time() - t0 < 60
+
 def test_op9_on_the_fixture(spark):
     docs = fixture(spark)
     for r in QUERIES["op9_licenses"](spark, SF).collect():
