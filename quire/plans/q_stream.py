@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import NON_WS
 from quire.functions.udtf import register_chunk_text
 from quire.functions.vector import register_sql_functions
-from quire.operators import dialogue, sinks, versions
+from quire.operators import dialogue, keyed, versions
 from quire.plans.catalog import register
 from quire.plans.q_tables import _U2_SQL, _status_log
 from quire.plans.q_text import _EXT, _C23_SQL, chunk_oracle
@@ -27,30 +27,35 @@ def _run_dir(spark, name: str) -> str:
     return checkpoint_path(spark, "runs", f"{name}-{uuid.uuid4().hex}")
 
 
-#: The order in which rows of a table land, as equal parts of its range.
+#: The order in which rows of a table land, in parts of about equal size.
 LANDING = {"events": "ts", "documents": "doc_id", "conversations": "conv_id"}
 PARTS = 4
+#: Rows of one landed file, about.
+FILE_ROWS = 2_000_000
 
 
-def _land(spark, sf_dir: str, table: str) -> str:
+def _land(spark, sf_dir: str, table: str) -> tuple[str, int]:
     """The whole table landed as ``PARTS`` batches of files, one after the
-    other in the table's order, so that a stream over it has several
-    micro-batches. Works for a table stored as one file or as a folder."""
+    other in the table's order (cut at its quantiles), so that a stream over
+    it has several micro-batches. Returns the folder and how many files a
+    batch has at most."""
     t = Fixture(spark, sf_dir).table(table)
     at = F.col(LANDING[table])
     at = F.unix_micros(at.cast("timestamp")) if table == "events" else at
-    lo, hi = t.agg(F.min(at), F.max(at)).first()
-    part = F.least(F.lit(PARTS - 1), F.floor((at - F.lit(lo)) * PARTS / F.lit(max(1, hi - lo))).cast("int"))
+    got = t.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(at, [i / PARTS for i in range(1, PARTS)], 10_000).alias("q")).first()
+    files = max(1, -(-got["n"] // (PARTS * FILE_ROWS)))
+    part = sum((F.coalesce(at > F.lit(c), F.lit(False)).cast("int") for c in got["q"] or []), F.lit(0))
     landing = f"{_run_dir(spark, 'landing')}/{table}"
     for i in range(PARTS):  # a later part has later files
-        t.filter(part == i).coalesce(1).write.mode("append").parquet(landing)
-    return landing
+        t.filter(part == i).repartition(files).write.mode("append").parquet(landing)
+    return landing, files
 
 
-def _stream_view(spark, sf_dir: str, table: str, max_files: int | None = 1):
+def _stream_view(spark, sf_dir: str, table: str):
     fx = Fixture(spark, sf_dir)
     schema = fx.table(table).schema
-    src = jobs.file_stream(spark, _land(spark, sf_dir, table), schema, max_files=max_files)
+    landing, files = _land(spark, sf_dir, table)
+    src = jobs.file_stream(spark, landing, schema, max_files=files)
     name = f"_stream_{table}_{uuid.uuid4().hex[:8]}"
     src.createOrReplaceTempView(name)
     return fx, name
@@ -113,21 +118,21 @@ def st2_exactly_once_append(spark, sf_dir):
     target = f"{run}/pages"
     key = ["path", "user_id", "page_id"]
 
-    def keyed(pages, docs):
+    def with_key(pages, docs):
         d = docs.select(F.col("id").cast("bigint").alias("doc_id"), F.col("raw_path").alias("path"), "user_id")
         return pages.join(d, "doc_id").select("path", "user_id", F.col("page_id").cast("string").alias("page_id"),
                                               F.col("content").alias("text"), F.lit(0).alias("ord"))
 
-    seed = keyed(fx.pages(), fx.documents()).filter(F.col("page_id").cast("int") % 2 == 0)
-    sinks.append_idempotent(seed, target, key, ["ord"], key_buckets=64)
+    seed = with_key(fx.pages(), fx.documents()).filter(F.col("page_id").cast("int") % 2 == 0)
+    keyed.append(seed, target, key, ["ord"], buckets=8)
     for attempt in range(2):
         _, name = _stream_view(spark, sf_dir, "documents")
         pages = fx.view_over("v_pages_spark", documents=name)
         docs = fx.view_over("v_documents", documents=name)
-        stream = keyed(pages, docs)
-        jobs.run_available(stream.writeStream.foreachBatch(jobs.keyed_append_sink(target, key, ["ord"]))
+        stream = with_key(pages, docs)
+        jobs.run_available(stream.writeStream.foreachBatch(jobs.bucketed_append_sink(target, key, ["ord"]))
                            .option("checkpointLocation", f"{run}/ck{attempt}"))
-    res = spark.read.parquet(target)
+    res = keyed.table(spark, target)
     return res.select("path", "user_id", "page_id", F.length("text").cast("bigint").alias("text_length"))
 
 

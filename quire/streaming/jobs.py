@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from quire.operators import chunking, dialogue, sinks, versions
+from quire.operators import chunking, dialogue, keyed, sinks, versions
 from quire.sources import files
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -73,6 +73,15 @@ def keyed_append_sink(target: str, key: list[str], order: list[str], key_buckets
     return sink
 
 
+def bucketed_append_sink(target: str, key: list[str], order: list[str], buckets: int | None = None):
+    """ST2 on a bucketed table (``quire.operators.keyed``): only unseen keys
+    are appended, and the stored keys are neither shuffled nor, for a batch of
+    usual size, sorted."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        keyed.append(batch, target, key, order, buckets)
+    return sink
+
+
 def binary_file_stream(spark: SparkSession, landing: str, glob: str | None = None,
                        max_files: int | None = None) -> DataFrame:
     """New raw files in a landing folder as ``(path, modificationTime,

@@ -76,11 +76,11 @@ from (select conv_id, unnest(range(0, cast(conv_id % 4 as int))) as pos
     "v_pages_spark": """
 select doc_id, k as page_id, substring(text, 1 + 2000 * k, 2000) as content, lang, source
 from (select doc_id, text, lang, source,
-             explode(sequence(0, cast(ceil(n_chars / 2000.0) as int) - 1)) as k from {documents})""",
+             explode(filter(sequence(0, cast(ceil(length(text) / 2000.0) as int)), k -> 2000 * k < length(text))) as k from {documents})""",
     "v_pages_duck": """
 select doc_id, k as page_id, substring(text, 1 + 2000 * k, 2000) as content, lang, source
 from (select doc_id, text, lang, source,
-             unnest(range(0, cast(ceil(n_chars / 2000.0) as int))) as k from {documents})""",
+             unnest(range(0, cast(ceil(length(text) / 2000.0) as int))) as k from {documents})""",
     # scope of a search query: ten documents of all, chosen by rule
     "v_scope_spark": """
 select vec_id as qid, cast((vec_id * 7 + j * 13) % (select count(*) from {documents}) as string) as doc_id
