@@ -2,16 +2,17 @@
 
 Each document gets counts over its whole text, and from them a few *rule
 values* (higher is worse). Labelled holdout rows (``labels.quality``) decide
-how far a rule may cut in a stratum (language): going from the loosest cutoff
-of a fixed ladder to the tightest, a cutoff is accepted while the exact
-binomial (Clopper-Pearson) upper bound on its false rejection of good
-documents stays below the rule's share of ``RISK``; the first failure ends the
-ladder. Fixed-sequence testing needs no correction inside a ladder, and the
-error rate is divided over all (stratum, rule) ladders that have holdout rows
-enough to accept anything (Bonferroni; the others cannot err, see
-``testable``). With probability ``1 - ERROR`` over the holdout, no stratum
-loses more than ``RISK`` of its good documents to the learned rules. A ladder
-without enough holdout rows gets no cutoff, so it rejects nothing.
+how far the rules may cut in a stratum (language). All rules share one fixed
+sequence of steps, each of which tightens one rule's cutoff (the loosest
+cutoffs of all rules first). A step is accepted while the exact binomial
+(Clopper-Pearson) upper bound on the share of good documents that the cutoffs
+so far reject *together* stays below ``RISK``; the first failure ends the
+sequence. Fixed-sequence testing needs no correction inside a sequence, and the
+error rate is divided over the strata that have holdout rows enough to accept
+anything (Bonferroni; the others cannot err, see ``testable``). With
+probability ``1 - ERROR`` over the holdout, no stratum loses more than
+``RISK`` of its good documents to the learned rules. A stratum without enough
+holdout rows gets no cutoff, so it rejects nothing.
 
 Every stratum is judged by its own holdout rows only, however many strata
 there are: the cutoffs stay a distributed table, joined by stratum.
@@ -151,31 +152,52 @@ def testable(sizes: list[tuple[int, int]], risk: float, error: float) -> int:
     return lo
 
 
+#: The steps ``(position in the ladder, rule)`` in the order of testing.
+STEPS = sorted(((i, r) for r in RULES for i in range(len(LADDER[r]))), key=lambda s: (s[0], list(RULES).index(s[1])))
+
+
+def first_step() -> Column:
+    """The first step whose cutoff rejects a row (null: none does)."""
+    def of(rule: str) -> Column:
+        passed = sum(((rule_value(rule) <= F.lit(c)).cast("int") for c in LADDER[rule]), F.lit(0))
+        return F.get(F.array(*[F.lit(STEPS.index((i, rule))) for i in range(len(LADDER[rule]))]), passed)
+    return F.least(*[of(r) for r in RULES])
+
+
+def accepted_cutoffs(rejected: dict[int, int], n: int, risk: float, error: float) -> list[float | None]:
+    """The cutoff of each rule after the last accepted step, where of ``n``
+    good rows ``rejected[s]`` are first rejected by step ``s``."""
+    together = np.cumsum([rejected.get(s, 0) for s in range(len(STEPS))]).tolist()
+    last = accepted_cutoff(list(range(len(STEPS))), together, n, risk, error)
+    tight = {r: LADDER[r][i] for i, r in STEPS[:0 if last is None else last + 1]}
+    return [tight.get(r) for r in RULES]
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
             risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """Cutoffs ``(stratum, <a column for each rule>)``; a ladder that accepts
-    nothing has null, a stratum without any cutoff has no row."""
+    """Cutoffs ``(stratum, <a column for each rule>)``; a rule that no
+    accepted step has tightened has null, a stratum without any cutoff has no
+    row."""
     good = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("label = 1 and id is not null")
     held = measured.filter(~F.col("base_failed")).join(good.select("id"), "id")
-    # one aggregate counts, for each stratum, rule and cutoff, the good
-    # documents beyond it
-    sums = [F.sum((rule_value(r) > F.lit(c)).cast("long")).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(LADDER[r])]
-    table = materialize(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums), "quality-ladders")
-    per_rule, per_ladder = risk / len(RULES), error / len(RULES)
+    steps = held.withColumn("step", first_step()).groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("k"))
+    # a row for each stratum, with at most a pair for each step
+    table = materialize(steps.groupBy("stratum").agg(F.sum("k").alias("n"), F.collect_list(F.struct("step", "k")).alias("steps")),
+                        "quality-steps")
     # strata with more rows than MANY are testable at any number of strata
     # below 1e18, so at most MANY sizes are told apart
-    many = math.ceil(math.log(per_ladder / 1e18) / math.log1p(-per_rule))
+    many = math.ceil(math.log(error / 1e18) / math.log1p(-risk))
     sizes = table.groupBy(F.least("n", F.lit(many)).alias("n")).count().collect()
-    m = testable([(r["n"], r["count"]) for r in sizes], per_rule, per_ladder)
+    m = testable([(r["n"], r["count"]) for r in sizes], risk, error)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for row in pdf.to_dict("records"):
-                cut = [accepted_cutoff(LADDER[r], [int(row[f"{r}_{i}"]) for i in range(len(LADDER[r]))], int(row["n"]),
-                                       per_rule, per_ladder / m) for r in RULES]
+            for stratum, n, pairs in zip(pdf["stratum"], pdf["n"], pdf["steps"]):
+                rejected = {int(p["step"]): int(p["k"]) for p in pairs if p["step"] is not None}
+                cut = accepted_cutoffs(rejected, int(n), risk, error / m)
                 if any(c is not None for c in cut):
-                    rows.append((row["stratum"], *cut))
+                    rows.append((stratum, *cut))
             got = pd.DataFrame(rows, columns=["stratum", *RULES])
             yield got.astype({r: "float64" for r in RULES})
 

@@ -72,6 +72,62 @@ def test_cutoffs_keep_their_guarantee():
     assert abs(quality.binomial_tail(3, 10, 0.3) - 0.6496107184) < 1e-9
 
 
+def plain_cutoffs(values, risk, error):
+    """Step by step: which cutoffs hold for the good rows' rule values."""
+    cut = dict.fromkeys(quality.RULES)
+    for i, r in quality.STEPS:
+        now = {**cut, r: quality.LADDER[r][i]}
+        k = sum(any(c is not None and v[x] > c for x, c in now.items()) for v in values)
+        if not values or k > len(values) * risk or quality.binomial_tail(k, len(values), risk) > error:
+            break
+        cut = now
+    return [cut[r] for r in quality.RULES]
+
+
+def test_cutoffs_equal_the_steps_one_by_one(spark):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(900):
+        lang = rng.choice(["en", "en", "fr", None])
+        words = [f"w{rng.randint(0, 400)}" + "#" * (rng.random() < 0.02) + "x" * rng.randint(0, 9) for _ in range(rng.randint(20, 60))]
+        rows.append((i, " ".join(words) + "\nsame line here" * rng.choice([0, 0, 0, 2]), lang))
+        labels.append((i, int(rng.random() < 0.7)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    measured = quality.counts(docs).cache()
+    got = {r.stratum: [r[x] for x in quality.RULES] for r in quality.cutoffs(measured, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    good = {i for i, y in labels if y}
+    by = {}
+    for r in measured.collect():
+        if r.id in good and not r.base_failed:
+            value = {x: (r[t] / r[u] if r[u] else 0.0) for x, (t, u) in quality.RULES.items()}
+            by.setdefault(r.stratum, []).append(value)
+    m = quality.testable([(len(v), 1) for v in by.values()], quality.RISK, quality.ERROR)
+    want = {k: plain_cutoffs(v, quality.RISK, quality.ERROR / m) for k, v in by.items()}
+    assert got == {k: v for k, v in want.items() if any(c is not None for c in v)} and "en" in got
+    # of 2000 fresh good rows of a stratum not more than RISK are lost, and
+    # some hundred holdout rows are enough for a cutoff
+    assert quality.accepted_cutoffs({}, 108, 0.04, 0.0125) == [quality.LADDER[r][-1] for r in quality.RULES]
+    assert quality.accepted_cutoffs({}, 107, 0.04, 0.0125) == [None] * 4
+
+
+def test_verdicts_equal_plain_rules(spark):
+    """op3's deciding part: kept exactly when no learned cutoff is passed."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    measured = quality.counts(docs).cache()
+    cuts = {r.stratum: [r[x] for x in quality.RULES] for r in quality.cutoffs(measured, labels).collect()}
+    assert set(cuts) == {"en", "de", "fr", "es"}
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    lost = {}
+    for r in quality.filter_quality(docs, labels).collect():
+        value = [r[t] / r[u] if r[u] else 0.0 for t, u in quality.RULES.values()]
+        bad = any(c is not None and v > c for v, c in zip(value, cuts[r.lang]))
+        assert r.kept == (not r.base_failed and not bad)
+        if r.doc_id in good and not r.base_failed:
+            lost.setdefault(r.lang, []).append(not r.kept)
+    assert all(np.mean(v) <= quality.RISK for v in lost.values())
+
+
 def test_quality_learns_and_guards(spark):
     rng = random.Random(4)
     rows, labels = [], []
