@@ -82,6 +82,16 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+ORACLES["op7_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
+best AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS target FROM p)
+SELECT page_id, payload_bytes, sha1(payload) AS payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND target <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND target <> page_id THEN target END AS refers_to
+FROM best
+"""
+
+
 @_add
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.jaccard import near_classes

@@ -29,7 +29,8 @@ def values(df):
 
 def by_sql(name, sf=SF):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     got = con.execute(ORACLES[name])
     cols = [c[0] for c in got.description]
     order = sorted(range(len(cols)), key=lambda i: cols[i])
