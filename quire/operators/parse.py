@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Declared read schema of one parsed page.
+# The read schema of one parsed page, as the parse result has it.
 PAGE_SCHEMA = T.StructType([
     T.StructField("content", T.StringType()),
     T.StructField("footer", T.StringType()),

@@ -22,6 +22,11 @@ SUMMARY_HEADER = ("Please analyze this conversation and provide:\n1. A brief sum
                   "2. A short, descriptive title (max 50 characters)\n\nConversation:\n")
 SUMMARY_FOOTER = "\nPlease format your response as:\nSummary: [summary]\nTitle: [title]"
 DEFAULT_TITLE = "New Conversation"
+# Headings and roles of the two prompt layouts.
+CHAT_CONTEXT, CHAT_DOCUMENT, CHAT_HISTORY, CHAT_ANSWER = ("\n\nRelevant document context:", "\nDocument ", "\n\nConversation:",
+                                                          "\n\nAssistant:")
+AGENT_CONTEXT, AGENT_DOCUMENT, AGENT_HISTORY = "\nRelevant Document Context:", "\nContext ", "\nRecent Conversation:"
+AGENT_QUESTION, AGENT_ANSWER, AGENT_USER, AGENT_OTHER = "\nHuman: ", "\nAssistant:", "Human", "Assistant"
 
 
 def _ordered(df: DataFrame, key: str, pos: str, item: Column, name: str) -> DataFrame:
@@ -43,14 +48,14 @@ def chat_prompt(conversations: DataFrame, last5: DataFrame, context: DataFrame,
     msg = _ordered(last5, conv, "pos",
                    F.concat(F.lit("\n"), F.initcap("role"), F.lit(": "), F.coalesce("text", F.lit(""))), "_m")
     ctx = _ordered(context.filter(F.col("position") <= 3), conv, "position",
-                   F.concat(F.lit("\nDocument "), F.col("position").cast("string"), F.lit(": "),
+                   F.concat(F.lit(CHAT_DOCUMENT), F.col("position").cast("string"), F.lit(": "),
                             F.substring(F.coalesce("content", F.lit("")), 1, 500)), "_c")
     j = conversations.select(conv).join(msg, conv, "left").join(ctx, conv, "left")
     n_ctx = F.size(F.coalesce("_c", _empty()))
-    ctx_block = F.when(n_ctx > 0, F.concat(F.lit("\n\nRelevant document context:"), F.array_join("_c", ""))) \
+    ctx_block = F.when(n_ctx > 0, F.concat(F.lit(CHAT_CONTEXT), F.array_join("_c", ""))) \
         .otherwise(F.lit(""))
-    prompt = F.concat(F.lit(SYSTEM_PROMPT), ctx_block, F.lit("\n\nConversation:"),
-                      F.array_join(F.coalesce("_m", _empty()), ""), F.lit("\n\nAssistant:"))
+    prompt = F.concat(F.lit(SYSTEM_PROMPT), ctx_block, F.lit(CHAT_HISTORY),
+                      F.array_join(F.coalesce("_m", _empty()), ""), F.lit(CHAT_ANSWER))
     return j.select(conv, prompt.alias("prompt"), n_ctx.cast("bigint").alias("context_docs_count")) \
         .withColumn("prompt_length", F.length("prompt").cast("bigint"))
 
@@ -60,19 +65,19 @@ def agent_prompt(question: DataFrame, last6: DataFrame, counts: DataFrame, conte
     """Second layout joined by newlines: ``Context i:`` blocks cut at 500
     with ``...`` only when longer; the last 6 messages (Human/Assistant) only
     when the conversation has more than one; then the question."""
-    role = F.when(F.col("role") == "user", F.lit("Human")).otherwise(F.lit("Assistant"))
+    role = F.when(F.col("role") == "user", F.lit(AGENT_USER)).otherwise(F.lit(AGENT_OTHER))
     msg = _ordered(last6, conv, "pos", F.concat(role, F.lit(": "), F.coalesce("text", F.lit(""))), "_m")
     c = context.filter(F.col("position") <= 3)
     ctx = _ordered(c, conv, "position",
-                   F.concat(F.lit("\nContext "), F.col("position").cast("string"), F.lit(":\n"),
+                   F.concat(F.lit(AGENT_DOCUMENT), F.col("position").cast("string"), F.lit(":\n"),
                             ellipsize(F.coalesce("content", F.lit("")), 500)), "_c")
     j = question.join(counts, conv, "left").join(msg, conv, "left").join(ctx, conv, "left")
     ctx_part = F.when(F.size(F.coalesce("_c", _empty())) > 0,
-                      F.concat(F.array(F.lit("\nRelevant Document Context:")), F.col("_c"))).otherwise(_empty())
+                      F.concat(F.array(F.lit(AGENT_CONTEXT)), F.col("_c"))).otherwise(_empty())
     hist = F.when(F.col("n_messages") > 1,
-                  F.concat(F.array(F.lit("\nRecent Conversation:")), F.coalesce("_m", _empty()))).otherwise(_empty())
+                  F.concat(F.array(F.lit(AGENT_HISTORY)), F.coalesce("_m", _empty()))).otherwise(_empty())
     parts = F.concat(F.array(F.lit(SYSTEM_PROMPT_2)), ctx_part, hist,
-                     F.array(F.concat(F.lit("\nHuman: "), F.coalesce("text", F.lit(""))), F.lit("\nAssistant:")))
+                     F.array(F.concat(F.lit(AGENT_QUESTION), F.coalesce("text", F.lit(""))), F.lit(AGENT_ANSWER)))
     return j.select(conv, F.array_join(parts, "\n").alias("prompt"))
 
 

@@ -19,6 +19,7 @@ from quire.plans.catalog import register
 from quire.plans.q_tables import _U2_SQL, _status_log
 from quire.plans.q_text import _EXT, _C23_SQL, chunk_oracle
 from quire.session import checkpoint_path
+from quire.sources.files import DOC_TEXT, PDF_TEXT, placeholder_sql
 from quire.streaming import jobs
 from quire.views import Fixture, duck_cte
 
@@ -68,10 +69,8 @@ _ST1_SQL = chunk_oracle(base=duck_cte("v_documents").replace("with ", "with recu
         from v_documents),
 ex as (
   select id, case when ext in ('.txt', '.md') then f.text
-       when ext = '.pdf' then '[PDF Content] Filename: ' || fname || chr(10) ||
-         'This is placeholder text content extracted from the PDF file. In production, this would use proper PDF parsing.'
-       when ext in ('.doc', '.docx') then '[Document Content] Filename: ' || fname || chr(10) ||
-         'This is placeholder text content extracted from the document file. In production, this would use proper document parsing.'
+       when ext = '.pdf' then {placeholder_sql(PDF_TEXT, 'fname')}
+       when ext in ('.doc', '.docx') then {placeholder_sql(DOC_TEXT, 'fname')}
      end as extracted
   from f join v_documents d using (id)
   where ext in ('.pdf', '.txt', '.docx', '.md') and octet_length(encode(d.text)) <= 30 * 1024 * 1024

@@ -8,6 +8,7 @@ from quire.functions.text import NON_WS, WS_CLASS
 from quire.operators import chunking, parse
 from quire.plans.catalog import register
 from quire.sources import files
+from quire.sources.files import DOC_TEXT, PDF_TEXT, placeholder_sql
 from quire.views import BASE_TABLES, Fixture, duck_cte, more_views
 
 ORACLE_DIR = "/root/testdata/sf0.01"
@@ -192,10 +193,8 @@ _S4_SQL = duck_cte("v_documents") + f"""
                {_EXT.format(p='raw_path')} as ext from v_documents)
 select id, ext as extension,
   case when ext in ('.txt', '.md') then text
-       when ext = '.pdf' then '[PDF Content] Filename: ' || fname || chr(10) ||
-         'This is placeholder text content extracted from the PDF file. In production, this would use proper PDF parsing.'
-       when ext in ('.doc', '.docx') then '[Document Content] Filename: ' || fname || chr(10) ||
-         'This is placeholder text content extracted from the document file. In production, this would use proper document parsing.'
+       when ext = '.pdf' then {placeholder_sql(PDF_TEXT, 'fname')}
+       when ext in ('.doc', '.docx') then {placeholder_sql(DOC_TEXT, 'fname')}
        else '[File Content] Filename: ' || fname || chr(10) || 'Unsupported file type for text extraction: ' || ext
   end as extracted
 from f

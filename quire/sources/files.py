@@ -126,3 +126,10 @@ def upload_path(base: str, catalog: str, schema: str, volume: str, file_name: Co
 def processed_path(path: Column) -> Column:
     """``Path(path).parent / "processed"``."""
     return F.concat(F.regexp_replace(path, "/[^/]+$", ""), F.lit("/processed"))
+
+
+def placeholder_sql(template: str, name: str) -> str:
+    """A placeholder text as SQL over the column ``name`` (for the oracles)."""
+    lines = [" || ".join(f"'{x}'" if i % 2 == 0 else name for i, x in enumerate(line.replace("{f}", "\0f\0").split("\0")) if x)
+             for line in template.split("\n")]
+    return " || chr(10) || ".join(lines)
