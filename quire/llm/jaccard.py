@@ -189,7 +189,8 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int = WORDS, percent: int =
         for pdf in _small(batches):
             yield pd.DataFrame({"id": pdf["id"], "s": [h.tobytes() for h in shingles(pdf["text"].tolist(), size)]})
 
-    held = (docs.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(sets, "id long, s binary"))
+    # of texts with one id the least, on every retry
+    held = docs.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).mapInPandas(sets, "id long, s binary")
     j = (pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
          .join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b"))
 
@@ -201,6 +202,7 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int = WORDS, percent: int =
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+        give_back()
 
     return j.select("a", "b", "sa", "sb").mapInPandas(check, "a long, b long")
 

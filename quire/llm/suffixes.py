@@ -50,6 +50,8 @@ HOT = 2000
 KEY_BITS = 48
 #: Contexts that are refined at a time (more where one anchor has more).
 PART = 4000
+#: Contexts whose bytes are held at a time.
+ROWS = 20_000
 #: Smaller blocks than elsewhere: a task holds several numbers for each byte.
 BLOCK_BYTES = 8 << 20
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -164,9 +166,11 @@ class Block:
         n = self.last[many] - self.first[many] + 1
         which = np.repeat(many, n)
         at = self.first[which] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        strings = gather(self.data, at, self.length, -(-self.length // 8) * 8)
+        hot_key = np.empty(len(at), np.uint64)
         with np.errstate(over="ignore"):
-            hot_key = _hash_rows(strings, 2) >> np.uint64(64 - KEY_BITS)
+            for lo in range(0, len(at), ROWS):
+                strings = gather(self.data, at[lo:lo + ROWS], self.length, -(-self.length // 8) * 8)
+                hot_key[lo:lo + ROWS] = _hash_rows(strings, 2) >> np.uint64(64 - KEY_BITS)
         return (np.concatenate([self.first[one], at]), np.concatenate([self.last[one], at]),
                 np.concatenate([self.anchor[one] - self.first[one], np.full(len(at), 255)]),
                 np.concatenate([self.doc[one], self.doc[which]]), np.concatenate([self.key[one], hot_key]))
@@ -175,7 +179,7 @@ class Block:
         """Context bytes as rows of equal width, zero behind the end."""
         rows = gather(self.data, first, self.width, self.width)
         rows[np.arange(self.width) >= (last - first + self.length)[:, None]] = 0
-        return rows
+        return np.ascontiguousarray(rows)
 
     def asked(self, state: np.ndarray, n: int) -> "Asked":
         return Asked(self, state, n)
@@ -187,11 +191,15 @@ class Asked:
     def __init__(self, block: Block, state: np.ndarray, n: int):
         self.first, self.last, off, doc, key = block.contexts(state)
         self.ids = block.ids[doc] if len(doc) else np.zeros(0, np.int64)
-        rows = block.bytes_of(self.first, self.last)
+        self.block = block
         size = (self.last - self.first + 1).astype(np.uint64)
+        h1, h2 = np.empty(len(key), np.uint64), np.empty(len(key), np.uint64)
         with np.errstate(over="ignore"):
-            seed = _mix(key ^ (size << np.uint64(48)) ^ (off.astype(np.uint64) << np.uint64(56)))
-            h1, h2 = _mix(_hash_rows(rows, 3) ^ seed), _mix(_hash_rows(rows, 4) + seed)
+            for lo in range(0, len(key), ROWS):  # bytes are looked at in parts, and kept by none
+                at = slice(lo, lo + ROWS)
+                rows = block.bytes_of(self.first[at], self.last[at])
+                seed = _mix(key[at] ^ (size[at] << np.uint64(48)) ^ (off[at].astype(np.uint64) << np.uint64(56)))
+                h1[at], h2[at] = _mix(_hash_rows(rows, 3) ^ seed), _mix(_hash_rows(rows, 4) + seed)
         bucket = (key % np.uint64(n)).astype(np.int64)
         order = np.lexsort((self.ids, h2, h1, bucket))
         new = np.ones(len(order), bool)
@@ -202,15 +210,15 @@ class Asked:
         self.group[order] = np.cumsum(new) - 1
         self.rep = order[new]
         self.bucket = ob[new]
-        self.rows, self.size, self.off, self.key = rows[self.rep], size[self.rep].astype(np.uint8), off[self.rep].astype(np.uint8), key[self.rep]
+        self.size, self.off, self.key = size[self.rep].astype(np.uint8), off[self.rep].astype(np.uint8), key[self.rep]
 
     def requests(self) -> Iterator[tuple[int, bytes]]:
         for b in np.unique(self.bucket):
             at = np.flatnonzero(self.bucket == b)
+            rows = self.block.bytes_of(self.first[self.rep[at]], self.last[self.rep[at]])
             yield int(b), to_payload(pa.table({
                 "id": self.ids[self.rep[at]], "key": self.key[at], "size": self.size[at], "off": self.off[at],
-                "row": pa.FixedSizeBinaryArray.from_buffers(pa.binary(self.rows.shape[1]), len(at),
-                                                            [None, pa.py_buffer(np.ascontiguousarray(self.rows[at]))])}))
+                "row": pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(at), [None, pa.py_buffer(rows)])}))
 
 
 def pack_keys(keys: np.ndarray, docs_of: np.ndarray) -> bytes:
@@ -372,6 +380,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         bucket = (block.keys % np.uint64(n)).astype(np.int64)
         rows = [(int(left["block"].iloc[0]), int(b), pack_keys(block.keys[bucket == b], block.docs_of[bucket == b]))
                 for b in np.unique(bucket)] if len(left) else []
+        del block, bucket
+        give_back()
         return pd.DataFrame(rows, columns=["block", "bucket", "payload"])
 
     def answer_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -383,6 +393,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     def ask_contexts(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         block = load(left, right)
         rows = [(int(left["block"].iloc[0]), b, p) for b, p in block.asked(states(block, right), n).requests()] if len(left) else []
+        del block
+        give_back()
         return pd.DataFrame(rows, columns=["block", "bucket", "payload"])
 
     def answer_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -420,6 +432,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             row = (i, len(text), [{"start": s, "end": e} for s, e in runs], hashlib.sha256(kept).hexdigest())
             rows.append(row + (kept,) * keep_text + tuple(x[k] for x in extra))
         out = pd.DataFrame(rows, columns=["id", "n_bytes", "spans", "kept_sha256"] + ["kept"] * keep_text + names)
+        del block, asked, starts, ends, rows
+        give_back()
         # whole numbers with nulls must not become floats
         return out.astype({c: object for c in names}) if not extra else out.assign(
             **{c: pd.Series(x, dtype=object) for c, x in zip(names, extra)})
