@@ -22,10 +22,10 @@ once set stays, it is still counted for one full cycle. Counts are therefore
 exact, whatever the filter's load; a crowded filter only costs time.
 
 *What is counted.* Texts are split once, into pieces of numbered words. A
-phrase goes by two 64-bit hashes of its stratum and words, made for all places
-of a piece at a time. A piece sends each distinct phrase once, with its count,
-to the bucket of its hash, as packed numbers; a bucket sorts, adds up and
-keeps a step's counts. A phrase that reaches ``threshold`` within a cycle of
+phrase goes by 96 bits of hashes of its stratum and words, made for all places
+of a piece at a time. A task adds up its pieces and sends each distinct phrase
+once, with its count, to the bucket of its hash, as packed numbers; a bucket
+adds up and keeps a step's counts. A phrase that reaches ``threshold`` within a cycle of
 ``SHARDS`` steps has ``threshold / SHARDS`` in one of them, so only phrases
 with such a step are added up over steps, found again by a second filter of
 the same size. At the end a reading of the pieces gives the frequent phrases
@@ -61,6 +61,10 @@ BUCKET_WORDS = 1 << 20
 UNNAMED = "und"
 NEVER = 255
 HASHES = 3
+#: Counts that a task holds before it sends them, at most about.
+HELD = 2_000_000
+#: Bits of the two hashes that tell phrases apart.
+_KEPT = np.array([[(1 << 64) - 1], [(1 << 32) - 1]], np.uint64)
 #: Copies of a lookup row: many phrases start or end with the same word.
 SALTS = 16
 # one byte for one byte: A-Z to a-z, tabs to spaces, what ends a piece to \n
@@ -164,7 +168,7 @@ def phrases_of(words: pa.Array, codes: np.ndarray, stratum: str, seen: np.ndarra
     word = np.concatenate([np.zeros((2, 1), np.uint64), word_hashes(words)], axis=1)
     codes = codes.astype(np.int64)
     with np.errstate(over="ignore"):
-        h = _mix(word ^ _mix(word_hashes(pa.array([stratum or " "])))[:, :1])
+        h = _mix(word ^ _mix(word_hashes(pa.array(["=" + stratum])))[:, :1])
         yield 1, np.arange(1, len(words) + 1), h[:, 1:], np.zeros(len(words), np.int16)
         at = np.flatnonzero(codes > 0)
         reached = _reached(seen, h[0])[codes[at]]
@@ -211,7 +215,21 @@ def _piece(words: pa.Scalar, codes: pa.Scalar) -> tuple[pa.Array, np.ndarray]:
 
 
 def _counted(h: np.ndarray, n: np.ndarray, k: np.ndarray) -> bytes:
-    return to_payload(pa.table({"h1": h[0], "h2": h[1], "n": n, "k": k}))
+    """Counts sorted by hash, packed: the first hash byte by byte (neighbours
+    share the high ones), 32 bits of the second."""
+    planes = np.ascontiguousarray(h[0].astype(">u8").view(np.uint8).reshape(-1, 8).T)
+    return to_payload(pa.table({c: pa.array([x.tobytes()], pa.large_binary()) for c, x in (
+        ("h1", planes), ("h2", h[1].astype("<u4")), ("n", n.astype("<u4" if not len(n) or n.max() < 1 << 32 else "<u8")), ("k", k.astype(np.int8)))}))
+
+
+def _counts_of(payload) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(hashes (2, n), counts, lengths)`` of packed counts."""
+    t = from_payload(payload)
+    raw = {c: np.frombuffer(t[c][0].as_py(), np.uint8) for c in ("h1", "h2", "n", "k")}
+    size = len(raw["k"])
+    first = np.ascontiguousarray(raw["h1"].reshape(8, size).T).view(">u8")[:, 0].astype(np.uint64)
+    n = raw["n"].view("<u4" if len(raw["n"]) == 4 * size else "<u8").astype(np.int64)
+    return np.stack([first, raw["h2"].view("<u4").astype(np.uint64)]), n, raw["k"].view(np.int8)
 
 
 def step_counts(pieces: DataFrame, seen, step: int, shards: int, max_words: int, buckets: int, some: int) -> DataFrame:
@@ -219,9 +237,10 @@ def step_counts(pieces: DataFrame, seen, step: int, shards: int, max_words: int,
     ``step``, and of those the ones of ``some`` or more."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(seen.value, np.uint8)
+        found: list[tuple] = []
+        size = 0
         for b in batches:
             for stratum, w, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                found = []
                 words, codes = _piece(w, c)
                 for k, _, h, first in phrases_of(words, codes, stratum, table, step, max_words):
                     due = first + shards > step
@@ -231,24 +250,36 @@ def step_counts(pieces: DataFrame, seen, step: int, shards: int, max_words: int,
                             n = np.bincount(codes, minlength=len(words) + 1)[1:][due]
                         else:
                             _, d, n = added_up(d, n)
-                        found.append((d, n, np.full(len(n), k, np.int8)))
-                if found:
-                    yield packed(*(np.concatenate(x, axis=-1) for x in zip(*found)))
+                        found.append((d & _KEPT, n, np.full(len(n), k, np.int8)))
+                        size += len(n)
+                # pieces of a task are added up before they are sent
+                if size >= HELD:
+                    h, n, k = together(found)
+                    found, size = [(h, n, k)], len(n)
+                    if size >= HELD // 2:
+                        yield packed(h, n, k)
+                        found, size = [], 0
+                        give_back()
+        if found:
+            yield packed(*together(found))
+        found.clear()
         give_back()
 
+    def together(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, n, k = (np.concatenate(x, axis=-1) for x in zip(*found))
+        at, h, n = added_up(h, n)
+        return h, n, k[at]
+
     def packed(h: np.ndarray, n: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
-        of = (h[0] % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(of, kind="stable")
-        cut = np.searchsorted(of[order], np.arange(buckets + 1))
-        parts = [(i, order[lo:hi]) for i, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo]
+        # buckets are stretches of the first hash, which is sorted
+        of = ((h[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        cut = np.searchsorted(of, np.arange(buckets + 1))
+        parts = [(i, slice(lo, hi)) for i, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo]
         return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()),
                                            pa.array([_counted(h[:, x], n[x], k[x]) for _, x in parts], pa.binary())], names=["bucket", "counts"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = pa.concat_tables([from_payload(p) for p in pdf["counts"]])
-        h = np.stack([t["h1"].to_numpy(), t["h2"].to_numpy()])
-        at, h, n = added_up(h, t["n"].to_numpy())
-        k = t["k"].to_numpy()[at]
+        h, n, k = together([_counts_of(p) for p in pdf["counts"]])
         big = n >= some
         give_back()
         return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "counts": [_counted(h, n, k)], "heavy": [_counted(h[:, big], n[big], k[big])]})
@@ -265,7 +296,7 @@ def _slots_of(rows: DataFrame, size: int) -> np.ndarray:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.zeros(0, np.int64)
         for b in batches:
-            hashes = [from_payload(p.as_buffer())["h1"].to_numpy() for p in b.column(0)] if packed else [b.column(0).to_numpy().view(np.uint64)]
+            hashes = [_counts_of(p.as_buffer())[0][0] for p in b.column(0)] if packed else [b.column(0).to_numpy().view(np.uint64)]
             for h in hashes:
                 mine = np.union1d(mine, slots(h, size).ravel())
         if len(mine):
@@ -282,13 +313,12 @@ def _matching(steps: list[DataFrame], heavy: np.ndarray, now: int) -> DataFrame:
         bits = np.frombuffer(sent.value, bool)
         for b in batches:
             for payload, step in zip(b.column(0), b.column(1).to_pylist()):
-                t = from_payload(payload.as_buffer())
-                h = t["h1"].to_numpy()
-                at = np.flatnonzero(bits[slots(h, len(bits))].all(axis=0))
+                h, n, k = _counts_of(payload.as_buffer())
+                at = np.flatnonzero(bits[slots(h[0], len(bits))].all(axis=0))
                 if len(at):
-                    n = t["n"].to_numpy()[at]
+                    n = n[at]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[at].view(np.int64)), pa.array(t["h2"].to_numpy()[at].view(np.int64)), pa.array(t["k"].to_numpy()[at].astype(np.int32)),
+                        [pa.array(h[0, at].view(np.int64)), pa.array(h[1, at].view(np.int64)), pa.array(k[at].astype(np.int32)),
                          pa.array(n), pa.array(n if step == now else np.zeros_like(n))], names=["h1", "h2", "k", "n", "now"])
         give_back()
 
@@ -299,20 +329,24 @@ def _matching(steps: list[DataFrame], heavy: np.ndarray, now: int) -> DataFrame:
     return got.groupBy("h1", "h2").agg(F.first("k").alias("k"), F.sum("n").alias("n"), F.sum("now").alias("now"))
 
 
-def _named(pieces: DataFrame, seen, step: int, max_words: int) -> DataFrame:
-    """``(stratum, phrase, h1, h2)`` of the phrases that may be frequent."""
+def _named(pieces: DataFrame, seen, frequent, step: int, max_words: int) -> DataFrame:
+    """``(stratum, phrase, h1, h2)`` of the phrases whose slots ``frequent``
+    all has; a task names each once (as long as it remembers)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(seen.value, np.uint8)
+        table, wanted = np.frombuffer(seen.value, np.uint8), np.frombuffer(frequent.value, bool)
+        done = np.zeros(0, np.uint64)
         for b in batches:
             for stratum, w, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 words, codes = _piece(w, c)
                 for k, place, h, _ in phrases_of(words, codes, stratum, table, step, max_words):
-                    if k < max_words:
-                        ok = _reached(table, h[0]) < NEVER
-                        place, h = place[ok], h[:, ok]
-                    if not len(place):
-                        continue
+                    ok = wanted[slots(h[0], len(wanted))].all(axis=0)
+                    place, h = place[ok], h[:, ok] & _KEPT
                     at, d, _ = added_up(h, np.ones(len(place), np.int64))
+                    new = ~np.isin(d[0], done)
+                    at, d = at[new], d[:, new]
+                    if not len(at):
+                        continue
+                    done = np.union1d(done if len(done) < HELD else done[:0], d[0])
                     number = [place[at]] if k == 1 else [codes[place[at] + j].astype(np.int64) for j in range(k)]
                     text = [words.take(pa.array(x - 1)) for x in number]
                     text = pc.binary_join_element_wise(*text, pa.scalar(" ", text[0].type)) if k > 1 else text[0]
@@ -362,8 +396,11 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", stratum_col: str = "l
         step += 1
     if not steps:
         return spark.createDataFrame([], "stratum string, phrase string, k int, n long"), totals
-    frequent = _matching(steps, _bits(heavy, size), -1).filter(F.col("n") >= threshold).select("h1", "h2", "k", "n")
-    names = _named(pieces, spark.sparkContext.broadcast(seen.tobytes()), step, max_words)
+    frequent = materialize(_matching(steps, _bits(heavy, size), -1).filter(F.col("n") >= threshold).select("h1", "h2", "k", "n"),
+                           "phrases-frequent")
+    wanted = _bits([_slots_of(frequent.select("h1"), size)], size)
+    broadcast = spark.sparkContext.broadcast
+    names = _named(pieces, broadcast(seen.tobytes()), broadcast(wanted.tobytes()), step, max_words)
     counts = frequent.join(names, ["h1", "h2"]).select("stratum", "phrase", "k", "n")
     return materialize(counts, "phrases"), totals
 

@@ -256,6 +256,12 @@ def test_hashes_of_words_and_sums_of_hashes():
     assert h[:, at].tolist() == d.tolist()
 
 
+def test_strata_with_odd_names_stay_apart(spark):
+    rows = [(i, "a b. ", lang) for lang, n in (("", 3), (" ", 4), ("x", 5), (None, 6), ("und", 1)) for i in range(n)]
+    got = {(r.stratum, r.phrase): r.n for r in collocations.phrase_counts(frame(spark, rows), threshold=3)[0].collect()}
+    assert got == {(s, p): n for s, n in (("", 3), (" ", 4), ("x", 5), ("und", 7)) for p in ("a", "b", "a b")}
+
+
 def test_collocations_of_nothing(spark):
     docs = frame(spark, [(1, None, "en"), (2, "", None), (3, " . ,\n", "en")])
     for d in (docs, docs.limit(0)):
