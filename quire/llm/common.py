@@ -76,23 +76,9 @@ def from_payload(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
 
 
-def pack_blocks(df: DataFrame, block: str = "block") -> DataFrame:
-    """Rows of ``df`` as ``(block, payload)``: each task gathers what it reads
-    for one block into a compressed payload, so a shuffle by block moves few
-    rows and little data."""
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size >= FLUSH_BYTES:
-                yield from emit(held)
-                held, size = [], 0
-        yield from emit(held)
-        del held
-        give_back()
-
+def packed(batches: Iterable[pa.RecordBatch], block: str = "block") -> Iterator[pa.RecordBatch]:
+    """Rows as ``(block, payload)`` inside a task: what it has gathered for one
+    block becomes a compressed payload each time ``FLUSH_BYTES`` are held."""
     def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in held if b.num_rows]
         if not held:
@@ -106,7 +92,24 @@ def pack_blocks(df: DataFrame, block: str = "block") -> DataFrame:
                 [pa.array([keys[lo]], pa.int32()), pa.array([to_payload(body.slice(lo, hi - lo))], pa.binary())],
                 names=["block", "payload"])
 
-    return df.mapInArrow(pack, "block int, payload binary")
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= FLUSH_BYTES:
+            yield from emit(held)
+            held, size = [], 0
+    yield from emit(held)
+    del held
+    give_back()
+
+
+def pack_blocks(df: DataFrame, block: str = "block") -> DataFrame:
+    """Rows of ``df`` as ``(block, payload)``: each task gathers what it reads
+    for one block into a compressed payload, so a shuffle by block moves few
+    rows and little data."""
+    return df.mapInArrow(lambda batches: packed(batches, block), "block int, payload binary")
 
 
 def unpack(payloads: Iterable[bytes]) -> pa.Table | None:

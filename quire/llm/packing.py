@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import block_count, block_of, from_payload, give_back, pack_blocks, worker_cache
+from quire.llm.common import block_count, block_of, from_payload, give_back, packed, worker_cache
 
 CAPACITY = 1024
 CACHE = 250_000
@@ -208,6 +208,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     cols = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
     out = "id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    ids = src.withColumn("block", block_of("id", n, "text")).mapInArrow(ids_of, "id string, block int, ids binary")
-    return (pack_blocks(ids).repartition(n, "block").groupBy("block")
+    # tokenized and packed in one worker: each holds executor memory
+    blocks = src.withColumn("block", block_of("id", n, "text")).mapInArrow(lambda b: packed(ids_of(b)), "block int, payload binary")
+    return (blocks.repartition(n, "block").groupBy("block")
             .applyInPandas(one_pool, out + ", ids array<int>" * keep_ids).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col))

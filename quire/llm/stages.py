@@ -58,15 +58,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     names = [f"_other{i}" for i in range(len(others))]
     src = docs.select("doc_id", "text", F.col("text").isNull().alias("_null"),
                       *[F.col(f"`{c}`").alias(n) for c, n in zip(others, names)])
-    got = suffixes.removals(src, carry=(*names, "_null"))
-
-    @F.pandas_udf("string")
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for kept in batches:
-            yield pd.Series([bytes(k).decode("utf-8", "ignore") for k in kept], dtype=object)
-        give_back()
-
-    text = F.when(~F.col("_null"), decoded("kept"))
+    got = suffixes.removals(src, carry=(*names, "_null"), as_text=True)
+    text = F.when(~F.col("_null"), F.col("kept"))
     got = got.select("doc_id", text.alias("text"), "n_bytes", *names).filter((F.col("n_bytes") == 0) | (F.length("text") > 0))
     back = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text"),
             **{c: F.col(n) for c, n in zip(others, names)}}

@@ -340,10 +340,11 @@ def removed_runs(block: Block, asked: Asked, bits: np.ndarray) -> tuple[np.ndarr
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q,
-             hot: int = HOT, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+             hot: int = HOT, keep_text: bool = True, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """``(<id_col>, n_bytes, spans, kept_sha256, kept)``: the removed byte
-    runs ``(start, end)`` of every row and what is left of it; columns named
-    in ``carry`` come along unchanged."""
+    runs ``(start, end)`` of every row and what is left of it, as bytes or
+    with ``as_text`` its whole characters; columns named in ``carry`` come
+    along unchanged."""
     if length - q + 1 > 31:
         raise ValueError(f"strings of {length} bytes with anchors of {q}: at most 31 strings may share an anchor (a bit each)")
     src = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("text"),
@@ -430,7 +431,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             edges = [0, *(x for r in runs for x in r), len(text)]
             kept = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2]))
             row = (i, len(text), [{"start": s, "end": e} for s, e in runs], hashlib.sha256(kept).hexdigest())
-            rows.append(row + (kept,) * keep_text + tuple(x[k] for x in extra))
+            left_over = kept.decode("utf-8", "ignore") if as_text else kept
+            rows.append(row + (left_over,) * keep_text + tuple(x[k] for x in extra))
         out = pd.DataFrame(rows, columns=["id", "n_bytes", "spans", "kept_sha256"] + ["kept"] * keep_text + names)
         del block, asked, starts, ends, rows
         give_back()
@@ -449,7 +451,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     contexts = by_block(blocks).cogroup(by_block(known1)).applyInPandas(ask_contexts, ask)
     verdicts = contexts.groupBy("bucket").applyInPandas(answer_contexts, ask)
     known2 = known1.unionByName(facts(verdicts, 2))
-    out = "id string, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string" + ", kept binary" * keep_text
+    out = "id string, n_bytes long, spans array<struct<start:long,end:long>>, kept_sha256 string" + f", kept {'string' if as_text else 'binary'}" * keep_text
     out += "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, carry))
     kind = docs.schema[id_col].dataType.simpleString()
     return (by_block(blocks).cogroup(by_block(known2)).applyInPandas(cut, out)
