@@ -285,7 +285,7 @@ def step_counts(pieces: DataFrame, seen, step: int, shards: int, max_words: int,
         return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "counts": [_counted(h, n, k)], "heavy": [_counted(h[:, big], n[big], k[big])]})
 
     sent = pieces.mapInArrow(count, "bucket int, counts binary")
-    return sent.groupBy("bucket").applyInPandas(add, "bucket int, counts binary, heavy binary")
+    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(add, "bucket int, counts binary, heavy binary")
 
 
 def _slots_of(rows: DataFrame, size: int) -> np.ndarray:
