@@ -16,7 +16,8 @@ def search_scope(conversations: DataFrame, documents: DataFrame,
 
     Its own ``doc_ids``; when empty, per ``empty_scope``: all processed
     documents of its user (default), every document, or none. Built as an
-    explode plus an equi-join on ``user_id``. For ``all`` the conversation
+    explode plus an equi-join on ``user_id``, cut into cells of some million
+    pairs (``_owned_pairs``). For ``all`` the conversation
     gets one row with a null ``doc_id`` meaning "the whole collection": the
     search then runs unscoped for it instead of pairing it with every
     document."""
@@ -26,12 +27,47 @@ def search_scope(conversations: DataFrame, documents: DataFrame,
     empty = conversations.filter(F.size(F.coalesce("doc_ids", F.array().cast("array<string>"))) == 0)
     if empty_scope == "none":
         return own.distinct()
-    if empty_scope == "owned_processed":
-        d = documents.filter(F.col("status") == "processed").select(F.col("id").alias("doc_id"), "user_id")
-        rest = empty.select(F.col("id").alias("conv_id"), "user_id").join(d, "user_id").drop("user_id")
-    else:
+    if empty_scope == "all":
         rest = empty.select(F.col("id").alias("conv_id"), F.lit(None).cast("string").alias("doc_id"))
-    return own.unionByName(rest).distinct()
+        return own.unionByName(rest).distinct()
+    d = documents.filter((F.col("status") == "processed") & F.col("user_id").isNotNull()).select(F.col("id").alias("doc_id"), "user_id").distinct()
+    e = empty.select(F.col("id").alias("conv_id"), "user_id").filter(F.col("user_id").isNotNull()).distinct()
+    # pairs of a conversation that has one user and no documents of its own
+    # can't repeat; only those of the others are compared
+    owner = (e.withColumn("_own", F.lit(False)).unionByName(own.select("conv_id", F.lit(None).cast(e.schema["user_id"].dataType).alias("user_id"), F.lit(True).alias("_own")))
+             .groupBy("conv_id").agg(F.min("user_id").alias("user_id"), F.max("user_id").alias("_last"), F.max("_own").alias("_own")))
+    plain = ~F.col("_own") & (F.col("user_id") == F.col("_last"))
+    simple = owner.filter(plain).select("conv_id", "user_id")
+    mixed = owner.filter(F.col("user_id").isNotNull() & ~plain).select(F.col("conv_id").alias("_c"))
+    others = e.join(mixed, F.col("conv_id").eqNullSafe(F.col("_c")), "left_semi").join(d, "user_id").select("conv_id", "doc_id")
+    return own.unionByName(others).distinct().unionByName(_owned_pairs(simple, d))
+
+
+#: Conversations, and documents, of one user that meet in a cell at most.
+CELL_ROWS = 1024
+
+
+def _owned_pairs(convs: DataFrame, docs: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``(conv_id, doc_id)`` of equal ``user_id``. The rows of a user are cut
+    into blocks on both sides, so that one who owns many conversations and
+    documents becomes many cells of bounded output, dealt to as many tasks as
+    the output needs."""
+    size = (convs.groupBy("user_id").agg(F.count(F.lit(1)).alias("_nc"))
+            .join(docs.groupBy("user_id").agg(F.count(F.lit(1)).alias("_nd")), "user_id"))
+    pairs = size.agg(F.sum(F.col("_nc") * F.col("_nd"))).first()[0] or 0
+    tasks = pairs // (cell_rows * cell_rows)
+    if tasks < 2:
+        return convs.join(docs, "user_id").select("conv_id", "doc_id")
+    size = size.select("user_id", *[F.ceil(F.col(n) / cell_rows).cast("int").alias(b) for n, b in (("_nc", "_cs"), ("_nd", "_ds"))])
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, min(tasks, 20_000))
+
+    def cut(df, key, mine, theirs, here, there):
+        return (df.join(size, "user_id").withColumn(here, F.pmod(F.xxhash64(key), F.col(mine)).cast("int"))
+                .withColumn(there, F.explode(F.sequence(F.lit(0), F.col(theirs) - 1))).drop("_cs", "_ds")
+                .repartition(2 * tasks, "user_id", "_cb", "_db"))
+
+    left, right = cut(convs, "conv_id", "_cs", "_ds", "_cb", "_db"), cut(docs, "doc_id", "_ds", "_cs", "_db", "_cb")
+    return left.join(right.hint("shuffle_hash"), ["user_id", "_cb", "_db"]).select("conv_id", "doc_id")
 
 
 def search_scope_keys(conversations: DataFrame, documents: DataFrame,

@@ -214,3 +214,24 @@ def test_text_numbers_sort_as_texts(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text_number(F.col("t")).alias("n")).collect()
     by_text = [r.n for r in sorted(rows, key=lambda r: r.t.encode())]
     assert by_text == sorted(by_text) and len(set(by_text)) == len(texts) - 1
+
+
+def test_search_scope_cells_of_one_large_owner(spark, monkeypatch):
+    """One user with most conversations and documents: many cells, each pair
+    once, whatever repeats in either table."""
+    from quire.operators import lookup
+    convs = spark.createDataFrame([(f"c{i}", "u" if i < 50 else f"v{i % 3}", ["d1"] if i % 9 == 0 else None) for i in range(60)]
+                                  + [("c1", "u", None), ("c2", "v1", None), ("c3", "u", ["d7", "d7"]), (None, "u", ["d1"]), (None, "u", None), ("n", None, None)],
+                                  "id string, user_id string, doc_ids array<string>")
+    docs = spark.createDataFrame([(f"d{i}", "u" if i < 70 else f"v{i % 3}", "processed" if i % 4 else "failed") for i in range(90)]
+                                 + [("d1", "u", "processed"), ("d1", "v1", "processed"), ("dn", None, "processed")], "id string, user_id string, status string")
+    c, d = convs.collect(), docs.collect()
+    want = {(x.id, y) for x in c for y in x.doc_ids or []}
+    want |= {(x.id, y.id) for x in c if not x.doc_ids for y in d if y.status == "processed" and x.user_id is not None and x.user_id == y.user_id}
+    assert lookup.CELL_ROWS ** 2 > 100_000
+    whole = lookup.search_scope(convs, docs).collect()
+    real = lookup._owned_pairs
+    monkeypatch.setattr(lookup, "_owned_pairs", lambda a, b: real(a, b, cell_rows=8))
+    cells = lookup.search_scope(convs, docs)
+    for got in (whole, cells.collect()):
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
