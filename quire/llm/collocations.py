@@ -28,8 +28,9 @@ once, with its count, to the bucket of its hash, as packed numbers; a bucket
 adds up and keeps a step's counts. A phrase that reaches ``threshold`` within a cycle of
 ``SHARDS`` steps has ``threshold / SHARDS`` in one of them, so only phrases
 with such a step are added up over steps, found again by a second filter of
-the same size. At the end a reading of the pieces gives the frequent phrases
-back their words.
+the same size. A count keeps the number of a piece that it came from (its
+*witness*); at the end each frequent phrase is sent to that one piece, which
+gives it back its words.
 
 Defined results: null and empty texts have no words; null strata are one
 stratum of their own (``und``), together with rows that name it so; repeated
@@ -39,12 +40,14 @@ are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,14 +102,16 @@ def word_hashes(words: pa.Array) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, text_col: str, stratum_col: str, shards: int) -> DataFrame:
-    """``(shard, stratum, n_words, words, codes)``: some rows of one stratum
-    as numbers and the words that they stand for (from 1); 0 ends a piece of
-    text."""
+    """``(shard, piece, stratum, n_words, words, codes)``: some rows of one
+    stratum as numbers and the words that they stand for (from 1); 0 ends a
+    piece of text. ``piece`` numbers the rows, from 1; of very many tasks or
+    strata some may share a number."""
     src = docs.select(F.coalesce(F.col(stratum_col).cast("string"), F.lit(UNNAMED)).alias("stratum"),
                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, str], list[bytes]] = {}
+        number = itertools.count(1 + (TaskContext.get().partitionId() << 12))
         size = dealt = 0
         for b in batches:
             for lo in range(0, b.num_rows, 200):
@@ -116,25 +121,26 @@ def tokenised(docs: DataFrame, text_col: str, stratum_col: str, shards: int) ->
                     dealt += 1
                     size += len(text)
                     if size >= PIECE_BYTES:
-                        yield from emit(held)
+                        yield from emit(held, number)
                         held, size = {}, 0
                         give_back()
-        yield from emit(held)
+        yield from emit(held, number)
         del held
         give_back()
 
-    def emit(held: dict) -> Iterator[pa.RecordBatch]:
+    def emit(held: dict, number: Iterator[int]) -> Iterator[pa.RecordBatch]:
         for shard, stratum in list(held):
             words, codes = numbered(b"\n".join(held.pop((shard, stratum))))
             if len(words):
                 n = int(np.count_nonzero(codes))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard], pa.int32()), pa.array([stratum], pa.string()), pa.array([n], pa.int64()),
+                    [pa.array([shard], pa.int32()), pa.array([next(number) % ((1 << 31) - 1) or 1], pa.int32()),
+                     pa.array([stratum], pa.string()), pa.array([n], pa.int64()),
                      pa.array([to_payload(pa.table({"w": words}))], pa.binary()),
                      pa.array([to_payload(pa.table({"c": codes}))], pa.binary())],
-                    names=["shard", "stratum", "n_words", "words", "codes"])
+                    names=["shard", "piece", "stratum", "n_words", "words", "codes"])
 
-    return src.mapInArrow(run, "shard int, stratum string, n_words long, words binary, codes binary")
+    return src.mapInArrow(run, "shard int, piece int, stratum string, n_words long, words binary, codes binary")
 
 
 def numbered(text: bytes) -> tuple[pa.Array, np.ndarray]:
@@ -214,33 +220,35 @@ def _piece(words: pa.Scalar, codes: pa.Scalar) -> tuple[pa.Array, np.ndarray]:
     return from_payload(words.as_buffer())["w"].combine_chunks(), from_payload(codes.as_buffer())["c"].to_numpy()
 
 
-def _counted(h: np.ndarray, n: np.ndarray, k: np.ndarray) -> bytes:
+def _counted(h: np.ndarray, n: np.ndarray, k: np.ndarray, of: np.ndarray) -> bytes:
     """Counts sorted by hash, packed: the first hash byte by byte (neighbours
-    share the high ones), 32 bits of the second."""
+    share the high ones), 32 bits of the second; ``of``: their pieces."""
     planes = np.ascontiguousarray(h[0].astype(">u8").view(np.uint8).reshape(-1, 8).T)
     return to_payload(pa.table({c: pa.array([x.tobytes()], pa.large_binary()) for c, x in (
-        ("h1", planes), ("h2", h[1].astype("<u4")), ("n", n.astype("<u4" if not len(n) or n.max() < 1 << 32 else "<u8")), ("k", k.astype(np.int8)))}))
+        ("h1", planes), ("h2", h[1].astype("<u4")), ("n", n.astype("<u4" if not len(n) or n.max() < 1 << 32 else "<u8")), ("k", k.astype(np.int8)),
+        ("of", of.astype("<i4")))}))
 
 
-def _counts_of(payload) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(hashes (2, n), counts, lengths)`` of packed counts."""
+def _counts_of(payload) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(hashes (2, n), counts, lengths, pieces)`` of packed counts."""
     t = from_payload(payload)
-    raw = {c: np.frombuffer(t[c][0].as_py(), np.uint8) for c in ("h1", "h2", "n", "k")}
+    raw = {c: np.frombuffer(t[c][0].as_py(), np.uint8) for c in ("h1", "h2", "n", "k", "of")}
     size = len(raw["k"])
     first = np.ascontiguousarray(raw["h1"].reshape(8, size).T).view(">u8")[:, 0].astype(np.uint64)
     n = raw["n"].view("<u4" if len(raw["n"]) == 4 * size else "<u8").astype(np.int64)
-    return np.stack([first, raw["h2"].view("<u4").astype(np.uint64)]), n, raw["k"].view(np.int8)
+    return np.stack([first, raw["h2"].view("<u4").astype(np.uint64)]), n, raw["k"].view(np.int8), raw["of"].view("<i4")
 
 
 def step_counts(pieces: DataFrame, seen, step: int, shards: int, max_words: int, buckets: int, some: int) -> DataFrame:
     """``(bucket, counts, heavy)``: the counts of one shard's pieces in
-    ``step``, and of those the ones of ``some`` or more."""
+    ``step``, and of those the ones of ``some`` or more. Only these keep their
+    witness."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(seen.value, np.uint8)
         found: list[tuple] = []
         size = 0
         for b in batches:
-            for stratum, w, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            for piece, stratum, w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 words, codes = _piece(w, c)
                 for k, _, h, first in phrases_of(words, codes, stratum, table, step, max_words):
                     due = first + shards > step
@@ -250,14 +258,14 @@ def step_counts(pieces: DataFrame, seen, step: int, shards: int, max_words: int,
                             n = np.bincount(codes, minlength=len(words) + 1)[1:][due]
                         else:
                             _, d, n = added_up(d, n)
-                        found.append((d & _KEPT, n, np.full(len(n), k, np.int8)))
+                        found.append((d & _KEPT, n, np.full(len(n), k, np.int8), np.full(len(n), piece, np.int32)))
                         size += len(n)
                 # pieces of a task are added up before they are sent
                 if size >= HELD:
-                    h, n, k = together(found)
-                    found, size = [(h, n, k)], len(n)
+                    found = [together(found)]
+                    size = len(found[0][1])
                     if size >= HELD // 2:
-                        yield packed(h, n, k)
+                        yield packed(*found[0])
                         found, size = [], 0
                         give_back()
         if found:
@@ -265,26 +273,28 @@ def step_counts(pieces: DataFrame, seen, step: int, shards: int, max_words: int,
         found.clear()
         give_back()
 
-    def together(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h, n, k = (np.concatenate(x, axis=-1) for x in zip(*found))
+    def together(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        h, n, k, of = (np.concatenate(x, axis=-1) for x in zip(*found))
         at, h, n = added_up(h, n)
-        return h, n, k[at]
+        return h, n, k[at], of[at]
 
-    def packed(h: np.ndarray, n: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+    def packed(h: np.ndarray, n: np.ndarray, k: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
         # buckets are stretches of the first hash, which is sorted
-        of = ((h[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        cut = np.searchsorted(of, np.arange(buckets + 1))
+        bucket = ((h[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        cut = np.searchsorted(bucket, np.arange(buckets + 1))
         parts = [(i, slice(lo, hi)) for i, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo]
         return pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()),
-                                           pa.array([_counted(h[:, x], n[x], k[x]) for _, x in parts], pa.binary())], names=["bucket", "counts"])
+                                           pa.array([_counted(h[:, x], n[x], k[x], of[x]) for _, x in parts], pa.binary())], names=["bucket", "counts"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, n, k = together([_counts_of(p) for p in pdf["counts"]])
+        h, n, k, of = together([_counts_of(p) for p in pdf["counts"]])
         big = n >= some
+        of[~big] = 0
         give_back()
-        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "counts": [_counted(h, n, k)], "heavy": [_counted(h[:, big], n[big], k[big])]})
+        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "counts": [_counted(h, n, k, of)],
+                             "heavy": [_counted(h[:, big], n[big], k[big], of[big])]})
 
-    sent = pieces.mapInArrow(count, "bucket int, counts binary")
+    sent = pieces.select("piece", "stratum", "words", "codes").mapInArrow(count, "bucket int, counts binary")
     return sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(add, "bucket int, counts binary, heavy binary")
 
 
@@ -306,56 +316,69 @@ def _slots_of(rows: DataFrame, size: int) -> np.ndarray:
 
 
 def _matching(steps: list[DataFrame], heavy: np.ndarray, now: int) -> DataFrame:
-    """``(h1, h2, k, n, now)`` of the phrases of some steps with a heavy one."""
+    """``(h1, h2, k, n, now, piece)`` of the phrases of some steps with a heavy
+    one; ``piece`` is one of their witnesses, dealt by a hash."""
     sent = steps[0].sparkSession.sparkContext.broadcast(heavy.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sent.value, bool)
         for b in batches:
             for payload, step in zip(b.column(0), b.column(1).to_pylist()):
-                h, n, k = _counts_of(payload.as_buffer())
+                h, n, k, of = _counts_of(payload.as_buffer())
                 at = np.flatnonzero(bits[slots(h[0], len(bits))].all(axis=0))
                 if len(at):
                     n = n[at]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(h[0, at].view(np.int64)), pa.array(h[1, at].view(np.int64)), pa.array(k[at].astype(np.int32)),
-                         pa.array(n), pa.array(n if step == now else np.zeros_like(n))], names=["h1", "h2", "k", "n", "now"])
+                         pa.array(n), pa.array(n if step == now else np.zeros_like(n)), pa.array(of[at])],
+                        names=["h1", "h2", "k", "n", "now", "piece"])
         give_back()
 
     every = steps[0].select("counts", "step")
     for s in steps[1:]:
         every = every.unionByName(s.select("counts", "step"))
-    got = every.mapInArrow(run, "h1 long, h2 long, k int, n long, now long")
-    return got.groupBy("h1", "h2").agg(F.first("k").alias("k"), F.sum("n").alias("n"), F.sum("now").alias("now"))
-
-
-def _named(pieces: DataFrame, seen, frequent, step: int, max_words: int) -> DataFrame:
-    """``(stratum, phrase, h1, h2)`` of the phrases whose slots ``frequent``
-    all has; a task names each once (as long as it remembers)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, wanted = np.frombuffer(seen.value, np.uint8), np.frombuffer(frequent.value, bool)
-        done = np.zeros(0, np.uint64)
-        for b in batches:
-            for stratum, w, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                words, codes = _piece(w, c)
-                for k, place, h, _ in phrases_of(words, codes, stratum, table, step, max_words):
-                    ok = wanted[slots(h[0], len(wanted))].all(axis=0)
-                    place, h = place[ok], h[:, ok] & _KEPT
-                    at, d, _ = added_up(h, np.ones(len(place), np.int64))
-                    new = ~np.isin(d[0], done)
-                    at, d = at[new], d[:, new]
-                    if not len(at):
+    got = every.mapInArrow(run, "h1 long, h2 long, k int, n long, now long, piece int")
+    dealt = F.when(F.col("piece") > 0, F.xxhash64("piece", "h1"))
+    return got.groupBy("h1", "h2").agg(F.first("k").alias("k"), F.sum("n").alias("n"), F.sum("now").alias("now"),
+                                       F.max_by("piece", dealt).alias("piece"))
+
+
+def _named(pieces: DataFrame, frequent: DataFrame, seen, step: int, max_words: int, parts: int) -> DataFrame:
+    """``(stratum, phrase, k, n)`` of the ``frequent`` phrases: each is looked
+    up in its witness only."""
+    def run(held: pa.Table, asked: pa.Table) -> pa.Table:
+        # of equal first hashes the second decides
+        asked = asked.sort_by([("h1", "ascending"), ("h2", "ascending")]) if len(asked) else asked
+        first, second = (asked[c].to_numpy() for c in ("h1", "h2"))
+        most = int(np.unique(first, return_counts=True)[1].max()) if len(asked) and len(held) else 0
+        todo = np.ones(len(first), bool)
+        out = []
+        for stratum, w, c in zip(held["stratum"].to_pylist(), held["words"], held["codes"]) if most else ():
+            words, codes = _piece(w, c)
+            for k, place, h, _ in phrases_of(words, codes, stratum, np.frombuffer(seen.value, np.uint8), step, max_words):
+                h = (h & _KEPT).view(np.int64)
+                low = np.searchsorted(first, h[0])
+                for i in range(most):
+                    at = np.minimum(low + i, len(first) - 1)
+                    here = np.flatnonzero((first[at] == h[0]) & (second[at] == h[1]) & todo[at])
+                    row, one = np.unique(at[here], return_index=True)
+                    if not len(row):
                         continue
-                    done = np.union1d(done if len(done) < HELD else done[:0], d[0])
-                    number = [place[at]] if k == 1 else [codes[place[at] + j].astype(np.int64) for j in range(k)]
-                    text = [words.take(pa.array(x - 1)) for x in number]
+                    todo[row] = False
+                    one = place[here[one]]
+                    text = [words.take(pa.array((one if k == 1 else codes[one + j].astype(np.int64)) - 1)) for j in range(k)]
                     text = pc.binary_join_element_wise(*text, pa.scalar(" ", text[0].type)) if k > 1 else text[0]
-                    yield pa.RecordBatch.from_arrays([pa.array([stratum] * len(at)), text.cast(pa.string()), pa.array(d[0].view(np.int64)),
-                                                      pa.array(d[1].view(np.int64))], names=["stratum", "phrase", "h1", "h2"])
+                    out.append(pa.table({"stratum": pa.array([stratum] * len(row), pa.string()), "phrase": text.cast(pa.string()),
+                                         "k": asked["k"].take(pa.array(row)), "n": asked["n"].take(pa.array(row))}))
+        if todo.any():
+            raise RuntimeError(f"{int(todo.sum())} frequent phrases are not in their piece")
         give_back()
+        return pa.concat_tables(out) if out else empty
 
-    got = pieces.mapInArrow(run, "stratum string, phrase string, h1 long, h2 long")
-    return got.groupBy("h1", "h2").agg(F.first("stratum").alias("stratum"), F.first("phrase").alias("phrase"))
+    empty = pa.schema([("stratum", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64())]).empty_table()
+    held, asked = (x.repartition(parts, "piece").groupBy("piece") for x in (
+        pieces.select("piece", "stratum", "words", "codes"), frequent.select("piece", "h1", "h2", "k", "n")))
+    return held.cogroup(asked).applyInArrow(run, "stratum string, phrase string, k int, n long")
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", stratum_col: str = "lang", threshold: int = THRESHOLD,
@@ -366,10 +389,9 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", stratum_col: str = "l
     spark = docs.sparkSession
     path = scratch_path(spark, "phrase-pieces")
     tokenised(docs, text_col, stratum_col, shards).write.partitionBy("shard").option("compression", "none").parquet(path)
-    pieces = spark.read.schema("stratum string, n_words long, words binary, codes binary, shard int").parquet(path)
+    pieces = spark.read.schema("piece int, stratum string, n_words long, words binary, codes binary, shard int").parquet(path)
     totals = pieces.groupBy("stratum").agg(F.sum("n_words").alias("n"))
     n_words = pieces.agg(F.sum("n_words").alias("n")).first()["n"] or 0
-    pieces = pieces.select("stratum", "words", "codes", "shard")
     size = 1 << min(26, max(16, (n_words // 32).bit_length()))
     buckets = max(n_words // (shards * BUCKET_WORDS), min(2 * spark.sparkContext.defaultParallelism, n_words >> 16), 1)
     seen = np.full(size, NEVER, np.uint8)
@@ -396,13 +418,10 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", stratum_col: str = "l
         step += 1
     if not steps:
         return spark.createDataFrame([], "stratum string, phrase string, k int, n long"), totals
-    frequent = materialize(_matching(steps, _bits(heavy, size), -1).filter(F.col("n") >= threshold).select("h1", "h2", "k", "n"),
-                           "phrases-frequent")
-    wanted = _bits([_slots_of(frequent.select("h1"), size)], size)
-    broadcast = spark.sparkContext.broadcast
-    names = _named(pieces, broadcast(seen.tobytes()), broadcast(wanted.tobytes()), step, max_words)
-    counts = frequent.join(names, ["h1", "h2"]).select("stratum", "phrase", "k", "n")
-    return materialize(counts, "phrases"), totals
+    frequent = _matching(steps, _bits(heavy, size), -1).filter(F.col("n") >= threshold)
+    parts = max(1, n_words // BUCKET_WORDS, min(2 * spark.sparkContext.defaultParallelism, n_words >> 16))
+    names = _named(pieces, frequent, spark.sparkContext.broadcast(seen.tobytes()), step, max_words, parts)
+    return materialize(names, "phrases"), totals
 
 
 def _bits(parts: list[np.ndarray], size: int) -> np.ndarray:

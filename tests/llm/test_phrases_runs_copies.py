@@ -275,3 +275,17 @@ def test_collocations_of_large_counts(spark):
     exact = lambda c: F.col(c).cast("decimal(19,0)")
     got = rows.select((F.lit(1000).cast("decimal(4,0)") * exact("a") * exact("n")).alias("t"), (exact("l") * exact("r")).alias("u"))
     assert got.selectExpr("t div u AS s").first()["s"] == 1000 * 4 * 10 ** 9 * 9 * 10 ** 12 // (30 * 10 ** 18)
+
+
+def test_a_frequent_phrase_is_named_by_one_piece(spark):
+    docs = frame(spark, [(i, f"a b c {i % 3}", "en") for i in range(60)]).repartition(6)
+    pieces = collocations.tokenised(docs, "text", "lang", 2).drop("n_words").localCheckpoint()
+    held = {r.piece for r in pieces.collect()}
+    assert len(held) == pieces.count() >= 6    # every piece has all phrases
+    seen = spark.sparkContext.broadcast(np.zeros(1 << 16, np.uint8).tobytes())
+    counts = (collocations.step_counts(pieces, seen, 5, 9, 3, 1, 20).select("counts").withColumn("step", F.lit(5)).localCheckpoint())
+    frequent = collocations._matching([counts], np.ones(1 << 16, bool), -1).filter("n >= 20").localCheckpoint()
+    assert frequent.count() == frequent.filter(F.col("piece").isin(held)).count() > 5
+    got = collocations._named(pieces, frequent, seen, 9, 3, 4).collect()
+    assert len(got) == frequent.count() and {r.stratum for r in got} == {"en"}
+    assert {r.phrase: r.n for r in got if r.phrase[0] in "ab"} == {"a": 60, "b": 60, "a b": 60, "b c": 60, "a b c": 60, "b c 0": 20, "b c 1": 20, "b c 2": 20}
