@@ -107,7 +107,8 @@ def _write_rows(rows: DataFrame, base: str, commit: str, key: Sequence[str], buc
     """Rows into a folder of their own; the buckets that got any."""
     spark = rows.sparkSession
     out = f"{base}/data/commit={commit}"
-    (rows.withColumn("_kb", key_bucket(key, buckets)).repartition("_kb")
+    # a bucket goes to one task, or to several where it is large
+    (rows.withColumn("_kb", key_bucket(key, buckets)).hint("rebalance", "_kb")
      .write.mode("error").partitionBy("_kb").parquet(out))
     fs, p = _file_system(spark, out)
     names = [s.getPath().getName() for s in fs.listStatus(p)]

@@ -196,3 +196,17 @@ def test_status_and_archive_tables(spark, scratch):
     versions.overwrite(convs, f"{scratch}/convs", ["id"])
     dialogue.archive_table(spark, f"{scratch}/convs", "2024-01-03 00:00:00")
     assert {r.id: r.status for r in versions.read(spark, f"{scratch}/convs").collect()} == {"c1": "archived", "c2": "active"}
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, scratch):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    rows = spark.range(0, 20_000, 1, 8).select(F.col("id").cast("string").alias("id"), F.sha2(F.col("id").cast("string"), 512).alias("x"))
+    try:
+        spark.conf.set(size, "100k")
+        v = versions.overwrite(rows, f"{scratch}/t", ["id"], 1)
+    finally:
+        spark.conf.set(size, before)
+    got = versions.read(spark, f"{scratch}/t")
+    assert list(v.parts) == [0] and len(got.inputFiles()) > 4
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
