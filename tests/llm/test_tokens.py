@@ -39,6 +39,22 @@ def test_pieces_equal_the_library(odd):
     assert sorted([tuple(r) for r in got], key=key) == sorted(want, key=key)
 
 
+def test_words_of_a_block_and_their_requests():
+    """Words are found and dealt for a whole block at a time."""
+    texts = [*ODD, "b a", "a ", ""]
+    words, codes, order, count = pieces._words(texts)
+    names = words.to_pylist()
+    assert names == sorted(set(names)) and sorted(order.tolist()) == list(range(len(texts)))
+    end = np.cumsum(count)
+    for i, lo, hi in zip(order.tolist(), (end - count).tolist(), end.tolist()):
+        assert [names[c] for c in codes[lo:hi]] == pieces.marked_words(texts[i] or "")
+    places, req = pieces._requests(words, 5)
+    assert sorted(places.tolist()) == list(range(len(names)))
+    assert [lo for _, lo, _ in req] == [0, *[hi for _, _, hi in req][:-1]] and req[-1][2] == len(names)
+    assert pieces._requests(words.slice(0, 0), 5)[1] == [] and len(pieces._words([None, ""])[0]) == 0
+    assert pieces._taken(np.arange(9), np.array([7, 0, 2, 2]), np.array([2, 0, 3, 1])).tolist() == [7, 8, 2, 3, 4, 2]
+
+
 def test_op1_on_the_fixture(spark):
     sp = pieces.processor(vocabulary("piece_bpe_32k.model"))
     sf = "/root/testdata/sf0.001"
