@@ -238,6 +238,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = (star.filter("g != g2").filter(long_enough(percent))
              .select(F.least("g", "g2").alias("a"), F.greatest("g", "g2").alias("b"))
              .unionByName(members.filter("g != id").filter(same_size(percent)).select(F.col("g").alias("a"), F.col("id").alias("b"))).distinct())
+    first = materialize(first, "jaccard-pairs")   # read three times below
     linked = materialize(verify(first, src, size, percent), "jaccard-links")
     comp = components(linked)
 
@@ -255,7 +256,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     second = (groups.join(placed.select("g", F.col("id").alias("a"), "c"), "g")
               .join(placed.select(F.col("g").alias("g2"), F.col("id").alias("b"), F.col("c").alias("c2")), "g2")
               .filter("c != c2 and a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    more = materialize(verify(second.join(first, ["a", "b"], "left_anti"), src, size, percent), "jaccard-links")
+    second = materialize(second.join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
+    more = materialize(verify(second, src, size, percent), "jaccard-links")
     # the components found so far are stars already
     final = comp if more.isEmpty() else components(
         more.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))))
