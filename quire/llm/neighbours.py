@@ -7,9 +7,10 @@ Spearman's footrule, where a pivot outside a list counts as rank ``length``.
 
 Vectors are dealt by a hash of their id into shards of bounded size. A shard
 is a pivot inverted file: for each pivot the vectors that list it, with its
-rank there. A query only visits the posting lists of its own pivots and each
+rank there; the lists of a shard lie side by side, a small number for each
+vector. A query only visits the posting lists of its own pivots and each
 visited entry moves that vector's footrule down from the value of two disjoint
-lists. The shard's vectors up to the footrule of the ``share`` nearest (equal
+lists, a whole list at a time. The shard's vectors up to the footrule of the ``share`` nearest (equal
 footrules are all taken) are reranked by the exact inner product in double
 precision, and the best ``k`` of every shard are merged. Queries travel in
 blocks; one row of the join is one (shard, query block) of bounded size, so
@@ -68,25 +69,39 @@ def permutations(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
 
 
 class InvertedFile:
-    """Posting lists of a shard: for each pivot its vectors and ranks."""
+    """Posting lists of a shard, side by side: for each pivot a row that holds
+    ``m - s`` for every vector that lists it at rank ``s``, else 0."""
 
     def __init__(self, perms: np.ndarray, n_pivots: int):
         n, m = perms.shape
-        flat = perms.ravel()
-        order = np.argsort(flat, kind="stable")
         self.n, self.m = n, m
-        self.item, self.rank = (order // m).astype(np.int32), (order % m).astype(np.int32)
-        self.cut = np.searchsorted(flat[order], np.arange(n_pivots + 1))
+        self.kind = np.uint8 if m <= 255 else np.int32
+        caps = np.arange(m, 0, -1).astype(self.kind)
+        self.near = np.zeros((n_pivots, n), self.kind)
+        self.near[perms.ravel(), np.repeat(np.arange(n), m)] = np.tile(caps, n)
+        # as wide as the lists: numpy takes a single number several times slower
+        self.caps = np.repeat(caps[:, None], n, axis=1)
+        # ranks in runs whose caps add up within the kind
+        self.runs, lo, total = [], 0, 0
+        for r, cap in enumerate(caps.tolist()):
+            if total + cap > np.iinfo(self.kind).max:
+                self.runs.append(slice(lo, r))
+                lo, total = r, 0
+            total += cap
+        self.runs.append(slice(lo, m))
 
     def footrule(self, perm: np.ndarray) -> np.ndarray:
         """Footrule of every vector from ``perm``, cut at rank ``m``. A shared
-        pivot replaces ``(m - r) + (m - s)`` by ``|r - s|``."""
-        d = np.full(self.n, self.m * (self.m + 1), np.int32)
-        for r, p in enumerate(perm):
-            at = slice(self.cut[p], self.cut[p + 1])
-            s = self.rank[at]
-            d[self.item[at]] -= 2 * (self.m - np.maximum(r, s))
-        return d
+        pivot replaces ``(m - r) + (m - s)`` by ``|r - s|``, which is less by
+        twice the lesser of ``m - r`` and ``m - s``."""
+        shared = np.zeros(self.n, np.int32)
+        one, run = np.empty(self.n, self.kind), np.empty(self.n, self.kind)
+        for at in self.runs:
+            run[:] = 0
+            for p, cap in zip(perm[at].tolist(), self.caps[at]):
+                run += np.minimum(self.near[p], cap, out=one)
+            shared += run
+        return self.m * (self.m + 1) - 2 * shared
 
 
 def _blob(a: np.ndarray, kind: str) -> bytes:
@@ -129,12 +144,12 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
                 inv = InvertedFile(np.frombuffer(r.perms, "<i2").reshape(len(ids), m), n_pivots)
                 most = float(np.sqrt((x * x).sum(axis=1)).max())
                 take = min(len(ids), max(4 * k, int(np.ceil(share * len(ids)))))
-                got = []
+                got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
                 for qid, v, perm in zip(qids, qx, np.frombuffer(r.qperms, "<i2").reshape(len(qids), m)):
                     f = inv.footrule(perm)
                     cand = np.flatnonzero(f <= np.partition(f, take - 1)[take - 1])
                     cand = cand[ids[cand] != qid]
-                    s = x[cand] @ v
+                    s = x.take(cand, axis=0) @ v
                     # all that can be among the best k, whatever their ties:
                     # the two ways to multiply differ by rounding only
                     if len(cand) > k:
@@ -143,8 +158,8 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
                         cand = cand[keep]
                     s = np.array([float(np.dot(x[c], v)) for c in cand])
                     best = np.lexsort((ids[cand], -s))[:k]
-                    got.append(pd.DataFrame({"query_id": qid, "vec_id": ids[cand[best]], "score": s[best]}))
-                yield pd.concat(got) if got else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                    got.append((np.full(len(best), qid), ids[cand[best]], s[best]))
+                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*got)))))
 
     shards = _gather(d, n_shards, "shard", piv, m).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     blocks = (_gather(q, n_blocks, "block", piv, m).withColumnsRenamed({"ids": "qids", "vecs": "qvecs", "perms": "qperms"})
