@@ -10,9 +10,9 @@ capacity left. A pool opens just as many sequences as its tokens need, so at
 most one sequence of a pool is padded.
 
 Tokenising uses that byte-level BPE never joins characters across a single
-space between two other characters: texts are cut there, and each distinct
-chunk is encoded by the tokenizer once per Python worker and remembered
-(bounded by ``CACHE``; the memory only saves time).
+space between two other characters: texts are cut there, the distinct words of
+``BATCH_BYTES`` of texts are encoded in one call, and the ids of all texts are
+read off in arrays.
 
 Defined results: a null or empty text is the end id alone; rows with a null or
 repeated id are packed one by one; an empty table gives an empty result; other
@@ -29,14 +29,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import block_count, block_of, from_payload, give_back, packed, worker_cache
 
 CAPACITY = 1024
-CACHE = 250_000
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+BATCH_BYTES = 8 << 20
+#: Unicode white space, as the split pattern means it.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_RUN = f"[{_WHITE}]{{2}}"
+#: Before the last of several white spaces, which goes with what follows.
+_LAST = re.compile(f"(?<=[{_WHITE}])(?=[{_WHITE}][^{_WHITE}])")
 
 
 #: Fixed value: the split pattern of plain byte-level BPE.
@@ -53,9 +58,9 @@ def _byte_of() -> dict[str, int]:
 
 def _ranked(tk):
     """The tokenizer's vocabulary as ranks, which tiktoken encodes about three
-    times as fast, or None where merges don't follow the order of ids (the
-    tokenizer then does all the work itself). The tests hold the two against
-    each other."""
+    times as fast, and the bytes of each id, or None where merges don't follow
+    the order of ids (the tokenizer then does all the work itself). The tests
+    hold the two against each other."""
     import json
 
     import tiktoken
@@ -66,7 +71,9 @@ def _ranked(tk):
     if merged != sorted(merged) or not set("".join(vocab.keys() - added)) <= byte.keys():
         return None
     ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in added}
-    return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    widths = np.zeros(max(ranks.values()) + 1, np.int64)
+    widths[list(ranks.values())] = [len(t) for t in ranks]
+    return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), widths
 
 
 def _load(path: str):
@@ -77,65 +84,77 @@ def _load(path: str):
 
 
 def _tokenizer(path: str) -> tuple:
-    """Special texts and the remembered chunks of a tokenizer, kept per Python
-    worker (where ranks do the work, the tokenizer itself is not)."""
+    """Special texts and ranks of a tokenizer, kept per Python worker (where
+    ranks do the work, the tokenizer itself is not)."""
     kept = worker_cache()
     if ("packing", path) not in kept:
         tk = _load(path)
         if tk.pre_tokenizer is None or "ByteLevel" not in type(tk.pre_tokenizer).__name__ or tk.normalizer is not None:
             raise ValueError(f"{path}: not a plain byte-level tokenizer")
         special = [t.content for t in tk.get_added_tokens_decoder().values()]
-        ranked = _ranked(tk)
-        encode = ranked.encode_ordinary if ranked else lambda c: tk.encode(c, add_special_tokens=False).ids
-        kept["packing", path] = (special, _Known(encode))
+        kept["packing", path] = (special, _ranked(tk))
     return kept["packing", path]
 
 
-def forget(path: str) -> None:
-    """Let go of remembered chunks at a task's end: idle workers of a stage
-    stay beside those of the next."""
-    _tokenizer(path)[1].clear()
-    give_back()
-
-
-def chunks(text: str) -> list[str]:
-    """``text`` cut before each single space between two non-space characters."""
-    if not text:
-        return []
-    flat = text.replace("\n", " ")
-    # with no two blanks beside each other and no other white space, every
-    # space is such a place
-    if "  " in flat or len(flat.split(" ")) != len(text.split()):
-        w = _CUT.split(text)
-    else:
-        w = text.split(" ")
-    return [w[0], *[" " + x for x in w[1:]]]
-
-
-class _Known(dict):
-    """Ids of chunks, worked out when first asked for."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = array("I", self.encode(chunk)).tobytes()
-        if len(self) < CACHE:  # frequent chunks come early
-            self[chunk] = ids
-        return ids
+def _by_words(texts: list[str], ranked, widths: np.ndarray) -> list[bytes]:
+    """Ids of texts in which white spaces stand beside each other at the end
+    at most. A text is its first word and each other one with the space before
+    it; first and last words may have white space at an edge and are encoded by
+    themselves, the distinct others as one text."""
+    def encode(text: str) -> np.ndarray:
+        return ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+
+    body = [t.rstrip(_WHITE) for t in texts]
+    split = pc.split_pattern(pa.array(body, pa.large_string()), " ")
+    at = split.offsets.to_numpy()
+    first, last = at[:-1], at[1:] - 1
+    inner = np.ones(at[-1], bool)
+    inner[first] = inner[last] = False
+    words = split.values.filter(pa.array(inner)).dictionary_encode()
+    # the text " a b c" of the words a, b and c
+    all_words = pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary)
+    one = encode("".join(" " + t for t in pc.binary_join(all_words, pa.scalar(" ", pa.large_string())).to_pylist() if t))
+    ends = np.cumsum(pc.binary_length(words.dictionary).to_numpy().astype(np.int64) + 1)
+    made = np.cumsum(widths[one])
+    upto = np.searchsorted(made, ends, "right")
+    if len(ends) and not np.array_equal(made[upto - 1], ends):
+        raise ValueError("a token spans two words")
+    # at the edges: of a text of one word that, else the first and the last
+    edge, place = [], np.empty(at[-1], np.int64)
+    place[inner] = words.indices.to_numpy()
+    for t, b, lo, hi in zip(texts, body, first.tolist(), last.tolist()):
+        if lo < hi:
+            place[lo] = len(ends) + len(edge)
+            edge.append(encode(b[:b.index(" ")]))
+        place[hi] = len(ends) + len(edge)
+        edge.append(encode(t[b.rindex(" "):] if lo < hi else t))
+    sizes = np.concatenate([np.diff(upto, prepend=0), [len(e) for e in edge]]).astype(np.int64)
+    bounds = 4 * np.cumsum(np.concatenate([[0], sizes]))
+    known = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [
+        None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.concatenate([one, *edge]).astype("<u4"))])
+    got = known.take(pa.array(place))
+    cut = np.frombuffer(got.buffers()[1], np.int64)[:len(got) + 1][at].tolist()
+    ids = memoryview(got.buffers()[2])
+    return [bytes(ids[lo:hi]) for lo, hi in zip(cut, cut[1:])]
 
 
 def tokenize(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers."""
-    special, known = _tokenizer(path)
-    out = []
-    for t in texts:
-        t = t or ""
-        if any(s in t for s in special):  # cut out by the tokenizer itself
-            out.append(array("I", _load(path).encode(t, add_special_tokens=False).ids).tobytes())
-        else:
-            out.append(b"".join(map(known.__getitem__, chunks(t))))
+    special, ranked = _tokenizer(path)
+    out: list = [None] * len(texts)
+    texts = [t or "" for t in texts]
+    whole = [i for i, t in enumerate(texts) if ranked is None or any(s in t for s in special)]
+    if whole:  # special texts are cut out by the tokenizer itself
+        tk = _load(path)
+        for i in whole:
+            out[i] = array("I", tk.encode(texts[i], add_special_tokens=False).ids).tobytes()
+    rest = [i for i, b in enumerate(out) if b is None]
+    if rest:
+        runs = pc.match_substring_regex(pa.array([texts[i] for i in rest], pa.large_string()), _RUN).to_pylist()
+        parts = [_LAST.split(texts[i]) if run else [texts[i]] for i, run in zip(rest, runs)]
+        ids = iter(_by_words([x for p in parts for x in p], *ranked))
+        for i, p in zip(rest, parts):
+            out[i] = b"".join([next(ids) for _ in p])
     return out
 
 
@@ -182,12 +201,15 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for lo in range(0, b.num_rows, 250):
-                part = b.slice(lo, 250)
+            sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            group = (np.cumsum(sizes) - sizes) // BATCH_BYTES
+            cut = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cut, cut[1:]):
+                part = b.slice(lo, hi - lo)
                 ids = [x + end for x in tokenize(part.column("text").to_pylist(), tokenizer_path)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("block"), pa.array(ids, pa.binary())],
                                                  names=["id", "block", "ids"])
-        forget(tokenizer_path)
+        give_back()
 
     def one_pool(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         give_back()  # what the pool before held

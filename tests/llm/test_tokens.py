@@ -108,6 +108,29 @@ def test_chunks_are_encoded_as_by_the_tokenizer():
         assert np.frombuffer(got, "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids
 
 
+def test_distinct_words_are_encoded_in_one_call(monkeypatch):
+    """As many calls as texts have edges, whatever words are between; white
+    space of all kinds, alone and in runs, at edges and between."""
+    path = vocabulary("byte_bpe_50k.json")
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(400)) for _ in range(20)]
+    calls = []
+    special, (ranked, widths) = packing._tokenizer(path)
+
+    class Counted:
+        def encode_to_numpy(self, text, **more):
+            calls.append(text)
+            return ranked.encode_to_numpy(text, **more)
+    monkeypatch.setattr(packing, "_tokenizer", lambda _: (special, (Counted(), widths)))
+    tk = packing._load(path)
+    got = packing.tokenize(texts, path)
+    assert len(calls) <= 1 + 2 * len(texts)
+    bits = ["a", "the", "12", ".", "\x1c", "\u200b", " ", " ", "  ", "\n", "\t", "\x0b", "\x85", "\u2003", "\u3000", "<|endoftext|>"]
+    odd = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [None]
+    for t, ids in zip(texts + odd, got + packing.tokenize(odd, path)):
+        assert np.frombuffer(ids, "<u4").tolist() == tk.encode(t or "", add_special_tokens=False).ids
+
+
 def test_packing_keeps_every_token(odd):
     docs = odd.filter("doc_id is not null and not (doc_id = 3 and text = 'twice')")
     room, used = check_packing(docs.collect(), packing.pack(docs, vocabulary("byte_bpe_50k.json")).collect())
