@@ -44,6 +44,8 @@ WORDS = 4
 #: Similarity as a fraction in hundredths, compared in whole numbers.
 PERCENT = 85
 SLOTS = 1 << 20
+#: Size of the table of ids to verify.
+BITS = 1 << 24
 _FAN = 64
 _SEGMENT = 1 << 14
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -181,6 +183,17 @@ def same_size(percent: int):
     return f"{100 + percent} * (n - 1) >= {2 * percent} * n"
 
 
+def asked_for(docs: DataFrame, ids: DataFrame, bits: int = BITS) -> DataFrame:
+    """``(id, text)`` of all ``ids`` and of few others: a broadcast table of at
+    most ``bits`` bits keeps the texts that are in no pair out of the shuffle
+    by id."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(bits))
+    table = (ids.select(F.shiftright(bit, 6).alias("word"), F.pmod(bit, F.lit(64)).cast("int").alias("at")).groupBy("word")
+             .agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("set")))
+    return (docs.withColumn("word", F.shiftright(bit, 6)).join(F.broadcast(table), "word")
+            .filter(F.getbit("set", F.pmod(bit, F.lit(64)).cast("int")) == 1).select("id", "text"))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets reach the similarity."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -189,8 +202,9 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int = WORDS, percent: int =
         for pdf in _small(batches):
             yield pd.DataFrame({"id": pdf["id"], "s": [h.tobytes() for h in shingles(pdf["text"].tolist(), size)]})
 
-    # of texts with one id the least, on every retry
-    held = docs.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).mapInPandas(sets, "id long, s binary")
+    # of texts with one id the least, on every retry; ids are distinct, and a
+    # semi join would be moved below the table of bits
+    held = asked_for(docs, ids).join(ids, "id").groupBy("id").agg(F.min("text").alias("text")).mapInPandas(sets, "id long, s binary")
     j = (pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
          .join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b"))
 

@@ -308,6 +308,24 @@ def test_op6_on_the_fixture(spark):
     assert got == plain_classes([(i, d.text) for i, d in docs.items()])
 
 
+def test_jaccard_verifies_without_the_other_texts(spark):
+    """All texts of a pair and few others get to the shuffle by id, also where
+    the ids are too many to be broadcast."""
+    docs = spark.range(20000).select("id", F.concat(F.lit("a b c d "), (F.col("id") / 2).cast("long").cast("string")).alias("text"))
+    docs = docs.unionByName(docs.filter("id < 4")).unionByName(docs.limit(1).select(F.lit(None).cast("long").alias("id"), "text"))
+    pairs = spark.range(0, 2000, 20).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    got = [r["id"] for r in jaccard.asked_for(docs, ids).collect()]
+    assert set(got) >= {r["id"] for r in ids.collect()} and got.count(0) == 2 and len(got) < 300
+    assert {r["id"] for r in jaccard.asked_for(docs, ids, 64).collect()} >= set(got) - {None}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert jaccard.verify(pairs, docs).count() == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_jaccard_empty_and_repeated(spark):
     assert jaccard.near_classes(frame(spark, []).limit(0)).count() == 0
     got = jaccard.near_classes(frame(spark, ["a b c d e"], [(0, "a b c d e")])).collect()
