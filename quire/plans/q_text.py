@@ -143,10 +143,8 @@ from read_blob('{ORACLE_DIR}/*.parquet')
 @register("s1_scan_files", _S1_SQL)
 def s1_scan_files(spark, sf_dir):
     """S1 (+G8 hash): every file of the data folder with its size and content hash."""
-    f = files.scan_files(spark, sf_dir, glob="*.parquet")
-    return f.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"),
-                    F.col("length").cast("bigint").alias("length"),
-                    files.content_hash(F.col("content")).alias("content_hash"))
+    f = files.hashed_files(files.scan_files(spark, sf_dir, glob="*.parquet"))
+    return f.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", "content_hash")
 
 
 _REQ_TABLES = ", ".join(f"('{t}.parquet')" for t in BASE_TABLES)

@@ -112,3 +112,28 @@ def test_admission_and_text_of_odd_files(spark):
     d = spark.createDataFrame([(bytearray(b),) for b in raw], "c binary")
     out = [r.t for r in d.select(files.extract_text(F.col("c"), F.lit("x.txt")).alias("t")).collect()]
     assert out == [b.decode("utf-8", errors="ignore") for b in raw]
+
+
+def test_files_are_hashed_whatever_their_size(spark, scratch):
+    import hashlib
+    import os
+
+    from quire.sources import files
+    os.makedirs(f"{scratch}/more of it")
+    sizes = {"b.bin": 100, "more of it/c 1.bin": 101, "d.bin": 5000}
+    for name, n in sizes.items():
+        with open(f"{scratch}/{name}", "wb") as f:
+            f.write(os.urandom(n))
+    # longer than any row can be (a hole, which takes no disk)
+    with open(f"{scratch}/e.bin", "wb") as f:
+        f.write(b"start")
+        f.truncate((2 << 30) + 5)
+    h = hashlib.sha256(b"start")
+    for _ in range(2 << 10):
+        h.update(bytes(1 << 20))
+    want = {name: (n, hashlib.sha256(open(f"{scratch}/{name}", "rb").read()).hexdigest()[:16]) for name, n in sizes.items()}
+    want["e.bin"] = ((2 << 30) + 5, h.hexdigest()[:16])
+    for whole in (files.WHOLE_BYTES, 100):
+        got = files.hashed_files(files.scan_files(spark, scratch, glob="*.bin"), whole).collect()
+        assert {r.path.split(scratch + "/")[1]: (r["length"], r.content_hash) for r in got} == want
+        assert len(got) == len(want)
