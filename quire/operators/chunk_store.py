@@ -5,7 +5,9 @@ The table is versioned (``quire.operators.versions``), laid out by document.
 ``refresh`` chunks the documents, finds the documents whose chunks differ from
 the stored ones, and rewrites their buckets in one atomic step. Vectors go by
 the hash of the chunk's content: a content that is stored anywhere keeps its
-vector, and a new content is embedded once, however many chunks have it.
+vector, and a new content is embedded once, however many chunks have it. A
+content crosses the shuffle once by its hash and once to its place in the table;
+the chunks' other columns meet it without it.
 """
 
 from __future__ import annotations
@@ -48,21 +50,35 @@ def refresh(documents: DataFrame, base: str, size: int = chunking.DEFAULT_CHUNK_
     document that is no longer there loses its chunks. Refreshing again
     changes nothing and embeds nothing."""
     spark = documents.sparkSession
-    stored = spark.createDataFrame([], SCHEMA) if versions.version(spark, base) is None else versions.read(spark, base)
+    held = versions.version(spark, base)
     chunks = chunk_table(documents, size)
-    now, was = _fingerprint(chunks), _fingerprint(stored)
-    same = now.join(was, ["doc_id", "sum", "n"], "left_semi").select("doc_id")
-    changed = chunks.join(same, "doc_id", "left_anti")
-    # a document without chunks any more: a row that says so
-    gone = (was.join(now, "doc_id", "left_anti").select("doc_id"))
-    known = stored.groupBy("content_hash").agg(F.any_value("embedding").alias("embedding"))
+    now = _fingerprint(chunks)
+    if held is None:
+        # nothing is stored: all chunks are new, and none is looked for
+        changed, gone, known = chunks, None, None
+        buckets = buckets or versions.default_buckets(now.agg(F.sum("n")).first()[0] or 0)
+    else:
+        stored = versions.read(spark, base)
+        was = _fingerprint(stored)
+        same = now.join(was, ["doc_id", "sum", "n"], "left_semi").select("doc_id")
+        changed = chunks.join(same, "doc_id", "left_anti")
+        # a document without chunks any more: a row that says so
+        gone = (was.join(now, "doc_id", "left_anti").select("doc_id"))
+        known = stored.groupBy("content_hash").agg(F.any_value("embedding").alias("embedding"))
     contents = changed.groupBy("content_hash").agg(F.any_value("content").alias("content"))
-    fresh = embedder(contents.join(known, "content_hash", "left_anti"))
-    vectors = contents.join(known, "content_hash").select("content_hash", "embedding").unionByName(fresh.select("content_hash", "embedding"))
-    rows = changed.join(vectors, "content_hash").select("id", "doc_id", "chunk_index", "content", "content_hash", "embedding")
-    rows = rows.unionByName(gone, allowMissingColumns=True)
+    fresh = embedder(contents if known is None else contents.join(known, "content_hash", "left_anti")).select("content_hash", "embedding")
+    vectors = fresh if known is None else contents.join(known, "content_hash").select("content_hash", "embedding").unionByName(fresh)
+    rows = (changed.select("id", "doc_id", "chunk_index", "content_hash").join(contents.join(vectors, "content_hash"), "content_hash")
+            .select("id", "doc_id", "chunk_index", "content", "content_hash", "embedding"))
+    if gone is not None:
+        rows = rows.unionByName(gone, allowMissingColumns=True)
 
     def combine(held: DataFrame, new: DataFrame) -> DataFrame:
-        kept = held.join(new.select("doc_id").distinct(), "doc_id", "left_anti")
-        return kept.unionByName(new.filter(F.col("id").isNotNull()))
-    return versions.merge(rows, base, ["doc_id"], combine, buckets)
+        there = new.filter(F.col("id").isNotNull())
+        if held.isEmpty():
+            return there
+        return held.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(there)
+    done = versions.merge(rows, base, ["doc_id"], combine, buckets)
+    # what was shuffled goes when the driver collects its garbage
+    spark.sparkContext._jvm.System.gc()
+    return done

@@ -37,6 +37,8 @@ ATTEMPTS = 20
 #: Rows that a bucket is meant for when a table is made without a number.
 BUCKET_ROWS = 2_000_000
 MAX_BUCKETS = 4096
+#: Buckets of a new table to which every task may write files of its own.
+FEW_BUCKETS = 16
 
 
 class Conflict(Exception):
@@ -103,12 +105,14 @@ def read(spark: SparkSession, base: str, at: Version | int | None = None, bucket
 
 # the steps of a change, in order
 
-def _write_rows(rows: DataFrame, base: str, commit: str, key: Sequence[str], buckets: int) -> dict[int, list[str]]:
-    """Rows into a folder of their own; the buckets that got any."""
+def _write_rows(rows: DataFrame, base: str, commit: str, key: Sequence[str], buckets: int, as_dealt: bool = False) -> dict[int, list[str]]:
+    """Rows into a folder of their own; the buckets that got any. ``as_dealt``:
+    tasks write the rows that they hold, to any bucket."""
     spark = rows.sparkSession
     out = f"{base}/data/commit={commit}"
+    rows = rows.withColumn("_kb", key_bucket(key, buckets))
     # a bucket goes to one task, or to several where it is large
-    (rows.withColumn("_kb", key_bucket(key, buckets)).hint("rebalance", "_kb")
+    ((rows if as_dealt else rows.hint("rebalance", "_kb"))
      .write.mode("error").partitionBy("_kb").parquet(out))
     fs, p = _file_system(spark, out)
     names = [s.getPath().getName() for s in fs.listStatus(p)]
@@ -227,22 +231,32 @@ def merge(batch_rows: DataFrame, base: str, key: Sequence[str], combine: Callabl
     """``combine(stored rows, batch rows)`` for the buckets of the batch; the
     others are taken over as they are. A missing table starts with no rows of
     the batch's columns. ``combine`` must give the same when rows come in that
-    it has combined before, so that a replay changes nothing."""
+    it has combined before, so that a replay changes nothing. The batch is kept
+    while it is read several times; that of a missing table with a given number
+    of ``buckets`` is read once, and isn't."""
     spark = batch_rows.sparkSession
-    cur = batch_rows.persist(StorageLevel.MEMORY_AND_DISK)
+    cur, kept = batch_rows, False
     try:
         for _ in range(ATTEMPTS):
             v = version(spark, base)
             if _already(v, writer, batch):
                 return v
+            once = v is None and bool(buckets)
+            if not once and not kept:
+                cur, kept = batch_rows.persist(StorageLevel.MEMORY_AND_DISK), True
             n = v.buckets if v else buckets or default_buckets(cur.count())
-            touched = [r[0] for r in cur.select(key_bucket(key, n)).distinct().collect()]  # at most n
-            if not touched:
-                return v
+            if not once:
+                touched = [r[0] for r in cur.select(key_bucket(key, n)).distinct().collect()]  # at most n
+                if not touched:
+                    return v
             stored = read(spark, base, v, touched) if v else spark.createDataFrame([], cur.schema)
             merged = combine(stored, cur)
             merged = merged.select(*v.schema.names) if v else merged
-            parts = _write_rows(merged, base, _new_commit(v.number + 1 if v else 1), key, n)
+            parts = _write_rows(merged, base, _new_commit(v.number + 1 if v else 1), key, n, once and n <= FEW_BUCKETS)
+            if once:
+                touched = list(parts)
+                if not touched and cur.isEmpty():
+                    return v
             rest = {b: c for b, c in v.parts.items() if b not in touched} if v else {}
             new = Version(v.number + 1 if v else 1, v.schema if v else merged.schema, tuple(key), n, {**rest, **parts},
                           _done(v, writer, batch))
@@ -251,7 +265,8 @@ def merge(batch_rows: DataFrame, base: str, key: Sequence[str], combine: Callabl
             except Conflict:
                 continue
     finally:
-        cur.unpersist()
+        if kept:
+            cur.unpersist()
     raise Conflict(f"{base}: {ATTEMPTS} attempts")
 
 

@@ -68,3 +68,19 @@ def test_chunks_that_swap_places_are_seen(spark, scratch):
     chunk_store.refresh(frame(spark, {"a": f"{second}\n\n{first}"}), base)
     got = versions.read(spark, base).orderBy("chunk_index").select(F.substring("content", 1, 1).alias("c")).collect()
     assert [r.c for r in got] == ["y", "x"]
+
+
+def test_first_refresh_keeps_no_copy_of_its_rows(spark, scratch, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    kept, written = [], []
+    persist, write = DataFrame.persist, versions._write_rows
+    monkeypatch.setattr(DataFrame, "persist", lambda self, *a: kept.append(self) or persist(self, *a))
+    monkeypatch.setattr(versions, "_write_rows", lambda rows, *a: written.append(rows) or write(rows, *a))
+    chunk_store.refresh(frame(spark, TEXTS), f"{scratch}/chunks")
+    assert not kept
+    # nothing is looked for in a table that isn't there
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan
+    assert {r.doc_id for r in versions.read(spark, f"{scratch}/chunks").collect()} == {"a", "b", "c", "f"}
+    assert chunk_store.refresh(frame(spark, {"d": ""}), f"{scratch}/none") is None
+    assert versions.version(spark, f"{scratch}/none") is None
